@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import minhash_dedup
+from .rlz import rlz_dedup
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rlz_dedup(docs, window=20).select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_rlz": op2_rlz,
+}
 ORACLES: dict[str, str] = {}
