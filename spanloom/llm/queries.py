@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_piece import VOCABULARY, bpe_encode
+from .byte_cnn import quality_scores, train
 from .common import table
+from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
 
@@ -19,8 +22,27 @@ def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup(docs, window=20).select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), label="quality"), threshold=0.7)
+
+
+def op7_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(to_media(table(spark, sf_dir, "documents")), keep=False).drop("media")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe_encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_rlz": op2_rlz,
+    "op4_byte_cnn": op4_byte_cnn,
+    "op7_png": op7_png,
+    "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
