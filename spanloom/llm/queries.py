@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lang_centroids
 from .bpe_piece import VOCABULARY, bpe_encode
 from .byte_cnn import quality_scores, train
 from .common import table
 from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
+from .token_sstable import VOCABULARY as SSTABLE_VOCABULARY
+from .token_sstable import sstable_round_trip
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,11 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), label="quality"), threshold=0.7)
 
 
+def op6_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_centroids.identify(docs, lang_centroids.train(docs))
+
+
 def op7_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents")), keep=False).drop("media")
 
@@ -38,11 +46,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return sstable_round_trip(docs, public_tokenizers.path(SSTABLE_VOCABULARY), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_rlz": op2_rlz,
     "op4_byte_cnn": op4_byte_cnn,
+    "op6_lang": op6_lang,
     "op7_png": op7_png,
     "op9_bpe": op9_bpe,
+    "op10_sstable": op10_sstable,
 }
 ORACLES: dict[str, str] = {}
