@@ -9,6 +9,7 @@ from . import lang_centroids
 from .bpe_piece import VOCABULARY, bpe_encode
 from .byte_cnn import quality_scores, train
 from .common import table
+from .curriculum import curriculum
 from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
@@ -30,6 +31,10 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), label="quality"), threshold=0.7)
 
 
+def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_centroids.identify(docs, lang_centroids.train(docs))
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_rlz": op2_rlz,
     "op4_byte_cnn": op4_byte_cnn,
+    "op5_curriculum": op5_curriculum,
     "op6_lang": op6_lang,
     "op7_png": op7_png,
     "op9_bpe": op9_bpe,
