@@ -10,6 +10,7 @@ from .bpe_piece import VOCABULARY, bpe_encode
 from .byte_cnn import quality_scores, train
 from .common import table
 from .curriculum import curriculum
+from .license_scan import license_report
 from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
@@ -44,6 +45,10 @@ def op7_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents")), keep=False).drop("media")
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_curriculum": op5_curriculum,
     "op6_lang": op6_lang,
     "op7_png": op7_png,
+    "op8_license": op8_license,
     "op9_bpe": op9_bpe,
     "op10_sstable": op10_sstable,
 }
