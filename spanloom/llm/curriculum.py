@@ -61,14 +61,18 @@ def _position(at: Column, target: Column, tilt: Column) -> Column:
     return F.least(F.greatest(2 * c / (a + root), F.lit(0.0)), F.lit(1.0))
 
 
-def curriculum(docs: DataFrame, share: float = 1.5, epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, and ``positions``: of each epoch's copy
-    that is taken, the training position in [0, 1] and its words; range-sorted by first position, untaken rows last."""
+def _turn(id_col: str, text_col: str) -> Column:
+    """The place of a row in its source's random order: a digest of id and text, the same in every run."""
+    text = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
+    return F.md5(F.encode(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), "utf-8"))
+
+
+def _placed(docs: DataFrame, share: float, epochs: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")))).alias("turn"),
+        _turn(id_col, text_col).alias("turn"),
     )
     rows = scratch.save(rows.withColumn("bucket", F.conv(F.substring("turn", 1, 3), 16, 10).cast("int")))
     sums = scratch.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
@@ -98,10 +102,31 @@ def curriculum(docs: DataFrame, share: float = 1.5, epochs: int = 2, id_col: str
             F.greatest(F.least(quota - e * F.col("source_size") - F.col("at"), F.col("size")), F.lit(0)).alias("words"),
         ),
     )
-    out = placed.withColumn("positions", F.filter(copies, lambda c: c["words"] > 0)).withColumn("taken", F.aggregate("positions", F.lit(0).cast("long"), lambda n, c: n + c["words"]))
-    first = F.col("positions")[0]["position"]
+    return placed.withColumn("positions", F.filter(copies, lambda c: c["words"] > 0)).withColumn("taken", F.aggregate("positions", F.lit(0).cast("long"), lambda n, c: n + c["words"]))
+
+
+def curriculum(docs: DataFrame, share: float = 1.5, epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, and ``positions``: of each epoch's copy
+    that is taken, the training position in [0, 1] and its words; range-sorted by first position, untaken rows last."""
+    first = F.when(F.size("positions") > 0, F.col("positions")[0]["position"])
+    order = [F.col("position").asc_nulls_last(), F.xxhash64("doc_id")]
     return (
-        out.select("doc_id", "size", "source_size", "target", "taken", "positions", F.when(F.size("positions") > 0, first).alias("position"))
-        .repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id"))
-        .sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+        _placed(docs, share, epochs, id_col, text_col, source_col)
+        .select("doc_id", "size", "source_size", "target", "taken", "positions", first.alias("position"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
+
+
+def mix_rows(docs: DataFrame, share: float = 1.5, epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as they train, range-sorted by position: one for each copy that is taken; a copy that the
+    target cuts short keeps its first words. (Equal rows, same id and text, all train at the places of one of them.)"""
+    plan = _placed(docs, share, epochs, id_col, text_col, source_col).where(F.size("positions") > 0)
+    plan = plan.groupBy("turn").agg(F.min(F.struct("size", "positions")).alias("plan"))
+    copies = docs.withColumn("__turn", _turn(id_col, text_col)).join(plan.withColumnRenamed("turn", "__turn"), "__turn")
+    copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("plan.size").alias("__size"), F.explode("plan.positions").alias("__copy"))
+    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    start = F.array_join(F.slice(words, F.lit(1), F.col("__copy.words").cast("int")), " ")
+    text = F.when(F.col("__copy.words") < F.col("__size"), start).otherwise(F.col(text_col))
+    order = [F.col("__copy.position"), F.xxhash64(id_col)]
+    return copies.withColumn(text_col, text).repartitionByRange(*order).sortWithinPartitions(*order).select(*(f"`{c}`" for c in docs.columns))

@@ -14,6 +14,7 @@ from .license_scan import license_report
 from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
+from .sorted_projection import embedding_dedup
 from .token_sstable import VOCABULARY as SSTABLE_VOCABULARY
 from .token_sstable import sstable_round_trip
 
@@ -27,6 +28,10 @@ def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup(docs, window=20).select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op3_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), label="quality"), threshold=0.7)
@@ -66,6 +71,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_rlz": op2_rlz,
+    "op3_projection": op3_projection,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_curriculum": op5_curriculum,
     "op6_lang": op6_lang,

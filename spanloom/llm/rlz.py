@@ -187,7 +187,7 @@ def _merge(spans: list[tuple[int, int, int, int]]) -> list[dict]:
     return out
 
 
-def _remover(window: int, schema: pa.Schema):
+def _remover(window: int, schema: pa.Schema, verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "body"):
             out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept_text", "factors")}
@@ -204,7 +204,9 @@ def _remover(window: int, schema: pa.Schema):
                 removed = int(gone.sum())
                 out["n_words"].append(len(words))
                 out["n_removed"].append(removed)
-                out["kept_text"].append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed else words))
+                if removed or not verbatim:
+                    text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed else words)
+                out["kept_text"].append(text)
                 out["factors"].append(_merge(spans))
             yield pa.RecordBatch.from_arrays(
                 [part.column(n) if n not in out else pa.array(out[n], pa.binary()).cast(pa.string()) if n == "kept_text" else pa.array(out[n], schema.field(n).type) for n in schema.names],
@@ -217,8 +219,10 @@ def _remover(window: int, schema: pa.Schema):
 _FACTORS = "array<struct<start:int,n_words:int,src_doc:bigint,src_start:int>>"
 
 
-def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with struct ``row`` (all their columns), n_words, n_removed, kept_text and factors.
+def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", verbatim: bool = False) -> DataFrame:
+    """The rows of ``docs``: struct ``row`` (all columns but the text), n_words, n_removed, kept_text and factors.
+
+    kept_text has one space between words; with ``verbatim``, texts that lose nothing stay as they are.
 
     A factor is (start, n_words, src_doc, src_start) in words; its words occur from src_start of src_doc on, earlier.
     """
@@ -250,4 +254,4 @@ def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_co
     shape = whole.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(None).cast(_FACTORS).alias("factors")).schema
     for f in shape.fields:
         f.nullable = True
-    return whole.mapInArrow(_remover(window, to_arrow_schema(shape)), shape)
+    return whole.mapInArrow(_remover(window, to_arrow_schema(shape), verbatim), shape)
