@@ -4,7 +4,7 @@ Each byte is one character (U+0100 + byte), a rank becomes a piece scored by its
 is the lowest rank, and the normaliser is the identity. Texts are cut by the pre-token pattern; a pre-token that is a
 rank is that id, any other is encoded by the model. Decoding maps ids back to their bytes.
 
-Pre-tokens repeat, so a worker keeps the ids of the space-separated chunks that it has met (bounded, emptied when full).
+Pre-tokens repeat, so a worker keeps the ids of the space-separated chunks that it has met (in two bounded generations).
 A chunk that starts at a space is cut off from what is before it unless white space comes before that space; then the
 chunks stay together, as the pattern looks at runs of white space.
 
@@ -27,8 +27,8 @@ from .common import text_slices
 
 #: The pattern and vocabulary that the queries use come with the installed tokenizer files.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks and pre-tokens that a worker remembers.
-REMEMBERED = 250_000
+#: Chunks, and pre-tokens, that a generation of a worker's memory holds.
+REMEMBERED = 350_000
 _MAP = {b: chr(0x100 + b) for b in range(256)}
 
 
@@ -72,6 +72,27 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*pieces, unknown, _field(2, trainer), _field(3, plain)])
 
 
+class Memory:
+    """What was met lately, in two generations: a full one becomes the old one, whose entries return when met again."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= REMEMBERED:
+            # In place: encode() holds the dictionary's get.
+            self.old = dict(self.new)
+            self.new.clear()
+        self.new[key] = value
+
+
 class PieceCodec:
     def __init__(self, path: str, pattern: str):
         import regex
@@ -82,30 +103,29 @@ class PieceCodec:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_proto(self.ranks))
         self.split = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Memory(), Memory()
 
     def _pretoken(self, word: str) -> bytes:
         """Packed ids (uint32, little-endian)."""
-        ids = self.words.get(word)
+        ids = self.words.recall(word)
         if ids is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
             raw = word.encode()
             rank = self.ranks.get(raw)
-            ids = self.words[word] = np.array([rank] if rank is not None else self.model.encode(piece(raw)), "<u4").tobytes()
+            ids = np.array([rank] if rank is not None else self.model.encode(piece(raw)), "<u4").tobytes()
+            self.words.keep(word, ids)
         return ids
 
     def _chunk(self, text: str) -> bytes:
+        ids = self.chunks.recall(text)
+        if ids is not None:
+            return ids
         ids = b"".join([self._pretoken(w) for w in self.split(text)])
         if len(text) < 64:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            self.chunks[text] = ids
+            self.chunks.keep(text, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
-        out, known, held = [], self.chunks.get, ""
+        out, known, held = [], self.chunks.new.get, ""
         for at, part in enumerate(text.split(" ")):
             part = " " + part if at else part
             if held or not part or part[-1].isspace():

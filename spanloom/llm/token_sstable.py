@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_piece import REMEMBERED
+from .bpe_piece import Memory
 from .common import Scratch, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -212,33 +212,32 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(keep))}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Memory(), Memory()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        ids = self.words.recall(word)
         if ids is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
             spelled = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            self.words.keep(word, ids)
         return ids
 
     def _chunk(self, text: str) -> bytes:
+        ids = self.chunks.recall(text)
+        if ids is not None:
+            return ids
         ids = b"".join([self._word(w) for w in self.split(text)])
         if len(text) < 64:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            self.chunks[text] = ids
+            self.chunks.keep(text, ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return self.whole(text)
-        out, known, held = [], self.chunks.get, ""
+        out, known, held = [], self.chunks.new.get, ""
         for at, part in enumerate(text.split(" ")):
             part = " " + part if at else part
             if held or not part or part[-1].isspace():
