@@ -14,7 +14,7 @@ PRIVACY = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "birth_date": r"\b\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2}\b",
 }
-ABBREVIATION = r"\b[A-Z]{2,6}\b"
+ABBREVIATION = "^[A-Z]{2,6}$"
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 
 
@@ -36,16 +36,31 @@ def newline_style(text: Column) -> Column:
     return F.when(kinds > 1, "mixed").when(crlf > 0, "crlf").when(cr > 0, "cr").when(lf > 0, "lf").otherwise("none")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once: lambda bodies would evaluate an expression anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Runs of n items, joined by a space; none where there are fewer."""
-    count = F.size(items) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(items, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(a: Column) -> Column:
+        count = F.size(a) - (n - 1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))
+        return F.when(count > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(items, runs)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """The set of runs of n characters; the whole text if it is shorter."""
-    count = F.length(text) - (n - 1)
-    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array(text))
+
+    def runs(t: Column) -> Column:
+        count = F.length(t) - (n - 1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(count > 0, F.array_distinct(found)).otherwise(F.array(t))
+
+    return let(text, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

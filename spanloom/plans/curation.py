@@ -18,7 +18,7 @@ WITH t AS (SELECT lang, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS tk F
 SELECT lang, count(*) AS n_docs, sum(len(tk)) AS n_tokens, round(avg(length(text)), 6) AS avg_chars,
   round(avg(CASE WHEN len(tk) > 0 THEN len(list_distinct(list_transform(tk, lambda x: lower(x)))) * 1.0 / len(tk) ELSE 0.0 END), 6) AS type_token_ratio,
   sum(len(regexp_extract_all(text, '[^\p{L}\p{N}_\s]'))) AS n_punct,
-  sum(len(regexp_extract_all(text, '\b[A-Z]{2,6}\b'))) AS n_abbrev
+  sum(len(list_filter(tk, lambda x: regexp_matches(x, '^[A-Z]{2,6}$')))) AS n_abbrev
 FROM t GROUP BY lang""")
 def doc_text_profile(spark, sf_dir) -> DataFrame:
     """Lengths, type-token ratio, punctuation and abbreviations by language."""
@@ -27,7 +27,7 @@ def doc_text_profile(spark, sf_dir) -> DataFrame:
     return d.groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.sum(F.size("tk")).alias("n_tokens"), F.round(F.avg(F.length("text")), 6).alias("avg_chars"),
         F.round(F.avg(ratio), 6).alias("type_token_ratio"), F.sum(F.regexp_count("text", F.lit(T.PUNCTUATION))).alias("n_punct"),
-        F.sum(F.regexp_count("text", F.lit(T.ABBREVIATION))).alias("n_abbrev"),
+        F.sum(F.size(F.filter("tk", lambda x: x.rlike(T.ABBREVIATION)))).alias("n_abbrev"),
     )
 
 
