@@ -61,7 +61,7 @@ def ngram_repetition(spark, sf_dir) -> DataFrame:
 WITH k AS (SELECT doc_id, n_chars, sha256(trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'))) AS text_key FROM documents)
 SELECT doc_id, text_key, count(*) OVER (PARTITION BY text_key) AS copies,
   first_value(doc_id) OVER (PARTITION BY text_key ORDER BY n_chars DESC, doc_id) AS winner,
-  row_number() OVER (PARTITION BY text_key ORDER BY n_chars DESC, doc_id) > 1 AS rejected FROM k""".replace("\\\\", "\\"))
+  row_number() OVER (PARTITION BY text_key ORDER BY n_chars DESC, doc_id) > 1 AS rejected FROM k""")
 def exact_duplicates(spark, sf_dir) -> DataFrame:
     """Equal normalised texts; the longest, then first, wins."""
     d = table(spark, sf_dir, "documents")
@@ -73,7 +73,7 @@ def exact_duplicates(spark, sf_dir) -> DataFrame:
 _SETS = r"""
 s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS items FROM documents),
 i AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM i x JOIN i y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY ALL),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM i x JOIN i y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
 j AS (SELECT a, b, c * 1.0 / (na + nb - c) AS jaccard FROM p)"""
 
 
@@ -81,7 +81,7 @@ def _token_sets(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.tokens(F.lower("text"))).alias("items"))
 
 
-@query(f"WITH {_SETS} SELECT a, b, round(jaccard, 6) AS jaccard, jaccard >= {HARD} AS hard FROM j WHERE jaccard >= {SOFT}".replace("GROUP BY ALL", "GROUP BY x.doc_id, y.doc_id"))
+@query(f"WITH {_SETS} SELECT a, b, round(jaccard, 6) AS jaccard, jaccard >= {HARD} AS hard FROM j WHERE jaccard >= {SOFT}")
 def near_duplicate_pairs(spark, sf_dir) -> DataFrame:
     """Token-set Jaccard, hard and soft."""
     return jaccard_join(_token_sets(spark, sf_dir), SOFT).select("a", "b", F.round("jaccard", 6).alias("jaccard"), (F.col("jaccard") >= HARD).alias("hard"))
@@ -90,7 +90,7 @@ def near_duplicate_pairs(spark, sf_dir) -> DataFrame:
 @query(
     f"WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM j WHERE jaccard >= {HARD} UNION ALL SELECT b, a FROM j WHERE jaccard >= {HARD}), "
     "r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a) "
-    "SELECT doc_id, min(c) AS component, min(c) <> doc_id AS rejected FROM r GROUP BY doc_id".replace("GROUP BY ALL", "GROUP BY x.doc_id, y.doc_id")
+    "SELECT doc_id, min(c) AS component, min(c) <> doc_id AS rejected FROM r GROUP BY doc_id"
 )
 def near_duplicate_components(spark, sf_dir) -> DataFrame:
     """One document of each component of hard pairs stays."""
@@ -105,8 +105,7 @@ f AS (SELECT v, min(conv_id) AS a FROM k GROUP BY v), e0 AS (SELECT DISTINCT f.a
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
 r AS (SELECT DISTINCT conv_id, conv_id AS c FROM conversations UNION SELECT e.b, r.c FROM r JOIN e ON r.conv_id = e.a),
 m AS (SELECT conv_id AS id, min(c) AS component FROM r GROUP BY conv_id)
-SELECT id, component, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) OVER (PARTITION BY component ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS group_id FROM m
-""".replace("sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) OVER (PARTITION BY component ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS group_id FROM m", "g.group_id FROM m JOIN (SELECT component AS gc, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))) AS group_id FROM m GROUP BY component) g ON m.component = g.gc"))
+SELECT m.id, m.component, g.group_id FROM m JOIN (SELECT component AS gc, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))) AS group_id FROM m GROUP BY component) g ON m.component = g.gc""")
 def lineage_groups(spark, sf_dir) -> DataFrame:
     """Conversations that share a turn are one group."""
     c = table(spark, sf_dir, "conversations")

@@ -1 +1,189 @@
-"""Queries."""
+"""Terminology, retrieval and linking queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import linking, retrieval
+from ..operators.similarity import dense_top_k
+from .registry import query, table
+
+_BM25 = """
+tf AS (SELECT token, id, doc_len, count(*) AS tf FROM (SELECT id, len(tk) AS doc_len, unnest(tk) AS token FROM d) GROUP BY token, id, doc_len),
+st AS (SELECT count(*) AS n_docs, avg(len(tk)) AS avg_len FROM d), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(tk) AS token FROM q) GROUP BY query_id, token),
+sc AS (SELECT query_id, id, sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) AS score
+  FROM qt JOIN df USING (token) JOIN tf USING (token), st GROUP BY query_id, id)"""
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS tk FROM documents),
+q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS tk FROM benchmark), {_BM25},
+r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc)
+SELECT query_id, id, score, rank FROM r WHERE rank <= 5""")
+def bm25_search(spark, sf_dir) -> DataFrame:
+    """The five best documents for each benchmark item."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.lower("text")).alias("tk"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.lower("text")).alias("tk"))
+    scored = retrieval.bm25(q, d, "doc_id", "tk").withColumn("score", F.round("score", 6))
+    return retrieval.top_k(scored, 5)
+
+
+_GRAMS = "list_distinct(flatten([list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3)), list_transform(range(1, length({0}) - 2), lambda i: substring({0}, i, 4)), list_transform(range(1, length({0}) - 3), lambda i: substring({0}, i, 5))]))"
+_ALIASES = "al AS (SELECT DISTINCT p_brand AS id, p_name AS alias FROM part), qs AS (SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey % 100 = 0)"
+_NGRAM = f"""
+qg AS (SELECT query_id, {_GRAMS.format("(' ' || text || ' ')")} AS g FROM qs), ag AS (SELECT id, alias, {_GRAMS.format("(' ' || alias || ' ')")} AS g FROM al),
+anyg AS (SELECT DISTINCT id, unnest(g) AS gram FROM ag), h AS (SELECT query_id, id, count(*) AS overlap FROM (SELECT query_id, unnest(g) AS gram FROM qg) JOIN anyg USING (gram) GROUP BY query_id, id),
+f AS (SELECT id, g FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY alias) AS rn FROM ag) WHERE rn = 1),
+ng AS (SELECT h.query_id, h.id, overlap * 1.0 / len(list_distinct(list_concat(qg.g, f.g))) AS score FROM h JOIN f USING (id) JOIN qg ON qg.query_id = h.query_id)"""
+
+
+def _aliases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    return p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")), p.select(F.col("p_brand").alias("id"), F.col("p_name").alias("alias")).distinct()
+
+
+@query(f"WITH {_ALIASES}, {_NGRAM} SELECT query_id, id, round(score, 6) AS score FROM ng")
+def ngram_search(spark, sf_dir) -> DataFrame:
+    """Part names against the names of each brand."""
+    return retrieval.ngram_search(*_aliases(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_ALIASES}, s AS (SELECT id, min(alias) AS matched FROM al GROUP BY id) SELECT query_id, al.id, matched FROM qs JOIN al ON al.alias = qs.text JOIN s ON s.id = al.id")
+def exact_alias_join(spark, sf_dir) -> DataFrame:
+    """J09."""
+    return retrieval.exact_search(*_aliases(spark, sf_dir))
+
+
+@query(
+    f"WITH {_ALIASES}, {_NGRAM}, d AS (SELECT id, flatten(list(string_split(alias, ' ') ORDER BY alias)) AS tk FROM al GROUP BY id), q AS (SELECT query_id, string_split(text, ' ') AS tk FROM qs), {_BM25} "
+    "SELECT channel, query_id, count(*) AS n, round(max(score), 6) AS best FROM (SELECT 'ngram' AS channel, query_id, id, score FROM ng UNION ALL SELECT 'bm25', query_id, id, score FROM sc "
+    "UNION ALL SELECT 'exact', query_id, al.id, 1.0 FROM qs JOIN al ON al.alias = qs.text) GROUP BY channel, query_id"
+)
+def hybrid_search(spark, sf_dir) -> DataFrame:
+    """Evidence of all channels, by query and channel."""
+    return retrieval.hybrid_search(*_aliases(spark, sf_dir)).groupBy("channel", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+_DENSE = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, q.label AS gold, d.vec_id, d.label, round(list_dot_product(q.v, d.v), 6) AS score FROM e q, e d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def _dense(spark, sf_dir, k: int) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense_top_k(q, e, k).withColumn("score", F.round("score", 6))
+    gold = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
+    return found.join(e.select("vec_id", "label"), "vec_id").join(gold, "query_id")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 3")
+def dense_topk(spark, sf_dir) -> DataFrame:
+    """J11, K03."""
+    return _dense(spark, sf_dir, 3).select("query_id", "vec_id", "score", "rank")
+
+
+@query(
+    f"WITH {_DENSE}, f AS (SELECT query_id, min(CASE WHEN label = gold THEN rank END) AS first FROM k WHERE rank <= 5 GROUP BY query_id) "
+    "SELECT count(*) AS n, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((first <= 2)::INT, 0)), 6) AS recall_2, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM f"
+)
+def recall_at_k(spark, sf_dir) -> DataFrame:
+    """Labels as gold."""
+    return linking.ranking_metrics(_dense(spark, sf_dir, 5).withColumn("hit", F.col("label") == F.col("gold")))
+
+
+_CANDIDATES = "c AS (SELECT p_brand AS request_id, p_partkey AS concept_id, p_size / 50.0 AS lexical, (p_partkey % 97) / 97.0 AS dense, p_type FROM part)"
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("request_id"), F.col("p_partkey").alias("concept_id"), (F.col("p_size") / 50.0).alias("lexical"), (F.col("p_partkey") % 97 / 97.0).alias("dense"), "p_type")
+
+
+@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
+b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
+SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9 AND rank <= 10""")
+def channel_fusion(spark, sf_dir) -> DataFrame:
+    """Weighted channels; requests whose best is under 0.9 abstain; the ten best."""
+    c = _candidates(spark, sf_dir)
+    rows = c.select("request_id", "concept_id", F.expr("stack(2, 'lexical', lexical, 'dense', dense) as (channel, score)"), F.lit("part").alias("evidence"))
+    f = linking.abstain(linking.merge_candidates(rows).withColumn("fused", linking.fused(F.col("scores"), {"lexical": 0.6, "dense": 0.5})), 0.9)
+    order = Window.partitionBy("request_id").orderBy(F.desc(F.round("fused", 9)), "concept_id")
+    return f.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("request_id", "concept_id", F.round("fused", 6).alias("fused"), "rank")
+
+
+@query(f"""WITH {_CANDIDATES}, r AS (SELECT request_id, concept_id, dense AS p, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
+t AS (SELECT * FROM r WHERE k <= 20), u AS (SELECT *, sum(p) OVER (PARTITION BY request_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY request_id) AS total FROM t),
+v AS (SELECT *, round(hits / (total + k - hits), 6) AS value FROM u), b AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id)
+SELECT v.request_id, min(k) AS n, any_value(best) AS expected_jaccard FROM v JOIN b ON v.request_id = b.request_id AND v.value = b.best GROUP BY v.request_id""")
+def expected_jaccard_set(spark, sf_dir) -> DataFrame:
+    """Size and value of the best prefix."""
+    chosen = linking.expected_jaccard_set(_candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p")), 20)
+    return chosen.groupBy("request_id").agg(F.max("k").cast("long").alias("n"), F.round(F.max("expected_jaccard"), 6).alias("expected_jaccard"))
+
+
+@query(f"""WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
+g AS (SELECT request_id, count(*) AS n_gold, sum((k <= 10)::INT) AS hit FROM r WHERE lexical >= 0.9 GROUP BY request_id),
+s AS (SELECT request_id, least(count(*), 10) AS n_pool FROM c GROUP BY request_id)
+SELECT request_id, n_gold, CAST(hit AS BIGINT) AS hit, round(hit * 1.0 / n_gold, 6) AS recall, round(hit * 1.0 / (n_gold + n_pool - hit), 6) AS jaccard, hit = n_gold AS exact FROM g JOIN s USING (request_id)""")
+def candidate_oracle(spark, sf_dir) -> DataFrame:
+    """What a pool of ten holds of the gold set."""
+    order = Window.partitionBy("request_id").orderBy(F.desc("dense"), "concept_id")
+    r = _candidates(spark, sf_dir).withColumn("k", F.row_number().over(order))
+    g = r.groupBy("request_id").agg(F.count_if(F.col("lexical") >= 0.9).alias("n_gold"), F.count_if((F.col("lexical") >= 0.9) & (F.col("k") <= 10)).alias("hit"), F.least(F.count("*"), F.lit(10)).alias("n_pool"))
+    return g.where("n_gold > 0").select("request_id", "n_gold", "hit", F.round(F.col("hit") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hit") / (F.col("n_gold") + F.col("n_pool") - F.col("hit")), 6).alias("jaccard"), (F.col("hit") == F.col("n_gold")).alias("exact"))
+
+
+@query("""
+SELECT p_partkey, (SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey) AS siblings,
+ (SELECT count(*) FROM part b WHERE b.p_name = a.p_name AND b.p_type <> a.p_type) AS form_conflicts FROM part a""")
+def hard_negatives(spark, sf_dir) -> DataFrame:
+    """brand = parent, name = ingredient, type = form; counts come from group totals, not from pairs."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    brand = p.groupBy("p_brand").agg(F.count("*").alias("nb"))
+    name = p.groupBy("p_name").agg(F.count("*").alias("nn"))
+    form = p.groupBy("p_name", "p_type").agg(F.count("*").alias("nf"))
+    return p.join(brand, "p_brand").join(name, "p_name").join(form, ["p_name", "p_type"]).select("p_partkey", (F.col("nb") - 1).alias("siblings"), (F.col("nn") - F.col("nf")).alias("form_conflicts"))
+
+
+@query("""
+SELECT lower(p_name) AS normalized_alias, count(*) AS n_rows, count(DISTINCT p_brand) AS n_targets,
+ CASE WHEN count(DISTINCT p_brand) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'unique' END AS status FROM part GROUP BY lower(p_name)""")
+def alias_reports(spark, sf_dir) -> DataFrame:
+    """One target twice is a duplicate, several targets are a conflict."""
+    g = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("normalized_alias")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_brand").alias("n_targets"))
+    return g.withColumn("status", F.when(F.col("n_targets") > 1, "conflict").when(F.col("n_rows") > 1, "duplicate").otherwise("unique"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_name, p_partkey) AS rn FROM part),
+n AS (SELECT p_brand, p_type, count(DISTINCT p_name) AS names FROM part GROUP BY p_brand, p_type)
+SELECT r.p_brand, r.p_type, r.p_name, r.p_partkey, n.names FROM r JOIN n ON n.p_brand = r.p_brand AND n.p_type = r.p_type WHERE rn = 1""")
+def concept_dedup(spark, sf_dir) -> DataFrame:
+    """The first row of each concept, and how many names it has."""
+    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min(F.struct("p_name", "p_partkey")).alias("f"), F.count_distinct("p_name").alias("names"))
+    return g.select("p_brand", "p_type", "f.p_name", "f.p_partkey", "names")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_returnflag")
+def valid_target_semijoin(spark, sf_dir) -> DataFrame:
+    """J08, P14."""
+    ok = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").join(ok, "l_partkey", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""
+WITH u AS (SELECT p_name AS alias, min(p_brand) AS code FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1),
+o AS (SELECT l_orderkey, count(*) AS n, sum((u.code IS NULL)::INT) AS missing FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey LEFT JOIN u ON u.alias = p.p_name GROUP BY l_orderkey)
+SELECT CASE WHEN missing = 0 THEN 'accepted' ELSE 'rejected' END AS status, count(*) AS orders, CAST(sum(n) AS BIGINT) AS lines FROM o GROUP BY 1""")
+def alias_remap(spark, sf_dir) -> DataFrame:
+    """An order is remapped if every line's part name has a single brand, else rejected whole."""
+    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    unique = p.groupBy(F.col("p_name").alias("alias")).agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("code")).where("k = 1").select("alias", "code")
+    lines = li.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.col("p_name").alias("alias")), "p_partkey").join(unique, "alias", "left")
+    o = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("missing"))
+    return o.groupBy(F.when(F.col("missing") == 0, "accepted").otherwise("rejected").alias("status")).agg(F.count("*").alias("orders"), F.sum("n").alias("lines"))
