@@ -1 +1,150 @@
-"""Queries."""
+"""Span queries over words of documents as derived entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, spans
+from .registry import query, table
+
+_GOLD = """
+w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents),
+o AS (SELECT doc_id, word, CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(word) - 1 AS s FROM w),
+gold AS (SELECT doc_id, s, s + length(word) AS e, word AS text, ['A','B','C'][length(word) % 3 + 1] AS type FROM o WHERE length(word) >= 9),
+pred AS (SELECT doc_id, s, CASE WHEN k = 1 THEN e - 1 ELSE e END AS e, CASE WHEN k = 2 THEN 'A' ELSE type END AS type, k FROM (SELECT *, (doc_id * 7 + s * 13) % 10 AS k FROM gold) WHERE k <> 0)"""
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """Words of nine characters or more, typed by length."""
+    kind = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.length("text") % 3 + 1).cast("int"))
+    return spans.pattern_spans(table(spark, sf_dir, "documents"), "[^ ]{9,}").withColumn("type", kind)
+
+
+def _pred(gold: DataFrame) -> DataFrame:
+    """A tenth dropped, a tenth cut, a tenth retyped."""
+    k = (F.col("doc_id") * 7 + F.col("start") * 13) % 10
+    p = gold.withColumn("k", k).where("k <> 0")
+    return p.select("doc_id", "start", F.when(F.col("k") == 1, F.col("end") - 1).otherwise(F.col("end")).alias("end"), F.when(F.col("k") == 2, "A").otherwise(F.col("type")).alias("type"))
+
+
+_ALIGNED = "a AS (SELECT coalesce(g.type, p.type) AS type, g.doc_id IS NOT NULL AS ing, p.doc_id IS NOT NULL AS inp FROM gold g FULL JOIN pred p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.type = p.type)"
+_PRF = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp * 1.0 / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp * 1.0 / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1"
+_COUNT = "CAST(sum((ing AND inp)::INT) AS BIGINT) AS tp, CAST(sum((NOT ing)::INT) AS BIGINT) AS fp, CAST(sum((NOT inp)::INT) AS BIGINT) AS fn"
+
+
+def _aligned(spark, sf_dir) -> DataFrame:
+    gold = _gold(spark, sf_dir)
+    return evaluate.multiset_align(gold, _pred(gold), ["doc_id", "start", "end", "type"], "start")
+
+
+@query(f"WITH {_GOLD}, {_ALIGNED}, c AS (SELECT {_COUNT} FROM a) SELECT tp, fp, fn, {_PRF} FROM c")
+def score_entities(spark, sf_dir) -> DataFrame:
+    """J01, A01, A12."""
+    return evaluate.counted(_aligned(spark, sf_dir), [])
+
+
+@query(f"WITH {_GOLD}, {_ALIGNED}, c AS (SELECT type, {_COUNT} FROM a GROUP BY type) SELECT type, tp, fp, fn, {_PRF} FROM c")
+def type_metrics(spark, sf_dir) -> DataFrame:
+    """A04."""
+    return evaluate.counted(_aligned(spark, sf_dir), ["type"])
+
+
+@query(f"""WITH {_GOLD},
+m AS (SELECT g.* FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.type = g.type)),
+x AS (SELECT p.* FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.type = g.type)),
+n AS (SELECT m.doc_id, m.s, m.type, bool_or(p.type = m.type) AS same, bool_or(p.s = m.s AND p.e = m.e) AS span FROM m LEFT JOIN pred p ON p.doc_id = m.doc_id AND p.s < m.e AND m.s < p.e GROUP BY m.doc_id, m.s, m.type),
+y AS (SELECT x.doc_id, x.s, x.type, count(g.doc_id) AS c FROM x LEFT JOIN gold g ON g.doc_id = x.doc_id AND g.s < x.e AND x.s < g.e GROUP BY x.doc_id, x.s, x.type)
+SELECT type, CASE WHEN same THEN 'boundary' WHEN span THEN 'type' ELSE 'missing' END AS error, count(*) AS n FROM n GROUP BY 1, 2
+UNION ALL SELECT type, CASE WHEN c > 0 THEN 'partial' ELSE 'spurious' END, count(*) FROM y GROUP BY 1, 2""")
+def error_taxonomy(spark, sf_dir) -> DataFrame:
+    """A04, J04."""
+    gold = _gold(spark, sf_dir)
+    return evaluate.error_classes(gold, _pred(gold)).groupBy("type", "error").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT g.doc_id, count(*) AS pairs, CAST(sum(least(g.e, p.e + 5) - greatest(g.s, p.s + 5)) AS BIGINT) AS shared FROM gold g JOIN pred p ON g.doc_id = p.doc_id AND g.s < p.e + 5 AND p.s + 5 < g.e GROUP BY g.doc_id")
+def overlap_pairs(spark, sf_dir) -> DataFrame:
+    """Gold spans against predictions moved by five characters."""
+    gold = _gold(spark, sf_dir)
+    moved = _pred(gold).select("doc_id", (F.col("start") + 5).alias("r_start"), (F.col("end") + 5).alias("r_end"))
+    shared = F.least("end", "r_end") - F.greatest("start", "r_start")
+    return spans.overlap_join(gold, moved).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(shared).alias("shared"))
+
+
+@query(f"WITH {_GOLD} SELECT type, grouping(type) AS all_types, len(text) AS n_chars, grouping(len(text)) AS all_lengths, count(*) AS n, min(doc_id) AS first_doc FROM gold GROUP BY GROUPING SETS ((type), (len(text)), (type, len(text)), ())")
+def linking_grouping_sets(spark, sf_dir) -> DataFrame:
+    """Overall, by type, by length and by both, in one pass."""
+    _gold(spark, sf_dir).withColumn("n_chars", F.length("text").cast("long")).createOrReplaceTempView("__gold")
+    return spark.sql(
+        "SELECT type, grouping(type) AS all_types, n_chars, grouping(n_chars) AS all_lengths, count(*) AS n, min(doc_id) AS first_doc FROM __gold GROUP BY GROUPING SETS ((type), (n_chars), (type, n_chars), ())"
+    )
+
+
+@query(f"WITH {_GOLD} SELECT type, count(*) AS n, CAST(sum((substring(d.text, CAST(s + 1 AS INT), CAST(e - s AS INT)) <> g.text)::INT) AS BIGINT) AS bad, count(DISTINCT (g.doc_id, s)) AS n_distinct FROM gold g JOIN documents d ON d.doc_id = g.doc_id GROUP BY type".replace("count(DISTINCT (g.doc_id, s))", "count(DISTINCT g.doc_id * 1000000 + s)"))
+def structural_fidelity(spark, sf_dir) -> DataFrame:
+    """Counts by type and spans that do not hold their surface."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    g = _gold(spark, sf_dir).join(docs, "doc_id")
+    bad = ~spans.valid_span(F.col("body"), F.col("start"), F.col("end"), F.col("text"))
+    return g.groupBy("type").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_distinct(F.col("doc_id") * 1000000 + F.col("start")).alias("n_distinct"))
+
+
+@query(f"""WITH {_GOLD}, cue AS (SELECT doc_id, s AS cs, s + length(word) AS ce, word FROM o WHERE word IN ('not', 'for', 'with', 'sin', 'ohne', 'pas', 'que', 'und')),
+r AS (SELECT g.doc_id, g.s, c.word, g.s - c.ce AS gap, row_number() OVER (PARTITION BY g.doc_id, g.s ORDER BY c.cs DESC) AS rn FROM gold g JOIN cue c ON c.doc_id = g.doc_id AND c.cs < g.s)
+SELECT word AS cue, count(*) AS n, CAST(sum((gap <= 40)::INT) AS BIGINT) AS in_scope FROM r WHERE rn = 1 GROUP BY word""")
+def scope_association(spark, sf_dir) -> DataFrame:
+    """Each entity with the last cue before it; in scope up to 40 characters on."""
+    cues = "not|for|with|sin|ohne|pas|que|und"
+    words = spans.pattern_spans(table(spark, sf_dir, "documents"), rf"(?:(?<= )|(?<![^\x00]))(?:{cues})(?= |\Z)")
+    near = spans.nearest_before(_gold(spark, sf_dir).select("doc_id", "start"), words.select("doc_id", "start", F.struct("text", "end").alias("cue")), "doc_id", "start", "cue")
+    found = near.where("nearest_cue is not null")
+    return found.groupBy(F.col("nearest_cue.text").alias("cue")).agg(F.count("*").alias("n"), F.count_if(F.col("start") - F.col("nearest_cue.end") <= 40).alias("in_scope"))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'),
+r AS (SELECT p.event_id, v.event_id AS view_id, v.ts AS view_ts, p.ts, row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC, v.event_id DESC) AS rn FROM p JOIN v ON v.user_id = p.user_id AND v.ts <= p.ts)
+SELECT event_id, view_ts FROM r WHERE rn = 1""")
+def nearest_pairing(spark, sf_dir) -> DataFrame:
+    """Each purchase with the time of its user's last view."""
+    e = table(spark, sf_dir, "events")
+    near = spans.nearest_before(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view")), "user_id", "ts", "view")
+    return near.where("nearest_view is not null").select("event_id", F.col("nearest_ts").alias("view_ts"))
+
+
+_LINES = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT *, (length(line) <= 40 AND line LIKE '%.')::INT AS head FROM l),
+s AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h), g AS (SELECT doc_id, sec, count(*) AS n FROM s WHERE sec > 0 GROUP BY doc_id, sec)
+SELECT doc_id, count(*) AS n_sections, max(n) AS longest FROM g GROUP BY doc_id""")
+def line_sections(spark, sf_dir) -> DataFrame:
+    """A short line that ends with a full stop heads a section up to the next one."""
+    head = ((F.length("line") <= 40) & F.endswith("line", F.lit("."))).cast("int")
+    s = _lines(spark, sf_dir).withColumn("sec", F.sum(head).over(Window.partitionBy("doc_id").orderBy("i")))
+    return s.where("sec > 0").groupBy("doc_id", "sec").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("n").alias("longest"))
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE contains(line, ' ')),
+g AS (SELECT doc_id, island, count(*) AS n FROM m GROUP BY doc_id, island HAVING count(*) >= 2)
+SELECT doc_id, count(*) AS n_lists, max(n) AS longest FROM g GROUP BY doc_id""")
+def list_islands(spark, sf_dir) -> DataFrame:
+    """Runs of at least two marked lines."""
+    m = _lines(spark, sf_dir).where(F.contains("line", F.lit(" "))).withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
+    g = m.groupBy("doc_id", "island").agg(F.count("*").alias("n")).where("n >= 2")
+    return g.groupBy("doc_id").agg(F.count("*").alias("n_lists"), F.max("n").alias("longest"))
+
+
+@query()
+def greedy_spans(spark, sf_dir) -> DataFrame:
+    """Overlapping candidate spans of word pairs, longest first."""
+    pairs = spans.pattern_spans(table(spark, sf_dir, "documents"), r"[^ ]+(?= )")
+    nxt = F.lead("end").over(Window.partitionBy("doc_id").orderBy("start"))
+    both = pairs.withColumn("end", nxt).where("end is not null and end - start >= 18")
+    return spans.greedy_non_overlap(both).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
