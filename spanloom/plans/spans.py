@@ -148,3 +148,45 @@ def greedy_spans(spark, sf_dir) -> DataFrame:
     nxt = F.lead("end").over(Window.partitionBy("doc_id").orderBy("start"))
     both = pairs.withColumn("end", nxt).where("end is not null and end - start >= 18")
     return spans.greedy_non_overlap(both).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+#: Words of the driver's texts that stand in for concepts, and cues of its languages.
+CONCEPTS = {"insult": ("idiot", "moron", "clown", "scum"), "judgement": ("worthless", "pathetic")}
+DRIVER_CUES = (
+    ("isNegated", "not|no|pas|ohne|sin", ("clause", "sentence", "list_item", "section"), True),
+    ("isHistorical", "was|were|war|était", ("list_item", "section"), False),
+)
+
+
+@query()
+def infer_entities(spark, sf_dir) -> DataFrame:
+    """The flagship: documents to entities with assertions."""
+    from ..operators.infer import entities
+
+    found = entities(table(spark, sf_dir, "documents"), CONCEPTS, DRIVER_CUES)
+    return found.withColumn("assertions", F.array_join("assertions", ","))
+
+
+@query()
+def entity_counts(spark, sf_dir) -> DataFrame:
+    """Mentions by type and assertion."""
+    return infer_entities(spark, sf_dir).groupBy("type", "assertions").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("""
+SELECT doc_id, 'collapsed' AS view, CAST(length(text) AS BIGINT) AS raw_length, CAST(length(regexp_replace(text, '\\s+', ' ', 'g')) AS BIGINT) AS view_length FROM documents""")
+def text_views(spark, sf_dir) -> DataFrame:
+    """Length of the last view, and of the raw text that its boundaries reach."""
+    from ..operators.infer import text_views as kernel
+
+    v = kernel(table(spark, sf_dir, "documents")).where("view = 'collapsed'")
+    return v.select("doc_id", "view", F.element_at("bounds", -1).cast("long").alias("raw_length"), (F.size("bounds") - 1).cast("long").alias("view_length"))
+
+
+@query()
+def structure_units(spark, sf_dir) -> DataFrame:
+    """Units by kind."""
+    from ..operators.infer import structure_units as kernel
+
+    u = kernel(table(spark, sf_dir, "documents"))
+    return u.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
