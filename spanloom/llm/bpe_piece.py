@@ -93,52 +93,63 @@ class Memory:
         self.new[key] = value
 
 
-class PieceCodec:
-    def __init__(self, path: str, pattern: str):
+class ChunkCoder:
+    """Packed ids (uint32, little-endian) of a text, through remembered chunks; ``pretoken_ids`` is what encodes."""
+
+    def __init__(self, pattern: str):
         import regex
-        import sentencepiece
 
-        self.ranks = read_ranks(path)
-        self.tokens = sorted(self.ranks, key=self.ranks.__getitem__)
-        self.model = sentencepiece.SentencePieceProcessor()
-        self.model.LoadFromSerializedProto(model_proto(self.ranks))
         self.split = regex.compile(pattern).findall
         self.words, self.chunks = Memory(), Memory()
 
+    def pretoken_ids(self, word: str) -> list[int]:
+        raise NotImplementedError
+
     def _pretoken(self, word: str) -> bytes:
-        """Packed ids (uint32, little-endian)."""
         ids = self.words.recall(word)
         if ids is None:
-            raw = word.encode()
-            rank = self.ranks.get(raw)
-            ids = np.array([rank] if rank is not None else self.model.encode(piece(raw)), "<u4").tobytes()
+            ids = np.array(self.pretoken_ids(word), "<u4").tobytes()
             self.words.keep(word, ids)
         return ids
 
     def _chunk(self, text: str) -> bytes:
         ids = self.chunks.recall(text)
-        if ids is not None:
-            return ids
-        ids = b"".join([self._pretoken(w) for w in self.split(text)])
-        if len(text) < 64:
-            self.chunks.keep(text, ids)
+        if ids is None:
+            ids = b"".join([self._pretoken(w) for w in self.split(text)])
+            # What ends with white space belongs with the next chunk, so it is not remembered on its own.
+            if text and len(text) < 64 and not text[-1].isspace():
+                self.chunks.keep(text, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
-        out, known, held = [], self.chunks.new.get, ""
-        for at, part in enumerate(text.split(" ")):
-            part = " " + part if at else part
-            if held or not part or part[-1].isspace():
-                # White space runs on: join until a chunk ends with something else.
-                held += part
-                if part and not part[-1].isspace():
-                    out.append(known(held) or self._chunk(held))
-                    held = ""
-                continue
-            out.append(known(part) or self._chunk(part))
-        if held:
-            out.append(self._chunk(held))
-        return b"".join(out)
+        parts = text.split(" ")
+        parts[1:] = [" " + p for p in parts[1:]]
+        got = list(map(self.chunks.new.get, parts))
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            if got[i] is None:
+                held, j = parts[i], i
+                while (not held or held[-1].isspace()) and j + 1 < len(parts):
+                    j += 1
+                    held += parts[j]
+                    got[j] = b""
+                got[i] = self._chunk(held)
+        return b"".join(got)
+
+
+class PieceCodec(ChunkCoder):
+    def __init__(self, path: str, pattern: str):
+        import sentencepiece
+
+        super().__init__(pattern)
+        self.ranks = read_ranks(path)
+        self.tokens = sorted(self.ranks, key=self.ranks.__getitem__)
+        self.model = sentencepiece.SentencePieceProcessor()
+        self.model.LoadFromSerializedProto(model_proto(self.ranks))
+
+    def pretoken_ids(self, word: str) -> list[int]:
+        raw = word.encode()
+        rank = self.ranks.get(raw)
+        return [rank] if rank is not None else self.model.encode(piece(raw))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_piece import Memory
+from .bpe_piece import ChunkCoder
 from .common import Scratch, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -192,64 +192,36 @@ def open_shard(path: str) -> Reader:
     return Reader(read_at, f.size())
 
 
-class ChunkEncoder:
+class ChunkEncoder(ChunkCoder):
     """Ids of the tokenizers library, remembered for pre-tokens and space-separated chunks.
 
     The vocabulary's pre-tokenizer cuts by PATTERN, and no match of that reaches over a space that follows something
     else than white space; so ids of such chunks, one after the other, are the ids of the text. A text with one of the
-    vocabulary's special tokens is encoded whole. ``whole`` turns the memory off.
+    vocabulary's special tokens is encoded whole by the tokenizer.
     """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
+        super().__init__(pattern)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.split = regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(keep))}
-        self.words, self.chunks = Memory(), Memory()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.recall(word)
-        if ids is None:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            self.words.keep(word, ids)
-        return ids
-
-    def _chunk(self, text: str) -> bytes:
-        ids = self.chunks.recall(text)
-        if ids is not None:
-            return ids
-        ids = b"".join([self._word(w) for w in self.split(text)])
-        if len(text) < 64:
-            self.chunks.keep(text, ids)
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
+    def pretoken_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
+    def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return self.whole(text)
-        out, known, held = [], self.chunks.new.get, ""
-        for at, part in enumerate(text.split(" ")):
-            part = " " + part if at else part
-            if held or not part or part[-1].isspace():
-                held += part
-                if part and not part[-1].isspace():
-                    out.append(known(held) or self._chunk(held))
-                    held = ""
-                continue
-            out.append(known(part) or self._chunk(part))
-        if held:
-            out.append(self._chunk(held))
-        return np.frombuffer(b"".join(out), "<u4")
+        return np.frombuffer(self.encode(text), "<u4")
 
 
 @cache
@@ -289,7 +261,7 @@ def _shards(folder: str, vocabulary: str, pattern: str, end: int, most: int):
                     name = f"_{task.partitionId()}-{shard}-{task.taskAttemptId()}"
                     writer = Writer(system.open_output_stream(f"{base}/{name}"), enc.width)
                     writer.name = name
-                writer.add(key_of(doc, turn), np.concatenate([enc.encode(text or ""), stop]))
+                writer.add(key_of(doc, turn), np.concatenate([enc.ids(text or ""), stop]))
                 if writer.at >= most:
                     close()
         if writer is not None:
@@ -333,7 +305,8 @@ def scan_shards(shards: DataFrame) -> DataFrame:
     """
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = shards.withColumn("before", before).select("path", "before")
-    return placed.repartition("path").mapInArrow(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task for each file, whose rows are too few for Spark to see that they stand for much.
+    return placed.repartition(max(1, shards.count()), "path").mapInArrow(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def sstable_round_trip(docs: DataFrame, vocabulary: str, pattern: str, end: int = END_ID) -> DataFrame:
