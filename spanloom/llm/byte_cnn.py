@@ -27,6 +27,8 @@ from .common import held_out, text_slices
 WIDTH, FILTERS, CHUNK = 5, 16, 512
 SAMPLE_DOCS, SAMPLE_CHUNKS = 4_000, 2
 STEP = CHUNK - WIDTH + 1
+#: Steps of training, of 64 examples each, whatever the size of the sample.
+STEPS = 1_000
 #: Byte 256 pads.
 PAD = 256
 
@@ -68,13 +70,13 @@ class Network:
             total += float((pooled @ self.w + self.l * length(sizes)) @ sizes)
         return total / n + float(self.b[0])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
         rng, step = np.random.default_rng(seed), 0
         moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in vars(self).items()}
         places = np.arange(WIDTH)
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
+            for at in range(0, min(len(x), (steps - step) * batch), batch):
                 xb, yb = x[order[at : at + batch]], y[order[at : at + batch]]
                 r = self.responses(xb)
                 r[:, 1:][xb[:, WIDTH:] == PAD] = -1e9
