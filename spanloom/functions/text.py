@@ -100,9 +100,9 @@ def decimal_point(text: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """JSON in a model's answer: a fenced block, else what the outermost braces hold, else null."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(fenced != "", F.trim(fenced)).when(braces != "", braces)
+    return F.when(fenced != "", fenced).when(braces != "", braces)
 
 
 def dot(a: Column, b: Column) -> Column:
