@@ -7,7 +7,7 @@ into one span, and a span is verified: a phrase when all its K-grams voted on on
 notice when the hits cover enough of its K-grams.
 
 Only telling grams of a notice vote, those with enough letters. The template positions are a fixed table of at most MAX_POSITIONS rows, so they are broadcast; the document side is cut
-to hits in the same pass, and only hits are shuffled. A document is keyed by its id and text hash.
+to hits in the same pass, and only hits are shuffled; they are written once, as both kinds of template read them. A document is keyed by its id and text hash.
 
 Defined results: a null text is an empty one and has no words. Rows with the same id and text are found alike; ids that
 are null or repeated keep their own rows. Other columns are ignored.
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Words of a gram.
 K = 2
 #: Merged diagonals lie at most so far apart, and so do the hits that follow each other on them.
@@ -85,6 +87,7 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str
         .select("doc_id", "h", "template", "whole", "d", "t", (F.col("d") - F.col("t")).alias("diagonal"))
         .distinct()
     )
+    votes = Scratch(spark, "votes").save(votes)
     facts = F.broadcast(templates(spark, phrases, notices).select("template", "label", "n_grams", F.size("words").alias("n_template")).distinct())
     # Phrases: a diagonal with all grams. K-grams that overlap and agree in all places are the phrase's words.
     exact = (

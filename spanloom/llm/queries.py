@@ -15,6 +15,7 @@ from .media import media_features, to_media
 from .minhash import minhash_dedup
 from .rlz import rlz_dedup
 from .sorted_projection import embedding_dedup
+from .sql import ORACLES  # noqa: F401
 from .token_sstable import VOCABULARY as SSTABLE_VOCABULARY
 from .token_sstable import sstable_round_trip
 
@@ -38,7 +39,7 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op6_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_sstable": op10_sstable,
 }
-ORACLES: dict[str, str] = {}
