@@ -258,3 +258,29 @@ def batch_rejections(spark, sf_dir) -> DataFrame:
     checks = [("empty", F.length(F.trim(t)) == 0), ("cjk", t.rlike(r"[\x{4e00}-\x{9fff}]")), ("length", F.col("n_chars") != F.length(t)), ("noise", t.rlike(r"(\*\*\*|%%%|\$\$\$)")), ("shouting", F.upper(t) == t)]
     r = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.array_compact(F.array(*(F.when(c, n) for n, c in checks)))).alias("reasons"))
     return r.select("doc_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce(F.try_element_at("reasons", F.lit(1)), F.lit("accepted")).alias("primary_reason"))
+
+
+@query()
+def grouped_split(spark, sf_dir) -> DataFrame:
+    """Whole sources in train, dev and test, by a seeded fold over their sizes."""
+    from ..operators.split import grouped_split as split
+
+    return split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source").select("doc_id", "source", "split")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, lang FROM documents), g AS (SELECT lang, count(*) AS n, CAST(sum(contains(text, 'License')::INT) AS BIGINT) AS mentions FROM t GROUP BY lang)
+SELECT lang, n, mentions, round(mentions * 1.0 / n, 6) AS rate FROM g""")
+def utility_gates(spark, sf_dir) -> DataFrame:
+    """A rate by group, as the gates read it."""
+    g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("License"))).alias("mentions"))
+    return g.withColumn("rate", F.round(F.col("mentions") / F.col("n"), 6))
+
+
+@query("""
+WITH a AS (SELECT source, lang, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY source, lang)
+SELECT source, count(*) AS langs, round(avg(m), 6) AS mean_of_means, round(max(m) - min(m), 6) AS spread FROM a GROUP BY source""")
+def fold_aggregate(spark, sf_dir) -> DataFrame:
+    """Means over folds and their spread."""
+    a = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("m"))
+    return a.groupBy("source").agg(F.count("*").alias("langs"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.max("m") - F.min("m"), 6).alias("spread"))

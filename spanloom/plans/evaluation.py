@@ -58,3 +58,25 @@ def percentile_by_index(spark, sf_dir) -> DataFrame:
     """The value at floor(q * (n - 1)) of the sorted draws; an exact percentile aggregate, no ordering window."""
     pick = lambda q: F.expr(f"element_at(array_sort(collect_list(logit)), int(floor({q} * (count(1) - 1))) + 1)")
     return _points(spark, sf_dir).groupBy("lang").agg(pick(0.05).alias("q05"), pick(0.95).alias("q95"))
+
+
+@query(f"""WITH {_POINTS}, m AS (SELECT lang, label = 1 AS gold, logit >= -1 AS pred FROM p)
+SELECT lang, CAST(sum((gold AND pred)::INT) AS BIGINT) AS tp, CAST(sum((NOT gold AND pred)::INT) AS BIGINT) AS fp, CAST(sum((gold AND NOT pred)::INT) AS BIGINT) AS fn,
+round(2.0 * sum((gold AND pred)::INT) / (2 * sum((gold AND pred)::INT) + sum((gold <> pred)::INT)), 6) AS f1 FROM m GROUP BY lang""")
+def assertion_metrics(spark, sf_dir) -> DataFrame:
+    """Counts and F1 of a label."""
+    gold, pred = F.col("label") == 1, F.col("logit") >= -1
+    g = _points(spark, sf_dir).groupBy("lang").agg(F.count_if(gold & pred).alias("tp"), F.count_if(~gold & pred).alias("fp"), F.count_if(gold & ~pred).alias("fn"))
+    return g.withColumn("f1", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
+
+
+@query(f"""WITH {_POINTS}, q AS (SELECT doc_id, lang, greatest(least(1 / (1 + exp(-logit)), 1 - 1e-6), 1e-6) AS model, CASE WHEN toxic = 1 THEN 0.9 ELSE 0.4 END AS rule FROM p),
+m AS (SELECT lang, 1 / (1 + exp(-((0.6 * ln(rule / (1 - rule)) + 0.4 * ln(model / (1 - model))) / 1.5 + 0.1))) AS v FROM q)
+SELECT lang, count(*) AS n, round(avg(v), 6) AS mean_p, CAST(sum((v >= 0.5)::INT) AS BIGINT) AS accepted FROM m GROUP BY lang""")
+def assertion_decisions(spark, sf_dir) -> DataFrame:
+    """Rule and model mixed as logits, with temperature and bias."""
+    from ..operators.decode import assertion_mix
+
+    p = _points(spark, sf_dir)
+    v = assertion_mix(F.when(F.col("toxic") == 1, 0.9).otherwise(0.4), sigmoid(F.col("logit")), 0.6, 1.5, 0.1)
+    return p.withColumn("v", v).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean_p"), F.count_if(F.col("v") >= 0.5).alias("accepted"))

@@ -187,3 +187,25 @@ def alias_remap(spark, sf_dir) -> DataFrame:
     lines = li.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.col("p_name").alias("alias")), "p_partkey").join(unique, "alias", "left")
     o = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("missing"))
     return o.groupBy(F.when(F.col("missing") == 0, "accepted").otherwise("rejected").alias("status")).agg(F.count("*").alias("orders"), F.sum("n").alias("lines"))
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS id, p_type AS gold, p_brand AS pred_a, lag(p_type) OVER (ORDER BY p_partkey) AS pred FROM part)
+SELECT CASE WHEN pred IS NULL THEN 'no_prediction' WHEN pred = gold THEN 'correct' WHEN substring(pred, 1, 1) = substring(gold, 1, 1) THEN 'near_miss' ELSE 'wrong_concept' END AS bucket, count(*) AS n FROM g GROUP BY 1""")
+def linking_error_buckets(spark, sf_dir) -> DataFrame:
+    """Predictions (the part before) by kind of error; the neighbour is found by key, as part keys are dense."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("gold"))
+    before = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("gold").alias("pred"))
+    near = F.substring("pred", 1, 1) == F.substring("gold", 1, 1)
+    bucket = F.when(F.col("pred").isNull(), "no_prediction").when(F.col("pred") == F.col("gold"), "correct").when(near, "near_miss").otherwise("wrong_concept")
+    return p.join(before, "p_partkey", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS word FROM part), r AS (SELECT DISTINCT a.p_name, b.p_name AS related FROM s a JOIN s b ON a.word = b.word AND a.p_name <> b.p_name)
+SELECT p_name, count(*) AS related, min(related) AS first_related FROM r GROUP BY p_name""")
+def seed_relations(spark, sf_dir) -> DataFrame:
+    """Names related by a shared word, through the word and not by comparing all names."""
+    s = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    r = s.join(s.withColumnRenamed("p_name", "related"), "word").where("p_name <> related").select("p_name", "related").distinct()
+    return r.groupBy("p_name").agg(F.count("*").alias("related"), F.min("related").alias("first_related"))

@@ -190,3 +190,54 @@ def structure_units(spark, sf_dir) -> DataFrame:
 
     u = kernel(table(spark, sf_dir, "documents"))
     return u.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+@query(f"""WITH {_GOLD}, j AS (SELECT CASE WHEN g.e = p.e AND g.type = p.type THEN 1 WHEN g.e = p.e THEN 2 WHEN g.type = p.type THEN 3 ELSE 4 END AS tier FROM gold g JOIN pred p ON p.doc_id = g.doc_id AND p.s = g.s)
+SELECT tier, count(*) AS n FROM j GROUP BY tier""")
+def annotator_agreement(spark, sf_dir) -> DataFrame:
+    """Pairs of two annotators by tier."""
+    from ..operators.decode import four_tier_alignment
+
+    gold = _gold(spark, sf_dir)
+    side = lambda df: df.select(F.col("doc_id").alias("sample_id"), F.col("start").alias("i"), "start", "end", "type")
+    return four_tier_alignment(side(gold), side(_pred(gold))).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GOLD} SELECT doc_id, count(*) AS n, 'exact_raw' AS method, CAST(sum(s) AS BIGINT) AS starts FROM gold WHERE length(text) >= 24 GROUP BY doc_id")
+def grounding(spark, sf_dir) -> DataFrame:
+    """Long words are found where they are expected."""
+    from ..operators.infer import grounded
+
+    long = _gold(spark, sf_dir).where(F.length("text") >= 24)
+    proposals = long.select("doc_id", F.col("text").alias("surface"), F.col("start").cast("int").alias("expected_start"), F.col("end").cast("int").alias("expected_end"))
+    return grounded(proposals, table(spark, sf_dir, "documents")).groupBy("doc_id", "method").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query(f"""WITH {_GOLD}, i AS (SELECT (doc_id + s) % 100 / 100.0 AS sp, (doc_id * 3 + s) % 100 / 100.0 AS x, s % 10 / 10.0 AS n, s % 7 / 7.0 AS c FROM pred),
+u AS (SELECT CASE WHEN x > 0.5 THEN 'A' ELSE 'B' END AS type, n >= 0.55 AS labelled, c >= 0.7 AS coded,
+ (2 * sp - 1) + (2 * greatest(x, 1 - x) - 1) + CASE WHEN n >= 0.55 THEN 2 * n - 1 ELSE 0 END + CASE WHEN c >= 0.7 THEN 3 * c - 2 ELSE 0 END AS u FROM i)
+SELECT type, count(*) AS n, CAST(sum(labelled::INT) AS BIGINT) AS labelled, CAST(sum(coded::INT) AS BIGINT) AS coded, round(sum(u), 4) AS utility FROM u WHERE u >= 0.0051 GROUP BY type""")
+def joint_decode(spark, sf_dir) -> DataFrame:
+    """Expected utilities of hypotheses that do not overlap."""
+    from ..operators.decode import utility_decode
+
+    x = (F.col("doc_id") * 3 + F.col("start")) % 100 / 100.0
+    items = _pred(_gold(spark, sf_dir)).select(
+        "doc_id", F.col("start").cast("string").alias("id"), "start", "end", ((F.col("doc_id") + F.col("start")) % 100 / 100.0).alias("span_p"),
+        F.create_map(F.lit("A"), x, F.lit("B"), 1 - x).alias("types"), F.create_map(F.lit("n"), F.col("start") % 10 / 10.0).alias("assertions"), F.create_map(F.lit("c"), F.col("start") % 7 / 7.0).alias("candidates"),
+    )
+    weights = dict(span=1.0, wrong_span=1.0, type=1.0, wrong_type=1.0, label=1.0, wrong_label=1.0, label_bar=0.55, code=1.0, wrong_code=2.0, code_bar=0.7)
+    d = utility_decode(items, {"A": 0.1, "B": 0.1}, weights, 0.0051)
+    return d.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.size("assertions") > 0).alias("labelled"), F.count_if(F.col("candidates").isNotNull()).alias("coded"), F.round(F.sum("utility"), 4).alias("utility"))
+
+
+@query(f"""WITH {_GOLD}, b AS (SELECT doc_id, s, e, type, s % 100 / 100.0 AS u, 'g' AS id FROM gold UNION ALL SELECT doc_id, s, e, type, (s + 37) % 100 / 100.0, 'p' FROM pred),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY u DESC, id) AS rn FROM b) SELECT type, count(*) AS n, round(sum(u), 2) AS utility FROM r WHERE rn = 1 AND u >= 0.1 GROUP BY type""")
+def consistency(spark, sf_dir) -> DataFrame:
+    """Two annotators' spans, made consistent."""
+    from ..operators.decode import consistent
+
+    gold = _gold(spark, sf_dir)
+    side = lambda df, name, shift: df.select("doc_id", F.lit(name).alias("id"), "start", "end", "type", ((F.col("start") + shift) % 100 / 100.0).alias("utility"))
+    both = side(gold, "g", 0).unionByName(side(_pred(gold), "p", 37))
+    return consistent(both, set(), 0.1).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("utility"), 2).alias("utility"))
