@@ -117,22 +117,23 @@ def embedding_dedup(
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    raw = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.col(label_col).cast("long").alias("label"),
-        F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
-    )
+    # Single-precision components stay so on disk; products are taken in double precision.
+    number = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kept = number in ("float", "double")
+    number = number if kept else "double"
+    vec = F.col(vec_col) if kept else F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vec.alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = raw.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False)))
     usable = rows.where("ok").select("vec_id", "label", "vec")
     # A class is known by its label and a 128-bit digest of its vector.
-    which = F.md5(F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), " "))
+    which = F.md5(F.array_join(F.transform("vec", lambda x: (x.cast("double") + 0.0).cast("string")), " "))
     member = usable.withColumn("which", which)
     classes = member.groupBy("label", "which").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"), F.any_value("vec").alias("vec"))
     reps = scratch.save(classes.select("rep", "label", "which", "n", "vec"))
 
     # All passes in one sort: pass, label, key; then every row gets its number in that order.
-    keyed = reps.select("rep", "label", "vec").mapInArrow(_projector(passes, seed), "rep long, label long, vec array<double>, keys array<long>")
+    keyed = reps.select("rep", "label", "vec").mapInArrow(_projector(passes, seed), f"rep long, label long, vec array<{number}>, keys array<long>")
     orders = keyed.select("rep", "label", "vec", F.posexplode("keys").alias("pass", "key"))
     order = ["pass", "label", "key", "rep"]
     sorted_ = scratch.save(orders.repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "label", "vec", "pass", F.monotonically_increasing_id().alias("place")))
