@@ -53,3 +53,46 @@ def ontology_rerank(rows: DataFrame, bonus: float = 0.05, penalty: float = 0.1)
     kept = rows.where(~F.col("hard_conflict")).withColumn("reranked", F.greatest(F.least(moved, F.lit(1.0)), F.lit(0.0)))
     order = Window.partitionBy("request_id").orderBy(F.desc("reranked"), F.desc("fused"), "concept_id")
     return kept.withColumn("rank", F.row_number().over(order))
+
+
+def recall_with_misses(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(query_id, hits, missed): gold ids found among the first k, and the others."""
+    top = ranked.where(F.col("rank") <= k).select("query_id", "concept_id").distinct().withColumn("hit", F.lit(True))
+    g = gold.select("query_id", "concept_id").distinct().join(top, ["query_id", "concept_id"], "left")
+    missed = F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("concept_id"))))
+    return g.groupBy("query_id").agg(F.count("hit").alias("hits"), missed.alias("missed"))
+
+
+def variant_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20, 50)) -> DataFrame:
+    """(variant, entity_type, terminology) with all three, and over each of the last two alone: coverage, mean
+    reciprocal rank and recall at k, where a hit needs all gold ids among the first k (no gold ids: always)."""
+    last = ranked.join(gold.select("query_id", "concept_id"), ["query_id", "concept_id"]).groupBy("variant", "query_id").agg(F.max("rank").alias("last"), F.min("rank").alias("first"), F.count("*").alias("found"))
+    want = gold.groupBy("query_id", "entity_type", "terminology").agg(F.count("concept_id").alias("want"))
+    variants = ranked.select("variant").distinct()
+    q = want.join(F.broadcast(variants)).join(last, ["variant", "query_id"], "left")
+    whole = (F.coalesce("found", F.lit(0)) == F.col("want")) | (F.col("want") == 0)
+    recalls = [F.round(F.avg((whole & (F.coalesce("last", F.lit(0)) <= k)).cast("int")), 6).alias(f"recall_{k}") for k in ks]
+    out = (F.round(F.avg(F.col("first").isNotNull().cast("int")), 6).alias("coverage"), *recalls, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return q.groupingSets([["variant", "entity_type", "terminology"], ["variant", "entity_type"], ["variant", "terminology"], ["variant"]], "variant", "entity_type", "terminology").agg(*out)
+
+
+def snapshot_lookup(candidates: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Candidates with their ontology rows; one that is not in the snapshot stops the query."""
+    joined = candidates.join(ontology.withColumn("__in", F.lit(True)), ["terminology", "concept_id"], "left")
+    return joined.withColumn("__in", F.when(F.col("__in").isNull(), F.raise_error(F.concat(F.lit("not in the snapshot: "), F.col("concept_id")))).otherwise(True)).where("__in").drop("__in")
+
+
+def siblings(ontology: DataFrame) -> DataFrame:
+    """(concept_id, other, relation): parents, children, and concepts that share a parent, through the parent."""
+    up = ontology.select("concept_id", F.explode("parents").alias("other"))
+    shared = up.join(up.select(F.col("concept_id").alias("c"), "other"), "other").where("concept_id <> c").select("concept_id", F.col("c").alias("other"), F.lit("sibling").alias("relation"))
+    parent = up.select("concept_id", "other", F.lit("parent").alias("relation"))
+    return parent.unionByName(up.select(F.col("other").alias("concept_id"), F.col("concept_id").alias("other"), F.lit("child").alias("relation"))).unionByName(shared).distinct()
+
+
+def ablation(cases: DataFrame, least_gain: float) -> DataFrame:
+    """Of (mode, case_id, score, latency_ms) with modes off, always_on, gated: gain and lost cases of each mode
+    against off, and whether to enable it: no case loses and the gain reaches ``least_gain``."""
+    off = cases.where("mode = 'off'").select("case_id", F.col("score").alias("base"))
+    d = cases.where("mode <> 'off'").join(off, "case_id").groupBy("mode").agg(F.round(F.avg(F.col("score") - F.col("base")), 6).alias("gain"), F.count_if(F.col("score") < F.col("base")).alias("lost"), F.round(F.avg("latency_ms"), 6).alias("latency_ms"))
+    return d.withColumn("enable", (F.col("lost") == 0) & (F.col("gain") >= least_gain) & (F.col("gain") > 0))
