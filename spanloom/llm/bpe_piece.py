@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import claim, text_slices
 
 #: The pattern and vocabulary that the queries use come with the installed tokenizer files.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks, and pre-tokens, that a generation of a worker's memory holds.
-REMEMBERED = 350_000
+REMEMBERED = 150_000
 _MAP = {b: chr(0x100 + b) for b in range(256)}
 
 
@@ -75,7 +75,8 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 class Memory:
     """What was met lately, in two generations: a full one becomes the old one, whose entries return when met again."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -86,7 +87,7 @@ class Memory:
         return value
 
     def keep(self, key: str, value: bytes) -> None:
-        if len(self.new) >= REMEMBERED:
+        if len(self.new) >= self.most:
             # In place: encode() holds the dictionary's get.
             self.old = dict(self.new)
             self.new.clear()
@@ -96,11 +97,12 @@ class Memory:
 class ChunkCoder:
     """Packed ids (uint32, little-endian) of a text, through remembered chunks; ``pretoken_ids`` is what encodes."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, remembered: int | None = None):
         import regex
 
+        most = remembered or REMEMBERED
         self.split = regex.compile(pattern).findall
-        self.words, self.chunks = Memory(), Memory()
+        self.words, self.chunks = Memory(most), Memory(most)
 
     def pretoken_ids(self, word: str) -> list[int]:
         raise NotImplementedError
@@ -161,9 +163,14 @@ def codec(path: str, pattern: str) -> PieceCodec:
     return PieceCodec(path, pattern)
 
 
+def _codec(path: str, pattern: str) -> PieceCodec:
+    claim("bpe_piece", codec.cache_clear)
+    return codec(path, pattern)
+
+
 def _coder(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = _codec(path, pattern)
         decimal = [b"%d" % i for i in range(len(c.tokens))]
         for part in text_slices(batches):
             n, ids_sha, text_sha, ids = [], [], [], []
@@ -189,7 +196,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True,
 
 def _decoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = _codec(path, pattern)
         for part in text_slices(batches, "ids"):
             texts = [None if x is None else c.decode(x) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_slices
+from .common import claim, held_out, text_slices
 
 WIDTH, FILTERS, CHUNK = 5, 16, 512
 SAMPLE_DOCS, SAMPLE_CHUNKS = 4_000, 2
@@ -101,6 +101,7 @@ class Network:
 
 def _chunks_of(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("byte_cnn")
         for part in text_slices(batches):
             out, label = [], []
             for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
@@ -144,6 +145,7 @@ def examples(pairs: list[tuple[bytes, int]], seed: int = 5) -> tuple[np.ndarray,
 
 def _scorer(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("byte_cnn")
         for part in text_slices(batches):
             z = np.array([net.logit(t or b"") if net else 0.0 for t in part.column("text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -162,6 +164,7 @@ def quality_scores(docs: DataFrame, net: Network | None, threshold: float = 0.7)
 
 def _judge(net: Network | None, schema: pa.Schema, threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("byte_cnn")
         for part in text_slices(batches, text_col):
             bar = float(np.log(threshold / (1 - threshold)))
             keep = [not net or net.logit((t or "").encode()) >= bar for t in part.column(text_col).to_pylist()]

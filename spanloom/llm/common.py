@@ -88,6 +88,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(a, b - a)
 
 
+_release: dict[str, object] = {}
+
+
+def claim(owner: str, release=None) -> None:
+    """A Python worker outlives its task and serves other operators: whoever starts work in it drops what the others
+    still hold in memory (their ``release``), so a worker never holds more than one operator's caches."""
+    for other in [o for o in _release if o != owner]:
+        _release.pop(other)()
+    if release is not None:
+        _release[owner] = release
+
+
 class WordHasher(dict):
     """64-bit word hashes, kept for words seen before; emptied when full, which changes no result."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, mix64, rolling, text_slices
+from .common import Scratch, WordHasher, claim, mix64, rolling, text_slices
 from .components import connected_components
 
 BANDS, ROWS, BITS = 25, 5, 4
@@ -86,6 +86,7 @@ _SKETCH = pa.schema(
 
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         hasher = WordHasher()
         for part in text_slices(batches):
             out: dict[str, list] = {n: [] for n in _SKETCH.names}
@@ -128,6 +129,7 @@ def _confirmed(k: int, percent: int):
     """Pairs with both texts, to the pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         hasher = WordHasher()
         for part in text_slices(batches, "text_a"):
             out: tuple[list, list] = ([], [])
@@ -178,6 +180,7 @@ def _spanning(k: int, percent: int, least: float):
     """Of two blocks of a bucket, with texts: confirmed links that join components, as a spanning forest."""
 
     def run(t):
+        claim("minhash")
         hasher, forest, links = WordHasher(), _Forest(), ([], [])
         t = t.combine_chunks()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)

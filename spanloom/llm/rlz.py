@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, mix64, rolling, text_slices
+from .common import Scratch, WordHasher, claim, mix64, rolling, text_slices
 
 #: Words of the gram that anchors a block.
 GRAM = 8
@@ -99,6 +99,7 @@ def _cutter(window: int, boundary: bool):
     """Texts to candidate rows: of blocks, or of the single windows of the blocks listed in ``marks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("rlz")
         hasher, powers, parts, held = WordHasher(), Powers(), [], 0
         for part in text_slices(batches, "body"):
             marks = part.column("marks").to_pylist() if boundary else [None] * part.num_rows
@@ -189,6 +190,7 @@ def _merge(spans: list[tuple[int, int, int, int]]) -> list[dict]:
 
 def _remover(window: int, schema: pa.Schema, verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("rlz")
         for part in text_slices(batches, "body"):
             out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept_text", "factors")}
             for text, *hits in zip(*(part.column(n).to_pylist() for n in ("body", "hits", "more"))):

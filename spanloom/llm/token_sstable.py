@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_piece import ChunkCoder
-from .common import Scratch, text_slices
+from .common import Scratch, claim, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 256 << 20
 HASHES, BITS_PER_KEY = 7, 10
+#: Chunks, and pre-tokens, that a generation of a worker's memory holds.
+REMEMBERED = 350_000
 MAGIC = b"SPLMSST1"
 _FOOTER = struct.Struct("<QQQQQQHHI4x8s")
 
@@ -204,7 +206,7 @@ class ChunkEncoder(ChunkCoder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(pattern)
+        super().__init__(pattern, REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -238,6 +240,7 @@ def _shards(folder: str, vocabulary: str, pattern: str, end: int, most: int):
         from pyarrow import fs
         from pyspark import TaskContext
 
+        claim("token_sstable", encoder.cache_clear)
         enc, task = encoder(vocabulary, pattern), TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
