@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .graph import components
 from .similarity import jaccard_join
+from .split import hash_rank
 
 
 def quality_score(modern: Column, asserted: Column, profile: Column) -> Column:
@@ -36,10 +37,10 @@ def curate(samples: DataFrame, hard: float = 0.72, soft: float = 0.62, share: fl
     best = placed.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("best"))
     near = pairs.where(F.col("jaccard") < hard).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("soft_pairs"))
     kept = placed.join(best, "component").join(near, "id", "left")
-    top = kept.where(F.col("id") == F.col("best")).agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    top = kept.where(F.col("id") == F.col("best")).agg(F.max("score").alias("top"))
     gold = kept.where(F.col("id") == F.col("best")).join(F.broadcast(top), F.col("score") == F.col("top")).select("id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
-    order = gold.withColumn("rank", F.percent_rank().over(Window.orderBy("h", "id")))
-    split = order.select("id", F.when((F.col("rank") < share) | (F.col("rank") == 0), "gold_validation").otherwise("gold_train").alias("gold"))
+    first = F.col("rank") <= F.greatest(F.lit(1.0), F.round(F.col("n") * share))
+    split = hash_rank(gold, "h", "id").select("id", F.when(first, "gold_validation").otherwise("gold_train").alias("gold"))
     decided = kept.join(split, "id", "left").select(
         "id", F.when(F.col("id") != F.col("best"), "hard_near_duplicate").otherwise(F.coalesce("gold", F.lit("standard"))).alias("status"), F.col("best").alias("winner"), F.coalesce("soft_pairs", F.lit(0)).alias("soft_pairs")
     )

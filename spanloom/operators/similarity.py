@@ -9,22 +9,26 @@ from ..functions.text import dot
 
 
 def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str = "items") -> DataFrame:
-    """Pairs (a < b, jaccard) of sets with jaccard >= least, exactly, by prefix filtering.
+    """Pairs (a < b, jaccard) of sets with jaccard >= least, exactly (up to 64-bit hashes of items), by prefix filtering.
 
     Items are ordered by document frequency, rarest first; sets as similar as ``least`` share an item among the first
-    n - ceil(least * n) + 1 of each, so only those meet, and only if their sizes allow it. Two empty sets have
-    similarity 1 by definition, and are linked to the smallest of them instead of with each other.
+    n - ceil(least * n) + 1 of each, so only those meet. The place of a pair's first common item bounds what they can
+    share at all, and together with the sizes decides which pairs are worth comparing. Two empty sets have similarity 1
+    by definition, and are linked to the smallest of them instead of with each other.
     """
-    base = sets.select(F.col(id_col).alias("id"), F.array_distinct(set_col).alias("items")).withColumn("n", F.size("items"))
+    base = sets.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(set_col, lambda x: F.xxhash64(x))).alias("items"))
     items = base.select("id", F.explode("items").alias("item"))
     df = items.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = items.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
-    keep = F.size("ranked") - F.ceil(F.round(F.size("ranked") * F.lit(least), 9)).cast("int") + 1
-    prefix = ranked.select("id", F.size("ranked").alias("n"), F.explode(F.slice("ranked", F.lit(1), keep)).alias("r")).select("id", "n", "r.item")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
-    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "item").join(other, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least))
-    found = pairs.select("a", "b").distinct()
-    whole = base.where("n > 0").select("id", "items", "n")
+    # The rarest first; an item of one set alone matters only by its place.
+    ranked = items.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r")).select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["item"]).alias("items"), F.transform("r", lambda x: x["df"]).alias("dfs"))
+    keep = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(least), 9)).cast("int") + 1
+    prefix = ranked.select("id", "n", "dfs", F.posexplode(F.slice("items", F.lit(1), keep)).alias("i", "item")).where(F.col("dfs")[F.col("i")] > 1).select("id", "n", "i", "item")
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), "item")
+    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", "item").join(other, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least))
+    first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("i").alias("i"), F.min("j").alias("j"))
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    found = first.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    whole = ranked.select("id", "items", "n")
     scored = (
         found.join(whole.select(F.col("id").alias("a"), F.col("items").alias("x"), F.col("n").alias("na")), "a")
         .join(whole.select(F.col("id").alias("b"), F.col("items").alias("y"), F.col("n").alias("nb")), "b")
@@ -33,9 +37,9 @@ def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str
         .where(F.col("jaccard") >= least)
         .select("a", "b", "jaccard")
     )
-    empty = base.where("n = 0").select("id")
-    first = empty.agg(F.min("id").alias("a"))
-    return scored.unionByName(empty.join(F.broadcast(first), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+    empty = base.where(F.size("items") == 0).select("id")
+    lowest = empty.agg(F.min("id").alias("a"))
+    return scored.unionByName(empty.join(F.broadcast(lowest), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vec: str = "embedding") -> DataFrame:

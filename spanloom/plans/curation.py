@@ -117,20 +117,12 @@ def lineage_groups(spark, sf_dir) -> DataFrame:
 WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(text), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT doc_id, lang, CASE WHEN rn <= greatest(1, round(n * 0.15)) THEN 'validation' ELSE 'train' END AS split FROM k""")
 def hash_split(spark, sf_dir) -> DataFrame:
-    """By the order of the text hash, the first 15% of each language are for validation.
+    """By the order of the text hash, the first 15% of each language are for validation."""
+    from ..operators.split import hash_rank
 
-    The boundary is the exact quantile row of each language, found from counts of hash prefixes; no language is ordered
-    in one task.
-    """
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
-    d = d.withColumn("cell", F.substring("h", 1, 3))
-    cells = d.groupBy("lang", "cell").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("lang", "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("lang")).alias("n"))
-    inner = Window.partitionBy("lang", "cell").orderBy("h", "doc_id")
-    ranked = d.withColumn("i", F.row_number().over(inner)).join(starts, ["lang", "cell"])
     limit = F.greatest(F.lit(1.0), F.round(F.col("n") * 0.15))
-    return ranked.select("doc_id", "lang", F.when(F.col("before") + F.col("i") <= limit, "validation").otherwise("train").alias("split"))
+    return hash_rank(d, "h", "doc_id", ("lang",)).select("doc_id", "lang", F.when(F.col("rank") <= limit, "validation").otherwise("train").alias("split"))
 
 
 _CHAR3 = "list_distinct(list_transform(range(1, greatest(length(x), 3) - 1), lambda i: substring(x, i, 3)))"
