@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot
-
 
 def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str = "items") -> DataFrame:
     """Pairs (a < b, jaccard) of sets with jaccard >= least, exactly (up to 64-bit hashes of items), by prefix filtering.
@@ -42,11 +42,39 @@ def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str
     return scored.unionByName(empty.join(F.broadcast(lowest), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
+#: Queries and vectors of a tile in dense search.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+
+
+def _best_of_tile(k: int):
+    def run(q, v):
+        a, b = (np.asarray(t.column(c).combine_chunks().flatten(), np.float64).reshape(max(t.num_rows, 1), -1) for t, c in ((q, "q"), (v, "v")))
+        qid, vid = q.column("query_id").to_numpy(), v.column("vec_id").to_numpy()
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        out = tuple([c] for c in none)
+        if not len(qid) or not len(vid):
+            return pa.table([pa.array(c) for c in none], names=["query_id", "vec_id", "score"])
+        for i in range(len(a)):
+            score = b @ a[i]
+            best = [j for j in np.lexsort((vid, -score))[: k + 1].tolist() if vid[j] != qid[i]][:k]
+            for c, x in zip(out, (np.full(len(best), qid[i]), vid[best], score[best])):
+                c.append(x)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """The k vectors with the largest dot product for each query, ties by id. The queries are a stated set, held against
-    all vectors; a partial top k is taken before the shuffle."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("q"))
-    v = vectors.select(F.col(vector_id).alias("vec_id"), F.col(vec).alias("v"))
-    scored = v.join(q, F.size("q") == F.size("v")).where("query_id <> vec_id").select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+    """The k vectors with the largest dot product for each query, ties by id; all vectors have one length.
+
+    The queries are a stated set, held against all vectors in tiles of a block of each; a tile keeps k rows a query, so
+    neither pairs nor all vectors meet in a task."""
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_v = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("q")).withColumn("i", deal("query_id", n_q)).withColumn("j", each(n_v))
+    v = vectors.select(F.col(vector_id).cast("long").alias("vec_id"), F.col(vec).alias("v")).withColumn("j", deal("vec_id", n_v)).withColumn("i", each(n_q))
+    tiles = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(_best_of_tile(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

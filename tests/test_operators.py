@@ -298,3 +298,13 @@ def test_streaming(spark, sf_dir, tmp_path):
     q = ingest.windowed_counts(stream, width="30 days").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from counts").first()[0] == events.count()
+
+
+def test_j11_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 20)
+    v = np.random.default_rng(1).standard_normal((90, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = similarity.dense_top_k(df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), df, 4).collect()
+    want = {(q, int(j), r) for q in range(0, 90, 10) for r, j in enumerate([j for j in np.argsort(-(v @ v[q]), kind="stable") if j != q][:4], 1)}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
