@@ -1,14 +1,14 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by sorted projections and block comparison; exact.
 
 1. Vectors that are equal (same label, same components) form a class with a multiplicity; one representative goes on.
-2. A pass hashes each vector to the signs of BITS random projections and orders all vectors of a label by those bits.
-   PASSES such orders, each with its own projections, are sorted in one range-partitioned job. Rows are numbered through
-   and dealt into blocks with an overlap of WINDOW rows, so every row meets its WINDOW followers wherever a partition
-   ends. Pairs in a window are verified by cosine; a block emits those that join something new, not all pairs.
-3. Verified pairs of all passes are united into components.
-4. Links are counted inside each component in full, as products of two blocks of at most BLOCK vectors that emit one
-   count a vector; small components share a block. So windows bound the search for components, and no group of near
-   copies loses links or is expanded into pairs.
+2. Each vector is hashed to the signs of BITS random projections; representatives are range-sorted by label and those
+   bits, numbered through and dealt into blocks of BLOCK rows.
+3. A block knows its interval on PROBES projections on unit directions. A projection never lengthens a distance, so two
+   blocks whose intervals lie further apart than linked vectors can be are not compared; no pair is lost by that.
+4. All other pairs of blocks that share a label are compared in full, a task each: single-precision products, and double
+   precision for what lies within their rounding error of the threshold. A task emits one count a vector and a spanning
+   forest, not all pairs. Time grows with the square of a label that projections do not part.
+5. Forests of all tasks are united into components.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, null labels and null ids
 link with nothing; so do vectors of different length. Scaled copies are links like others. A repeated row counts once; an id
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
-from .minhash import _Forest
 
-PASSES, BITS, WINDOW, BLOCK = 16, 63, 24, 1024
+BITS, PROBES, BLOCK = 63, 16, 8192
 
 
 def unit(vectors: pa.Array) -> np.ndarray:
@@ -45,73 +44,78 @@ def _by_dimension(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarr
         yield rows, unit(batch.column(column).take(pa.array(rows)))
 
 
-def _projector(passes: int, seed: int):
+def _projector(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.zeros((batch.num_rows, passes), np.int64)
+            keys, probes = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, PROBES))
             for rows, v in _by_dimension(batch, "vec"):
                 d = v.shape[1]
                 if d not in planes:
-                    planes[d] = np.random.default_rng(seed + d).standard_normal((d, passes * BITS))
-                bits = (v @ planes[d] > 0).reshape(len(v), passes, BITS)
-                keys[rows] = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-            offsets = np.arange(0, keys.size + 1, passes, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=[*batch.schema.names, "keys"])
+                    g = np.random.default_rng(seed + d).standard_normal((d, BITS))
+                    planes[d] = g / np.linalg.norm(g, axis=0)
+                at = v @ planes[d]
+                keys[rows] = (at > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                probes[rows] = at[:, :PROBES]
+            offsets = np.arange(0, probes.size + 1, PROBES, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(probes.ravel()))], names=[*batch.schema.names, "key", "probes"])
 
     return run
 
 
-def _windows(least: float, window: int):
-    """Of one block of a sorted order: verified pairs of rows at most ``window`` apart, as a spanning forest."""
-
-    def run(t):
-        t = t.combine_chunks().sort_by("at")
-        forest, out = _Forest(), ([], [])
-        group = [np.unique(t.column(c).combine_chunks().dictionary_encode().indices.to_numpy(), return_inverse=True)[1] for c in ("pass", "label")]
-        rep = t.column("rep").to_numpy()
-        batch = pa.RecordBatch.from_arrays([t.column("vec").combine_chunks()], names=["vec"])
-        for rows, v in _by_dimension(batch, "vec"):
-            for step in range(1, min(window, len(rows) - 1) + 1):
-                a, b = rows[:-step], rows[step:]
-                hit = np.einsum("ij,ij->i", v[:-step], v[step:]) >= least
-                for g in group:
-                    hit &= g[a] == g[b]
-                for x, y in zip(rep[a[hit]].tolist(), rep[b[hit]].tolist()):
-                    if x != y and forest.join(x, y):
-                        out[0].append(x)
-                        out[1].append(y)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _counter(least: float):
-    """Of two blocks: how many vectors of its component each vector links with in the other block."""
+def _compare(least: float):
+    """Of two blocks (or one with itself): of each vector the number of links with the other block, and the links that
+    join something new, as a spanning forest."""
 
     def run(t):
         t = t.combine_chunks()
-        i, j, side = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("at").to_numpy()
-        comp, mult, key, label = (t.column(c).to_numpy() for c in ("component", "n", "rep", "label"))
-        links = np.zeros(t.num_rows, np.int64)
+        i, j, block = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("block").to_numpy()
+        mult, key, label = (t.column(c).to_numpy() for c in ("n", "rep", "label"))
+        links, tree, forest = np.zeros(t.num_rows, np.int64), np.arange(t.num_rows), ([], [])
+        one_label = (label == label[0]).all()
         batch = pa.RecordBatch.from_arrays([t.column("vec").combine_chunks()], names=["vec"])
         for rows, v in _by_dimension(batch, "vec"):
-            for at in range(0, len(rows), 512):
-                r = rows[at : at + 512]
-                hit = (v[at : at + 512] @ v.T >= least) & (comp[r][:, None] == comp[rows][None]) & (label[r][:, None] == label[rows][None]) & (r[:, None] != rows[None])
+            single, slack = v.astype(np.float32), (v.shape[1] + 8) * 2.0**-23
+            left, right = np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j)
+            others = single[right].T
+            for at in range(0, len(left), 512):
+                own = left[at : at + 512]
+                cos = single[own] @ others
+                hit = cos >= least - slack
+                x, y = np.nonzero(hit & (cos < least + slack))
+                for a in range(0, len(x), 1 << 16):
+                    x_, y_ = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+                    hit[x_, y_] = np.einsum("ij,ij->i", v[own[x_]], v[right[y_]]) >= least
+                if not one_label:
+                    hit &= label[rows[own]][:, None] == label[rows[right]][None]
+                if i == j:
+                    hit[np.arange(len(own)), at + np.arange(len(own))] = False
+                some = np.flatnonzero(hit.any(1))
+                hit = hit[some]
+                links[rows[own[some]]] += hit @ mult[rows[right]]
                 if i != j:
-                    hit &= side[r][:, None] != side[rows][None]
-                links[r] += hit @ mult[rows]
-        keep = links > 0
-        return pa.table([pa.array(key[keep]), pa.array(label[keep]), t.column("which").filter(pa.array(keep)), pa.array(links[keep])], names=["rep", "label", "which", "links"])
+                    links[rows[right]] += mult[rows[own[some]]] @ hit
+                for r, line in zip(rows[own[some]].tolist(), hit):
+                    near = rows[right[line]]
+                    trees, first = np.unique(tree[near], return_index=True)
+                    new = trees != tree[r]
+                    if new.any():
+                        forest[0].extend([key[r]] * int(new.sum()))
+                        forest[1].extend(key[near[first[new]]].tolist())
+                        tree[np.isin(tree, trees[new])] = tree[r]
+        keep, n = np.flatnonzero(links), len(forest[0])
+        none = lambda kind, m: pa.nulls(m, kind)
+        counts = [pa.array(label[keep]), t.column("which").combine_chunks().take(pa.array(keep)), pa.array(links[keep]), none(pa.int64(), len(keep)), none(pa.int64(), len(keep))]
+        joins = [none(pa.int64(), n), none(pa.string(), n), none(pa.int64(), n), pa.array(forest[0], pa.int64()), pa.array(forest[1], pa.int64())]
+        return pa.table([pa.concat_arrays([c.cast(j_.type), j_]) for c, j_ in zip(counts, joins)], names=["label", "which", "links", "a", "b"])
 
     return run
 
 
 def embedding_dedup(
-    vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, seed: int = 17,
+    vectors: DataFrame, least: float = 0.98, seed: int = 17,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
@@ -132,38 +136,31 @@ def embedding_dedup(
     classes = member.groupBy("label", "which").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"), F.any_value("vec").alias("vec"))
     reps = scratch.save(classes.select("rep", "label", "which", "n", "vec"))
 
-    # All passes in one sort: pass, label, key; then every row gets its number in that order.
-    keyed = reps.select("rep", "label", "vec").mapInArrow(_projector(passes, seed), f"rep long, label long, vec array<{number}>, keys array<long>")
-    orders = keyed.select("rep", "label", "vec", F.posexplode("keys").alias("pass", "key"))
-    order = ["pass", "label", "key", "rep"]
-    sorted_ = scratch.save(orders.repartitionByRange(*order).sortWithinPartitions(*order).select("rep", "label", "vec", "pass", F.monotonically_increasing_id().alias("place")))
+    # Sorted by label and key; then every row gets its number in that order, and so its block.
+    keyed = reps.select("rep", "label", "which", "n", "vec").mapInArrow(_projector(seed), f"rep long, label long, which string, n long, vec array<{number}>, key long, probes array<double>")
+    order = ["label", "key", "rep", "which"]
+    sorted_ = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part, nth = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     # A row for each partition: where its numbers begin.
     sizes = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = sorted_.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("at", F.col("before") + nth)
-    block = F.floor(F.col("at") / BLOCK)
-    home = F.array(block)
-    blocks = F.when((F.col("at") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(home)
-    dealt = numbered.select("rep", "label", "vec", "pass", "at", F.explode(blocks).alias("block"))
-    pairs = scratch.save(dealt.groupBy("block").applyInArrow(_windows(least, window), "a long, b long"))
+    numbered = sorted_.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("block", F.floor((F.col("before") + nth) / BLOCK))
+
+    # Pairs of blocks: one with itself, and two that share a label, which is then the last of one and the first of the other.
+    ends = [f(F.col("probes")[k]).alias(f"{name}{k}") for k in range(PROBES) for name, f in (("lo", F.min), ("hi", F.max))]
+    span = scratch.save(numbered.groupBy("block").agg(F.min("label").alias("first"), F.max("label").alias("last"), *ends))
+    reach = (2 * (1 - least)) ** 0.5 + 1e-6
+    x, y = span.alias("x"), span.alias("y")
+    apart = [F.greatest(F.col(f"x.lo{k}"), F.col(f"y.lo{k}")) - F.least(F.col(f"x.hi{k}"), F.col(f"y.hi{k}")) for k in range(PROBES)]
+    two = x.join(y, (F.col("x.last") == F.col("y.first")) & (F.col("x.block") < F.col("y.block"))).where(F.greatest(*apart) <= reach).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    met = two.unionByName(span.select(F.col("block").alias("i"), F.col("block").alias("j")))
+    met = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tiles = numbered.select("rep", "label", "which", "n", "vec", "block").join(met, "block")
+    found = scratch.save(tiles.groupBy("i", "j").applyInArrow(_compare(least), "label long, which string, links long, a long, b long"))
     scratch.drop(sorted_)
+    links = found.where("links is not null").groupBy("label", "which").agg(F.sum("links").alias("links"))
     own = member.join(reps.select("label", "which", "rep"), ["label", "which"]).where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
-    comps = scratch.save(connected_components(pairs.unionByName(own), scratch))
-
-    # Links inside components.
-    inside = reps.join(comps.withColumnRenamed("vertex", "rep"), "rep")
-    sized = inside.join(inside.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component")
-    total = sized.count()
-    cells = max(1, total // BLOCK)
-    big = F.col("size") > BLOCK
-    bundle = F.when(big, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(cells)))
-    n_blocks = F.when(big, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("int")
-    placed = sized.withColumn("bundle", bundle).withColumn("nb", n_blocks).withColumn("at", F.pmod(F.xxhash64("rep", "which"), F.col("nb")).cast("int"))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    tiles = placed.select("bundle", "component", "rep", "label", "which", "n", "vec", "at", F.explode(pairs_of).alias("ij")).select("*", "ij.i", "ij.j").drop("ij")
-    counted = tiles.groupBy("bundle", "i", "j").applyInArrow(_counter(least), "rep long, label long, which string, links long")
-    links = counted.groupBy("label", "which").agg(F.sum("links").alias("links"))
+    comps = scratch.save(connected_components(found.where("a is not null").select("a", "b").unionByName(own), scratch))
 
     per_vector = (
         member.select("vec_id", "label", "which").distinct()

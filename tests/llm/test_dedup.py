@@ -157,5 +157,27 @@ def test_projection_equals_brute_force(spark):
         assert r.kept == (r.vec_id is None or r.component_id == r.vec_id)
 
 
+@pytest.mark.parametrize("block", [8192, 700])
+def test_projection_finds_isolated_pairs_of_a_dense_label(spark, monkeypatch, block):
+    # All vectors of the label lie close together, and each is linked with at most one other.
+    monkeypatch.setattr("spanloom.llm.sorted_projection.BLOCK", block)
+    rng, n = np.random.default_rng(8), 4000
+    v = rng.standard_normal((n, 64)) * 0.2 / 8 + np.eye(64)[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    half = n // 2
+    v[half:] = v[:half] + rng.standard_normal((half, 64)) * 0.17 / 8
+    v = v.astype(np.float32).astype(np.float64)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    least = 0.983
+    hit = u @ u.T >= least
+    np.fill_diagonal(hit, False)
+    a, b = np.nonzero(hit)
+    want = components(range(n), zip(a.tolist(), b.tolist()))
+    assert 1000 < len(a) < 3 * n
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(rows, least=least).collect()}
+    assert got == {i: (int(hit[i].sum()), want[i]) for i in range(n)}
+
+
 def test_projection_of_nothing(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
