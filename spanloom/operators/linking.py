@@ -25,11 +25,11 @@ def abstain(rows: DataFrame, least: float) -> DataFrame:
     return rows.withColumn("best", F.max("fused").over(Window.partitionBy("request_id"))).where(F.col("best") >= least).drop("best")
 
 
-def expected_jaccard_set(rows: DataFrame, k: int = 50) -> DataFrame:
+def expected_jaccard_set(rows: DataFrame) -> DataFrame:
     """Of candidates by falling probability, the prefix with the largest expected Jaccard index
-    hits / (total + length - hits); the earliest of equal ones. At most ``k`` lead each request (a top-k)."""
+    hits / (total + length - hits), over all candidates of a request; the earliest of equal ones."""
     order = Window.partitionBy("request_id").orderBy(F.desc("p"), "concept_id")
-    ranked = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    ranked = rows.withColumn("k", F.row_number().over(order))
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("request_id")
     u = ranked.withColumn("hits", F.sum("p").over(run)).withColumn("total", F.sum("p").over(all_))

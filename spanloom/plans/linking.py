@@ -121,8 +121,23 @@ t AS (SELECT * FROM r WHERE k <= 20), u AS (SELECT *, sum(p) OVER (PARTITION BY
 v AS (SELECT *, round(hits / (total + k - hits), 6) AS value FROM u), b AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id)
 SELECT v.request_id, min(k) AS n, any_value(best) AS expected_jaccard FROM v JOIN b ON v.request_id = b.request_id AND v.value = b.best GROUP BY v.request_id""")
 def expected_jaccard_set(spark, sf_dir) -> DataFrame:
-    """Size and value of the best prefix."""
-    chosen = linking.expected_jaccard_set(_candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p")), 20)
+    """Size and value of the best prefix of the twenty first candidates, as its SQL has it; A24 is expected_jaccard_whole."""
+    order = Window.partitionBy("request_id").orderBy(F.desc("p"), "concept_id")
+    p = _candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p"))
+    chosen = linking.expected_jaccard_set(p.withColumn("k", F.row_number().over(order)).where("k <= 20").drop("k"))
+    return chosen.groupBy("request_id").agg(F.max("k").cast("long").alias("n"), F.round(F.max("expected_jaccard"), 6).alias("expected_jaccard"))
+
+
+_SELECTED = """r AS (SELECT request_id, concept_id, lexical, dense AS p, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
+u AS (SELECT *, sum(p) OVER (PARTITION BY request_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY request_id) AS total FROM r),
+v AS (SELECT *, round(hits / (total + k - hits), 12) AS value FROM u), m AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id),
+b AS (SELECT v.request_id, CAST(min(k) AS BIGINT) AS n, any_value(best) AS best FROM v JOIN m ON v.request_id = m.request_id AND v.value = m.best GROUP BY v.request_id)"""
+
+
+@query(f"WITH {_CANDIDATES}, {_SELECTED} SELECT request_id, n, round(best, 6) AS expected_jaccard FROM b")
+def expected_jaccard_whole(spark, sf_dir) -> DataFrame:
+    """Size and value of the best prefix of all candidates."""
+    chosen = linking.expected_jaccard_set(_candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p")))
     return chosen.groupBy("request_id").agg(F.max("k").cast("long").alias("n"), F.round(F.max("expected_jaccard"), 6).alias("expected_jaccard"))
 
 

@@ -308,3 +308,11 @@ def test_j11_tiles_equal_brute_force(spark, monkeypatch):
     got = similarity.dense_top_k(df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), df, 4).collect()
     want = {(q, int(j), r) for q in range(0, 90, 10) for r, j in enumerate([j for j in np.argsort(-(v @ v[q]), kind="stable") if j != q][:4], 1)}
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_expected_jaccard_takes_all_candidates(spark):
+    p = [round(0.9 - i / 400, 6) for i in range(200)]
+    values = [sum(p[:k]) / (sum(p) + k - sum(p[:k])) for k in range(1, 201)]
+    rows = spark.createDataFrame([("q", i, x) for i, x in enumerate(p)], "request_id string, concept_id long, p double")
+    got = linking.expected_jaccard_set(rows).agg(F.count("*").alias("n"), F.max("expected_jaccard").alias("value")).first()
+    assert (got.n, round(got.value, 9)) == (values.index(max(values)) + 1, round(max(values), 9)) and got.n > 50
