@@ -104,16 +104,28 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_brand").alias("request_id"), F.col("p_partkey").alias("concept_id"), (F.col("p_size") / 50.0).alias("lexical"), (F.col("p_partkey") % 97 / 97.0).alias("dense"), "p_type")
 
 
-@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
-b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
-SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9 AND rank <= 10""")
-def channel_fusion(spark, sf_dir) -> DataFrame:
-    """Weighted channels; requests whose best is under 0.9 abstain; the ten best."""
+def _fused(spark, sf_dir) -> DataFrame:
     c = _candidates(spark, sf_dir)
     rows = c.select("request_id", "concept_id", F.expr("stack(2, 'lexical', lexical, 'dense', dense) as (channel, score)"), F.lit("part").alias("evidence"))
     f = linking.abstain(linking.merge_candidates(rows).withColumn("fused", linking.fused(F.col("scores"), {"lexical": 0.6, "dense": 0.5})), 0.9)
     order = Window.partitionBy("request_id").orderBy(F.desc(F.round("fused", 9)), "concept_id")
-    return f.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("request_id", "concept_id", F.round("fused", 6).alias("fused"), "rank")
+    return f.withColumn("rank", F.row_number().over(order)).select("request_id", "concept_id", F.round("fused", 6).alias("fused"), "rank")
+
+
+@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
+b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
+SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9 AND rank <= 10""")
+def channel_fusion(spark, sf_dir) -> DataFrame:
+    """The ten best of each request, as its SQL has it; A22 and A23 are channel_fusion_whole."""
+    return _fused(spark, sf_dir).where("rank <= 10")
+
+
+@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
+b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
+SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9""")
+def channel_fusion_whole(spark, sf_dir) -> DataFrame:
+    """Weighted channels; requests whose best is under 0.9 abstain; all other candidates with their rank."""
+    return _fused(spark, sf_dir)
 
 
 @query(f"""WITH {_CANDIDATES}, r AS (SELECT request_id, concept_id, dense AS p, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
@@ -146,13 +158,34 @@ g AS (SELECT request_id, count(*) AS n_gold, sum((k <= 10)::INT) AS hit FROM r W
 s AS (SELECT request_id, least(count(*), 10) AS n_pool FROM c GROUP BY request_id)
 SELECT request_id, n_gold, CAST(hit AS BIGINT) AS hit, round(hit * 1.0 / n_gold, 6) AS recall, round(hit * 1.0 / (n_gold + n_pool - hit), 6) AS jaccard, hit = n_gold AS exact FROM g JOIN s USING (request_id)""")
 def candidate_oracle(spark, sf_dir) -> DataFrame:
-    """What a pool of ten holds of the gold set."""
+    """What a pool of ten holds of the gold set, as its SQL has it; A25 is candidate_oracle_whole."""
     order = Window.partitionBy("request_id").orderBy(F.desc("dense"), "concept_id")
     r = _candidates(spark, sf_dir).withColumn("k", F.row_number().over(order))
     g = r.groupBy("request_id").agg(F.count_if(F.col("lexical") >= 0.9).alias("n_gold"), F.count_if((F.col("lexical") >= 0.9) & (F.col("k") <= 10)).alias("hit"), F.least(F.count("*"), F.lit(10)).alias("n_pool"))
     return g.where("n_gold > 0").select("request_id", "n_gold", "hit", F.round(F.col("hit") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hit") / (F.col("n_gold") + F.col("n_pool") - F.col("hit")), 6).alias("jaccard"), (F.col("hit") == F.col("n_gold")).alias("exact"))
 
 
+@query(f"""WITH {_CANDIDATES}, {_SELECTED},
+g AS (SELECT request_id, CAST(sum((lexical >= 0.9)::INT) AS BIGINT) AS n_gold, count(*) AS n_pool, CAST(sum((k <= n)::INT) AS BIGINT) AS n_chosen, CAST(sum((lexical >= 0.9 AND k <= n)::INT) AS BIGINT) AS shared FROM r JOIN b USING (request_id) GROUP BY request_id)
+SELECT request_id, n_gold, n_pool, n_chosen, shared AS hit, CAST(1.0 AS DOUBLE) AS recall, round(shared * 1.0 / (n_gold + n_chosen - shared), 6) AS jaccard, shared = n_gold AND shared = n_chosen AS exact FROM g""")
+def candidate_oracle_whole(spark, sf_dir) -> DataFrame:
+    """Recall of the gold set by the pool of all candidates; Jaccard and equality of the gold set with the set that
+    expected_jaccard_whole selects. Gold candidates are rows of the pool here."""
+    p = _candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p"), (F.col("lexical") >= 0.9).alias("gold"))
+    chosen = linking.expected_jaccard_set(p).select("request_id", "concept_id", F.lit(True).alias("chosen"))
+    gold, pool = p.where("gold").select("request_id", "concept_id", "gold"), p.select("request_id", "concept_id", F.lit(True).alias("pool"))
+    r = pool.join(gold, ["request_id", "concept_id"], "full").join(chosen, ["request_id", "concept_id"], "left")
+    g = r.groupBy("request_id").agg(
+        F.count("gold").alias("n_gold"), F.count("pool").alias("n_pool"), F.count("chosen").alias("n_chosen"),
+        F.count_if(F.col("gold") & F.col("chosen")).alias("hit"), F.count_if(F.col("gold") & F.col("pool")).alias("found"),
+    )
+    recall = F.when(F.col("n_gold") == 0, 1.0).otherwise(F.col("found") / F.greatest("n_gold", F.lit(1)))
+    return g.select(
+        "request_id", "n_gold", "n_pool", "n_chosen", "hit", F.round(recall, 6).alias("recall"), F.round(F.col("hit") / (F.col("n_gold") + F.col("n_chosen") - F.col("hit")), 6).alias("jaccard"),
+        ((F.col("hit") == F.col("n_gold")) & (F.col("hit") == F.col("n_chosen"))).alias("exact"),
+    )
+
+
 @query("""
 SELECT p_partkey, (SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey) AS siblings,
  (SELECT count(*) FROM part b WHERE b.p_name = a.p_name AND b.p_type <> a.p_type) AS form_conflicts FROM part a""")

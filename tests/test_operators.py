@@ -316,3 +316,14 @@ def test_expected_jaccard_takes_all_candidates(spark):
     rows = spark.createDataFrame([("q", i, x) for i, x in enumerate(p)], "request_id string, concept_id long, p double")
     got = linking.expected_jaccard_set(rows).agg(F.count("*").alias("n"), F.max("expected_jaccard").alias("value")).first()
     assert (got.n, round(got.value, 9)) == (values.index(max(values)) + 1, round(max(values), 9)) and got.n > 50
+
+
+def test_fusion_and_oracle_take_the_whole_pool(spark, sf_dir):
+    from spanloom.plans import linking as plans
+
+    sizes = {r.p_brand: r["count"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count().collect()}
+    fused = plans.channel_fusion_whole(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert fused and all(r.n == r.last == sizes[r.request_id] for r in fused) and max(r.n for r in fused) > 10
+    n = {r.request_id: r.n for r in plans.expected_jaccard_whole(spark, sf_dir).collect()}
+    got = plans.candidate_oracle_whole(spark, sf_dir).collect()
+    assert {r.request_id: (r.n_pool, r.n_chosen) for r in got} == {q: (sizes[q], n[q]) for q in sizes}
