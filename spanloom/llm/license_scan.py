@@ -2,11 +2,12 @@
 
 Templates are word sequences: short phrases, which must match whole, and longer notices, of which a part will do. Every
 run of K words of a document is hashed and joined to the template positions with the same hash; a hit at document word d
-and template word t votes for the diagonal d - t. Diagonals next to each other (words inserted or left out) are merged
-into one span, and a span is verified: a phrase when all its K-grams voted on one diagonal and the words are equal; a
-notice when the hits cover enough of its K-grams.
+and template word t votes for the diagonal d - t. A phrase is found when all its K-grams voted on one diagonal. The hits
+of a notice, as pairs of words, are chained in the order of document and template, over diagonals next to each other
+(words inserted or left out); a chain is a span if it holds enough of all the notice's words. A word counts as matched
+together with a neighbour, as part of a K-gram.
 
-Only telling grams of a notice vote, those with enough letters. The template positions are a fixed table of at most MAX_POSITIONS rows, so they are broadcast; the document side is cut
+All grams of a template vote. The template positions are a fixed table of at most MAX_POSITIONS rows, so they are broadcast; the document side is cut
 to hits in the same pass, and only hits are shuffled; they are written once, as both kinds of template read them. A document is keyed by its id and text hash.
 
 Defined results: a null text is an empty one and has no words. Rows with the same id and text are found alike; ids that
@@ -18,16 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import Scratch
 
 #: Words of a gram.
 K = 2
-#: Merged diagonals lie at most so far apart, and so do the hits that follow each other on them.
-DRIFT, GAP = 3, 40
-#: Share of a notice's grams that has to be hit, and how many at least.
-COVER, LEAST_VOTES = 0.5, 3
-#: Grams of a notice with fewer letters ("of the") do not vote.
-LETTERS = 12
+#: Diagonals of words that follow each other in a chain lie at most so far apart.
+DRIFT = 3
+#: Share of a notice's words that has to be matched, and how many at least.
+COVER, LEAST_WORDS = 0.5, 3
 MAX_POSITIONS = 10_000
 
 #: Fixed values: (label, words that must all match).
@@ -68,14 +68,34 @@ def templates(spark, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     if sum(len(r[3]) for r in rows) > MAX_POSITIONS or any(len(r[3]) < K for r in rows):
         raise ValueError(f"templates need {K} words each and {MAX_POSITIONS} in all at most")
     base = spark.createDataFrame(rows, "template int, label string, whole boolean, words array<string>")
-    letters = F.aggregate(F.slice("words", F.col("t") + 1, F.lit(K)), F.lit(0), lambda n, w: n + F.length(w))
-    telling = base.select("*", F.posexplode(grams(F.col("words"))).alias("t", "gram")).where(F.col("whole") | (letters >= LETTERS))
-    return telling.withColumn("n_grams", F.count("*").over(Window.partitionBy("template")))
+    return base.select("*", F.posexplode(grams(F.col("words"))).alias("t", "gram")).withColumn("n_grams", F.count("*").over(Window.partitionBy("template")))
+
+
+def chains(codes: Column, width: Column, need: Column) -> Column:
+    """Of matched words, sorted as document word * 2**16 + template word: (first, last, n) of the longest chains of ``need``
+    words and more, at every word where one ends. Words of a chain rise in both places and drift at most DRIFT."""
+    shape = "struct<recent:array<struct<d:bigint,t:bigint,first:bigint,n:bigint>>,ends:array<struct<first:bigint,last:bigint,n:bigint>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        d, t = F.shiftright(x, 16), x.bitwiseAND(F.lit(0xFFFF))
+        before = F.filter(s["recent"], lambda r: (r["d"] < d) & (r["t"] < t) & (F.abs((d - t) - (r["d"] - r["t"])) <= DRIFT))
+        best = F.array_max(F.transform(before, lambda r: F.struct(r["n"].alias("n"), (-r["first"]).alias("back"))))
+
+        def put(b: Column) -> Column:
+            first, n = F.coalesce(-b["back"], d), F.coalesce(b["n"], F.lit(0).cast("long")) + 1
+            recent = F.concat(F.filter(s["recent"], lambda r: r["d"] >= d - width - DRIFT), F.array(F.struct(d.alias("d"), t.alias("t"), first.alias("first"), n.alias("n"))))
+            ends = F.when(n >= need, F.concat(s["ends"], F.array(F.struct(first.alias("first"), d.alias("last"), n.alias("n"))))).otherwise(s["ends"])
+            return F.struct(recent.alias("recent"), ends.alias("ends")).cast(shape)
+
+        return let(best, put)
+
+    none = F.struct(F.array().alias("recent"), F.array().alias("ends")).cast(shape)
+    return F.aggregate(codes, none, step, lambda s: s["ends"])
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, spans): doc_id, h, n_words of every row; and of each verified span doc_id, h, label, whole,
-    first_word, last_word, score (share of the template's grams)."""
+    first_word, last_word, score (share of the template's words)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("words"))
     counted = base.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
@@ -94,20 +114,16 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str
         votes.where("whole").groupBy("doc_id", "h", "template", "diagonal").agg(F.count("*").alias("votes")).join(facts, "template").where("votes = n_grams")
         .select("doc_id", "h", "label", F.lit(True).alias("whole"), F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("n_template") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("score"))
     )
-    # Notices: hits in document order; a new span begins where the diagonal drifts or the gap is too wide.
-    order = Window.partitionBy("doc_id", "h", "template").orderBy("d", "t")
-    drift = F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT
-    gap = F.col("d") - F.lag("d").over(order) > GAP
+    # Notices: the words of all hits, chained. A hit matches K words, so fewer different hits than need / K are no span.
+    need = F.greatest(F.ceil(F.col("n_template") * COVER), F.lit(LEAST_WORDS))
+    hits = votes.where("not whole").groupBy("doc_id", "h", "template").agg(F.collect_set(F.col("d").cast("long") * 65536 + F.col("t")).alias("hits"), F.count_distinct("t").alias("n_hits"))
+    likely = hits.join(facts, "template").where(F.col("n_hits") * K >= need)
+    codes = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(*(x + j * 65537 for j in range(K)))))))
     spans = (
-        votes.where("not whole")
-        .withColumn("new", F.coalesce((drift | gap).cast("int"), F.lit(1)))
-        .withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "h", "template", "span")
-        .agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count_distinct("t").alias("votes"))
-        .join(facts, "template")
-        .withColumn("score", F.col("votes") / F.col("n_grams"))
-        .where((F.col("score") >= COVER) & (F.col("votes") >= LEAST_VOTES))
-        .select("doc_id", "h", "label", F.lit(False).alias("whole"), F.col("first").cast("long").alias("first_word"), (F.col("last") + K - 1).cast("long").alias("last_word"), "score")
+        likely.select("doc_id", "h", "template", "label", "n_template", F.explode(chains(codes, F.col("n_template"), need)).alias("c"))
+        .groupBy("doc_id", "h", "template", "label", "n_template", "c.first")
+        .agg(F.max(F.struct("c.n", (-F.col("c.last")).alias("back"))).alias("best"))
+        .select("doc_id", "h", "label", F.lit(False).alias("whole"), F.col("first").alias("first_word"), (-F.col("best.back")).alias("last_word"), (F.col("best.n") / F.col("n_template")).alias("score"))
     )
     return counted, exact.unionByName(spans)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import byte_cnn, lang_centroids, media
 from spanloom.llm.curriculum import curriculum, mix_rows, targets
-from spanloom.llm.license_scan import PHRASES, license_report
+from spanloom.llm.license_scan import NOTICES, PHRASES, license_report, license_scan
 
 EDGE = [(1, None, "en", "a"), (2, "", "en", None), (3, " \n", None, "a"), (None, "some words here", "en", "b"), (4, "x" * 300_000, "en", "b"), (5, "same text", "en", "a"), (5, "same text", "en", "a"), (6, "café Été", "fr", None)]
 SHAPE = "doc_id long, text string, lang string, source string"
@@ -179,6 +179,21 @@ def test_licence_notice_survives_edits(spark):
     assert (r.labels, r.base_labels, r.n_base) == ("mit-text", "", 0) and r.score > 0.5
 
 
+def test_licence_notice_is_found_by_its_words(spark):
+    # A contiguous part is found if it has half of the notice's words, whatever words they are.
+    rows, want = [(0, "licensed under the apache license version")], {0: ("apache-text", 0)}
+    for label, text in NOTICES:
+        w = text.split()
+        for n in (len(w), (len(w) + 1) // 2, (len(w) + 1) // 2 - 1):
+            for at in range(len(w) - n + 1):
+                want[len(rows)] = (label, n / len(w) if 2 * n >= len(w) else 0)
+                rows.append((len(rows), " ".join(["some words", *w[at : at + n], "follow here"])))
+    _, spans = license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.label): r.score for r in spans.where("not whole").collect()}
+    for i, (label, score) in want.items():
+        assert got.get((i, label), 0) == pytest.approx(score), rows[i]
+
+
 def test_licence_plan_is_native(spark, edge):
     plan = license_report(edge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
