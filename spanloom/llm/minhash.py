@@ -208,9 +208,9 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sketch = scratch.save(source.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
     usable = sketch.where("set_key is not null and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    copies = usable.select("set_key", "doc_id", "sig", "bands").join(classes, "set_key")
-    reps = scratch.save(copies.where("doc_id = rep").select("rep", "sig", "bands"))
+    # One row a class, however often an id and its text are repeated; equal sets have equal signatures and bands.
+    reps = scratch.save(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+    copies = usable.select("set_key", "doc_id").join(reps.select("set_key", "rep"), "set_key")
     own = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     # Buckets of two or more, each member with the bucket's smallest.
@@ -252,8 +252,9 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     more = links
     if not suspects.isEmpty():
         # The same suspects meet in many buckets: of equal groups one is enough.
-        group = suspects.groupBy("bucket", "i", "j").agg(F.bit_xor(F.xxhash64("rep")).alias("who"), F.count("*").alias("n"))
-        once = group.groupBy("who", "n").agg(F.min(F.struct("bucket", "i", "j")).alias("g")).select("g.bucket", "g.i", "g.j")
+        member = F.md5(F.concat(F.col("rep").cast("string").cast("binary"), F.lit(b":"), F.col("sig")))
+        group = suspects.groupBy("bucket", "i", "j").agg(F.md5(F.array_join(F.sort_array(F.collect_set(member)), "")).alias("who"))
+        once = group.groupBy("who").agg(F.min(F.struct("bucket", "i", "j")).alias("g")).select("g.bucket", "g.i", "g.j")
         held = suspects.join(once, ["bucket", "i", "j"]).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         more = links.unionByName(held.groupBy("bucket", "i", "j").applyInArrow(_spanning(k, percent, least), "a long, b long"))
     final = connected_components(more.unionByName(own), scratch)

@@ -80,6 +80,20 @@ def test_minhash_compares_large_buckets_in_full(spark, monkeypatch):
     assert got == want
 
 
+def test_minhash_tells_groups_of_repeated_rows_apart(spark):
+    # Of three texts only the last two link; in some triples they share buckets with the first only. Every row is twice there.
+    rows, links = [], []
+    for c in range(120):
+        for m, (at, n) in enumerate(((10, 3), (40, 2), (70, 2))):
+            words = [f"v{c}_{i}" for i in range(100)]
+            words[at : at + n] = [f"e{c}_{m}_{j}" for j in range(n)]
+            rows.append((3 * c + m, " ".join(words)))
+        links.append((3 * c + 1, 3 * c + 2))
+    want = components([i for i, _ in rows], links)
+    got = minhash_dedup(spark.createDataFrame(rows * 2, "doc_id long, text string"), k=4).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
 def test_minhash_of_nothing(spark):
     assert minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
