@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: A token: letters, digits and underscores of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Surface patterns of personal data.
+#: The five patterns of A42, with \b, \d and \s of all scripts.
+WARNINGS = {
+    "phone_like": r"(?U)(?<!\d)(?:\+84|0)(?:\d[\s.-]?){8,10}\d(?!\d)",
+    "id_like": r"(?U)(?<!\d)\d{9}(?:\d{3})?(?!\d)",
+    "email": r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "date_of_birth_like": r"(?U)\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19\d{2}|20\d{2})\b",
+    "address_like": r"(?iU)\b(?:số nhà|đường|phường|quận|hẻm|ngõ|ấp|xã|thôn)\b",
+}
 PRIVACY = {
     "phone": r"(?:\+84|0)(?:3|5|7|8|9)\d{8}",
     "national_id": r"\b(?:\d{9}|\d{12})\b",

@@ -38,11 +38,20 @@ SELECT source, sum(len(regexp_extract_all(text, '(?:\+84|0)(?:3|5|7|8|9)\d{8}'))
   sum(len(regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2}\b'))) AS n_birth_date
 FROM documents GROUP BY source""")
 def privacy_counts(spark, sf_dir) -> DataFrame:
-    """Personal-data surface patterns by source."""
+    """Four surface patterns by source, in forms that its SQL can express; A42 and P23 are privacy_warnings."""
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(p))).alias(f"n_{n}") for n, p in T.PRIVACY.items()))
 
 
+@query()
+def privacy_warnings(spark, sf_dir) -> DataFrame:
+    """Five personal-data patterns by source, and their total. (They look behind, which SQL cannot.)"""
+    d = table(spark, sf_dir, "documents")
+    counts = {n: F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)) for n, p in T.WARNINGS.items()}
+    g = d.groupBy("source").agg(*(c.alias(f"{n}_count") for n, c in counts.items()))
+    return g.withColumn("privacy_warning_count", sum((F.col(f"{n}_count") for n in counts), F.lit(0).cast("long")))
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS tk FROM documents),
 g AS (SELECT doc_id, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i+1]) AS g2,

@@ -327,3 +327,12 @@ def test_fusion_and_oracle_take_the_whole_pool(spark, sf_dir):
     n = {r.request_id: r.n for r in plans.expected_jaccard_whole(spark, sf_dir).collect()}
     got = plans.candidate_oracle_whole(spark, sf_dir).collect()
     assert {r.request_id: (r.n_pool, r.n_chosen) for r in got} == {q: (sizes[q], n[q]) for q in sizes}
+
+
+def test_privacy_warnings_count_five_patterns(spark, tmp_path):
+    from spanloom.plans.curation import privacy_warnings
+
+    text = "0912 345 678, 0912-345-678; 123456789 x a.b@c.vn 01/02/1990 Số nhà 5, đường Láng"
+    spark.createDataFrame([("s", text), ("s", None), ("t", "none")], "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: tuple(r)[1:] for r in privacy_warnings(spark, str(tmp_path)).collect()}
+    assert got == {"s": (2, 1, 1, 1, 2, 7), "t": (0, 0, 0, 0, 0, 0)}
