@@ -6,8 +6,9 @@ training vectors are clustered into up to CENTROIDS spherical k-means centroids.
 centroid by cosine; its score is that cosine's share against the best other language's, and it is *rejected* (column
 ``rejected``, score halved) if the distance is beyond the language's 99.5th percentile in training times a margin.
 
-Fitting takes a bounded sample: at most ``sample`` documents that are not held out and have a language (smallest hash of
-the id) and at most ``window`` bytes from the middle of each; predictions read whole texts.
+Fitting takes a bounded sample of each language: at most ``sample`` documents that are not held out (smallest hash of the
+id) and at most ``window`` bytes from the middle of each. Document frequencies are those of all such documents, and
+predictions read whole texts.
 
 Defined results: ``und``, score 0, for a null text or one without a letter, and for all texts if there is no training
 row. Null languages are left out of training. A null id is not held out.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, text_slices
@@ -55,6 +56,10 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def inverse(frequency: np.ndarray, n: int) -> np.ndarray:
+    return (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
+
+
 @dataclass
 class Centroids:
     languages: list[str]
@@ -74,16 +79,15 @@ class Centroids:
         return first, np.clip(np.where(rejected, score / 2, score), 0, 1), rejected
 
 
-def fit(texts: list[bytes], languages: list[str], centroids: int = CENTROIDS, rounds: int = 8, margin: float = 1.25, seed: int = 3) -> Centroids | None:
+def fit(texts: list[bytes], languages: list[str], centroids: int = CENTROIDS, rounds: int = 8, margin: float = 1.25, seed: int = 3, idf: np.ndarray | None = None) -> Centroids | None:
     if not texts:
         return None
     rng, names = np.random.default_rng(seed), sorted(set(languages))
-    tf = counts(texts)
-    idf = (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    v, which = vectors(tf, idf), np.array([names.index(x) for x in languages])
+    if idf is None:
+        idf = inverse(sum((counts([t]) > 0).sum(0) for t in texts), len(texts))
     centres, of, radius = [], [], []
     for i in range(len(names)):
-        own = v[which == i]
+        own = vectors(counts([t for t, x in zip(texts, languages) if x == names[i]]), idf)
         k = min(centroids, len(own))
         c = own[rng.permutation(len(own))[:k]]
         for _ in range(rounds):
@@ -96,16 +100,34 @@ def fit(texts: list[bytes], languages: list[str], centroids: int = CENTROIDS, ro
     return Centroids(names, idf, np.concatenate(centres).astype(np.float32), np.array(of), np.array(radius))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lower-cased texts: in how many each column occurs; column -1 counts the texts."""
+    n, found = 0, np.zeros(DIMS, np.int64)
+    for part in text_slices(batches):
+        for at in range(0, part.num_rows, BLOCK):
+            texts = [x.encode() for x in part.column("text").slice(at, BLOCK).to_pylist()]
+            found += (counts(texts) > 0).sum(0)
+            n += len(texts)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], found]))], names=["place", "n"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS, window: int = SAMPLE_BYTES) -> Centroids | None:
-    """Centroids from at most ``sample`` documents that are not held out and have a language and a letter."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    # The sample has a fixed bound, so it may be broadcast.
-    texts = rows.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    """Centroids from at most ``sample`` documents of each language that are not held out and have a letter."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
+    # The sample has a fixed bound for each language, so it may be broadcast.
+    texts = rows.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     start = F.greatest(F.lit(1), ((F.octet_length("text") - window) / 2).cast("int") + 1)
-    cut = texts.where(F.col("text").rlike(r"\p{L}")).select("lang", F.substring(F.encode("text", "utf-8"), start, F.lit(window)).alias("text"))
-    got = sorted((r.text, r.lang) for r in cut.toLocalIterator())[: 2 * sample]
-    return fit([bytes(t) for t, _ in got], [x for _, x in got])
+    cut = texts.select("lang", F.substring(F.encode("text", "utf-8"), start, F.lit(window)).alias("text"))
+    got = sorted((r.text, r.lang) for r in cut.toLocalIterator())
+    if not got:
+        return None
+    frequency = rows.select(F.lower("text").alias("text")).mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    found = {r.place: r.n for r in frequency.collect()}
+    idf = inverse(np.array([found[i] for i in range(DIMS)]), found[-1])
+    return fit([bytes(t) for t, _ in got], [x for _, x in got], idf=idf)
 
 
 def _predictor(model: Centroids | None):

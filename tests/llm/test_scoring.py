@@ -72,6 +72,16 @@ def test_language_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(6)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [(i, text("abcdefgh"), "a") if i % 100 else (i, text("stuvwxyz"), "b") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_centroids.train(docs, sample=5)
+    assert model.languages == ["a", "b"]
+    assert all(r.lang_pred == ("a" if r.doc_id % 100 else "b") for r in lang_centroids.identify(docs, model).collect())
+
+
 def test_language_of_edge_rows(spark, edge):
     model = lang_centroids.fit([b"the cat and the dog", b"le chat et le chien"], ["en", "fr"])
     got = lang_centroids.identify(edge, model).collect()
