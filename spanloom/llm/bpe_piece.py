@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,8 +29,9 @@ from .common import claim, text_slices
 
 #: The pattern and vocabulary that the queries use come with the installed tokenizer files.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks, and pre-tokens, that a generation of a worker's memory holds.
-REMEMBERED = 150_000
+#: Chunks that a generation of a worker's memory holds, and the length that they stay under.
+REMEMBERED, LONGEST = 300_000, 64
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 _MAP = {b: chr(0x100 + b) for b in range(256)}
 
 
@@ -80,12 +83,6 @@ class Memory:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def recall(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.keep(key, value)
-        return value
-
     def keep(self, key: str, value: bytes) -> None:
         if len(self.new) >= self.most:
             # In place: encode() holds the dictionary's get.
@@ -102,40 +99,65 @@ class ChunkCoder:
 
         most = remembered or REMEMBERED
         self.split = regex.compile(pattern).findall
-        self.words, self.chunks = Memory(most), Memory(most)
+        #: Letters after a space, then other signs, are two pre-tokens, so these need no search.
+        self.plain_words = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" in pattern
+        #: What follows a space and does not end with white space, under its text without the space; other pre-tokens.
+        self.chunks, self.words = Memory(most), Memory(most // 4)
 
     def pretoken_ids(self, word: str) -> list[int]:
         raise NotImplementedError
 
+    def _packed(self, word: str) -> bytes:
+        ids = self.pretoken_ids(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _pretoken(self, word: str) -> bytes:
-        ids = self.words.recall(word)
+        memory, key = (self.chunks, word[1:]) if word[0] == " " and not word[-1].isspace() else (self.words, word)
+        ids = memory.new.get(key)
         if ids is None:
-            ids = np.array(self.pretoken_ids(word), "<u4").tobytes()
-            self.words.keep(word, ids)
+            ids = memory.old.get(key)
+            if ids is None:
+                ids = self._packed(word)
+            if len(key) < LONGEST:
+                memory.keep(key, ids)
         return ids
 
-    def _chunk(self, text: str) -> bytes:
-        ids = self.chunks.recall(text)
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._pretoken, self.split(text)))
+
+    def _chunk(self, bare: str) -> bytes:
+        """Of a space and a chunk that does not end with white space: what ends so belongs with the next chunk."""
+        ids = self.chunks.old.get(bare)
         if ids is None:
-            ids = b"".join([self._pretoken(w) for w in self.split(text)])
-            # What ends with white space belongs with the next chunk, so it is not remembered on its own.
-            if text and len(text) < 64 and not text[-1].isspace():
-                self.chunks.keep(text, ids)
+            core = bare.rstrip(".,;:!?") if self.plain_words else ""
+            if core.isalpha() and (core.isascii() or _LATIN(core)):
+                words = [" " + core, bare[len(core) :]] if len(core) < len(bare) else [" " + core]
+            else:
+                words = self.split(" " + bare)
+            ids = self._packed(words[0]) if len(words) == 1 else b"".join(map(self._pretoken, words))
+        if len(bare) < LONGEST:
+            self.chunks.keep(bare, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
         got = list(map(self.chunks.new.get, parts))
-        for i in [i for i, ids in enumerate(got) if ids is None]:
-            if got[i] is None:
-                held, j = parts[i], i
-                while (not held or held[-1].isspace()) and j + 1 < len(parts):
-                    j += 1
-                    held += parts[j]
-                    got[j] = b""
-                got[i] = self._chunk(held)
-        return b"".join(got)
+        got[0], i = None, -1
+        while True:
+            try:
+                i = got.index(None, i + 1)
+            except ValueError:
+                return b"".join(got)
+            bare = parts[i]
+            if i and bare and not bare[-1].isspace():
+                got[i] = self._chunk(bare)
+                continue
+            held, first = " " + bare if i else bare, i
+            while (not held or held[-1].isspace()) and i + 1 < len(parts):
+                i += 1
+                held += " " + parts[i]
+                got[i] = b""
+            got[first] = self._plain(held)
 
 
 class PieceCodec(ChunkCoder):

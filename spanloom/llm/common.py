@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step holds at once in a Python worker.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary one, and any other must name one, as executors could not see the driver's own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES, unless the session says otherwise: both ends of a Python worker hold a batch or two."""
+    if spark.conf.get(_BATCH, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor costs a reread, not a recomputation.
 
@@ -40,6 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        small_batches(spark)
         self.spark, self.base = spark, f"{scratch_root(spark)}/spanloom-{what}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self._count = 0
@@ -93,17 +109,34 @@ _release: dict[str, object] = {}
 
 def claim(owner: str, release=None) -> None:
     """A Python worker outlives its task and serves other operators: whoever starts work in it drops what the others
-    still hold in memory (their ``release``), so a worker never holds more than one operator's caches."""
-    for other in [o for o in _release if o != owner]:
+    still hold in memory (their ``release``) and gives free memory back to the system, so a worker never holds more
+    than one operator's caches."""
+    others = [o for o in _release if o != owner]
+    for other in others:
         _release.pop(other)()
-    if release is not None:
-        _release[owner] = release
+    if others or _owner[0] != owner:
+        _owner[0] = owner
+        give_back()
+    _release[owner] = release or (lambda: None)
+
+
+_owner = [""]
+
+
+def give_back() -> None:
+    """Free memory of Python, Arrow and the C library goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class WordHasher(dict):
     """64-bit word hashes, kept for words seen before; emptied when full, which changes no result."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -6,9 +6,11 @@
 3. In each band bucket every member meets the bucket's smallest member. The packed signatures estimate the
    similarity by counting equal b-bit fields, corrected for chance collisions; what is clearly below the threshold
    goes, the rest is decided on the full shingle sets.
-4. Buckets whose members are still in several components are compared in full, in blocks: a task holds two blocks of
-   at most BLOCK members, and emits a spanning forest of the confirmed links instead of all pairs. So no bucket is
-   capped, no task holds a bucket, and no group of copies is expanded into pairs.
+4. Buckets whose members are still in several components are compared further: those outside of the component of the
+   bucket's smallest member (its *rest*) against all members, in blocks of about BLOCK members and BLOCK_BYTES of text.
+   A task holds a block of each side and emits a spanning forest of the confirmed links instead of all pairs. So no
+   bucket is capped, no task holds a bucket, and no group of copies is expanded into pairs; the rows that are dealt
+   out grow with members times rest, not with the square of a bucket that the first step has linked.
 
 Defined results: null or empty texts have no shingles and link with nothing. A null id links with nothing and keeps a
 null component. Rows that repeat an id are one vertex. Other columns are ignored.
@@ -31,8 +33,8 @@ BANDS, ROWS, BITS = 25, 5, 4
 HASHES = 128
 #: Estimates under threshold - SLACK are dropped: over four standard deviations of an estimate from 128 fields.
 SLACK = 0.15
-#: Members of a bucket that a task compares with as many others.
-BLOCK = 256
+#: Members of a bucket that a task compares with as many others, and bytes of their texts, on average.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -80,8 +82,9 @@ def band_keys(low: np.ndarray) -> list[int]:
 
 
 _SKETCH = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_bytes", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]
 )
+_SKETCH_DDL = "doc_id long, n_shingles long, n_bytes long, set_key binary, sig binary, bands array<long>"
 
 
 def _sketcher(k: int):
@@ -94,6 +97,7 @@ def _sketcher(k: int):
                 s = shingles(text, k, hasher)
                 out["doc_id"].append(doc)
                 out["n_shingles"].append(len(s))
+                out["n_bytes"].append(len(text or b""))
                 if len(s):
                     low = minima(s)
                     out["set_key"].append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -160,18 +164,26 @@ class _Forest:
         return x != y
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signatures of a group, and the rows of its block of the rest and of its block of all members."""
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    rest = t.column("rest").to_numpy()
+    return sig, np.flatnonzero(rest), np.flatnonzero(~rest)
+
+
 def _suspects(least: float):
     """Of two blocks of a bucket: the members that have a likely partner in another component."""
 
     def run(t):
         t = t.combine_chunks()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        sig, x, y = _sides(t)
         comp, found = t.column("component").to_numpy(), np.zeros(t.num_rows, bool)
-        for at in range(0, t.num_rows, 64):
-            hit = (estimate(sig[at : at + 64, None], sig[None]) >= least) & (comp[at : at + 64, None] != comp[None])
-            found[at : at + 64] |= hit.any(1)
-            found |= hit.any(0)
-        return t.select(["bucket", "i", "j", "rep", "component", "sig"]).filter(pa.array(found))
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            hit = (estimate(sig[part, None], sig[None, y]) >= least) & (comp[part, None] != comp[None, y])
+            found[part] = hit.any(1)
+            found[y] |= hit.any(0)
+        return t.filter(pa.array(found))
 
     return run
 
@@ -181,15 +193,20 @@ def _spanning(k: int, percent: int, least: float):
 
     def run(t):
         claim("minhash")
-        hasher, forest, links = WordHasher(), _Forest(), ([], [])
+        hasher, forest, links, sets = WordHasher(), _Forest(), ([], []), {}
         t = t.combine_chunks()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        sets = [shingles(x, k, hasher) for x in t.column("text").to_pylist()]
-        rep, comp = t.column("rep").to_pylist(), t.column("component").to_pylist()
-        for a in range(t.num_rows):
-            e = estimate(sig[a], sig[a + 1 :])
-            for b in (np.argsort(-e, kind="stable")[: int((e >= least).sum())] + a + 1).tolist():
-                if forest.root(comp[a]) != forest.root(comp[b]) and _linked(sets[a], sets[b], percent):
+        sig, x, y = _sides(t)
+        rep, comp, text = t.column("rep").to_pylist(), t.column("component").to_pylist(), t.column("text")
+
+        def of(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = shingles(text[row].as_py(), k, hasher)
+            return sets[row]
+
+        for a in x.tolist():
+            e = estimate(sig[a], sig[y])
+            for b in y[np.argsort(-e, kind="stable")[: int((e >= least).sum())]].tolist():
+                if forest.root(comp[a]) != forest.root(comp[b]) and _linked(of(a), of(b), percent):
                     forest.join(comp[a], comp[b])
                     links[0].append(rep[a])
                     links[1].append(rep[b])
@@ -206,10 +223,10 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     scratch, least = Scratch(spark, "minhash"), percent / 100 - SLACK
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sketch = scratch.save(source.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
+    sketch = scratch.save(source.mapInArrow(_sketcher(k), _SKETCH_DDL))
     usable = sketch.where("set_key is not null and doc_id is not null")
     # One row a class, however often an id and its text are repeated; equal sets have equal signatures and bands.
-    reps = scratch.save(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+    reps = scratch.save(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_bytes").alias("n_bytes"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
     copies = usable.select("set_key", "doc_id").join(reps.select("set_key", "rep"), "set_key")
     own = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
@@ -235,24 +252,29 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     )
     links = scratch.save(pairs.mapInArrow(_confirmed(k, percent), "a long, b long"))
 
-    # Larger buckets that the stars left in several components.
+    # Larger buckets that the stars left in several components: their rest against all members.
     comps = connected_components(links, scratch)
     placed = members.where("n > 2").join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select(
-        "bucket", "n", "rep", F.coalesce("component", "rep").alias("component")
+        "bucket", "rep", F.coalesce("component", "rep").alias("component")
     )
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = placed.join(split, "bucket").join(signed, "rep").withColumn("at", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    dealt = open_.select(
-        "bucket", "rep", "component", "sig",
-        F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))).alias("ij"),
-    ).select("bucket", "ij.i", "ij.j", "rep", "component", "sig")
-    shape = "bucket long, i int, j int, rep long, component long, sig binary"
-    suspects = scratch.save(dealt.groupBy("bucket", "i", "j").applyInArrow(_suspects(least), shape))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by("component", "rep").alias("home")).where("x <> y").select("bucket", "home")
+    open_ = placed.join(split, "bucket").join(reps.select("rep", "sig", "n_bytes"), "rep").withColumn("rest", F.col("component") != F.col("home"))
+    dealt_in = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    blocks = open_.groupBy("bucket").agg(
+        dealt_in(F.count_if("rest"), F.sum(F.when(F.col("rest"), F.col("n_bytes")).otherwise(0))).alias("m_rest"),
+        dealt_in(F.count("*"), F.sum("n_bytes")).alias("m_all"),
+    )
+    cell = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = open_.select("bucket", "rep", "component", "sig", "rest").join(blocks, "bucket")
+    left = spread.where("rest").select("bucket", cell("m_rest").alias("i"), each("m_all").alias("j"), "rep", "component", "sig", "rest")
+    right = spread.select("bucket", each("m_rest").alias("i"), cell("m_all").alias("j"), "rep", "component", "sig", F.lit(False).alias("rest"))
+    shape = "bucket long, i int, j int, rep long, component long, sig binary, rest boolean"
+    suspects = scratch.save(left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(_suspects(least), shape))
     more = links
     if not suspects.isEmpty():
         # The same suspects meet in many buckets: of equal groups one is enough.
-        member = F.md5(F.concat(F.col("rep").cast("string").cast("binary"), F.lit(b":"), F.col("sig")))
+        member = F.md5(F.concat(F.concat_ws(":", "rep", "rest").cast("binary"), F.lit(b":"), F.col("sig")))
         group = suspects.groupBy("bucket", "i", "j").agg(F.md5(F.array_join(F.sort_array(F.collect_set(member)), "")).alias("who"))
         once = group.groupBy("who").agg(F.min(F.struct("bucket", "i", "j")).alias("g")).select("g.bucket", "g.i", "g.j")
         held = suspects.join(once, ["bucket", "i", "j"]).join(texts.withColumnRenamed("doc_id", "rep"), "rep")

@@ -38,8 +38,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 256 << 20
 HASHES, BITS_PER_KEY = 7, 10
-#: Chunks, and pre-tokens, that a generation of a worker's memory holds.
-REMEMBERED = 350_000
+#: Chunks that a generation of a worker's memory holds.
+REMEMBERED = 600_000
 MAGIC = b"SPLMSST1"
 _FOOTER = struct.Struct("<QQQQQQHHI4x8s")
 
@@ -213,12 +213,17 @@ class ChunkEncoder(ChunkCoder):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(keep))}
+        self.space = self.letters[32]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def pretoken_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        if word.isascii() and word.isprintable():
+            word = word.replace(" ", self.space)
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)]
 
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):

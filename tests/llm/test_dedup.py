@@ -65,7 +65,10 @@ def test_minhash_equals_brute_force(spark, k):
         assert (r.component_id, r.kept) == ((want[r.doc_id], want[r.doc_id] == r.doc_id) if r.doc_id is not None else (None, True))
 
 
-def test_minhash_compares_large_buckets_in_full(spark, monkeypatch):
+@pytest.mark.parametrize("block, size", [(256, 2 << 20), (5, 2 << 20), (256, 3_000)])
+def test_minhash_compares_large_buckets_in_full(spark, monkeypatch, block, size):
+    monkeypatch.setattr("spanloom.llm.minhash.BLOCK", block)
+    monkeypatch.setattr("spanloom.llm.minhash.BLOCK_BYTES", size)
     # A chain of edits: far ends share buckets but not links, and the star's centre misses most members.
     words = [f"v{i}" for i in range(100)]
     rows = []
