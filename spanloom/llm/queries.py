@@ -39,7 +39,8 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    mix = curriculum(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def op6_lang(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,17 +5,20 @@ grams; a *block* is a run of windows with the same minimizer, so equal text fall
 
 1. One pass cuts each document into blocks (gram hash, hash of the block's words, place). A map task keeps the first
    place of equal blocks and settles the others at once, so a passage in a third of all documents leaves a task once.
-2. The index is sharded by gram hash. In a shard, a block whose words occur at an earlier place is a copy of the first.
-   Blocks that share a gram but differ are factor boundaries: copied text ends inside them.
-3. Boundary blocks are checked window by window, by the same two steps with windows in place of blocks.
-4. Copied blocks and windows go back to their document, are merged greedily into factors (source, start, words), and
-   the words that factors cover go.
+2. The index of blocks is range-sharded by gram and content, so a gram with very many contexts is spread over shards. In
+   a shard, a block whose words occur at an earlier place is a copy of the first. Blocks that share a gram but differ
+   may be factor boundaries: copied text ends inside them. (So may those of a gram that a shard's edge cuts.)
+3. Boundary blocks are looked up window by window, by the same two steps with windows in place of blocks.
+4. A document is factored greedily: at the first place from which a window occurs earlier, the factor runs on as long as
+   its source does, the next factor begins where it ends. Windows that lie across the end of a factor are checked one by
+   one, and those with an earlier equal are boundary factors of their own. What factors cover is removed.
 
 The first place of any window lies in the first of its equal blocks, so the result is exact: each window with an
 earlier equal is found, and no other. Windows are judged on the input, not on what is left.
 
-Defined results: null and empty texts have no words, keep an empty text, and copy nothing. A null id comes after all
-others. Rows with the same id are one document for "earlier"; identical rows stay alike. Other columns are kept.
+Defined results: null and empty texts have no words, keep an empty text, and copy nothing. Rows with the same id are one
+document for "earlier": what they share at the same place is no copy. Rows without an id come after all others and are
+one document in that sense, too (as is the id 2**63 - 1). Other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import Scratch, WordHasher, claim, mix64, rolling, text_slices
 #: Words of the gram that anchors a block.
 GRAM = 8
 #: Blocks that a map task holds before it settles the equal ones.
-BUFFER = 1_000_000
+BUFFER = 400_000
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LAST = 2**63 - 1
@@ -127,65 +130,106 @@ def _cutter(window: int, boundary: bool):
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard of the index, sorted: copies with their source; and, without source, blocks that share their gram with others.
+def _judge(boundary: bool):
+    """A shard of the index, sorted: copies with their source; and, without source, blocks that share their gram with
+    others (unless these are windows already, ``boundary``).
 
-    Only the rows of the last gram are held over from batch to batch; map tasks have left one row a class of it.
+    From batch to batch only the last class is remembered, and of a gram with one class so far its first places.
     """
-    held: list[np.ndarray] | None = None
-    for batch in _with_end(batches):
-        if batch is None:
-            rows, upto = held, len(held[0]) if held else 0
-            held = None
-        else:
-            s = batch.column("s")
-            settled = _valid(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last class: gram, content, first document and place; whether its gram is known to be shared.
+        last: tuple | None = None
+        shared, held, none = False, [], np.empty(0, np.int64)
+
+        def hits(doc, loc, src_doc, src_loc, mask=None):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(loc), pa.array(src_doc, mask=mask), pa.array(src_loc, mask=mask)], schema=_HITS)
+
+        def marks(some: list[tuple[np.ndarray, np.ndarray]]):
+            doc, loc = (np.concatenate([none, *x]) for x in zip(*some)) if some else (none, none)
+            return hits(doc, loc, doc, loc, np.ones(len(doc), bool))
+
+        for batch in batches:
+            settled = _valid(batch.column("s"))
             if settled.any():
                 b = batch.filter(pa.array(settled))
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("loc"), b.column("c"), b.column("s")], schema=_HITS)
             b = batch.filter(pa.array(~settled))
-            rows = [b.column(n).to_numpy(zero_copy_only=False) for n in ("k", "c", "doc", "loc")]
-            if held:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            if not len(rows[0]):
+            if not b.num_rows:
                 continue
-            upto = int(np.searchsorted(rows[0] == rows[0][-1], True)) if rows[0][0] != rows[0][-1] else 0
-            held = [x[upto:] for x in rows]
-        if not upto:
-            continue
-        k, c, doc, loc = (x[:upto] for x in rows)
-        new_gram = np.concatenate([[True], k[1:] != k[:-1]])
-        head = new_gram | np.concatenate([[True], c[1:] != c[:-1]])
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        copy = (doc != doc[first]) | (loc >> 32 != loc[first] >> 32)
-        classes = np.add.reduceat(head.astype(np.int64), np.flatnonzero(new_gram))
-        mixed = ~copy & (classes[np.cumsum(new_gram) - 1] > 1)
-        out = copy | mixed
-        if out.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[out]), pa.array(loc[out]), pa.array(doc[first][out], mask=mixed[out]), pa.array(loc[first][out], mask=mixed[out])], schema=_HITS
-            )
-
+            k, c, doc, loc = (b.column(n).to_numpy() for n in ("k", "c", "doc", "loc"))
+            new_gram, head = np.ones(len(k), bool), np.ones(len(k), bool)
+            new_gram[1:] = k[1:] != k[:-1]
+            head[1:] = new_gram[1:] | (c[1:] != c[:-1])
+            if last:
+                new_gram[0] = k[0] != last[0]
+                head[0] = new_gram[0] or c[0] != last[1]
+            # Row -1 of ``first`` stands for the class that goes on from the batch before.
+            at = np.concatenate([[-1], np.flatnonzero(head)])[np.cumsum(head)]
+            first_doc, first_loc = np.where(at < 0, last[2] if last else 0, doc[at]), np.where(at < 0, last[3] if last else 0, loc[at])
+            copy = (doc != first_doc) | (loc >> 32 != first_loc >> 32)
+            if copy.any():
+                yield hits(doc[copy], loc[copy], first_doc[copy], first_loc[copy])
+            if not boundary:
+                gram = np.cumsum(new_gram)
+                classes = np.bincount(gram, head)
+                # Of gram 0, the one that goes on: one class more is known.
+                classes[0] += bool(last)
+                many = classes > 1
+                many[0] |= shared
+                # The first gram of a shard may go on from the shard before.
+                if last is None:
+                    many[1] = True
+                if many[0]:
+                    yield marks(held)
+                    held = []
+                known = ~copy & many[gram]
+                if gram[-1]:
+                    held = []
+                if known.any():
+                    yield marks([(doc[known], loc[known])])
+                shared, open_ = bool(many[gram[-1]]), ~copy & (gram == gram[-1])
+                if not shared:
+                    held.append((doc[open_], loc[open_]))
+            last = (k[-1], c[-1], first_doc[-1], first_loc[-1])
+        # The last gram may go on in the next shard.
+        if held:
+            yield marks(held)
 
-def _with_end(batches):
-    yield from batches
-    yield None
+    return run
 
 
 def _valid(column: pa.Array) -> np.ndarray:
     return column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _merge(spans: list[tuple[int, int, int, int]]) -> list[dict]:
-    """Greedy factors from copied spans (start, end, source document, source start): on, while the source runs on."""
-    out: list[dict] = []
-    for a, b, doc, at in sorted(spans):
-        last = out[-1] if out else None
-        if last and last["src_doc"] == doc and at - last["src_start"] == a - last["start"] and a <= last["start"] + last["n_words"]:
-            last["n_words"] = max(last["n_words"], b - last["start"])
-        else:
-            out.append({"start": a, "n_words": b - a, "src_doc": doc, "src_start": at})
-    return out
+def _factors(hits: list[dict], n_words: int, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, source document, source start) of a document, from the windows that occur earlier."""
+    n = n_words - window + 1
+    source, at = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    for h in hits:
+        a, size = h["loc"] >> 32, h["loc"] >> 28 & 15
+        source[a : a + size] = h["src_doc"]
+        at[a : a + size] = np.arange(size) + (h["src_loc"] >> 32)
+    found = np.zeros(n + 1, bool)
+    for h in hits:
+        a = h["loc"] >> 32
+        found[a : a + (h["loc"] >> 28 & 15)] = True
+    # A run of windows whose source runs on is the longest match from any of its places.
+    goes_on = found[1:n] & found[: n - 1] & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + 1)
+    ends = np.append(np.flatnonzero(~goes_on), n - 1) if n > 1 else np.zeros(1, np.int64)
+    starts, out, pos = np.flatnonzero(found), [], 0
+    while True:
+        i = np.searchsorted(starts, pos)
+        if i == len(starts):
+            return out
+        first = int(starts[i])
+        last = int(ends[np.searchsorted(ends, first)])
+        out.append((first, last - first + window, int(source[first]), int(at[first])))
+        # Windows across the end of the factor.
+        pos = last + window
+        across = starts[np.searchsorted(starts, last + 1) : np.searchsorted(starts, pos)]
+        out.extend((int(w), window, int(source[w]), int(at[w])) for w in across)
 
 
 def _remover(window: int, schema: pa.Schema, verbatim: bool):
@@ -195,13 +239,11 @@ def _remover(window: int, schema: pa.Schema, verbatim: bool):
             out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept_text", "factors")}
             for text, *hits in zip(*(part.column(n).to_pylist() for n in ("body", "hits", "more"))):
                 words = (text or b"").split()
-                cover, spans = np.zeros(len(words) + 1, np.int32), []
-                for h in (h for some in hits for h in some or ()):
-                    a = h["loc"] >> 32
-                    b = a + (h["loc"] >> 28 & 15) + window - 1
-                    cover[a] += 1
-                    cover[b] -= 1
-                    spans.append((a, b, h["src_doc"], h["src_loc"] >> 32))
+                hits = [h for some in hits for h in some or ()]
+                parts, cover = _factors(hits, len(words), window) if hits else [], np.zeros(len(words) + 1, np.int32)
+                for start, n, _, _ in parts:
+                    cover[start] += 1
+                    cover[start + n] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 removed = int(gone.sum())
                 out["n_words"].append(len(words))
@@ -209,7 +251,7 @@ def _remover(window: int, schema: pa.Schema, verbatim: bool):
                 if removed or not verbatim:
                     text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed else words)
                 out["kept_text"].append(text)
-                out["factors"].append(_merge(spans))
+                out["factors"].append([dict(zip(("start", "n_words", "src_doc", "src_start"), f)) for f in parts])
             yield pa.RecordBatch.from_arrays(
                 [part.column(n) if n not in out else pa.array(out[n], pa.binary()).cast(pa.string()) if n == "kept_text" else pa.array(out[n], schema.field(n).type) for n in schema.names],
                 schema=schema,
@@ -227,6 +269,7 @@ def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_co
     kept_text has one space between words; with ``verbatim``, texts that lose nothing stay as they are.
 
     A factor is (start, n_words, src_doc, src_start) in words; its words occur from src_start of src_doc on, earlier.
+    Factors of the greedy parse do not overlap; after each come the boundary factors, of one window, across its end.
     """
     if not 2 <= window <= 20:
         raise ValueError("a window has 2 to 20 words")
@@ -240,18 +283,19 @@ def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_co
     )
     keys, hits = "k long, c long, doc long, loc long, s long", "doc long, loc long, src_doc long, src_loc long"
 
-    def sharded(rows: DataFrame) -> DataFrame:
-        return rows.repartition("k").sortWithinPartitions("k", "c", "doc", "loc").mapInArrow(_judge, hits)
-
     def by_document(rows: DataFrame, column: str) -> DataFrame:
         return rows.groupBy("doc", F.col("loc").bitwiseAND(_TAG).alias("tag")).agg(F.collect_list(F.struct("loc", "src_doc", "src_loc")).alias(column))
 
-    found = scratch.save(sharded(body.select("doc", "tag", "body").mapInArrow(_cutter(window, False), keys)))
+    order = ("k", "c", "doc", "loc")
+    # Written first, as the range partitioning looks at its keys once to choose the bounds.
+    blocks = scratch.save(body.select("doc", "tag", "body").mapInArrow(_cutter(window, False), keys))
+    found = scratch.save(blocks.repartitionByRange("k", "c").sortWithinPartitions(*order).mapInArrow(_judge(False), hits))
+    scratch.drop(blocks)
     copies = by_document(found.where("src_loc is not null"), "hits")
     bounds = found.where("src_loc is null").groupBy("doc", F.col("loc").bitwiseAND(_TAG).alias("tag")).agg(F.collect_list("loc").alias("marks"))
-    # Both joins below read one exchange of the texts.
+    # Both joins below read one exchange of the texts. Equal windows have equal contents, so no gram is needed here.
     windows = body.join(bounds, ["doc", "tag"]).mapInArrow(_cutter(window, True), keys)
-    more = by_document(sharded(windows).where("src_loc is not null"), "more")
+    more = by_document(windows.repartition("k", "c").sortWithinPartitions(*order).mapInArrow(_judge(True), hits), "more")
     whole = body.join(copies, ["doc", "tag"], "left").join(more, ["doc", "tag"], "left")
     shape = whole.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(None).cast(_FACTORS).alias("factors")).schema
     for f in shape.fields:

@@ -29,13 +29,14 @@ n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT comp.id AS vec_id, coalesce(n.n, 0) AS n_links, comp.component_id, comp.component_id = comp.id AS kept FROM comp LEFT JOIN n ON n.a = comp.id"""
 
 OP5 = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, ''))) AS turn FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
-o AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS k FROM s),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, '')) || ':' || coalesce('s' || source, 'n')) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+o AS (SELECT *, [3.0, 1.0, 2.0][i % 3 + 1] AS w, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / [3.0, 1.0, 2.0][i % 3 + 1], i) AS k, 0.8 * (2.0 * i / greatest(count(*) OVER () - 1, 1) - 1) AS tilt FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, 1.5 * sum(source_size) OVER () AS budget FROM o),
 level AS (SELECT (budget - capped) / open_w AS level FROM c WHERE (budget - capped) / open_w * w <= cap ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, round(CAST(least(cap, (SELECT level FROM level) * w) AS DOUBLE), 6) AS target FROM c),
-a AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, greatest(least(quota - place, size), 0) + greatest(least(quota - source_size - place, size), 0) AS taken FROM a"""
+t AS (SELECT source, source_size, CAST(tilt AS DOUBLE) AS tilt, round(CAST(least(cap, (SELECT level FROM level) * w) AS DOUBLE), 6) AS target FROM c),
+a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.tilt, CAST(round(t.target) AS BIGINT) AS quota, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, greatest(least(quota - place, size), 0) + greatest(least(quota - source_size - place, size), 0) AS taken,
+ CASE WHEN size > 0 AND place < quota THEN round(2.0 * (place * 1.0::DOUBLE / quota) / (1 + tilt + sqrt((1 + tilt) * (1 + tilt) - 4 * tilt * (place * 1.0::DOUBLE / quota))), 6) END AS position FROM a"""
 
 ORACLES = {"op1_minhash": OP1, "op2_rlz": OP2, "op3_projection": OP3, "op5_curriculum": OP5}

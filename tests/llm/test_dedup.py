@@ -134,6 +134,41 @@ def test_rlz_equals_brute_force(spark, window):
             assert f.n_words >= window
 
 
+def test_rlz_factors_are_greedy(spark):
+    rng = random.Random(7)
+    a = [f"a{rng.random()}" for _ in range(200)]
+    b = [f"b{rng.random()}" for _ in range(200)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[10:60], "x", "y", *a[100:130], *b[5:25], "z", *b[50:69]]))]
+    got = {r.row.doc_id: r for r in rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(f) for f in got[3].factors] == [(0, 50, 1, 10), (52, 30, 1, 100), (82, 20, 2, 5)]
+    assert (got[3].n_removed, got[3].kept_text) == (100, " ".join(["x", "y", "z", *b[50:69]]))
+    # 15 words of another source follow a factor: no factor, but a window across the end occurs earlier as well.
+    mixed = [*a[:40], *b[:30]]
+    rows = [(1, " ".join(a)), (2, " ".join(mixed[20:55])), (3, " ".join([*mixed[:55], "end"]))]
+    got = {r.row.doc_id: r for r in rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    factors = [tuple(f) for f in got[3].factors]
+    assert factors[0] == (0, 40, 1, 0) and factors[1:] == [(i, 20, 2, i - 20) for i in range(21, 36)] and got[3].n_removed == 55
+
+
+def test_rlz_of_a_gram_in_very_many_contexts(spark, monkeypatch):
+    # More shards than grams: one gram of eight words stands in every row, and some rows are copies around it.
+    hot, rows = " ".join(f"h{i}" for i in range(8)), []
+    for i in range(300):
+        side = [f"{'abcd'[j % 4]}{i % 150}_{j}" for j in range(60)]
+        rows.append((i, " ".join([*side[:30], hot, *side[30:]])))
+    want = brute_windows(rows, 20)
+    got = rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()
+    texts = dict(rows)
+    assert all((r.n_words, r.n_removed, r.kept_text) == want[r.row.doc_id, texts[r.row.doc_id]] for r in got) and sum(r.n_removed for r in got) == 150 * 68
+
+
+def test_rlz_of_rows_without_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words), (None, words), (None, "first " + words), (1, "z " + words)]
+    got = rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.row.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 30, 30), (0, 30, 30), (0, 31, 30), (1, 31, 0)]
+
+
 def test_rlz_settles_in_small_buffers(spark):
     rows = corpus(3)
     one = rlz_dedup(spark.createDataFrame(rows, "doc_id long, text string"))

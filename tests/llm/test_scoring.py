@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,27 +99,67 @@ def test_targets_fill_by_weight():
     assert targets([]) == {} and targets([("a", 0)]) == {"a": 0.0}
 
 
+def schedule(rows):
+    """By brute force: of each row (in order) its copies (position, words), by walking along the integral of the rate."""
+    digest = lambda i, t, s: hashlib.md5(f"{i}:{hashlib.md5((t or '').encode()).hexdigest()}:{'n' if s is None else 's' + s}".encode()).hexdigest()
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = [len((t or "").split()) for _, t, _ in rows]
+    total = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in names}
+    want, out = targets(list(total.items())), [[] for _ in rows]
+    for k, s in enumerate(names):
+        tilt, quota, at = 0.8 * (2 * k / max(len(names) - 1, 1) - 1), round(want[s]), 0
+        time = lambda d: brentq(lambda t: quota * ((1 + tilt) * t - tilt * t * t) - d)  # noqa: B023, E731
+        for _ in range(2):
+            for i in sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: digest(*rows[i])):
+                if size[i] and at < quota:
+                    out[i].append((time(at), min(size[i], quota - at)))
+                at += size[i]
+    return out, total, want
+
+
+def brentq(f):
+    """The zero of a rising function on [0, 1], by halving."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+    return lo
+
+
 def test_curriculum(spark, edge):
     rng = random.Random(4)
-    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), f"s{i % 5}" if i % 3 else "s0") for i in range(300)]
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), (None, "s0", "s1", "s2", "s3")[i % 5] if i % 3 else "s0") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = curriculum(docs).collect()
-    again = {(r.doc_id, r.taken) for r in curriculum(docs.repartition(7)).collect()}
-    assert {(r.doc_id, r.taken) for r in got} == again and len(got) == 300
-    source = {i: s for i, _, s in rows}
-    for s in set(source.values()):
-        own = [r for r in got if source[r.doc_id] == s]
-        assert sum(r.size for r in own) == own[0].source_size
-        assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=0.5 + 1e-9)
-        # Positions follow the running demand: earlier demand trains earlier.
-        flat = sorted((p.position, p.words) for r in own for p in r.positions)
-        assert all(0 <= p <= 1 for p, _ in flat)
-    assert all(r.taken <= 2 * r.size for r in got)
-    mixed = mix_rows(docs).collect()
-    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in got)
+    got = {r.doc_id: r for r in curriculum(docs).collect()}
+    assert {(r.doc_id, r.taken) for r in curriculum(docs.repartition(7)).collect()} == {(i, r.taken) for i, r in got.items()} and len(got) == 300
+    want, total, target = schedule(rows)
+    for i, (_, _, s) in enumerate(rows):
+        r = got[i]
+        assert (r.source_size, r.target) == (total[s], pytest.approx(target[s]))
+        assert [p.words for p in r.positions] == [w for _, w in want[i]] and r.taken == sum(w for _, w in want[i]) <= 2 * r.size
+        assert [p.position for p in r.positions] == pytest.approx([t for t, _ in want[i]], abs=1e-9)
+        assert r.position == (r.positions[0].position if r.positions else None)
+    order = [r.position for r in curriculum(docs).collect() if r.position is not None]
+    assert order == sorted(order)
     got = curriculum(edge).collect()
     assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((i or 0, len((t or "").split())) for i, t, _, _ in EDGE)
-    assert curriculum(edge.limit(0)).collect() == [] and mix_rows(edge.limit(0)).collect() == []
+    assert curriculum(edge.limit(0)).collect() == []
+
+
+def test_mixed_rows(spark, edge):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(0, 60))), f"s{i % 4}") for i in range(150)]
+    # Equal rows keep places of their own; the same id and text in another source follow that source.
+    rows += [(1000, "one two three", "s0")] * 3 + [(1000, "one two three", "s1")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, plan int, row int, size int")
+    want, _, _ = schedule(rows)
+    count = Counter()
+    for (i, t, s), copies in zip(rows, want):
+        count[i, t, s] += sum(2 * w >= len(t.split()) for _, w in copies)
+    got = mix_rows(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == +count
+    assert mix_rows(edge.limit(0)).collect() == [] and len(mix_rows(edge).columns) == len(edge.columns)
 
 
 def paeth_file(pixels: np.ndarray, kinds: list[int]) -> bytes:
@@ -153,7 +195,7 @@ def test_png_detects_damage():
 
 
 def test_media_rows(spark, edge):
-    import hashlib
+
 
     got = media.media_features(media.to_media(edge)).collect()
     assert len(got) == len(EDGE)
