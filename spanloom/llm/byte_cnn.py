@@ -2,12 +2,14 @@
 
 A filter of WIDTH bytes is a table of a weight for each byte at each place. The filters run over a whole document in
 chunks of CHUNK bytes that overlap by WIDTH - 1, so that each run of WIDTH bytes lies in one chunk; each chunk is
-max-pooled and gives, with the logarithm of its length, a logit, and the document's probability is the logistic function of their mean, weighted by bytes.
+max-pooled and gives, with the logarithm of its length, a logit, and the document's probability is the logistic function
+of their mean, weighted by bytes.
 
 Training takes a bounded sample: at most ``sample`` labelled documents that are not held out (those with the smallest
-hash of the id), and of each at most ``chunks`` evenly spaced chunks, each of them also cut to a random shorter length, so
-that short texts are judged as well as long ones. Its size does not grow with the corpus, so it runs
-on the driver, by Adam on the logistic loss, with a fixed seed.
+hash of the id, as far as their texts add up to SAMPLE_BYTES), each with its whole text. All their chunks are examples,
+weighted so that documents count alike; and, so that short texts are judged as well as long ones, of each document a
+piece of a random short length at a random place. The sample does not grow with the corpus, so training runs on the
+driver, by Adam on the logistic loss, with a fixed seed.
 
 Defined results: null and empty texts are scored as one padded chunk. Null labels are left out; an id that is labelled
 more than once counts with its mean, from 0.5 up as 1. Without any label the score is 0.5. A null id is not held out.
@@ -22,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, held_out, text_slices
+from .common import claim, held_out, small_batches, text_slices
 
 WIDTH, FILTERS, CHUNK = 5, 16, 512
-SAMPLE_DOCS, SAMPLE_CHUNKS = 4_000, 2
+SAMPLE_DOCS, SAMPLE_BYTES = 4_000, 64 << 20
 STEP = CHUNK - WIDTH + 1
-#: Steps of training, of 64 examples each, whatever the size of the sample.
-STEPS = 1_000
+#: Times that training passes over the examples, by 64 at a time, and the least number of steps.
+PASSES, STEPS = 2, 1_000
 #: Byte 256 pads.
 PAD = 256
 
@@ -70,8 +72,9 @@ class Network:
             total += float((pooled @ self.w + self.l * length(sizes)) @ sizes)
         return total / n + float(self.b[0])
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
-        rng, step = np.random.default_rng(seed), 0
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
+        rng, step, steps = np.random.default_rng(seed), 0, max(STEPS, PASSES * -(-len(x) // batch))
+        weight = np.ones(len(x), np.float32) if weight is None else weight
         moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in vars(self).items()}
         places = np.arange(WIDTH)
         while step < steps:
@@ -84,7 +87,7 @@ class Network:
                 p = np.take_along_axis(r, top[:, None], 1)[:, 0] + self.c
                 live, size = p > 0, length(np.maximum((xb[:, WIDTH - 1 :] != PAD).sum(1), 1))
                 pooled = np.where(live, p, 0)
-                d = (1 / (1 + np.exp(-(pooled @ self.w + self.l * size + self.b))) - yb).astype(np.float32) / len(xb)
+                d = (1 / (1 + np.exp(-(pooled @ self.w + self.l * size + self.b))) - yb).astype(np.float32) * weight[order[at : at + batch]] / len(xb)
                 dp = np.where(live, d[:, None] * self.w, 0)
                 g = {"w": pooled.T @ d, "l": (d * size).sum(keepdims=True), "b": d.sum(keepdims=True), "c": dp.sum(0), "t": np.zeros_like(self.t)}
                 seen = xb[np.arange(len(xb))[:, None, None], top[..., None] + places]
@@ -99,48 +102,41 @@ class Network:
         return self
 
 
-def _chunks_of(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("byte_cnn")
-        for part in text_slices(batches):
-            out, label = [], []
-            for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
-                text = text or b""
-                last = max(len(text) - CHUNK, 0)
-                for at in sorted({last * i // max(most - 1, 1) for i in range(most)}):
-                    out.append(text[at : at + CHUNK])
-                    label.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(label, pa.int32())], names=["chunk", "y"])
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chunks: int = SAMPLE_CHUNKS, label: str = "quality") -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES, label: str = "quality") -> Network | None:
     """A network from labelled documents that are not held out; None without any."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # The sample has a fixed bound, so it may be broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
-    got = sorted(rows.mapInArrow(_chunks_of(chunks), "chunk binary, y int").toArrow().to_pydict().items())
-    if not got or not got[0][1]:
+    # The sample has a fixed bound, so it may be broadcast. Of rows that repeat an id one counts, the least.
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("least"))
+    sizes = sorted(one.select(F.xxhash64("doc_id").alias("turn"), "doc_id", "y", "least").collect())
+    fits = [r for r, n in zip(sizes, np.cumsum([r.least.n for r in sizes]).tolist()) if n <= most] or sizes[:1]
+    if not fits:
         return None
-    pairs = sorted(zip(got[0][1], got[1][1]))
-    return Network().fit(*examples(pairs))
-
-
-def examples(pairs: list[tuple[bytes, int]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Padded chunks with labels: each pair as it is, and with a chunk cut to a random length from 12 bytes up."""
-    x, rng = np.full((2 * len(pairs), CHUNK), PAD, np.int16), np.random.default_rng(seed)
-    for i, (chunk, _) in enumerate(pairs):
-        x[2 * i, : len(chunk)] = short = np.frombuffer(chunk, np.uint8)
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.least.n, r.least.h, r.y) for r in fits], "doc_id long, n int, h long, y int")
+    keyed = texts.drop("y").select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
+    rows = keyed.join(F.broadcast(wanted), ["doc_id", "n", "h"]).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return Network().fit(*examples(sorted((bytes(r.text), r.y) for r in rows.select("text", "y").collect())))
+
+
+def examples(pairs: list[tuple[bytes, int]], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Padded chunks that cover all texts, with labels and weights: those of a text weigh one together, and as much has a
+    piece of a random length from 12 bytes up. The mean weight is 1."""
+    rng, out, y, weight = np.random.default_rng(seed), [], [], []
+    for text, label in pairs:
+        starts = range(0, max(len(text) - WIDTH + 1, 1), STEP)
         n = int(12 * (CHUNK / 12) ** rng.random())
-        at = int(rng.random() * max(len(short) - n, 0))
-        short = short[at : at + n]
-        x[2 * i + 1, : len(short)] = short
-    return x, np.repeat(np.array([y for _, y in pairs], np.float32), 2)
+        at = int(rng.random() * max(len(text) - n, 0))
+        out += [text[a : a + CHUNK] for a in starts] + [text[at : at + n]]
+        y += [label] * (len(starts) + 1)
+        weight += [1 / len(starts)] * len(starts) + [1.0]
+    x = np.full((len(out), CHUNK), PAD, np.int16)
+    for row, chunk in zip(x, out):
+        row[: len(chunk)] = np.frombuffer(chunk, np.uint8)
+    return x, np.array(y, np.float32), np.array(weight, np.float32) / np.float32(np.mean(weight))
 
 
 def _scorer(net: Network | None):
@@ -157,6 +153,7 @@ def _scorer(net: Network | None):
 
 def quality_scores(docs: DataFrame, net: Network | None, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row."""
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     scored = source.mapInArrow(_scorer(net), source.drop("text").withColumn("score", F.lit(0.0)).schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -177,4 +174,5 @@ def keep_quality(docs: DataFrame, net: Network | None, threshold: float = 0.7, t
     """The rows of ``docs``, all columns, whose score reaches the threshold; all rows without a network."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_judge(net, to_arrow_schema(docs.schema), threshold, text_col), docs.schema)

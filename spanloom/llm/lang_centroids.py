@@ -7,8 +7,8 @@ centroid by cosine; its score is that cosine's share against the best other lang
 ``rejected``, score halved) if the distance is beyond the language's 99.5th percentile in training times a margin.
 
 Fitting takes a bounded sample of each language: at most ``sample`` documents that are not held out (smallest hash of the
-id) and at most ``window`` bytes from the middle of each. Document frequencies are those of all such documents, and
-predictions read whole texts.
+id), with their whole texts, which workers turn into vectors of n-gram counts. Document frequencies are those of all such
+documents.
 
 Defined results: ``und``, score 0, for a null text or one without a letter, and for all texts if there is no training
 row. Null languages are left out of training. A null id is not held out.
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_slices
+from .common import held_out, small_batches, text_slices
 
 DIMS = 1 << 13
 CENTROIDS = 3
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 4_000
+SAMPLE_DOCS = 2_000
 #: Texts that are turned into dense vectors at once.
 BLOCK = 128
 _MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -52,8 +52,11 @@ def counts(texts: list[bytes]) -> np.ndarray:
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """In place."""
+    np.log1p(tf, out=tf)
+    tf *= idf
+    tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
+    return tf
 
 
 def inverse(frequency: np.ndarray, n: int) -> np.ndarray:
@@ -79,15 +82,21 @@ class Centroids:
         return first, np.clip(np.where(rejected, score / 2, score), 0, 1), rejected
 
 
-def fit(texts: list[bytes], languages: list[str], centroids: int = CENTROIDS, rounds: int = 8, margin: float = 1.25, seed: int = 3, idf: np.ndarray | None = None) -> Centroids | None:
-    if not texts:
+#: Of a text: the columns that occur, and how often.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def fit(samples: dict[str, list[Sparse]], idf: np.ndarray, centroids: int = CENTROIDS, rounds: int = 8, margin: float = 1.25, seed: int = 3) -> Centroids | None:
+    """From the counts of each language's sample; one language at a time is made dense."""
+    if not samples:
         return None
-    rng, names = np.random.default_rng(seed), sorted(set(languages))
-    if idf is None:
-        idf = inverse(sum((counts([t]) > 0).sum(0) for t in texts), len(texts))
+    rng, names = np.random.default_rng(seed), sorted(samples)
     centres, of, radius = [], [], []
     for i in range(len(names)):
-        own = vectors(counts([t for t, x in zip(texts, languages) if x == names[i]]), idf)
+        own = np.zeros((len(samples[names[i]]), DIMS), np.float32)
+        for row, (place, n) in zip(own, samples[names[i]]):
+            row[place] = n
+        own = vectors(own, idf)
         k = min(centroids, len(own))
         c = own[rng.permutation(len(own))[:k]]
         for _ in range(rounds):
@@ -112,22 +121,40 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], found]))], names=["place", "n"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS, window: int = SAMPLE_BYTES) -> Centroids | None:
+def sparse(text: bytes) -> Sparse:
+    n = counts([text])[0]
+    place = np.flatnonzero(n)
+    return place, n[place]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lower-cased texts to their counts: columns and numbers as 32-bit values, little-endian."""
+    for part in text_slices(batches):
+        packed = [np.concatenate(sparse(x.encode())).astype("<u4").tobytes() for x in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id"), part.column("h"), pa.array(packed, pa.binary())], names=["lang", "doc_id", "h", "counts"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Centroids | None:
     """Centroids from at most ``sample`` documents of each language that are not held out and have a letter."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    # Of rows that repeat an id one counts, the least hash of the text; repeated rows are one.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
+    ids = keyed.groupBy("lang", "doc_id").agg(F.min("h").alias("h"))
+    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang", "h")
     # The sample has a fixed bound for each language, so it may be broadcast.
-    texts = rows.select("doc_id", "lang", F.lower("text").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    start = F.greatest(F.lit(1), ((F.octet_length("text") - window) / 2).cast("int") + 1)
-    cut = texts.select("lang", F.substring(F.encode("text", "utf-8"), start, F.lit(window)).alias("text"))
-    got = sorted((r.text, r.lang) for r in cut.toLocalIterator())
-    if not got:
+    found = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).select("lang", "doc_id", "h", "text").mapInArrow(_counted, "lang string, doc_id long, h long, counts binary")
+    samples: dict[str, list] = {}
+    for r in found.groupBy("lang", "doc_id").agg(F.min("counts").alias("counts")).toLocalIterator():
+        samples.setdefault(r.lang, []).append((r.doc_id, *np.split(np.frombuffer(r.counts, "<u4"), 2)))
+    if not samples:
         return None
-    frequency = rows.select(F.lower("text").alias("text")).mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    found = {r.place: r.n for r in frequency.collect()}
-    idf = inverse(np.array([found[i] for i in range(DIMS)]), found[-1])
-    return fit([bytes(t) for t, _ in got], [x for _, x in got], idf=idf)
+    frequency = rows.select("text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    n = {r.place: r.n for r in frequency.collect()}
+    ordered = {lang: [(place, n) for _, place, n in sorted(own, key=lambda v: v[0])] for lang, own in samples.items()}
+    return fit(ordered, inverse(np.array([n[i] for i in range(DIMS)]), n[-1]))
 
 
 def _predictor(model: Centroids | None):
@@ -151,6 +178,7 @@ def _predictor(model: Centroids | None):
 
 def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: a row for each row."""
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     shape = source.drop("text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("rejected", F.lit(True)).schema
     return source.mapInArrow(_predictor(model), shape)

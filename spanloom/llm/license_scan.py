@@ -1,14 +1,18 @@
 """Licence scans by diagonal voting, in DataFrame functions only.
 
 Templates are word sequences: short phrases, which must match whole, and longer notices, of which a part will do. Every
-run of K words of a document is hashed and joined to the template positions with the same hash; a hit at document word d
-and template word t votes for the diagonal d - t. A phrase is found when all its K-grams voted on one diagonal. The hits
-of a notice, as pairs of words, are chained in the order of document and template, over diagonals next to each other
-(words inserted or left out); a chain is a span if it holds enough of all the notice's words. A word counts as matched
-together with a neighbour, as part of a K-gram.
+run of K words of a document is hashed and joined to the template positions with the same hash, and the words themselves
+are compared. A hit at document word d and template word t is a vote for the diagonal d - t; votes are counted by
+document, template and diagonal. A phrase is found where a diagonal has a vote of each of its K-grams.
 
-All grams of a template vote. The template positions are a fixed table of at most MAX_POSITIONS rows, so they are broadcast; the document side is cut
-to hits in the same pass, and only hits are shuffled; they are written once, as both kinds of template read them. A document is keyed by its id and text hash.
+The diagonals of a notice that lie at most DRIFT apart (words were inserted or left out between them) are merged into
+one region, which needs votes for COVER of the notice's words. A region is verified word by word: its hits, as pairs of
+words, are chained in the order of document and template, from diagonal to neighbouring diagonal; a chain is a span if
+it holds enough of all the notice's words. A word counts as matched together with a neighbour, as part of a K-gram.
+
+All grams of a template vote. The template positions are a fixed table of at most MAX_POSITIONS rows, so they are
+broadcast; the document side is cut to hits in the same pass, and only hits are shuffled; they are written once, as both
+kinds of template read them. A document is keyed by its id and text hash.
 
 Defined results: a null text is an empty one and has no words. Rows with the same id and text are found alike; ids that
 are null or repeated keep their own rows. Other columns are ignored.
@@ -57,22 +61,24 @@ def words_of(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """Hashes of all runs of K words."""
+    """Of all runs of K words: (hash, the words)."""
     nexts = [F.slice(words, 1 + j, F.greatest(F.size(words) - (K - 1), F.lit(0))) for j in range(K)]
-    return F.transform(F.arrays_zip(*[n.alias(f"w{j}") for j, n in enumerate(nexts)]), lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(K)]))
+    run = lambda z: [z[f"w{j}"] for j in range(K)]
+    return F.transform(F.arrays_zip(*[n.alias(f"w{j}") for j, n in enumerate(nexts)]), lambda z: F.struct(F.xxhash64(*run(z)).alias("hash"), F.concat_ws(" ", *run(z)).alias("run")))
 
 
 def templates(spark, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """template, label, whole, words, n_grams, t (position), gram."""
+    """template, label, whole, words, n_grams, t (position), gram, run (its words)."""
     rows = [(i, label, whole, text.split()) for i, (label, text, whole) in enumerate([*((a, b, True) for a, b in phrases), *((a, b, False) for a, b in notices)])]
     if sum(len(r[3]) for r in rows) > MAX_POSITIONS or any(len(r[3]) < K for r in rows):
         raise ValueError(f"templates need {K} words each and {MAX_POSITIONS} in all at most")
     base = spark.createDataFrame(rows, "template int, label string, whole boolean, words array<string>")
-    return base.select("*", F.posexplode(grams(F.col("words"))).alias("t", "gram")).withColumn("n_grams", F.count("*").over(Window.partitionBy("template")))
+    found = base.select("*", F.posexplode(grams(F.col("words"))).alias("t", "g"))
+    return found.select("template", "label", "whole", "words", "t", F.col("g.hash").alias("gram"), F.col("g.run").alias("run"), F.count("*").over(Window.partitionBy("template")).alias("n_grams"))
 
 
 def chains(codes: Column, width: Column, need: Column) -> Column:
-    """Of matched words, sorted as document word * 2**16 + template word: (first, last, n) of the longest chains of ``need``
+    """Of matched words of a region, sorted as document word * 2**16 + template word: (first, last, n) of the longest chains of ``need``
     words and more, at every word where one ends. Words of a chain rise in both places and drift at most DRIFT."""
     shape = "struct<recent:array<struct<d:bigint,t:bigint,first:bigint,n:bigint>>,ends:array<struct<first:bigint,last:bigint,n:bigint>>>"
 
@@ -99,25 +105,34 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col: str
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), words_of(F.col(text_col)).alias("words"))
     counted = base.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
-    index = templates(spark, phrases, notices).select(F.col("gram"), "template", "t", "whole")
-    # Rows of the same id and text give the same hits: one of each is kept below, by distinct.
+    index = templates(spark, phrases, notices).select("gram", "template", "t", "whole", F.col("run").alias("own_run"))
+    # Rows of the same id and text give the same hits: a diagonal counts each place once.
     votes = (
-        base.select("doc_id", "h", F.posexplode(grams(F.col("words"))).alias("d", "gram"))
+        base.select("doc_id", "h", F.posexplode(grams(F.col("words"))).alias("d", "g"))
+        .select("doc_id", "h", "d", F.col("g.hash").alias("gram"), F.col("g.run").alias("run"))
         .join(F.broadcast(index), "gram")
-        .select("doc_id", "h", "template", "whole", "d", "t", (F.col("d") - F.col("t")).alias("diagonal"))
-        .distinct()
+        .where("run = own_run")
+        .select("doc_id", "h", "template", "whole", "t", (F.col("d") - F.col("t")).alias("diagonal"))
     )
-    votes = Scratch(spark, "votes").save(votes)
+    diagonals = Scratch(spark, "votes").save(votes.groupBy("doc_id", "h", "template", "whole", "diagonal").agg(F.collect_set("t").alias("places")))
     facts = F.broadcast(templates(spark, phrases, notices).select("template", "label", "n_grams", F.size("words").alias("n_template")).distinct())
     # Phrases: a diagonal with all grams. K-grams that overlap and agree in all places are the phrase's words.
     exact = (
-        votes.where("whole").groupBy("doc_id", "h", "template", "diagonal").agg(F.count("*").alias("votes")).join(facts, "template").where("votes = n_grams")
+        diagonals.where("whole").join(facts, "template").where(F.size("places") == F.col("n_grams"))
         .select("doc_id", "h", "label", F.lit(True).alias("whole"), F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("n_template") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("score"))
     )
-    # Notices: the words of all hits, chained. A hit matches K words, so fewer different hits than need / K are no span.
+    # Notices: a region is a run of diagonals next to each other. A hit matches K words, so fewer votes than need / K
+    # for different words of the notice are no span.
     need = F.greatest(F.ceil(F.col("n_template") * COVER), F.lit(LEAST_WORDS))
-    hits = votes.where("not whole").groupBy("doc_id", "h", "template").agg(F.collect_set(F.col("d").cast("long") * 65536 + F.col("t")).alias("hits"), F.count_distinct("t").alias("n_hits"))
-    likely = hits.join(facts, "template").where(F.col("n_hits") * K >= need)
+    document = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(document) > DRIFT, F.lit(True)).cast("int")
+    hit = lambda t: (F.col("diagonal") + t).cast("long") * 65536 + t
+    regions = (
+        diagonals.where("not whole").withColumn("far", far).withColumn("region", F.sum("far").over(document))
+        .groupBy("doc_id", "h", "template", "region")
+        .agg(F.flatten(F.collect_list(F.transform("places", hit))).alias("hits"), F.flatten(F.collect_list("places")).alias("places"))
+    )
+    likely = regions.join(facts, "template").where(F.size(F.array_distinct("places")) * K >= need)
     codes = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(*(x + j * 65537 for j in range(K)))))))
     spans = (
         likely.select("doc_id", "h", "template", "label", "n_template", F.explode(chains(codes, F.col("n_template"), need)).alias("c"))

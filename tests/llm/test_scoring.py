@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -57,6 +58,37 @@ def test_network_covers_the_whole_document():
     assert abs(net.logit(text) - (want / len(r) + float(net.b[0]))) < 1e-3
 
 
+def test_trained_network_equals_plain_loops(spark):
+    """Scores of a trained network by the definition: filters at every place, the largest of each chunk, weighted mean."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(("good", "fine", "bad%%")) for _ in range(rng.choice((0, 1, 40, 300))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = byte_cnn.train(docs, spark.createDataFrame([(i, int("%" not in t)) for i, t in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in byte_cnn.quality_scores(docs, net).collect()}
+    table, c, w, b = net.t.tolist(), net.c.tolist(), net.w.tolist(), float(net.b[0])
+    for i, text in rows:
+        x = list(text.encode())
+        x += [byte_cnn.PAD] * (byte_cnn.WIDTH - len(x))
+        places = range(len(x) - byte_cnn.WIDTH + 1)
+        total = 0.0
+        for at in range(0, len(places), byte_cnn.STEP):
+            chunk = places[at : at + byte_cnn.STEP]
+            pooled = [max(0, max(sum(table[j][x[p + j]][f] for j in range(byte_cnn.WIDTH)) for p in chunk) + c[f]) for f in range(byte_cnn.FILTERS)]
+            total += len(chunk) * (sum(p * q for p, q in zip(pooled, w)) + float(net.l[0]) * math.log(len(chunk)) / math.log(byte_cnn.STEP))
+        score = 1 / (1 + math.exp(-(total / len(places) + b)))
+        assert got[i].score == pytest.approx(score, abs=1e-4) and got[i].predicted == int(got[i].score >= 0.7)
+
+
+def test_training_reads_whole_texts_once():
+    texts = [(bytes(range(256)) * 20, 1), (b"", 0), (b"ab", 1)]
+    x, y, weight = byte_cnn.examples(texts)
+    chunks = -(-(5120 - byte_cnn.WIDTH + 1) // byte_cnn.STEP)
+    assert len(x) == chunks + 1 + 2 + 2 and y.tolist() == [1] * (chunks + 1) + [0, 0, 1, 1]
+    assert weight.mean() == pytest.approx(1, abs=1e-5) and weight[:chunks].sum() == pytest.approx(weight[chunks + 1], abs=1e-5)
+    whole = b"".join(bytes(r[: byte_cnn.STEP].astype(np.uint8)) for r in x[: chunks - 1]) + bytes(x[chunks - 1][x[chunks - 1] != byte_cnn.PAD].astype(np.uint8))
+    assert whole == texts[0][0]
+
+
 def test_quality_of_edge_rows(spark, edge):
     none = byte_cnn.train(edge, spark.createDataFrame([], "doc_id long, quality int"))
     assert none is None
@@ -84,8 +116,43 @@ def test_a_rare_language_is_learned(spark):
     assert all(r.lang_pred == ("a" if r.doc_id % 100 else "b") for r in lang_centroids.identify(docs, model).collect())
 
 
+def slow_counts(text: str) -> Counter:
+    """By the definition: hashed runs of one to three bytes."""
+    raw, out = text.lower().encode(), Counter()
+    for n, mul in ((1, 0x9E3779B1), (2, 0x85EBCA77), (3, 0xC2B2AE3D)):
+        for i in range(len(raw) - n + 1):
+            out[(int.from_bytes(raw[i : i + n], "big") * mul % 2**32) >> 19] += 1
+    return out
+
+
+def test_language_equals_brute_force(spark, sf_dir):
+    """Predictions of a trained model, recomputed in plain loops over whole texts; and its document frequencies."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).cache()
+    model = lang_centroids.train(docs, sample=15)
+    rows = docs.collect()
+    training = [slow_counts(r.text) for r in rows if r.lang and any(map(str.isalpha, r.text)) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    frequency = Counter(x for t in training for x in t)
+    idf = [math.log((1 + len(training)) / (1 + frequency[i])) + 1 for i in range(lang_centroids.DIMS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    got = {r.doc_id: r for r in lang_centroids.identify(docs, model).collect()}
+    for r in rows:
+        if not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        v = {i: math.log1p(n) * idf[i] for i, n in slow_counts(r.text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[i]) for i, x in v.items()) / norm for c in model.centres]
+        best = [max(c for c, o in zip(cos, model.of) if o == k) for k in range(len(model.languages))]
+        first = max(range(len(best)), key=best.__getitem__)
+        rest = max((b for k, b in enumerate(best) if k != first), default=0)
+        score = 1 / (1 + math.exp(-20 * min(max(best[first] - rest, 0), 1)))
+        rejected = 1 - best[first] > model.radius[first]
+        assert got[r.doc_id].lang_pred == model.languages[first] and got[r.doc_id].rejected == rejected
+        assert got[r.doc_id].score == pytest.approx(score / 2 if rejected else score, abs=1e-4)
+
+
 def test_language_of_edge_rows(spark, edge):
-    model = lang_centroids.fit([b"the cat and the dog", b"le chat et le chien"], ["en", "fr"])
+    model = lang_centroids.fit({"en": [lang_centroids.sparse(b"the cat and the dog")], "fr": [lang_centroids.sparse(b"le chat et le chien")]}, np.ones(lang_centroids.DIMS, np.float32))
     got = lang_centroids.identify(edge, model).collect()
     assert len(got) == len(EDGE)
     for r, (_, text, _, _) in zip(got, EDGE):
