@@ -4,10 +4,12 @@
 2. near_dedup: of documents linked at five-word shingles and similarity 0.8, the one with the smallest id stays.
 3. substring_dedup: words in 20-word passages that occur earlier go; a document that loses all its words goes.
 4. mixing: the curriculum decides how often a document trains; untaken documents go, and others appear once for each
-   epoch's copy that is taken. A copy cut short by the target keeps its first words.
+   epoch's copy that is taken. The copy that meets its source's target is taken whole or left out, whichever is nearer.
 5. tokens: byte-level BPE ids of each row.
 
-Null ids are kept through the stages and link with nothing.
+Defined results: stages 1 to 4 return the columns of documents and ignore any others. Rows without an id stay rows of
+their own, and link with nothing in near_dedup. A row without a text counts as an empty one; an empty table stays empty.
+Of a document that lost words, n_chars is the length of what is left; text between other documents is kept as it is.
 """
 
 from __future__ import annotations
