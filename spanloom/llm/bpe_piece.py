@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, text_slices
+from .common import claim, small_batches, text_slices
 
 #: The pattern and vocabulary that the queries use come with the installed tokenizer files.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -212,6 +212,7 @@ def _coder(path: str, pattern: str, with_ids: bool):
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (packed little-endian uint32), a row for each row."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_coder(path, pattern, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined before its shuffle) and an equi-join that adaptive execution can
-split, so a hub with a third of all edges stays spread out. Nothing but two numbers a round reaches the driver.
+split, so a hub with a third of all edges stays spread out. Nothing but two numbers a round reaches the driver. Tables
+shrink from round to round, so each is written in as many files as the last one's rows call for.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: Edges of a file, 16 bytes each.
+ROWS = 1_000_000
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
@@ -40,7 +45,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = scratch.save(small)
+        after = scratch.save(small.coalesce(1 + mark[0] // ROWS))
         scratch.drop(now)
         now, was, mark = after, mark, _mark(after)
         if mark == was:

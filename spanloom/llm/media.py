@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -92,7 +92,7 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
 def decode_png(data: bytes) -> np.ndarray:
     if data[:8] != SIGNATURE:
         raise BadPng("no PNG signature")
-    at, size, idat, ended = 8, None, [], False
+    at, size, idat, before, ended = 8, None, [], b"", False
     while not ended:
         if at + 12 > len(data):
             raise BadPng("cut off")
@@ -103,21 +103,31 @@ def decode_png(data: bytes) -> np.ndarray:
         if (size is None) != (kind == b"IHDR"):
             raise BadPng("header misplaced")
         if kind == b"IHDR":
+            if n != 13:
+                raise BadPng("length of the header")
             width, height, *form = struct.unpack(">IIBBBBB", body)
             if form != [8, 0, 0, 0, 0] or not width or not height:
                 raise BadPng("not an 8-bit greyscale image without interlace")
             size = (height, width)
         elif kind == b"IDAT":
+            if idat and before != b"IDAT":
+                raise BadPng("image data is not in one run of chunks")
             idat.append(body)
         elif kind == b"IEND":
+            if n or end != len(data):
+                raise BadPng("bytes in or behind the end chunk")
             ended = True
         elif not kind[0] & 32:
             raise BadPng(f"unknown critical chunk {kind!r}")
-        at = end
+        at, before = end, kind
+    inflate = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(idat))
+        # One byte more than there should be, so that a small file does not swell.
+        raw = inflate.decompress(b"".join(idat), size[0] * (size[1] + 1) + 1)
     except zlib.error as e:
         raise BadPng(str(e)) from e
+    if not inflate.eof or inflate.unused_data:
+        raise BadPng("end of the image data")
     if len(raw) != size[0] * (size[1] + 1):
         raise BadPng("length of the image data")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(size[0], size[1] + 1))
@@ -181,6 +191,7 @@ def _read(keep: bool):
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text as the binary of a PNG."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(_write, "doc_id long, n_bytes long, media binary")
 

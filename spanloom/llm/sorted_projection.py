@@ -11,7 +11,7 @@
 5. Forests of all tasks are united into components.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, null labels and null ids
-link with nothing; so do vectors of different length. Scaled copies are links like others. A repeated row counts once; an id
+link with nothing; so do vectors of different length. Labels may be of any type. Scaled copies are links like others. A repeated row counts once; an id
 with several vectors is one vertex. Other columns are ignored.
 """
 
@@ -33,6 +33,8 @@ BITS, PROBES, BLOCK = 63, 16, 8192
 def unit(vectors: pa.Array) -> np.ndarray:
     """(rows, dimensions) in double precision, of length 1. All rows have one length."""
     flat = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
+    # The squares of very large or very small components would leave the range of numbers.
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -126,7 +128,10 @@ def embedding_dedup(
     kept = number in ("float", "double")
     number = number if kept else "double"
     vec = F.col(vec_col) if kept else F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vec.alias("vec"))
+    whole = vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    # Other labels are told apart by a 64-bit hash.
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col)))
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = raw.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False)))
     usable = rows.where("ok").select("vec_id", "label", "vec")

@@ -5,15 +5,18 @@ A shard file, little-endian except for keys:
   index    for each block: its first key (length first), offset, length, ids before it in the shard, entries
   filter   bits of a Bloom filter over the shard's keys
   footer   64 bytes: offsets and lengths of index and filter, entries, ids, hashes, id width, crc32 of both, magic
-A key is 00 and the id as big-endian with its sign bit flipped (so bytes sort like numbers), or 01 for a null id, then
-a number that tells rows with the same id apart. A look-up asks the filter, searches the index and reads one block.
+A key begins with a head: 00 and the id as big-endian with its sign bit flipped (so bytes sort like numbers), or 01 for a
+null id. The hash of the text follows, and a number that tells rows with the same id and text apart; so a key names one
+row. The filter holds heads. A look-up asks it for an id, searches the index and reads the blocks that may hold the head.
 
-Writing range-partitions the documents by id, so that shards are ordered and none depends on one hot range; each task
-streams its rows into files of at most SHARD_BYTES, in the folder that all executors share, under a name of its attempt,
-renamed when complete. A task that runs again writes the same bytes. Reading verifies every checksum.
+Writing range-partitions the documents by id and text hash, so that shards are ordered, none depends on one hot range,
+and rows with the same id and text lie in one task, which numbers them. Each task streams its rows into files of at most
+SHARD_BYTES, in the folder that all executors share, under a name of its attempt, renamed when complete. A task that runs
+again writes the same bytes. Reading verifies every checksum. Files are opened through Arrow's file systems: local paths,
+and hdfs, s3 (s3a and s3n as well) and gs addresses.
 
 Defined results: a null text is an empty one, and has the end id alone. Null ids come last. Rows with the same id are
-ordered by text hash and text. Other columns are ignored.
+ordered by text hash; shards next to each other may share an id whose texts differ. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_piece import ChunkCoder
-from .common import Scratch, claim, text_slices
+from .common import Scratch, claim, small_batches, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -68,9 +71,16 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def key_of(doc_id: int | None, turn: int = 0) -> bytes:
-    head = b"\x01" + bytes(8) if doc_id is None else b"\x00" + struct.pack(">Q", (doc_id + (1 << 63)) & (1 << 64) - 1)
-    return head + struct.pack(">I", turn)
+def head_of(doc_id: int | None) -> bytes:
+    return b"\x01" + bytes(8) if doc_id is None else b"\x00" + _ordered(doc_id)
+
+
+def _ordered(n: int) -> bytes:
+    return struct.pack(">Q", (n + (1 << 63)) & (1 << 64) - 1)
+
+
+def key_of(doc_id: int | None, h: int = 0, turn: int = 0) -> bytes:
+    return head_of(doc_id) + _ordered(h) + struct.pack(">I", turn)
 
 
 def id_of(key: bytes) -> int | None:
@@ -125,8 +135,8 @@ class Writer:
         index = b"".join(self.index)
         bits = max(64, len(self.keys) * BITS_PER_KEY + 7 & ~7)
         field = np.zeros(bits, np.uint8)
-        for key in self.keys:
-            field[_probes(key, bits)] = 1
+        for head in {key[:9] for key in self.keys}:
+            field[_probes(head, bits)] = 1
         bloom = np.packbits(field, bitorder="little").tobytes()
         i, b = self._write(index), self._write(bloom)
         self._write(_FOOTER.pack(i, len(index), b, len(bloom), self.n, self.ids, HASHES, self.width, zlib.crc32(index + bloom), MAGIC))
@@ -171,20 +181,41 @@ class Reader:
         for k in range(len(self.blocks)):
             yield from self.block(k)
 
-    def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, len(self.bloom) * 8))
+    def may_hold(self, doc_id: int | None) -> bool:
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(head_of(doc_id), len(self.bloom) * 8))
 
-    def get(self, key: bytes) -> np.ndarray | None:
-        k = bisect_right(self.first, key) - 1
-        if k < 0 or not self.may_hold(key):
-            return None
-        return next((ids for found, _, ids in self.block(k) if found == key), None)
+    def find(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of each row of a document, by binary search."""
+        head, out = head_of(doc_id), []
+        if not self.blocks or not self.may_hold(doc_id):
+            return out
+        # The last block that begins before the head may end with it.
+        for k in range(max(bisect_right(self.first, head) - 1, 0), len(self.blocks)):
+            if self.first[k][:9] > head:
+                break
+            out += [ids for key, _, ids in self.block(k) if key[:9] == head]
+        return out
 
+    def get(self, doc_id: int | None) -> np.ndarray | None:
+        """The ids of a document, or of its first row; None if it is not here."""
+        return next(iter(self.find(doc_id)), None)
 
-def open_shard(path: str) -> Reader:
+
+def address(path: str) -> str:
+    """An address as Spark writes it, as Arrow reads it."""
+    scheme, colon, rest = path.partition("://")
+    return "s3://" + rest if colon and scheme in ("s3a", "s3n") else path
+
+
+def file_system(path: str):
+    """(file system, path in it)."""
     from pyarrow import fs
 
-    system, where = fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(address(path))
+
+
+def open_shard(path: str) -> Reader:
+    system, where = file_system(path)
     f = system.open_input_file(where)
 
     def read_at(offset: int, length: int) -> bytes:
@@ -242,12 +273,11 @@ _SHARD = "part int, shard int, path string, n_docs long, n_ids long"
 
 def _shards(folder: str, vocabulary: str, pattern: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         claim("token_sstable", encoder.cache_clear)
         enc, task = encoder(vocabulary, pattern), TaskContext.get()
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         done, writer, shard, last, turn = [], None, 0, object(), 0
         stop = np.array([end], "<u4")
@@ -262,14 +292,14 @@ def _shards(folder: str, vocabulary: str, pattern: str, end: int, most: int):
             writer, shard = None, shard + 1
 
         for part in text_slices(batches):
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                turn = turn + 1 if doc == last else 0
-                last = doc
+            for doc, h, text in zip(*(part.column(n).to_pylist() for n in ("doc_id", "h", "text"))):
+                turn = turn + 1 if (doc, h) == last else 0
+                last = (doc, h)
                 if writer is None:
                     name = f"_{task.partitionId()}-{shard}-{task.taskAttemptId()}"
                     writer = Writer(system.open_output_stream(f"{base}/{name}"), enc.width)
                     writer.name = name
-                writer.add(key_of(doc, turn), np.concatenate([enc.ids(text or ""), stop]))
+                writer.add(key_of(doc, h, turn), np.concatenate([enc.ids(text or ""), stop]))
                 if writer.at >= most:
                     close()
         if writer is not None:
@@ -283,9 +313,10 @@ def _shards(folder: str, vocabulary: str, pattern: str, end: int, most: int):
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end: int = END_ID, most: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards; part, shard, path, n_docs, n_ids of each."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("text")]
-    sorted_ = source.repartitionByRange(order[0], order[1]).sortWithinPartitions(*order).select("doc_id", "text")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
+    small_batches(docs.sparkSession)
+    sorted_ = source.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "h", "text")
     return sorted_.mapInArrow(_shards(folder, vocabulary, pattern, end, most), _SHARD)
 
 

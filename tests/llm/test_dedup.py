@@ -231,5 +231,11 @@ def test_projection_finds_isolated_pairs_of_a_dense_label(spark, monkeypatch, bl
     assert got == {i: (int(hit[i].sum()), want[i]) for i in range(n)}
 
 
+def test_projection_of_text_labels_and_extreme_components(spark):
+    rows = [(1, [1e200, 1e200], "a"), (2, [1e-200, 1e-200], "a"), (3, [1.0, 1.0], "b"), (4, [2.0, 2.0], "b"), (5, [1.0, -1.0], "a"), (6, [1.0, 1.0], None)]
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 def test_projection_of_nothing(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []

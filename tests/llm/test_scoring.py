@@ -257,8 +257,44 @@ def test_png_detects_damage():
     for at in range(0, len(good), 7):
         with pytest.raises(media.BadPng):
             media.decode_png(good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :])
-    with pytest.raises(media.BadPng):
-        media.decode_png(good[:-3])
+    chunk = media._chunk
+    head, body = good[:33], zlib.compress(bytes(65 * 10))
+    bad = [
+        good[:-3], good + b"x", head + good[-12:],
+        media.SIGNATURE + chunk(b"IHDR", b"short") + good[33:],
+        head + chunk(b"IDAT", body[:9]) + chunk(b"tEXt", b"a\0b") + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b""),
+        head + chunk(b"IDAT", body) + chunk(b"IEND", b"x"), head + chunk(b"IDAT", body + b"more") + chunk(b"IEND", b""),
+        head + chunk(b"IDAT", zlib.compress(bytes(1 << 20))) + chunk(b"IEND", b""), head + chunk(b"IDAT", body[:-6]) + chunk(b"IEND", b""),
+        media.SIGNATURE + chunk(b"IDAT", body) + good[8:],
+    ]
+    for data in bad:
+        with pytest.raises(media.BadPng):
+            media.decode_png(data)
+    assert media.decode_png(head + chunk(b"IDAT", body[:9]) + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b"")).shape == (10, 64)
+
+
+def slow_hash(pixels: np.ndarray) -> str:
+    """The cosine hash by the definition: means of 32 x 32 parts, the 8 x 8 lowest terms, their signs about the median."""
+
+    def shrunk(lines):
+        n = len(lines)
+        cut = [i * n // 32 for i in range(32)] + [n]
+        return [[sum(x) / len(x) for x in zip(*lines[a:b])] if b > a else list(lines[a]) for a, b in zip(cut, cut[1:])]
+
+    small = list(map(list, zip(*shrunk(list(map(list, zip(*shrunk(pixels.tolist()))))))))
+    scale = lambda u: math.sqrt((1 if u == 0 else 2) / 32)
+    wave = [[math.cos((2 * x + 1) * u * math.pi / 64) * scale(u) for x in range(32)] for u in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
+@pytest.mark.parametrize("height", [1, 20, 32, 77])
+def test_cosine_hash_equals_the_definition(height):
+    pixels = np.random.default_rng(height).integers(32, 127, (height, 64), dtype=np.uint8)
+    a, b = media.cosine_hash(pixels), slow_hash(pixels)
+    # The transposed order of summing may tip a term that lies on the median.
+    assert bin(int(a, 16) ^ int(b, 16)).count("1") <= 1
 
 
 def test_media_rows(spark, edge):

@@ -61,7 +61,7 @@ def test_shard_round_trip(monkeypatch):
     writer = token_sstable.Writer(out, 2)
     ids = sorted({int(x) for x in rng.integers(-(2**62), 2**62, 300)} | {-5, 0, 7})
     data = {token_sstable.key_of(i): rng.integers(0, 50_000, rng.integers(0, 40)).astype("<u4") for i in ids}
-    data |= {token_sstable.key_of(7, 1): np.array([1], "<u4"), token_sstable.key_of(None): np.array([], "<u4")}
+    data |= {token_sstable.key_of(7, h, 1): np.array([h], "<u4") for h in range(300)} | {token_sstable.key_of(None): np.array([], "<u4")}
     for key in sorted(data):
         writer.add(key, data[key])
     with pytest.raises(ValueError):
@@ -71,16 +71,63 @@ def test_shard_round_trip(monkeypatch):
     assert [k for k, _, _ in read] == sorted(data) and read.n == len(data) and len(read.blocks) > 20
     before = 0
     for key, at, values in read:
-        assert at == before and values.tolist() == data[key].tolist() == read.get(key).tolist()
+        assert at == before and values.tolist() == data[key].tolist()
         before += len(values)
+    for i in [*ids, None]:
+        assert [x.tolist() for x in read.find(i)] == [data[k].tolist() for k in sorted(data) if k[:9] == token_sstable.head_of(i)]
+        assert read.get(i).tolist() == data[token_sstable.key_of(i)].tolist()
+    assert len(read.find(7)) == 301
     assert before == read.ids and token_sstable.id_of(token_sstable.key_of(-5)) == -5 and token_sstable.id_of(token_sstable.key_of(None)) is None
-    missing = [token_sstable.key_of(i) for i in range(10**6, 10**6 + 2000)]
-    assert all(read.get(k) is None for k in missing) and sum(map(read.may_hold, missing)) < 100
+    missing = range(10**6, 10**6 + 2000)
+    assert all(read.get(i) is None for i in missing) and sum(map(read.may_hold, missing)) < 100
     out[20] ^= 1
     with pytest.raises(token_sstable.BadShard):
         list(token_sstable.Reader(lambda at, n: bytes(out[at : at + n]), len(out)))
 
 
+def test_keys_name_one_row_across_shards(spark, tmp_path):
+    # One id fills several range partitions; every document is looked up in the shards.
+    rows = [(5, f"text {i % 300}") for i in range(400)] + [(i, f"other {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = token_sstable.write_shards(docs, f"file://{tmp_path}/s", P.path(token_sstable.VOCABULARY), P.PATTERN).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = [token_sstable.open_shard(r.path) for r in found]
+    keys = [k for s in shards for k, _, _ in s]
+    assert len(shards) > 1 and len(keys) == len(set(keys)) == len(rows) and keys == sorted(keys)
+    enc = token_sstable.ChunkEncoder(P.path(token_sstable.VOCABULARY), P.PATTERN)
+    for i in range(100):
+        want = sorted([*enc.ids(t).tolist(), 2] for j, t in rows if j == i)
+        assert sorted(x.tolist() for s in shards for x in s.find(i)) == want
+
+
+def test_addresses_of_object_stores():
+    assert token_sstable.address("s3a://bucket/folder/x.sst") == "s3://bucket/folder/x.sst"
+    for same in ("s3://b/x", "file:///tmp/x", "/tmp/x", "hdfs://name:8020/x", "gs://b/x"):
+        assert token_sstable.address(same) == same
+
+
+def test_very_long_texts(spark):
+    """Real text, repeated, of a megabyte in one document."""
+    import hashlib
+
+    import tiktoken
+
+    base = "\n".join(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())
+    text = (base * (1 + (1 << 20) // len(base)))[: 1 << 20]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ranks = bpe_piece.read_ranks(P.path(VOCABULARY))
+    ids = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    r = bpe_encode(docs, P.path(VOCABULARY), P.PATTERN, with_ids=False).first()
+    assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    r = token_sstable.sstable_round_trip(docs, P.path(token_sstable.VOCABULARY), P.PATTERN).first()
+    whole = token_sstable.ChunkEncoder(P.path(token_sstable.VOCABULARY), P.PATTERN).whole(text).tolist()
+    assert (r.n_tokens, r.ids_crc32) == (len(whole) + 1, zlib.crc32(np.array([*whole, 2], "<u4").tobytes()))
+
+
 def test_shards_equal_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 
