@@ -28,14 +28,13 @@ SECTIONS = {
 ABBREVIATIONS = frozenset("bs dr mr mrs ms vs p ts mg ml mcg hr min eg ie".split())
 #: Words that begin a new clause.
 CLAUSE_CUES = ("nhưng", "tuy nhiên", "còn", "but", "however", "và", "hoặc", "and", "or")
-#: Parts of a medication mention.
+#: Parts of a medication mention, as the slot parser reads them.
 STRENGTH = r"\d+(?:[.,]\d+)?(?:\s*[/\-–]\s*\d+(?:[.,]\d+)?)?\s*-?\s*(?:mcg|μg|ug|mg|g|ml|%)(?!\w)"
 FORM = r"(?:enteric-coated\s+tablet|tablet|tab|capsule|cap|viên|ống|gói|syrup|solution|suspension|cream|gel|drops?)(?!\w)"
 ROUTE = r"(?:po|iv|im|sc|oral|uống|tiêm|truyền\s+tĩnh\s+mạch)(?!\w)"
 FREQUENCY = r"(?:(?:qd|bid|tid|qhs|qam|q\d+h)(?::prn)?|prn|daily|khi\s+sốt|mỗi\s+(?:\d+\s+giờ|ngày)|\d+\s*(?:lần|x)\s*/\s*(?:ngày|day))(?!\w)"
 RELEASE = r"(?:XR|XL|SR|CR|ER)(?!\w)"
-COMBINE = r"\s*(?:\+|/|(?<!\w)và(?!\w)|(?<!\w)and(?!\w))\s*"
-#: Laboratory results.
+#: Laboratory results, as the slot parser reads them.
 NUMBER = r"\d+(?:[.,]\d+)?"
 UNIT = r"(?:%|mmol/l|mg/dl|g/l|10\^?\d+/l|iu/l|u/l)"
 QUALITATIVE = r"(?<!\w)(?:dương\s+tính|âm\s+tính|không\s+phát\s+hiện|positive|negative|increased|decreased|tăng|giảm|cao|thấp)(?!\w)"
@@ -77,7 +76,7 @@ def proposal_id(value: object) -> str:
 
 
 def hash_embedding(text: str, dims: int) -> list[float]:
-    raw = [int.from_bytes(hashlib.sha256(f"{text}:{i}".encode()).digest()[:8], "big") / (2**63) - 1 for i in range(dims)]
+    raw = [int.from_bytes(hashlib.sha256(f"{i}:{text}".encode()).digest()[:8], "big") / (2**63) - 1 for i in range(dims)]
     norm = sum(x * x for x in raw) ** 0.5 or 1.0
     return [x / norm for x in raw]
 
@@ -277,52 +276,84 @@ def alias_spans(text: str, aliases: Iterable[str], greedy: bool = True, blocked:
     return sorted(set(out))
 
 
-_PART = re.compile(rf"(?i)[ \t]*,?[ \t]*(?:(?P<strength>{STRENGTH})|(?P<form>{FORM})|(?P<route>{ROUTE})|(?P<frequency>{FREQUENCY})|(?P<release>{RELEASE}))")
+#: What a proposed medication mention may go on with, in the order in which it is tried.
+PROPOSED_PARTS = (
+    ("strength", r"\d+(?:[.,]\d+)?(?:\s*[/\-]\s*\d+(?:[.,]\d+)?)?\s*-?\s*(?:mcg|mg|g|mL|ml|%)"),
+    ("form", r"(?:enteric-coated\s+tablet|tablet|tab|capsule|cap|viên|ống|gói|syrup|solution|suspension|cream|gel|drops?)\b"),
+    ("route", r"(?:po|iv|im|sc|oral|uống|tiêm|truyền\s+tĩnh\s+mạch)\b"),
+    ("frequency", r"(?:qd|bid|tid|qhs|qam|q\d+h)(?::prn)?\b|prn\b|daily\b|khi\s+sốt\b|mỗi\s+(?:\d+\s+giờ|ngày)\b|\d+\s*(?:lần|x)\s*/\s*(?:ngày|day)\b"),
+    ("release", r"(?:XR|XL|SR|CR|ER)\b"),
+)
+#: Proposed laboratory results.
+PROPOSED_UNIT = r"(?:mmol/L|mg/dL|g/L|G/L|U/L|IU/L|mIU/L|ng/mL|pg/mL|%|10\^?\d+/L)"
+PROPOSED_NUMBER = r"(?:(?:[<>≤≥]|<=|>=)\s*)?\d+(?:[.,]\d+)?"
+PROPOSED_WORDS = r"\b(?:tăng|giảm|cao|thấp|dương\s+tính|âm\s+tính|không\s+phát\s+hiện)\b"
+
+_PARTS = [(kind, re.compile(rf"[ \t]*(?:{rx})", re.I)) for kind, rx in PROPOSED_PARTS]
+_JOINT = re.compile(r"\s*(?:\+|/|và|and)\s*", re.I)
+_RESULT = re.compile(rf"(?<![\w.])(?:{PROPOSED_NUMBER}(?:\s*[-–]\s*{PROPOSED_NUMBER})?)(?:\s*{PROPOSED_UNIT})?(?:\s+(?:H|L))?(?!\w)|{PROPOSED_WORDS}", re.I)
 
 
 def medications(text: str, aliases: Iterable[str], found: list[Unit] = ()) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Alias matches, joined over combination signs and extended to the right over strength, form, route, frequency and
-    release, inside their line and list item. Later mentions inside an earlier one are part of it."""
-    names = {s: e for s, e in alias_spans(text, aliases)}
+    """Alias matches, longest first, each extended to the right over strength, form, route, frequency and release, and
+    over combination signs to further names, inside its list item. One that overlaps an earlier one is part of it."""
+    names = alias_spans(text, aliases, greedy=False)
+    ends: dict[int, int] = {}
+    for a, b in names:
+        ends[a] = max(b, ends.get(a, 0))
     out: list[tuple[int, int, tuple[str, ...]]] = []
-    for start, end in sorted(names.items()):
-        if out and start < out[-1][1]:
-            continue
-        stop = re.compile(r"[\r\n]").search(text, end)
-        limit = min([stop.start() if stop else len(text), *(u.end for u in found if u.start <= start < u.end)])
+    for start, end in sorted(names, key=lambda s: (s[0] - s[1], s[0])):
+        limit = next((u.end for u in found if u.start <= start < u.end), len(text))
         kinds: set[str] = set()
-        while True:
-            joint = re.compile(f"(?i){COMBINE}").match(text, end, limit)
-            if joint and joint.end() in names and not kinds:
-                end = names[joint.end()]
-                kinds_add = "combination"
-            elif (part := _PART.match(text, end, limit)) and not (part["release"] is None and text[end : end + 1].isalnum()):
-                end, kinds_add = part.end(), part.lastgroup
-            else:
+        while end < limit:
+            kind, part = next(((k, m) for k, rx in _PARTS if (m := rx.match(text, end))), ("", None))
+            if part:
+                if part.end() > limit:
+                    break
+                end = part.end()
+                kinds.add(kind)
+                continue
+            joint = _JOINT.match(text, end)
+            further = ends.get(joint.end()) if joint else None
+            if further is None or further > limit:
                 break
-            if kinds_add != "combination":
-                kinds.add(kinds_add)
-        out.append((start, min(end, limit), tuple(sorted(kinds))))
-    return out
+            end = further
+        if not any(a < end and start < b for a, b, _ in out):
+            out.append((start, end, tuple(sorted(kinds))))
+    return sorted(out)
 
 
-_RESULT = re.compile(rf"(?i)(?<![\w.])(?P<value>(?:(?:<=|>=|<|>|≤|≥)\s*)?{NUMBER}(?:\s*[-–]\s*{NUMBER})?)(?:\s*(?P<unit>{UNIT}))?(?:\s+(?P<flag>[HL]))?(?!\w)")
-
-
-def laboratory(text: str, tests: Iterable[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Test names, and results with the index of their test: the last one before them on the line, no bracket between;
-    a result that is a reference range in brackets is none."""
+def laboratory(text: str, tests: Iterable[str], structure: Structure | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Test names, and results with the index of their test: the closest one (then the later) in the same list item, else
+    the same clause, else line. A number that fills a pair of brackets is a reference range and none."""
     names = alias_spans(text, tests, greedy=False)
     results = []
-    for m in sorted([*_RESULT.finditer(text), *re.finditer(f"(?i){QUALITATIVE}", text)], key=lambda m: m.start()):
-        if any(a < m.end() and m.start() < b for a, b in names) or (m.start() and text[m.start() - 1] == "("):
+    for m in _RESULT.finditer(text):
+        start, end = m.span()
+        if any(a < end and start < b for a, b in names) or (text[start - 1 : start] == "(" and text[end : end + 1] == ")"):
             continue
-        before = [i for i, (_, b) in enumerate(names) if b <= m.start() and not re.search(r"[\r\n;]", text[b : m.start()])]
-        if before:
-            results.append((m.start(), m.end(), before[-1]))
+        units = [*structure.list_items, *structure.clauses] if structure else []
+        scope = next(((u.start, u.end) for u in units if u.start <= start and end <= u.end), None)
+        if scope is None:
+            stop = text.find("\n", end)
+            scope = text.rfind("\n", 0, start) + 1, stop if stop >= 0 else len(text)
+        near = [(abs(start - b), -a, i) for i, (a, b) in enumerate(names) if scope[0] <= a and b <= scope[1]]
+        if near:
+            results.append((start, end, min(near)[2]))
     return names, results
 
 
+def symptom_prior(kinds: tuple[str, ...], text: str, triggered: bool, symptom_words: str) -> dict[str, float]:
+    """Shares of symptom and diagnosis: one supported kind leads, else a trigger, else a symptom's word."""
+    if len(kinds) == 1:
+        return {kinds[0]: 0.9, "diagnosis" if kinds[0] == "symptom" else "symptom": 0.1}
+    if triggered:
+        return {"diagnosis": 0.75, "symptom": 0.25}
+    if re.search(symptom_words, text, re.I):
+        return {"symptom": 0.75, "diagnosis": 0.25}
+    return {"diagnosis": 0.5, "symptom": 0.5}
+
+
 def levenshtein(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,84 @@ ABBREVIATION = "^[A-Z]{2,6}$"
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 
 
+#: Routes, comparators and results with one name each.
+ROUTES = {"po": "oral", "oral": "oral", "uống": "oral", "iv": "intravenous", "im": "intramuscular", "sc": "subcutaneous"}
+COMPARATORS = {"≤": "<=", "≥": ">="}
+QUALITATIVE = {"dương tính": "positive", "âm tính": "negative", "không phát hiện": "not_detected", "tăng": "increased", "giảm": "decreased", "cao": "high", "thấp": "low"}
+
+
+def _named(value: Column, names: dict[str, str]) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, value), value)
+
+
+def feature_key(text: Column) -> Column:
+    """lower-cased, white space of any kind as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+
+
+def unit_key(text: Column) -> Column:
+    """lower-cased, micro signs as u, ug as mcg, without spaces. (A micro sign folds to the Greek letter.)"""
+    plain = F.replace(F.replace(F.lower(text), F.lit("\u00b5"), F.lit("\u03bc")), F.lit("\u03bc"), F.lit("u"))
+    return F.replace(F.replace(plain, F.lit("ug"), F.lit("mcg")), F.lit(" "), F.lit(""))
+
+
+def range_key(text: Column) -> Column:
+    """decimal points, a hyphen without spaces."""
+    return F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"(?U)\s*[-–]\s*", "-")
+
+
+def route_key(text: Column) -> Column:
+    return _named(feature_key(text), ROUTES)
+
+
+def comparator_key(text: Column) -> Column:
+    return _named(text, COMPARATORS)
+
+
+def qualitative_key(text: Column) -> Column:
+    return _named(feature_key(text), QUALITATIVE)
+
+
+def association_tier(score: Column) -> Column:
+    """F17."""
+    return F.when(score >= 0.85, "high").when(score >= 0.70, "medium").otherwise("low")
+
+
+def _bare_letters() -> dict[str, str]:
+    """Lower-case letters with marks to the same without, by Unicode decomposition (Latin blocks), and đ to d."""
+    out = {"đ": "d"}
+    for code in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if bare != c and len(bare) == 1 and c == c.lower():
+            out[c] = bare
+    return out
+
+
+def accentless(text: Column) -> Column:
+    """Lower-cased letters without marks, whatever is no letter or digit as one space, trimmed."""
+    bare = _bare_letters()
+    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "".join(bare), "".join(bare.values()))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+", " "))
+
+
+def context_window(text: Column, start: Column, end: Column, size: int = 50) -> Column:
+    """The span with ``size`` characters on both sides."""
+    first = F.greatest(start - size, F.lit(0))
+    return F.substring(text, (first + 1).cast("int"), (end + size - first).cast("int"))
+
+
+def drug_text(name: Column, strength: Column, form: Column, route: Column, frequency: Column) -> Column:
+    """the parts that are there, in this order, with spaces between."""
+    return F.concat_ws(" ", *(F.when(F.length(F.trim(c)) > 0, F.trim(c)) for c in (name, strength, form, route, frequency)))
+
+
+def lab_text(name: Column, value: Column, unit: Column) -> Column:
+    """"name: value unit"."""
+    return F.concat_ws(" ", F.concat(name, F.lit(":")), value, F.when(F.length(F.trim(unit)) > 0, unit))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 

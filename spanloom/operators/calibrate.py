@@ -78,3 +78,33 @@ def fuse_sources(scores: dict[str, Column], weights: dict[str, float], missing:
     top = sum((weights[s] * F.coalesce(c, F.lit(0.0)) for s, c in scores.items()), F.lit(0.0))
     under = sum((F.when(c.isNotNull() | F.lit(missing == "zero"), weights[s]).otherwise(0.0) for s, c in scores.items()), F.lit(0.0))
     return F.when(under > 0, top / F.greatest(under, F.lit(1e-12)))
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """For each group, the value at index floor(share * (n - 1)) of its sorted values.
+
+    Equal values are counted first; the distinct ones are ranked inside cells of a group (as range-partitioned tasks hold
+    them), and cells by the sizes of those before, so no group is ordered in one task or held in one array."""
+    from pyspark.sql import Window
+
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
+    placed = counts.repartitionByRange(*by, value).withColumn("__cell", F.spark_partition_id())
+    sizes = placed.groupBy(*by, "__cell").agg(F.sum("c").alias("s"), F.min(value).alias("low"))
+    over = Window.partitionBy(*by)
+    starts = sizes.select(*by, "__cell", F.coalesce(F.sum("s").over(over.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(over).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = placed.withColumn("last", inside).join(starts, [*by, "__cell"]).withColumn("end", F.col("before") + F.col("last"))
+    at = lambda q: F.floor(F.lit(q) * (F.col("n") - 1))
+    return upto.groupBy(*by).agg(*(F.max(F.when((F.col("end") > at(q)) & (F.col("end") - F.col("c") <= at(q)), F.col(value))).alias(n) for n, q in shares.items()))
+
+
+def apply(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows (source, entity_type, logit) with ``p``, by their fitted model (a, b: Platt; x, y: isotonic steps;
+    temperature). A row whose source and type have no model stops the query."""
+    m = models.select("source", "entity_type", *(F.col(c) if c in models.columns else F.lit(None).cast(k).alias(c) for c, k in (("a", "double"), ("b", "double"), ("temperature", "double"), ("x", "array<double>"), ("y", "array<double>"))), F.lit(True).alias("__known"))
+    p = (
+        F.when(F.col("__known").isNull(), F.raise_error(F.concat_ws(" ", F.lit("no calibration for"), "source", "entity_type")).cast("double"))
+        .when(F.col("temperature").isNotNull(), sigmoid(F.col("logit") / F.col("temperature"))).when(F.col("a").isNotNull(), sigmoid(F.col("a") * F.col("logit") + F.col("b")))
+        .otherwise(step_value(F.col("logit"), F.col("x"), F.col("y")))
+    )
+    return rows.join(m, ["source", "entity_type"], "left").withColumn("p", p).drop("a", "b", "temperature", "x", "y", "__known")

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .graph import components
-from .similarity import jaccard_join
+from .similarity import jaccard_classes
 from .split import hash_rank
 
 
-def quality_score(modern: Column, asserted: Column, profile: Column) -> Column:
-    """100, with 20 for a modern file, 5 for assertions, 5 for a profile other than basic."""
-    return 100 + F.when(modern, 20).otherwise(0) + F.when(asserted, 5).otherwise(0) + F.when(profile != "basic", 5).otherwise(0)
+#: Profiles whose samples are gold.
+MODERN = ("repeated_mention", "abbreviation_or_typo", "mixed_language", "lab_name_result_pair")
+
+
+def quality_score(profile: Column, asserted: Column) -> Column:
+    """100, with 20 for a modern profile, 5 for assertions, 5 for a profile other than basic; null is basic."""
+    named = F.coalesce(profile, F.lit("basic"))
+    return 100 + F.when(named.isin(*MODERN), 20).otherwise(0) + F.when(asserted, 5).otherwise(0) + F.when(named != "basic", 5).otherwise(0)
 
 
 def reject_exact(samples: DataFrame) -> DataFrame:
@@ -24,32 +29,47 @@ def reject_exact(samples: DataFrame) -> DataFrame:
 
 
 def curate(samples: DataFrame, hard: float = 0.72, soft: float = 0.62, share: float = 0.15) -> DataFrame:
-    """Samples (id long, text, score int, errors array) with ``status`` (validation_failed, exact_duplicate,
-    hard_near_duplicate, gold_train, gold_validation or standard), ``winner`` and ``soft_pairs``.
-
-    Samples with errors fall first, then exact copies, then all but the best of each component of hard pairs. Those with
-    the top score are gold, of which the first by text hash are for validation."""
-    ok = reject_exact(samples.where(F.size("errors") == 0))
+    """Samples (id long, text, profile, asserted boolean, errors array) with ``score``, ``status``
+    (validation_failed, exact_duplicate, hard_near_duplicate, gold_train, gold_validation or standard), ``winner`` and
+    ``soft_pairs``.
+
+    Samples with errors fall first, then exact copies, then all but the best of each component of hard pairs (largest
+    score, then smallest id). What is left of a modern profile is gold, of which the first by text hash are for
+    validation: ``share`` of them, halves rounded to even, one at least."""
+    scored = samples.withColumn("score", quality_score(F.col("profile"), F.coalesce("asserted", F.lit(False))))
+    ok = reject_exact(scored.where(F.size("errors") == 0))
     fresh = ok.where("not rejected")
-    pairs = jaccard_join(fresh.select("id", F.array_distinct(T.tokens(F.lower("text"))).alias("items")), soft)
-    comp = components(pairs.where(F.col("jaccard") >= hard), fresh.select(F.col("id").alias("vertex")))
+    members, pairs = jaccard_classes(fresh.select("id", F.array_distinct(T.tokens(F.lower("text"))).alias("items")), soft)
+    copies = members.where(F.col("id") != F.col("class")).select(F.col("class").alias("a"), F.col("id").alias("b"))
+    comp = components(pairs.where(F.col("jaccard") >= hard).select("a", "b").unionByName(copies), fresh.select(F.col("id").alias("vertex")))
     placed = fresh.join(comp.withColumnRenamed("vertex", "id"), "id")
     best = placed.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("best"))
-    near = pairs.where(F.col("jaccard") < hard).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("soft_pairs"))
+    # Pairs of classes stand for those of their members.
+    size = members.groupBy("class").agg(F.count("*").alias("copies"))
+    ends = pairs.where(F.col("jaccard") < hard).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("class")), F.struct(F.col("b").alias("x"), F.col("a").alias("class")))).alias("e"))
+    of_class = ends.select("e.x", "e.class").join(size, "class").groupBy("x").agg(F.sum("copies").alias("soft_pairs"))
+    near = members.select("id", F.col("class").alias("x")).join(of_class, "x").select("id", "soft_pairs")
     kept = placed.join(best, "component").join(near, "id", "left")
-    top = kept.where(F.col("id") == F.col("best")).agg(F.max("score").alias("top"))
-    gold = kept.where(F.col("id") == F.col("best")).join(F.broadcast(top), F.col("score") == F.col("top")).select("id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
-    first = F.col("rank") <= F.greatest(F.lit(1.0), F.round(F.col("n") * share))
+    gold = kept.where((F.col("id") == F.col("best")) & F.col("profile").isin(*MODERN)).select("id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
+    first = F.col("rank") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * share))
     split = hash_rank(gold, "h", "id").select("id", F.when(first, "gold_validation").otherwise("gold_train").alias("gold"))
-    decided = kept.join(split, "id", "left").select(
-        "id", F.when(F.col("id") != F.col("best"), "hard_near_duplicate").otherwise(F.coalesce("gold", F.lit("standard"))).alias("status"), F.col("best").alias("winner"), F.coalesce("soft_pairs", F.lit(0)).alias("soft_pairs")
-    )
+    status = F.when(F.col("id") != F.col("best"), "hard_near_duplicate").otherwise(F.coalesce("gold", F.lit("standard")))
+    decided = kept.join(split, "id", "left").select("id", "score", status.alias("status"), F.col("best").alias("winner"), F.coalesce("soft_pairs", F.lit(0)).alias("soft_pairs"))
     zero = F.lit(0).cast("long").alias("soft_pairs")
-    copies = ok.where("rejected").select("id", F.lit("exact_duplicate").alias("status"), "winner", zero)
-    failed = samples.where(F.size("errors") > 0).select("id", F.lit("validation_failed").alias("status"), F.lit(None).cast("long").alias("winner"), zero)
+    copies = ok.where("rejected").select("id", "score", F.lit("exact_duplicate").alias("status"), "winner", zero)
+    failed = scored.where(F.size("errors") > 0).select("id", "score", F.lit("validation_failed").alias("status"), F.lit(None).cast("long").alias("winner"), zero)
     return decided.unionByName(copies).unionByName(failed)
 
 
+def curation_report(decided: DataFrame) -> DataFrame:
+    """(name, n): input, gold, gold_train, gold_validation, standard, rejected, and each reason of rejection."""
+    rejected = ("validation_failed", "exact_duplicate", "hard_near_duplicate")
+    s = F.col("status")
+    groups = {"input": F.lit(True), "gold": s.startswith("gold_"), "gold_train": s == "gold_train", "gold_validation": s == "gold_validation", "standard": s == "standard", "rejected": s.isin(*rejected)} | {f"rejected.{r}": s == r for r in rejected}
+    row = decided.agg(*(F.count_if(c).alias(n) for n, c in groups.items()))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n in groups))).alias("x")).select("x.name", "x.n")
+
+
 def prepare_terminology(concepts: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
     """Active concepts once each, their aliases once each, and the report of aliases (counted before
     the rows are made distinct) with one or several targets. An identifier with several names is a conflict."""
@@ -87,6 +107,16 @@ def submission_errors(files: DataFrame, documents: DataFrame, codes: DataFrame)
     return direct.unionByName(used.join(codes, ["type", "code"], "left_anti").select("document_id", F.lit("unknown_code").alias("error")).distinct())
 
 
+def fold_seed_means(runs: DataFrame) -> DataFrame:
+    """Of runs (fold_id, seed, encoder, baseline) their number, mean scores and mean delta; a fold and seed that
+    occurs twice stops the query, as does an empty fold."""
+    once = runs.groupBy("fold_id", "seed").agg(F.count("*").alias("n"), F.first("encoder").alias("encoder"), F.first("baseline").alias("baseline"))
+    bad = (F.col("n") > 1) | F.coalesce(F.col("fold_id").cast("string") == "", F.lit(True)) | F.col("seed").isNull()
+    stop = F.raise_error(F.concat(F.lit("runs need a fold and a seed, each pair once: "), F.coalesce(F.col("fold_id").cast("string"), F.lit("")))).cast("boolean")
+    g = once.where(F.when(bad, stop).otherwise(True)).agg(F.count("*").alias("run_count"), F.avg("encoder").alias("e"), F.avg("baseline").alias("b"))
+    return g.select("run_count", F.round("e", 6).alias("mean_encoder"), F.round("b", 6).alias("mean_baseline"), F.round(F.col("e") - F.col("b"), 6).alias("mean_delta"))
+
+
 def report(aligned: DataFrame, pred: DataFrame) -> DataFrame:
     """A row of totals: matched, missing and extra spans, documents with failures and mean latency.
 

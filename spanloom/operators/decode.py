@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import logit, sigmoid
+from .spans import overlap_join
 
 
 def expected(p: Column, reward: float, penalty: float) -> Column:
@@ -107,14 +108,63 @@ def four_tier_alignment(left: DataFrame, right: DataFrame, key: str = "sample_id
     return both.mapInPandas(run, f"{key} {kind}, left long, right long, tier int")
 
 
-def consistent(spans: DataFrame, allowed: set[tuple[str, str]], least: float, key: str = "doc_id") -> DataFrame:
-    """Equal spans of a type once; then overlaps of types that may not meet are settled by utility; then what is
-    under ``least`` goes. Columns: key, id, start, end, type, utility."""
-    once = spans.groupBy(key, "start", "end", "type").agg(F.max(F.struct("utility", "id")).alias("b")).select(key, F.col("b.id").alias("id"), "start", "end", "type", F.col("b.utility").alias("utility"))
-    fine = F.array(*(F.lit("|".join(sorted(p))) for p in sorted(allowed))) if allowed else F.array().cast("array<string>")
-    item = F.struct((-F.col("utility")).alias("rank"), F.col("id").cast("string").alias("id"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("type").alias("k"))
-    pair = lambda y, x: F.array_join(F.array_sort(F.array(y["k"], x["k"])), "|")
-    clash = lambda y, x: (y["s"] < x["e"]) & (x["s"] < y["e"]) & ~F.array_contains(fine, pair(y, x))
-    shape = "array<struct<rank:double,id:string,s:bigint,e:bigint,k:string>>"
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(shape), lambda acc, x: F.when(F.exists(acc, lambda y: clash(y, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return once.groupBy(key).agg(F.explode(kept).alias("x")).select(key, "x.id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.k").alias("type"), (-F.col("x.rank")).alias("utility")).where(F.col("utility") >= least)
+ALLOW, FORBID = "allow", "forbid"
+
+
+def resolve_consistency(spans: DataFrame, actions: dict[tuple[str, str], str], least: float, key: str = "doc_id") -> DataFrame:
+    """Spans (key, id, start, end, type, text, utility, and any others) with ``kept`` and ``reason``.
+
+    In this order: of spans that are equal in everything but id and utility the smallest id stays; two overlapping spans
+    whose types have no action go both; of two whose types may not meet, the one with less utility (then the later place,
+    then the larger id) goes, unless the other has gone; then what is under ``least`` goes. ``actions``: of unordered
+    pairs of types, allow or forbid. The fold runs over the spans of one document that forbidden overlaps join."""
+    whole = [c for c in spans.columns if c not in ("id", "utility")]
+    same = spans.groupBy(*whole).agg(F.min("id").alias("original"))
+    nullsafe = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in whole]
+    cond = nullsafe[0]
+    for c in nullsafe[1:]:
+        cond = cond & c
+    marked = spans.alias("s").join(same.alias("o"), cond).select("s.*", "o.original").withColumn("copy", F.col("id") != F.col("original")).drop("original")
+    # Pairs of overlapping spans of a document, each once from either side.
+    right = spans.select(key, F.col("id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("type").alias("r_type"))
+    pairs = overlap_join(spans.select(key, "id", "start", "end", "type"), right, key).where("id <> r_id")
+    table = F.create_map(*(F.lit(x) for pair, what in sorted(actions.items()) for x in ("|".join(sorted(pair)), what))) if actions else F.create_map().cast("map<string,string>")
+    action = F.try_element_at(table, F.array_join(F.array_sort(F.array("type", "r_type")), "|"))
+    acted = pairs.select(key, "id", "r_id", action.alias("action"))
+    unknown = acted.where("action is null").select(key, "id").distinct().withColumn("unsupported", F.lit(True))
+    blocked = acted.where(F.col("action") == FORBID).groupBy(key, "id").agg(F.collect_set("r_id").alias("foes"))
+    rows = marked.join(unknown, [key, "id"], "left").join(blocked, [key, "id"], "left").withColumn("open", ~F.col("copy") & F.col("unsupported").isNull())
+    fought = rows.where("open and foes is not null")
+    item = F.struct((-F.col("utility")).alias("rank"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("type").alias("t"), F.col("text").alias("x"), F.col("id").alias("id"), F.col("foes").alias("foes"))
+    kept = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast("array<string>"), lambda acc, x: F.when(F.arrays_overlap(acc, x["foes"]), acc).otherwise(F.array_append(acc, x["id"])))
+    winners = fought.groupBy(key).agg(F.explode(kept).alias("id")).withColumn("won", F.lit(True))
+    reason = (
+        F.when(F.col("copy"), "exact_duplicate").when(F.col("unsupported"), "unsupported_overlap")
+        .when(F.col("foes").isNotNull() & F.col("won").isNull(), "overlap_conflict").when(F.col("utility") < least, "utility_below_minimum").otherwise("kept")
+    )
+    out = rows.join(winners, [key, "id"], "left").withColumn("reason", reason)
+    return out.select(*spans.columns, (F.col("reason") == "kept").alias("kept"), "reason")
+
+
+def resolve_lab_pairs(resolved: DataFrame, pairings: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Results move to their nearest kept test. ``pairings``: key, result_id, test_ids, assigned. Returns the spans
+    of resolve_consistency, where a kept result without a kept test goes (lab_pair_abstained), and the pairs: key,
+    result_id, test_id, reassigned. Of equally near tests the later one counts, then the smaller id."""
+    at = resolved.select(key, "id", "start", "end", "kept")
+    p = pairings.join(at.select(key, F.col("id").alias("result_id"), F.col("start").alias("rs"), F.col("end").alias("re"), F.col("kept").alias("result_kept")), [key, "result_id"]).where("result_kept")
+    tests = p.withColumn("id", F.explode("test_ids")).join(at, [key, "id"]).where("kept")
+    gap = F.greatest(F.col("start") - F.col("re"), F.col("rs") - F.col("end"), F.lit(0))
+    best = tests.groupBy(key, "result_id").agg(F.min(F.struct(gap.alias("gap"), (-F.col("start")).alias("back"), "id")).alias("b"), F.first("assigned").alias("assigned"))
+    pairs = best.select(key, "result_id", F.col("b.id").alias("test_id"), (~F.col("assigned").eqNullSafe(F.col("b.id"))).alias("reassigned"))
+    lost = p.select(key, "result_id").join(pairs, [key, "result_id"], "left_anti").select(key, F.col("result_id").alias("id")).withColumn("lost", F.lit(True))
+    out = resolved.join(lost, [key, "id"], "left")
+    out = out.withColumn("reason", F.when(F.col("lost"), "lab_pair_abstained").otherwise(F.col("reason"))).withColumn("kept", F.col("kept") & F.col("lost").isNull())
+    return out.select(*resolved.columns), pairs
+
+
+def overlap_blockers(items: DataFrame, overlaps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, id, blockers): the hypotheses that may not stand beside each one, in both directions. ``overlaps``: key,
+    left_id, right_id, compatible."""
+    edges = overlaps.where("not compatible").select(key, F.explode(F.array(F.struct(F.col("left_id").alias("id"), F.col("right_id").alias("b")), F.struct(F.col("right_id").alias("id"), F.col("left_id").alias("b")))).alias("x"))
+    some = edges.select(key, "x.id", "x.b").groupBy(key, "id").agg(F.array_sort(F.collect_set("b")).alias("blockers"))
+    return items.select(key, "id").join(some, [key, "id"], "left").withColumn("blockers", F.coalesce("blockers", F.array().cast("array<string>")))

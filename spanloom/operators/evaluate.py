@@ -25,14 +25,15 @@ def optional_jaccard(a: Column, b: Column, strict: bool = False) -> Column:
     return F.when(a.isNull() != b.isNull(), 0.0).otherwise(value) if strict else value
 
 
-def ratio(n: Column, d: Column, empty: float = 0.0) -> Column:
+def ratio(n: Column, d: Column, empty: float = 1.0) -> Column:
     return F.when(d == 0, F.lit(empty)).otherwise(n / F.greatest(d, F.lit(1)))
 
 
-def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
-    """Precision, recall and F1, rounded; F1 is 1 where nothing was expected and nothing found."""
-    f1 = F.when(tp + fp + fn == 0, 1.0).otherwise(2 * tp / F.greatest(2 * tp + fp + fn, F.lit(1)))
-    return [F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + fn), 6).alias("recall"), F.round(f1, 6).alias("f1")]
+def prf(tp: Column, fp: Column, fn: Column, digits: int = 6) -> list[Column]:
+    """Precision, recall and F1, rounded. Without predictions precision is 1, without gold recall is 1."""
+    p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
+    f1 = F.when(p + r == 0, 0.0).otherwise(2 * p * r / F.greatest(p + r, F.lit(1e-300)))
+    return [F.round(c, digits).alias(n) for c, n in ((p, "precision"), (r, "recall"), (f1, "f1"))]
 
 
 def counted(aligned: DataFrame, by: list[str]) -> DataFrame:
@@ -42,16 +43,122 @@ def counted(aligned: DataFrame, by: list[str]) -> DataFrame:
     return c.select(*by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+#: What makes two entities of a sample the same, for the score; without the text for the report.
+SCORED = ("start", "end", "type", "text")
+_SET = "array<string>"
+
+
+def paired(gold: DataFrame, pred: DataFrame, keys: tuple[str, ...], sample: str = "doc_id") -> DataFrame:
+    """Entities with the k-th gold one of a key beside the k-th predicted one, in the order of ``i``: the keys, structs
+    ``g`` and ``p`` of the other columns (null on the side that lacks a partner)."""
+    by = [sample, *keys]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("i")))
+        return ranked.select(*by, "k", F.struct(*(c for c in df.columns if c not in by)).alias(name))
+
+    return side(gold, "g").join(side(pred, "p"), [*by, "k"], "full").drop("k")
+
+
+def score_samples(gold: DataFrame, pred: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), none_is_empty: bool = True, sample: str = "doc_id") -> DataFrame:
+    """The score of each sample from its entities (i, start, end, type, text, assertions, candidates): precision,
+    recall and F1 of equal entities; the mean Jaccard indices of assertions and of candidates, over pairs and over what
+    has no partner (against an empty set); and the weighted mean of the three. A sample without entities scores 1."""
+    if min(weights) < 0 or not any(weights):
+        raise ValueError("weights must not be negative, nor all 0")
+    rows, empty = paired(gold, pred, SCORED, sample), F.array().cast(_SET)
+    alike = lambda c: optional_jaccard(F.when(F.col("g").isNull(), empty).otherwise(F.col(f"g.{c}")), F.when(F.col("p").isNull(), empty).otherwise(F.col(f"p.{c}")), strict=not none_is_empty)
+    n = lambda c: F.count_if(c)
+    sums = rows.groupBy(sample).agg(
+        n(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("matched"), n(F.col("p").isNull()).alias("unmatched_gold"), n(F.col("g").isNull()).alias("unmatched_pred"),
+        F.avg(alike("assertions")).alias("assertion_jaccard"), F.avg(alike("candidates")).alias("candidate_jaccard"),
+    )
+    p, r, f = prf(F.col("matched"), F.col("unmatched_pred"), F.col("unmatched_gold"), 12)
+    w = [float(x) / sum(weights) for x in weights]
+    scored = sums.select("*", p, r, f)
+    return scored.withColumn("final_score", w[0] * F.col("f1") + w[1] * F.col("assertion_jaccard") + w[2] * F.col("candidate_jaccard"))
+
+
+def assertion_metrics(gold: DataFrame, pred: DataFrame, sample: str = "doc_id") -> DataFrame:
+    """Of entities paired by span and type, for each assertion label tp, fp, fn with precision, recall and F1."""
+    both = paired(gold, pred, SCORED[:3], sample).where("g is not null and p is not null")
+    sets = both.select(*(F.coalesce(f"{c}.assertions", F.array().cast(_SET)).alias(c) for c in ("g", "p")))
+    rows = sets.select(F.explode(F.array_union("g", "p")).alias("label"), "g", "p")
+    c = rows.select("label", F.array_contains("g", F.col("label")).alias("in_gold"), F.array_contains("p", F.col("label")).alias("in_pred"))
+    return counted(c, ["label"])
+
+
+def scope_errors(gold: DataFrame, pred: DataFrame, sample: str = "doc_id") -> DataFrame:
+    """Gold entities that overlap a predicted one of their type and of another span with a common assertion."""
+    r = pred.select(sample, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("type").alias("r_type"), F.col("assertions").alias("r_assertions"))
+    hit = (F.col("type") == F.col("r_type")) & ~((F.col("start") == F.col("r_start")) & (F.col("end") == F.col("r_end"))) & F.arrays_overlap("assertions", "r_assertions")
+    return overlap_join(gold, r, sample).where(hit).select(sample, "start", "end", "type", "i").distinct()
+
+
+def linking_report(gold: DataFrame, pred: DataFrame, sample: str = "doc_id") -> DataFrame:
+    """Over pairs (by span and type) whose gold candidates are known: recall of the first gold code at 1, 2 and 5,
+    mean reciprocal rank, the share with any gold code among the predicted ones, and the mean Jaccard index; one row.
+    ``pred`` has the array ``ranking`` beside ``candidates``."""
+    both = paired(gold, pred, SCORED[:3], sample).where("g.candidates is not null and p is not null")
+    want, said = F.col("g.candidates"), F.coalesce("p.candidates", F.array().cast(_SET))
+    ranks = F.transform("p.ranking", lambda x, i: F.when(F.array_contains(want, x), i + 1))
+    v = both.select(F.array_min(F.coalesce(ranks, F.array().cast("array<int>"))).alias("rank"), F.arrays_overlap(want, said).alias("found"), optional_jaccard(want, said).alias("jaccard"))
+    at = lambda k: F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)))
+    values = {"recall_1": at(1), "recall_2": at(2), "recall_5": at(5), "mrr": F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), "oracle": F.avg(F.coalesce(F.col("found"), F.lit(False)).cast("double")), "jaccard": F.avg("jaccard")}
+    return v.agg(F.count("*").alias("n"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for n, c in values.items()))
+
+
+def evaluation_report(gold: DataFrame, pred: DataFrame, runs: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), sample: str = "doc_id") -> DataFrame:
+    """(section, name, value) of a run. ``runs`` has a row for each sample: its id, failure_reason, latency_ms; the
+    samples of both sides must be those of ``runs``. Sections: score, type, assertion, linking, error, system, failure."""
+    put = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), F.round(value.cast("double"), 6).alias("value"))
+
+    def melted(df: DataFrame, section: str, key: Column | None, columns: list[str]) -> DataFrame:
+        pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("n"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")
+        rows = df.select(*([key.alias("k")] if key is not None else []), pairs)
+        return put(rows, section, F.concat_ws(".", "k", "x.n") if key is not None else F.col("x.n"), F.col("x.v"))
+
+    # A sample in which nothing is expected and nothing found scores 1.
+    known = runs.select(sample).join(score_samples(gold, pred, weights, sample=sample), sample, "left")
+    final = known.agg(F.avg(F.coalesce("final_score", F.lit(1.0))).alias("final_score"), F.count("*").alias("samples"))
+    strange = gold.select(sample).union(pred.select(sample)).distinct().join(runs.select(sample), sample, "left_anti").agg(F.count("*").alias("unknown_samples"))
+    aligned = paired(gold, pred, SCORED[:3], sample).select(sample, *SCORED[:3], F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"))
+    counts = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    system = runs.agg(F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"), F.count("failure_reason").alias("failures"))
+    failed = runs.where("failure_reason is not null").groupBy("failure_reason").agg(F.count("*").alias("n"))
+    errors = error_classes(gold, pred).where("error <> 'partial'").groupBy("error").agg(F.count("*").alias("n"))
+    scopes = scope_errors(gold, pred, sample).agg(F.count("*").alias("n"))
+    parts = [
+        melted(final, "score", None, ["final_score", "samples"]), melted(strange, "score", None, ["unknown_samples"]),
+        melted(counted(aligned, ["type"]), "type", F.col("type"), counts), melted(assertion_metrics(gold, pred, sample), "assertion", F.col("label"), counts),
+        melted(linking_report(gold, pred, sample), "linking", None, ["n", "recall_1", "recall_2", "recall_5", "mrr", "oracle", "jaccard"]),
+        put(errors, "error", F.col("error"), F.col("n")), put(scopes, "error", F.lit("scope"), F.col("n")),
+        melted(system, "system", None, ["mean_latency_ms", "max_latency_ms", "failures"]), put(failed, "failure", F.col("failure_reason"), F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def bucket_deltas(base: DataFrame, other: DataFrame) -> DataFrame:
+    """A10: (name, delta) of the error sections of two reports."""
+    side = lambda df, n: df.where("section in ('error', 'failure')").select("section", "name", F.col("value").alias(n))
+    both = side(base, "b").join(side(other, "o"), ["section", "name"], "full")
+    return both.select("section", "name", (F.coalesce("o", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).cast("long").alias("delta"))
+
+
 def error_classes(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """For each unmatched gold span: boundary (same type overlaps), else type (same span), else missing; for each
-    unmatched predicted one: spurious if it overlaps no gold span, else partial. Columns: doc_id, start, end, type, error."""
+    """For each unmatched gold span: boundary (a predicted one of its type overlaps), else type (any overlaps), else
+    missing; for each unmatched predicted one: spurious if it overlaps no gold span, else partial. Columns: doc_id, start,
+    end, type, error."""
     keys = ["doc_id", "start", "end", "type"]
     r = pred.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("type").alias("r_type"))
     missed = gold.select(*keys).join(pred.select(*keys), keys, "left_anti")
     near = overlap_join(missed, r).groupBy(*keys).agg(
-        F.bool_or(F.col("r_type") == F.col("type")).alias("same"), F.bool_or((F.col("r_start") == F.col("start")) & (F.col("r_end") == F.col("end"))).alias("span")
+        F.bool_or(F.col("r_type") == F.col("type")).alias("same"), F.lit(True).alias("touched")
     )
-    fn = missed.join(near, keys, "left").select(*keys, F.when(F.col("same"), "boundary").when(F.col("span"), "type").otherwise("missing").alias("error"))
+    fn = missed.join(near, keys, "left").select(*keys, F.when(F.col("same"), "boundary").when(F.col("touched"), "type").otherwise("missing").alias("error"))
     extra = pred.select(*keys).join(gold.select(*keys), keys, "left_anti")
     g = gold.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     touched = overlap_join(extra, g).select(*keys).distinct().withColumn("touched", F.lit(True))

@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .spans import overlap_join
+
+
+#: Rows, and text bytes, that a kernel works on at once.
+SLICE_ROWS, SLICE_BYTES = 128, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most SLICE_ROWS rows and about SLICE_BYTES of text, or one row."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > at and (i - at >= SLICE_ROWS or size + n > SLICE_BYTES):
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(at)
 
 
 def per_document(docs: DataFrame, kernel: Callable[[int, str], Iterable[tuple]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,8 +38,7 @@ def per_document(docs: DataFrame, kernel: Callable[[int, str], Iterable[tuple]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch):
                 rows = [(d, *r) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in kernel(d, t or "")]
                 columns = list(zip(*rows)) or [()] * len(shape)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
@@ -29,6 +46,48 @@ def per_document(docs: DataFrame, kernel: Callable[[int, str], Iterable[tuple]],
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
 
+def isolated(docs: DataFrame, kernel: Callable[[int, str], object], limit_ms: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, result, error, elapsed_ms): kernel(id, text) as JSON, one row for each document. What it
+    raises becomes the row's error, by its type alone, so that no text leaks; a document that took longer than
+    ``limit_ms`` is failed afterwards as timeout."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import time
+
+        for batch in batches:
+            for part in slices(batch):
+                out: tuple[list, list, list] = ([], [], [])
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    began, result, error = time.perf_counter(), None, None
+                    try:
+                        result = K.canonical_json(kernel(d, t or ""))
+                    except Exception as e:  # noqa: BLE001  whatever a kernel raises is the row's own failure
+                        error = type(e).__name__
+                    took = (time.perf_counter() - began) * 1000
+                    if error is None and limit_ms is not None and took > limit_ms:
+                        result, error = None, "timeout"
+                    for column, value in zip(out, (result, error, took)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["doc_id", "result", "error", "elapsed_ms"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, result string, error string, elapsed_ms double")
+
+
+def united(*proposals: DataFrame) -> DataFrame:
+    """The proposals of all proposers with ``proposer``, the place of each in this order."""
+    out = proposals[0].withColumn("proposer", F.lit(0))
+    for i, p in enumerate(proposals[1:], 1):
+        out = out.unionByName(p.withColumn("proposer", F.lit(i)))
+    return out
+
+
+def without_headings(spans: DataFrame, units: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The spans that overlap no heading. ``units``: rows of structure_units, whose sections have heading_end."""
+    heads = units.where("kind = 'section' and start < heading_end").select(key, F.col("start").alias("r_start"), F.col("heading_end").alias("r_end"))
+    hit = overlap_join(spans.select(key, "start", "end").distinct(), heads, key).select(key, "start", "end").distinct()
+    return spans.join(hit, [key, "start", "end"], "left_anti").select(*spans.columns)
+
+
 def text_views(docs: DataFrame) -> DataFrame:
     """Each view with its raw boundaries."""
     return per_document(docs, lambda _, t: [(n, v.text, list(v.bounds)) for n, v in K.views(t).items()], "doc_id long, view string, text string, bounds array<int>")
@@ -36,7 +95,7 @@ def text_views(docs: DataFrame) -> DataFrame:
 
 def structure_units(docs: DataFrame) -> DataFrame:
     """Sections, list items, sentences and clauses in one tall table."""
-    return per_document(docs, lambda _, t: [(u.kind, u.start, u.end, u.label) for u in K.Structure.of(t).units()], "doc_id long, kind string, start int, end int, label string")
+    return per_document(docs, lambda _, t: [(u.kind, u.start, u.end, u.label, u.heading_end) for u in K.Structure.of(t).units()], "doc_id long, kind string, start int, end int, label string, heading_end int")
 
 
 def entities(docs: DataFrame, lexicon: dict[str, tuple[str, ...]], cues=K.CUES) -> DataFrame:

@@ -33,8 +33,9 @@ def expected_jaccard_set(rows: DataFrame) -> DataFrame:
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("request_id")
     u = ranked.withColumn("hits", F.sum("p").over(run)).withColumn("total", F.sum("p").over(all_))
-    u = u.withColumn("value", F.round(F.col("hits") / (F.col("total") + F.col("k") - F.col("hits")), 12))
-    best = u.groupBy("request_id").agg(F.max(F.struct("value", (-F.col("k")).alias("nk"))).alias("b"))
+    u = u.withColumn("value", F.col("hits") / (F.col("total") + F.col("k") - F.col("hits")))
+    # Nothing probable, nothing chosen.
+    best = u.where("value > 0").groupBy("request_id").agg(F.max(F.struct("value", (-F.col("k")).alias("nk"))).alias("b"))
     return u.join(best, "request_id").where(F.col("k") <= -F.col("b.nk")).select("request_id", "concept_id", "k", F.col("b.value").alias("expected_jaccard"))
 
 
@@ -63,17 +64,76 @@ def recall_with_misses(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return g.groupBy("query_id").agg(F.count("hit").alias("hits"), missed.alias("missed"))
 
 
-def variant_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20, 50)) -> DataFrame:
-    """(variant, entity_type, terminology) with all three, and over each of the last two alone: coverage, mean
-    reciprocal rank and recall at k, where a hit needs all gold ids among the first k (no gold ids: always)."""
-    last = ranked.join(gold.select("query_id", "concept_id"), ["query_id", "concept_id"]).groupBy("variant", "query_id").agg(F.max("rank").alias("last"), F.min("rank").alias("first"), F.count("*").alias("found"))
-    want = gold.groupBy("query_id", "entity_type", "terminology").agg(F.count("concept_id").alias("want"))
-    variants = ranked.select("variant").distinct()
-    q = want.join(F.broadcast(variants)).join(last, ["variant", "query_id"], "left")
-    whole = (F.coalesce("found", F.lit(0)) == F.col("want")) | (F.col("want") == 0)
-    recalls = [F.round(F.avg((whole & (F.coalesce("last", F.lit(0)) <= k)).cast("int")), 6).alias(f"recall_{k}") for k in ks]
-    out = (F.round(F.avg(F.col("first").isNotNull().cast("int")), 6).alias("coverage"), *recalls, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
-    return q.groupingSets([["variant", "entity_type", "terminology"], ["variant", "entity_type"], ["variant", "terminology"], ["variant"]], "variant", "entity_type", "terminology").agg(*out)
+_KEYS = "array<string>"
+
+
+def _distinct_codes(c: Column) -> Column:
+    return F.array_distinct(F.coalesce(c, F.array().cast(_KEYS)))
+
+
+def variant_metrics(outputs: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20, 50)) -> DataFrame:
+    """Of outputs (variant, trace_id, ranked and final arrays of codes) on gold (trace_id, entity_type, terminology,
+    codes): metrics by variant, entity type and terminology, by variant and either of these, and by variant.
+
+    An entity is covered if all its gold codes are ranked (at k: among the first k). top1 counts entities with gold codes
+    whose first ranked code is one; an empty final list abstains, rightly where there is no gold code."""
+    rows = outputs.join(gold, "trace_id").select(
+        "variant", "entity_type", "terminology", _distinct_codes(F.col("ranked")).alias("r"), _distinct_codes(F.col("final")).alias("f"), _distinct_codes(F.col("codes")).alias("g")
+    )
+    whole = lambda c: F.size(F.array_except("g", c)) == 0
+    first = F.array_min(F.coalesce(F.filter(F.transform("r", lambda x, i: F.when(F.array_contains("g", x), i + 1)), lambda i: i.isNotNull()), F.array().cast("array<int>")))
+    both, either = F.size(F.array_intersect("f", "g")), F.size(F.array_union("f", "g"))
+    v = rows.select(
+        "variant", "entity_type", "terminology", whole(F.col("r")).alias("covered"), *(whole(F.slice("r", 1, k)).alias(f"in_{k}") for k in ks), first.alias("first"),
+        F.when(F.size("g") > 0, F.coalesce(F.array_contains("g", F.try_element_at("r", F.lit(1))), F.lit(False))).alias("top1"),
+        F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1))).alias("jaccard"), (F.size("f") == 0).alias("abstained"), (F.size("g") == 0).alias("nothing"),
+    )
+    mean = lambda c: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 6)
+    out = (
+        F.count("*").alias("entities"), mean(F.col("covered")).alias("coverage"), *(mean(F.col(f"in_{k}")).alias(f"recall_{k}") for k in ks),
+        mean(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), mean(F.col("top1")).alias("top1"), mean(F.col("jaccard")).alias("jaccard"),
+        mean(F.when(F.col("abstained"), F.col("nothing"))).alias("abstention_precision"), mean(F.col("abstained")).alias("abstention_coverage"),
+    )
+    return v.groupingSets([["variant", "entity_type", "terminology"], ["variant", "entity_type"], ["variant", "terminology"], ["variant"]], "variant", "entity_type", "terminology").agg(*out)
+
+
+#: Kinds of linking errors; an entity may have several.
+ERROR_BUCKETS = ("alias_missing", "retrieval_miss", "rerank_miss", "wrong_granularity", "structured_mismatch", "obsolete_concept", "ambiguous_gold")
+
+
+def linking_errors(gold: DataFrame, fused: DataFrame, reranked: DataFrame) -> DataFrame:
+    """(bucket, trace_id) for each kind of error of each entity.
+
+    gold: trace_id, codes, granularity, alias_present; fused: trace_id, ranked (codes); reranked: trace_id, ranked (array
+    of code, granularity, obsolete), final (codes), rejected (codes that structure ruled out)."""
+    r = reranked.select("trace_id", F.col("ranked").alias("again"), _distinct_codes(F.col("final")).alias("final"), _distinct_codes(F.col("rejected")).alias("rejected"))
+    rows = gold.select("trace_id", _distinct_codes(F.col("codes")).alias("g"), "granularity", "alias_present").join(fused.select("trace_id", _distinct_codes(F.col("ranked")).alias("pool")), "trace_id", "left").join(r, "trace_id", "left")
+    some, pooled = F.size("g") > 0, F.size(F.array_except("g", F.coalesce("pool", F.array().cast(_KEYS)))) == 0
+    told = F.size(F.array_except("g", F.coalesce("final", F.array().cast(_KEYS)))) == 0
+    tests = {
+        "alias_missing": ~F.col("alias_present"), "retrieval_miss": some & ~pooled, "rerank_miss": some & pooled & ~told,
+        "wrong_granularity": F.exists("again", lambda x: F.array_contains("g", x["code"]) & (x["granularity"] != F.col("granularity"))),
+        "structured_mismatch": F.arrays_overlap("g", "rejected"), "obsolete_concept": F.exists("again", lambda x: x["obsolete"] & F.array_contains("final", x["code"])), "ambiguous_gold": F.size("g") > 1,
+    }
+    hits = F.array_compact(F.array(*(F.when(tests[n], n) for n in ERROR_BUCKETS)))
+    return rows.select(F.explode(hits).alias("bucket"), "trace_id")
+
+
+def linking_error_counts(errors: DataFrame) -> DataFrame:
+    """(bucket, n, first_trace) of all seven buckets."""
+    names = errors.sparkSession.createDataFrame([(b,) for b in ERROR_BUCKETS], "bucket string")
+    n = errors.groupBy("bucket").agg(F.count("*").alias("n"), F.min("trace_id").alias("first_trace"))
+    return names.join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "first_trace")
+
+
+def rerank_join(retrieved: DataFrame, scores: DataFrame) -> DataFrame:
+    """Retrieved (request_id, concept_id, raw) with the reranker's scores (request_id, concept_id, score), ranked
+    by score, raw score, id. A score for a request that was not made stops the query; candidates without one come last."""
+    asked = retrieved.select("request_id").distinct().withColumn("asked", F.lit(True))
+    known = scores.join(asked, "request_id", "left")
+    sure = known.withColumn("score", F.when(F.col("asked").isNull(), F.raise_error(F.concat(F.lit("unknown request: "), F.col("request_id").cast("string"))).cast("double")).otherwise(F.col("score"))).drop("asked")
+    order = Window.partitionBy("request_id").orderBy(F.col("score").desc_nulls_last(), F.desc("raw"), "concept_id")
+    return retrieved.join(sure, ["request_id", "concept_id"], "full").where("raw is not null or raise_error('unknown candidate') is null").withColumn("rank", F.row_number().over(order))
 
 
 def snapshot_lookup(candidates: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -82,17 +142,66 @@ def snapshot_lookup(candidates: DataFrame, ontology: DataFrame) -> DataFrame:
     return joined.withColumn("__in", F.when(F.col("__in").isNull(), F.raise_error(F.concat(F.lit("not in the snapshot: "), F.col("concept_id")))).otherwise(True)).where("__in").drop("__in")
 
 
-def siblings(ontology: DataFrame) -> DataFrame:
-    """(concept_id, other, relation): parents, children, and concepts that share a parent, through the parent."""
-    up = ontology.select("concept_id", F.explode("parents").alias("other"))
-    shared = up.join(up.select(F.col("concept_id").alias("c"), "other"), "other").where("concept_id <> c").select("concept_id", F.col("c").alias("other"), F.lit("sibling").alias("relation"))
-    parent = up.select("concept_id", "other", F.lit("parent").alias("relation"))
-    return parent.unionByName(up.select(F.col("other").alias("concept_id"), F.col("concept_id").alias("other"), F.lit("child").alias("relation"))).unionByName(shared).distinct()
-
-
-def ablation(cases: DataFrame, least_gain: float) -> DataFrame:
-    """Of (mode, case_id, score, latency_ms) with modes off, always_on, gated: gain and lost cases of each mode
-    against off, and whether to enable it: no case loses and the gain reaches ``least_gain``."""
-    off = cases.where("mode = 'off'").select("case_id", F.col("score").alias("base"))
-    d = cases.where("mode <> 'off'").join(off, "case_id").groupBy("mode").agg(F.round(F.avg(F.col("score") - F.col("base")), 6).alias("gain"), F.count_if(F.col("score") < F.col("base")).alias("lost"), F.round(F.avg("latency_ms"), 6).alias("latency_ms"))
-    return d.withColumn("enable", (F.col("lost") == 0) & (F.col("gain") >= least_gain) & (F.col("gain") > 0))
+def hard_negatives(catalog: DataFrame, gold: DataFrame) -> DataFrame:
+    """(terminology, concept_id) of the catalog that are easily taken for a gold one of their terminology, and are
+    none. In ICD tables: its parent, its children, concepts with its parent. In RxNorm tables: concepts that share an
+    ingredient and differ in ingredients, strengths or forms. catalog: terminology, concept_id, parent_id, ingredients,
+    strengths, forms (arrays, normalised); gold: terminology, concept_id.
+
+    They meet in their common key, of which either side keeps distinct values, and only negatives leave the joins."""
+    keys = ["terminology", "concept_id"]
+    want = catalog.join(gold.select(*keys).distinct(), keys, "left_semi")
+    other = catalog.join(gold.select(*keys).distinct(), keys, "left_anti")
+    icd, rx = F.upper("terminology").startswith("ICD"), F.upper("terminology").startswith("RXNORM")
+    wi, oi = want.where(icd), other.where(icd)
+    children = oi.join(wi.select("terminology", F.col("concept_id").alias("parent_id")), ["terminology", "parent_id"], "left_semi")
+    parents = oi.join(wi.select("terminology", F.col("parent_id").alias("concept_id")), keys, "left_semi")
+    siblings = oi.join(wi.select("terminology", "parent_id").where("parent_id is not null"), ["terminology", "parent_id"], "left_semi")
+    # Of an ingredient, the distinct combinations of gold concepts.
+    parts = F.struct(*(F.array_sort(F.array_distinct(c)).alias(c) for c in ("ingredients", "strengths", "forms")))
+    of = lambda df: df.where(rx).select(*keys, parts.alias("p")).select("*", F.explode("p.ingredients").alias("ingredient"))
+    shapes = of(want).groupBy("terminology", "ingredient").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    # One with another combination than its own: the least or the greatest differs.
+    drugs = of(other).join(shapes, ["terminology", "ingredient"]).where((F.col("lo") != F.col("p")) | (F.col("hi") != F.col("p")))
+    out = children.select(*keys)
+    for part in (parents, siblings, drugs):
+        out = out.unionByName(part.select(*keys))
+    return out.distinct()
+
+
+def ablation(cases: DataFrame, least_gain: float, latency_penalty: float = 0.0) -> DataFrame:
+    """Of (mode, case_id, score, latency_ms) with modes off, always_on, gated_on: against off, each mode's gain, lost
+    cases, added latency and net gain (less ``latency_penalty`` for each added millisecond), and whether to enable it: no
+    case loses, the gain reaches ``least_gain``, and the net gain is positive."""
+    off = cases.where("mode = 'off'").select("case_id", F.col("score").alias("base"), F.col("latency_ms").alias("base_ms"))
+    d = cases.where("mode <> 'off'").join(off, "case_id").groupBy("mode").agg(
+        F.avg(F.col("score") - F.col("base")).alias("gain"), F.count_if(F.col("score") < F.col("base")).alias("lost"), (F.avg("latency_ms") - F.avg("base_ms")).alias("added_ms")
+    )
+    net = F.col("gain") - latency_penalty * F.greatest("added_ms", F.lit(0.0))
+    d = d.withColumn("net", net).withColumn("enable", (F.col("lost") == 0) & (F.col("gain") >= least_gain) & (F.col("net") > 0))
+    return d.select("mode", *(F.round(c, 6).alias(c) for c in ("gain", "added_ms", "net")), "lost", "enable")
+
+
+def candidate_oracle(gold: DataFrame, pool: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of each request with candidates: numbers of gold, pooled, chosen and rightly chosen ones, recall of the gold
+    set by the pool, Jaccard index and equality of gold and chosen set."""
+    side = lambda df, n: df.select("request_id", "concept_id", F.lit(True).alias(n)).distinct()
+    r = side(pool, "pool").join(side(gold, "gold"), ["request_id", "concept_id"], "full").join(side(chosen, "chosen"), ["request_id", "concept_id"], "full")
+    g = r.groupBy("request_id").agg(
+        F.count("gold").alias("n_gold"), F.count("pool").alias("n_pool"), F.count("chosen").alias("n_chosen"),
+        F.count_if(F.col("gold") & F.col("chosen")).alias("hit"), F.count_if(F.col("gold") & F.col("pool")).alias("found"),
+    )
+    recall = F.when(F.col("n_gold") == 0, 1.0).otherwise(F.col("found") / F.greatest("n_gold", F.lit(1)))
+    either = F.col("n_gold") + F.col("n_chosen") - F.col("hit")
+    return g.select(
+        "request_id", "n_gold", "n_pool", "n_chosen", "hit", F.round(recall, 6).alias("recall"), F.round(F.when(either == 0, 1.0).otherwise(F.col("hit") / F.greatest(either, F.lit(1))), 6).alias("jaccard"),
+        ((F.col("hit") == F.col("n_gold")) & (F.col("hit") == F.col("n_chosen"))).alias("exact"),
+    )
+
+
+def alias_remap(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Of each sample (sample_id, alias) the number of mentions, those whose alias does not name exactly one code,
+    and the codes of the others. A sample with a missing one is to be rejected whole."""
+    unique = aliases.groupBy("alias").agg(F.count_distinct("code").alias("k"), F.min("code").alias("code")).where("k = 1").select("alias", "code")
+    rows = mentions.join(unique, "alias", "left")
+    return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("missing"), F.array_sort(F.collect_set("code")).alias("codes"))

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.kernels import ingredient
 
 #: Saturation and length weight of BM25, gram sizes.
 K1, B = 1.2, 0.75
 GRAMS = (3, 4, 5)
+#: Query tokens that are broadcast to the documents.
+MOST_TOKENS = 200_000
 
 
-def postings(docs: DataFrame, id_col: str, tokens_col: str) -> tuple[DataFrame, DataFrame]:
-    """(token, id, tf, doc_len) and (token, df, n_docs, avg_len): the statistics are a token each."""
+def postings(docs: DataFrame, id_col: str, tokens_col: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(token, id, tf, doc_len) and (token, df, n_docs, avg_len): the statistics are a token each. ``wanted`` (token):
+    only these are counted; others are cut where they are read, before any shuffle, if the wanted ones are few."""
     d = docs.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tk"), F.size(tokens_col).alias("doc_len"))
-    tf = d.select("id", "doc_len", F.explode("tk").alias("token")).groupBy("token", "id", "doc_len").agg(F.count("*").alias("tf"))
+    tokens = d.select("id", "doc_len", F.explode("tk").alias("token"))
+    if wanted is not None:
+        few = wanted.select("token").distinct()
+        # Broadcast behind a count: a token is some dozen bytes in memory.
+        if few.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+            few = F.broadcast(few)
+        tokens = tokens.join(few, "token", "left_semi")
+    tf = tokens.groupBy("token", "id", "doc_len").agg(F.count("*").alias("tf"))
     total = d.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))
     return tf, df
@@ -23,8 +36,8 @@ def postings(docs: DataFrame, id_col: str, tokens_col: str) -> tuple[DataFrame,
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, tokens_col: str, query_tokens: str = "tk") -> DataFrame:
     """(query_id, id, score): summed over query tokens with their repetitions; pairs without a common token are absent."""
-    tf, df = postings(docs, id_col, tokens_col)
     q = queries.select("query_id", F.explode(query_tokens).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    tf, df = postings(docs, id_col, tokens_col, q)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / norm
@@ -69,3 +82,46 @@ def hybrid_search(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def eligible(concepts: DataFrame, terminologies: tuple[str, ...] = (), entity_types: tuple[str, ...] = (), type_map: dict[str, tuple[str, ...]] = {}) -> DataFrame:
+    """Active concepts (system, concept_id, active) of the systems that are asked for: of those named, those that
+    every entity type maps to; without names, those of the types; without either, all. Types that leave none of the named
+    systems start anew with their own. A type without a mapping is an error."""
+    systems = set(terminologies)
+    for kind in entity_types:
+        if kind not in type_map:
+            raise ValueError(f"unsupported entity type: {kind}")
+        systems = systems & set(type_map[kind]) if systems else set(type_map[kind])
+    active = concepts.where("active")
+    return active.where(F.col("system").isin(*sorted(systems))) if systems else active
+
+
+def lexical_search(queries: DataFrame, aliases: DataFrame, allowed: DataFrame) -> DataFrame:
+    """J09, A21 with P15: (query_id, id, channel, score) of queries (query_id, text) over the aliases (id, alias) of
+    allowed targets (id): exact_alias by folded text, accentless_exact, bm25 and ngram by accentless text. The whole alias
+    table makes the statistics; eligibility decides what is shown."""
+    key, bare = (lambda c: T.feature_key(F.col(c))), (lambda c: T.accentless(F.col(c)))
+    q = queries.where(F.length(key("text")) > 0)
+    a = aliases.select("id", key("alias").alias("key"), bare("alias").alias("bare"))
+    exact = q.select("query_id", key("text").alias("key")).join(a.select("id", "key").distinct(), "key").select("query_id", "id", F.lit("exact_alias").alias("channel"), F.lit(1.0).alias("score"))
+    plain = q.select("query_id", bare("text").alias("text"))
+    loose = plain.join(a.select("id", F.col("bare").alias("text")).distinct(), "text").select("query_id", "id", F.lit("accentless_exact").alias("channel"), F.lit(1.0).alias("score"))
+    split = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    docs = a.select("id", "bare").distinct().groupBy("id").agg(F.flatten(F.array_sort(F.collect_list(split(F.col("bare"))))).alias("tk"))
+    words = bm25(plain.select("query_id", split(F.col("text")).alias("tk")), docs, "id", "tk").withColumn("channel", F.lit("bm25"))
+    grams = ngram_search(plain, a.select("id", F.col("bare").alias("alias"))).withColumn("channel", F.lit("ngram"))
+    return exact.unionByName(loose).unionByName(words).unionByName(grams).join(allowed.select("id").distinct(), "id", "left_semi")
+
+
+@F.pandas_udf(StringType())
+def ingredient_surface(mention: pd.Series) -> pd.Series:
+    """F16 as a column: what stands before the strength, form, route or frequency of a mention."""
+    return mention.map(lambda x: None if x is None else ingredient(x))
+
+
+def slot_search(mentions: DataFrame, aliases: DataFrame, concepts: DataFrame, entity_type: str, type_map: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Mentions (query_id, text) are searched by their parsed ingredient alone, in the systems of ``entity_type``."""
+    asked = mentions.select("query_id", ingredient_surface(F.col("text")).alias("text")).where(F.length("text") > 0)
+    allowed = eligible(concepts, (), (entity_type,), type_map).select(F.col("concept_id").alias("id"))
+    return lexical_search(asked, aliases, allowed)

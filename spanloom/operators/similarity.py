@@ -8,38 +8,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str = "items") -> DataFrame:
-    """Pairs (a < b, jaccard) of sets with jaccard >= least, exactly (up to 64-bit hashes of items), by prefix filtering.
+def jaccard_classes(sets: DataFrame, least: float, id_col: str = "id", set_col: str = "items") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): equal sets are one class, named after its smallest id. members: id, class, n (items); pairs of
+    different classes (a < b, jaccard) with jaccard >= least, exactly (up to 64-bit hashes of items), by prefix filtering.
 
     Items are ordered by document frequency, rarest first; sets as similar as ``least`` share an item among the first
     n - ceil(least * n) + 1 of each, so only those meet. The place of a pair's first common item bounds what they can
-    share at all, and together with the sizes decides which pairs are worth comparing. Two empty sets have similarity 1
-    by definition, and are linked to the smallest of them instead of with each other.
+    share at all, and together with the sizes decides which pairs are worth comparing. Only these fetch their sets.
     """
-    base = sets.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(set_col, lambda x: F.xxhash64(x))).alias("items"))
-    items = base.select("id", F.explode("items").alias("item"))
+    hashes = F.array_sort(F.array_distinct(F.transform(set_col, lambda x: F.xxhash64(x))))
+    base = sets.select(F.col(id_col).alias("id"), hashes.alias("items")).withColumn("key", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").cast("binary")))
+    classes = base.groupBy("key").agg(F.min("id").alias("class"), F.first("items").alias("items"), F.count("*").alias("copies"))
+    members = base.select("id", "key", F.size("items").alias("n")).join(classes.select("key", "class"), "key").select("id", "class", "n")
+    whole = classes.where(F.size("items") > 0).select(F.col("class").alias("id"), "items")
+    items = whole.select("id", F.explode("items").alias("item"))
     df = items.groupBy("item").agg(F.count("*").alias("df"))
     # The rarest first; an item of one set alone matters only by its place.
-    ranked = items.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r")).select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["item"]).alias("items"), F.transform("r", lambda x: x["df"]).alias("dfs"))
+    ranked = items.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r")).select("id", F.size("r").alias("n"), "r")
     keep = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(least), 9)).cast("int") + 1
-    prefix = ranked.select("id", "n", "dfs", F.posexplode(F.slice("items", F.lit(1), keep)).alias("i", "item")).where(F.col("dfs")[F.col("i")] > 1).select("id", "n", "i", "item")
+    prefix = ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), keep)).alias("i", "x")).where("x.df > 1").select("id", "n", "i", "x.item")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), "item")
     pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", "item").join(other, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least))
     first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("i").alias("i"), F.min("j").alias("j"))
     most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-    found = first.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
-    whole = ranked.select("id", "items", "n")
+    found = first.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b", "na", "nb")
     scored = (
-        found.join(whole.select(F.col("id").alias("a"), F.col("items").alias("x"), F.col("n").alias("na")), "a")
-        .join(whole.select(F.col("id").alias("b"), F.col("items").alias("y"), F.col("n").alias("nb")), "b")
+        found.join(whole.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        .join(whole.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         .withColumn("both", F.size(F.array_intersect("x", "y")))
         .withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
         .where(F.col("jaccard") >= least)
         .select("a", "b", "jaccard")
     )
-    empty = base.where(F.size("items") == 0).select("id")
-    lowest = empty.agg(F.min("id").alias("a"))
-    return scored.unionByName(empty.join(F.broadcast(lowest), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+    return members, scored
+
+
+def jaccard_join(sets: DataFrame, least: float, id_col: str = "id", set_col: str = "items") -> DataFrame:
+    """Links (a < b, jaccard) that lose nothing: pairs between classes of equal sets, and each member of a class with the
+    class's smallest id, with 1. (Two empty sets are equal.) So a group of copies has as many links as members."""
+    members, pairs = jaccard_classes(sets, least, id_col, set_col)
+    copies = members.where(F.col("id") != F.col("class")).select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(copies)
 
 
 #: Queries and vectors of a tile in dense search.

@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.kernels import canonical_json
+from .similarity import jaccard_classes
 
 
 def hash_rank(df: DataFrame, digest: str, tie: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -27,6 +29,8 @@ def hash_rank(df: DataFrame, digest: str, tie: str, by: tuple[str, ...] = ()) ->
 
 
 SPLITS = ("train", "dev", "test")
+#: Groups that the sequential fold takes.
+MOST_GROUPS = 1_000_000
 
 
 def assign_groups(sizes: dict[str, int], shares: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 17) -> dict[str, str]:
@@ -45,10 +49,18 @@ def assign_groups(sizes: dict[str, int], shares: tuple[float, ...] = (0.6, 0.2,
 
 
 def grouped_split(df: DataFrame, group_col: str, shares: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 17) -> DataFrame:
-    """The rows with ``split``. The fold is sequential, so groups and their sizes, a row a group, go to the driver."""
-    sizes = {r[0]: r[1] for r in df.groupBy(F.col(group_col).cast("string")).count().collect()}
-    rows = list(assign_groups(sizes, shares, seed).items())
-    return df.join(df.sparkSession.createDataFrame(rows, f"{group_col} string, split string"), group_col)
+    """The rows with ``split``. The fold is sequential, so groups and their sizes, a row a group, go to the driver: at
+    most MOST_GROUPS. Rows without a group are refused, as they might belong to any."""
+    groups = df.groupBy(group_col).count()
+    some = groups.limit(MOST_GROUPS + 1).collect()
+    if len(some) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    if any(r[0] is None for r in some):
+        raise ValueError("rows without a group cannot be split")
+    named = {str(r[0]): r[0] for r in some}
+    rows = [(named[g], split) for g, split in assign_groups({str(r[0]): r[1] for r in some}, shares, seed).items()]
+    kind = df.schema[group_col].dataType.simpleString()
+    return df.join(df.sparkSession.createDataFrame(rows, f"`{group_col}` {kind}, split string"), group_col)
 
 
 def manifest(df: DataFrame, group_col: str) -> dict:
@@ -59,13 +71,42 @@ def manifest(df: DataFrame, group_col: str) -> dict:
     return body | {"checksum": hashlib.sha256(canonical_json(body).encode()).hexdigest()}
 
 
+def leakage(sets: DataFrame, least: float) -> DataFrame:
+    """Of sets (id, split, items) with a similarity of ``least`` and more in different splits: split_a, split_b,
+    a, b (ids), jaccard. Of equal sets of a split the smallest id stands for all, so copies make no pairs."""
+    members, pairs = jaccard_classes(sets.select("id", "items"), least)
+    first = members.join(sets.select("id", "split"), "id").groupBy("class", "split").agg(F.min("id").alias("first"))
+    x, y = (first.select(F.col("class").alias(n), F.col("split").alias(f"split_{n}"), F.col("first").alias(f"first_{n}")) for n in "ab")
+    near = pairs.join(x, "a").join(y, "b").where("split_a <> split_b")
+    same = first.select(F.col("class").alias("a"), F.col("split").alias("split_a"), F.col("first").alias("first_a")).join(y.withColumnRenamed("b", "a"), "a").where("split_a < split_b").withColumn("jaccard", F.lit(1.0))
+    columns = ["split_a", "split_b", F.col("first_a").alias("a"), F.col("first_b").alias("b"), "jaccard"]
+    return near.select(*columns).unionByName(same.select(*columns))
+
+
+#: Grams of a benchmark that are broadcast to the documents, each some hundred bytes.
+MOST_GRAMS = 100_000
+
+
+def contamination(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Documents (doc_id, w) that hold word n-grams of benchmark items (item_id, w): doc_id, item_id, shared
+    grams, coverage of the item. Documents' grams meet the items' where they are read, as hashes, if these are few (or
+    are shuffled, else); only hits are made distinct, and their words compared."""
+    gram = lambda df, i: df.select(i, F.explode(T.ngrams(F.col("w"), n)).alias("g"))
+    b = gram(items, "item_id").distinct().withColumn("h", F.xxhash64("g"))
+    few = b.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
+    hit = gram(docs, "doc_id").withColumn("h", F.xxhash64("g")).join(F.broadcast(b) if few else b, ["h", "g"]).select("doc_id", "item_id", "g").distinct()
+    sizes = b.groupBy("item_id").agg(F.count("*").alias("n"))
+    return hit.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(sizes, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("n")).alias("coverage"))
+
+
 def bootstrap(pairs: list[tuple[float, float]], draws: int = 1000, seed: int = 0) -> dict[str, float]:
     """Mean difference of paired scores with its 95% interval by percentile index; a row a sample, on the driver."""
     if not pairs:
         raise ValueError("no pairs")
     rng, d = random.Random(seed), np.array([b - a for a, b in pairs])
     means = sorted(float(d[[rng.randrange(len(d)) for _ in d]].mean()) for _ in range(draws))
-    return {"delta": float(d.mean()), "low": means[int(0.025 * (draws - 1))], "high": means[int(0.975 * (draws - 1))]}
+    low, high = means[int(0.025 * (draws - 1))], means[int(0.975 * (draws - 1))]
+    return {"delta": float(d.mean()), "low": low, "high": high, "relevant": low > 0 or high < 0}
 
 
 def largest_remainder(total: int, weights: dict[str, float]) -> dict[str, int]:
@@ -78,9 +119,13 @@ def largest_remainder(total: int, weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def boosts(report: dict[str, dict[str, float]]) -> dict[str, float]:
-    """From signals by profile (missing, errors, deficit, bad_positions) to extra weight."""
-    return {k: (1.0 if s.get("missing") else 0.0) + min(s.get("errors", 0) / 10, 2.0) + min(s.get("deficit", 0) / 10, 1.0) + (0.5 if s.get("bad_positions") else 0.0) for k, s in report.items()}
+def boosts(signals: DataFrame) -> DataFrame:
+    """(profile, weight) from signals of each profile: 1, and 1 each for a missing type and a missing label, errors
+    / 10 up to 2, deficit / 10 up to 1, and 0.5 where positions are bad."""
+    add = lambda c, most: F.least(F.coalesce(c, F.lit(0)) / 10, F.lit(most))
+    flag = lambda c, x: F.when(F.coalesce(F.col(c), F.lit(False)), x).otherwise(0.0)
+    weight = 1.0 + flag("missing_type", 1.0) + flag("missing_label", 1.0) + add("errors", 2.0) + add("deficit", 1.0) + flag("bad_positions", 0.5)
+    return signals.select("profile", weight.alias("weight"))
 
 
 def next_profile(done: dict[str, int], target: dict[str, int], seed: int = 0) -> str:

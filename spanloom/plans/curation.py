@@ -80,10 +80,11 @@ def exact_duplicates(spark, sf_dir) -> DataFrame:
 
 
 _SETS = r"""
-s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS items FROM documents),
-i AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS items FROM documents),
+cl AS (SELECT items, min(doc_id) AS class FROM s GROUP BY items),
+i AS (SELECT class AS doc_id, len(items) AS n, unnest(items) AS item FROM cl),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM i x JOIN i y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
-j AS (SELECT a, b, c * 1.0 / (na + nb - c) AS jaccard FROM p)"""
+j AS (SELECT a, b, c * 1.0 / (na + nb - c) AS jaccard FROM p UNION ALL SELECT cl.class, s.doc_id, 1.0 FROM s JOIN cl ON cl.items = s.items WHERE s.doc_id <> cl.class)"""
 
 
 def _token_sets(spark, sf_dir) -> DataFrame:
@@ -92,7 +93,7 @@ def _token_sets(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_SETS} SELECT a, b, round(jaccard, 6) AS jaccard, jaccard >= {HARD} AS hard FROM j WHERE jaccard >= {SOFT}")
 def near_duplicate_pairs(spark, sf_dir) -> DataFrame:
-    """Token-set Jaccard, hard and soft."""
+    """Token-set Jaccard, hard and soft: pairs of different sets, and each copy of a set with the first."""
     return jaccard_join(_token_sets(spark, sf_dir), SOFT).select("a", "b", F.round("jaccard", 6).alias("jaccard"), (F.col("jaccard") >= HARD).alias("hard"))
 
 
@@ -114,7 +115,7 @@ f AS (SELECT v, min(conv_id) AS a FROM k GROUP BY v), e0 AS (SELECT DISTINCT f.a
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
 r AS (SELECT DISTINCT conv_id, conv_id AS c FROM conversations UNION SELECT e.b, r.c FROM r JOIN e ON r.conv_id = e.a),
 m AS (SELECT conv_id AS id, min(c) AS component FROM r GROUP BY conv_id)
-SELECT m.id, m.component, g.group_id FROM m JOIN (SELECT component AS gc, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR))) AS group_id FROM m GROUP BY component) g ON m.component = g.gc""")
+SELECT m.id, m.component, g.group_id FROM m JOIN (SELECT component AS gc, sha256('["' || string_agg(CAST(id AS VARCHAR), '","' ORDER BY CAST(id AS VARCHAR)) || '"]') AS group_id FROM m GROUP BY component) g ON m.component = g.gc""")
 def lineage_groups(spark, sf_dir) -> DataFrame:
     """Conversations that share a turn are one group."""
     c = table(spark, sf_dir, "conversations")
@@ -124,31 +125,26 @@ def lineage_groups(spark, sf_dir) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(text), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)
-SELECT doc_id, lang, CASE WHEN rn <= greatest(1, round(n * 0.15)) THEN 'validation' ELSE 'train' END AS split FROM k""")
+SELECT doc_id, lang, CASE WHEN rn <= greatest(1, round_even(n * 0.15, 0)) THEN 'validation' ELSE 'train' END AS split FROM k""")
 def hash_split(spark, sf_dir) -> DataFrame:
-    """By the order of the text hash, the first 15% of each language are for validation."""
+    """By the order of the text hash, the first 15% of each language, halves to even, are for validation."""
     from ..operators.split import hash_rank
 
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
-    limit = F.greatest(F.lit(1.0), F.round(F.col("n") * 0.15))
+    limit = F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.15))
     return hash_rank(d, "h", "doc_id", ("lang",)).select("doc_id", "lang", F.when(F.col("rank") <= limit, "validation").otherwise("train").alias("split"))
 
 
-_CHAR3 = "list_distinct(list_transform(range(1, greatest(length(x), 3) - 1), lambda i: substring(x, i, 3)))"
-
-
-@query(f"""
-WITH d AS (SELECT turn % 3 AS split, text, conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS x FROM conversations),
-s AS (SELECT id, split, {_CHAR3} AS items FROM d), i AS (SELECT id, split, len(items) AS n, unnest(items) AS item FROM s),
-p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.id < b.id AND a.split <> b.split GROUP BY a.id, b.id)
-SELECT a, b, round(c * 1.0 / (na + nb - c), 6) AS jaccard FROM p WHERE c * 1.0 / (na + nb - c) >= 0.8""")
+@query(f"""WITH {_SETS.replace('j AS (SELECT a, b, c * 1.0 / (na + nb - c) AS jaccard FROM p UNION ALL SELECT cl.class, s.doc_id, 1.0 FROM s JOIN cl ON cl.items = s.items WHERE s.doc_id <> cl.class)', 'j AS (SELECT a, b, c * 1.0 / (na + nb - c) AS jaccard FROM p WHERE c * 1.0 / (na + nb - c) >= 0.8 UNION ALL SELECT class, class, 1.0 FROM cl)')},
+m AS (SELECT cl.class, s.doc_id % 3 AS split, min(s.doc_id) AS first FROM s JOIN cl ON cl.items = s.items GROUP BY cl.class, s.doc_id % 3)
+SELECT x.split AS split_a, y.split AS split_b, x.first AS a, y.first AS b, round(jaccard, 6) AS jaccard FROM j JOIN m x ON x.class = j.a JOIN m y ON y.class = j.b WHERE x.split <> y.split AND (j.a <> j.b OR x.split < y.split)""")
 def cross_split_leakage(spark, sf_dir) -> DataFrame:
-    """Turns in different splits whose character 3-gram sets are equal or nearly so."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 3).alias("split"), T.collapsed(F.col("text")).alias("x"))
-    pairs = jaccard_join(c.select("id", T.char_ngrams(F.col("x"), 3).alias("items")), 0.8)
-    split = c.select("id", "split")
-    joined = pairs.join(split.withColumnRenamed("id", "a").withColumnRenamed("split", "sa"), "a").join(split.withColumnRenamed("id", "b").withColumnRenamed("split", "sb"), "b")
-    return joined.where("sa <> sb").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Documents are split by id; those in different splits whose token sets are equal or nearly so, by the
+    first document of each set and split."""
+    from ..operators.split import leakage
+
+    sets = _token_sets(spark, sf_dir).withColumn("split", F.col("id") % 3)
+    return leakage(sets, 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(r"""
@@ -159,11 +155,10 @@ n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id)
 SELECT dg.doc_id, bg.item_id, count(*) AS shared, round(count(*) * 1.0 / any_value(n.n), 6) AS coverage FROM dg JOIN bg ON dg.g = bg.g JOIN n ON n.item_id = bg.item_id GROUP BY dg.doc_id, bg.item_id""")
 def benchmark_contamination(spark, sf_dir) -> DataFrame:
     """Word 8-grams of benchmark items in documents; the grams of both sides meet by hash join."""
-    grams = lambda t, i: table(spark, sf_dir, t).select(i, F.explode(T.ngrams(F.split(F.trim(F.lower("text")), r"[ \t\r\n]+"), 8)).alias("g")).distinct()
-    b = grams("benchmark", "item_id")
-    n = b.groupBy("item_id").agg(F.count("*").alias("n"))
-    hit = grams("documents", "doc_id").join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    return hit.join(n, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
+    from ..operators.split import contamination
+
+    words = lambda t, i: table(spark, sf_dir, t).select(i, F.split(F.trim(F.lower("text")), r"[ \t\r\n]+").alias("w"))
+    return contamination(words("documents", "doc_id"), words("benchmark", "item_id"), 8).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("""
@@ -240,15 +235,6 @@ def split_group_order(spark, sf_dir) -> DataFrame:
     return s.select("source", "n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h")).alias("rn"))
 
 
-@query("""
-WITH c AS (SELECT doc_id, 100 + CASE WHEN n_chars > 1000 THEN 20 ELSE 0 END + CASE WHEN lang <> 'en' THEN 5 ELSE 0 END AS score FROM documents)
-SELECT score, count(*) AS n, min(doc_id) AS first_id FROM c GROUP BY score""")
-def quality_points(spark, sf_dir) -> DataFrame:
-    """Additive quality score."""
-    score = 100 + F.when(F.col("n_chars") > 1000, 20).otherwise(0) + F.when(F.col("lang") != "en", 5).otherwise(0)
-    return table(spark, sf_dir, "documents").groupBy(score.alias("score")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
 @query(r"""
 WITH r AS (SELECT doc_id, list_filter([CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'cjk' END,
  CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN regexp_matches(text, '(\*\*\*|%%%|\$\$\$)') THEN 'noise' END, CASE WHEN upper(text) = text THEN 'shouting' END], lambda x: x IS NOT NULL) AS reasons FROM documents)
@@ -261,7 +247,18 @@ def batch_rejections(spark, sf_dir) -> DataFrame:
     return r.select("doc_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce(F.try_element_at("reasons", F.lit(1)), F.lit("accepted")).alias("primary_reason"))
 
 
-@query()
+_FOLD = """
+WITH RECURSIVE s AS (SELECT source, count(*) AS n, sha256('17:' || source) AS h FROM documents GROUP BY source), o AS (SELECT source, n, row_number() OVER (ORDER BY h) AS k FROM s),
+t AS (SELECT sum(n) AS total FROM s),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS source, '' AS split, CAST(0 AS DOUBLE) AS train, CAST(0 AS DOUBLE) AS dev, CAST(0 AS DOUBLE) AS test
+UNION ALL SELECT z.k, z.source, z.split, z.train + CASE WHEN z.split = 'train' THEN z.n ELSE 0 END, z.dev + CASE WHEN z.split = 'dev' THEN z.n ELSE 0 END, z.test + CASE WHEN z.split = 'test' THEN z.n ELSE 0 END FROM (
+ SELECT o.k, o.source, o.n, f.train, f.dev, f.test, CASE WHEN o.k = 1 THEN 'train' WHEN o.k = 2 THEN 'dev' WHEN o.k = 3 THEN 'test'
+  WHEN (f.train / (t.total * 0.6), f.train, 0) < (f.dev / (t.total * 0.2), f.dev, 1) AND (f.train / (t.total * 0.6), f.train, 0) < (f.test / (t.total * 0.2), f.test, 2) THEN 'train'
+  WHEN (f.dev / (t.total * 0.2), f.dev, 1) < (f.test / (t.total * 0.2), f.test, 2) THEN 'dev' ELSE 'test' END AS split FROM f JOIN o ON o.k = f.k + 1, t) z)
+SELECT d.doc_id, d.source, f.split FROM documents d JOIN f ON f.source = d.source"""
+
+
+@query(_FOLD)
 def grouped_split(spark, sf_dir) -> DataFrame:
     """Whole sources in train, dev and test, by a seeded fold over their sizes."""
     from ..operators.split import grouped_split as split
@@ -269,19 +266,63 @@ def grouped_split(spark, sf_dir) -> DataFrame:
     return split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source").select("doc_id", "source", "split")
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, text, lang FROM documents), g AS (SELECT lang, count(*) AS n, CAST(sum(contains(text, 'License')::INT) AS BIGINT) AS mentions FROM t GROUP BY lang)
-SELECT lang, n, mentions, round(mentions * 1.0 / n, 6) AS rate FROM g""")
-def utility_gates(spark, sf_dir) -> DataFrame:
-    """A rate by group, as the gates read it."""
-    g = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("License"))).alias("mentions"))
-    return g.withColumn("rate", F.round(F.col("mentions") / F.col("n"), 6))
+_PROFILES = ("basic", "repeated_mention", "long_note", "mixed_language")
+_SAMPLES = """
+d AS (SELECT doc_id AS id, text, ['basic', 'repeated_mention', 'long_note', 'mixed_language'][doc_id % 4 + 1] AS profile, doc_id % 3 = 0 AS asserted, length(trim(text)) = 0 OR n_chars > 20000 AS failed FROM documents),
+sc AS (SELECT *, 100 + CASE WHEN profile IN ('repeated_mention', 'abbreviation_or_typo', 'mixed_language', 'lab_name_result_pair') THEN 20 ELSE 0 END + CASE WHEN asserted THEN 5 ELSE 0 END + CASE WHEN profile <> 'basic' THEN 5 ELSE 0 END AS score FROM d)"""
+_CURATED = rf"""{_SAMPLES},
+ok AS (SELECT *, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS norm FROM sc WHERE NOT failed),
+ex AS (SELECT *, first_value(id) OVER (PARTITION BY norm ORDER BY score DESC, id) AS winner FROM ok), fr AS (SELECT * FROM ex WHERE id = winner),
+st AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS items FROM fr), it AS (SELECT id, len(items) AS n, unnest(items) AS item FROM st),
+pr AS (SELECT x.id AS a, y.id AS b, count(*) * 1.0 / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM it x JOIN it y ON x.item = y.item AND x.id < y.id GROUP BY x.id, y.id),
+hp AS (SELECT a, b FROM pr WHERE j >= 0.72 UNION ALL SELECT b, a FROM pr WHERE j >= 0.72),
+rr AS (SELECT id, id AS c FROM fr UNION SELECT hp.b, rr.c FROM rr JOIN hp ON hp.a = rr.id), cm AS (SELECT id, min(c) AS component FROM rr GROUP BY id),
+bs AS (SELECT fr.*, first_value(fr.id) OVER (PARTITION BY component ORDER BY score DESC, fr.id) AS best FROM fr JOIN cm ON cm.id = fr.id),
+sp AS (SELECT id, count(*) AS soft_pairs FROM (SELECT a AS id FROM pr WHERE j >= 0.62 AND j < 0.72 UNION ALL SELECT b FROM pr WHERE j >= 0.62 AND j < 0.72) GROUP BY id),
+gd AS (SELECT id, row_number() OVER (ORDER BY sha256(text), id) AS rn, count(*) OVER () AS n FROM bs WHERE id = best AND profile IN ('repeated_mention', 'mixed_language')),
+cu AS (SELECT bs.id, bs.score, CASE WHEN bs.id <> best THEN 'hard_near_duplicate' WHEN gd.id IS NULL THEN 'standard' WHEN rn <= greatest(1, round_even(n * 0.15, 0)) THEN 'gold_validation' ELSE 'gold_train' END AS status, best AS winner, coalesce(soft_pairs, 0) AS soft_pairs FROM bs LEFT JOIN gd ON gd.id = bs.id LEFT JOIN sp ON sp.id = bs.id
+UNION ALL SELECT id, score, 'exact_duplicate', winner, 0 FROM ex WHERE id <> winner UNION ALL SELECT id, score, 'validation_failed', NULL, 0 FROM sc WHERE failed)"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    profile = F.element_at(F.array(*map(F.lit, _PROFILES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    failed = (F.length(F.trim("text")) == 0) | (F.col("n_chars") > 20000)
+    return d.select(F.col("doc_id").alias("id"), "text", profile.alias("profile"), (F.col("doc_id") % 3 == 0).alias("asserted"), F.when(failed, F.array(F.lit("bad"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+
+
+@query(f"WITH RECURSIVE {_CURATED} SELECT id, score, status, winner, soft_pairs FROM cu")
+def curated_samples(spark, sf_dir) -> DataFrame:
+    """Documents as samples with profiles, through the whole curation."""
+    from ..operators.curate import curate
+
+    return curate(_samples(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_CURATED} SELECT name, n FROM (SELECT count(*) AS input, count(*) FILTER (status LIKE 'gold%') AS gold, count(*) FILTER (status = 'gold_train') AS gold_train, count(*) FILTER (status = 'gold_validation') AS gold_validation, count(*) FILTER (status = 'standard') AS standard,
+count(*) FILTER (status IN ('validation_failed', 'exact_duplicate', 'hard_near_duplicate')) AS rejected, count(*) FILTER (status = 'validation_failed') AS "rejected.validation_failed", count(*) FILTER (status = 'exact_duplicate') AS "rejected.exact_duplicate", count(*) FILTER (status = 'hard_near_duplicate') AS "rejected.hard_near_duplicate" FROM cu) UNPIVOT (n FOR name IN (COLUMNS(*)))""")
+def curation_report(spark, sf_dir) -> DataFrame:
+    """Counts of the curation."""
+    from ..operators import curate
+
+    return curate.curation_report(curate.curate(_samples(spark, sf_dir)))
+
+
+@query(f"WITH {_SAMPLES} SELECT score, count(*) AS n, min(id) AS first_id FROM sc GROUP BY score")
+def quality_points(spark, sf_dir) -> DataFrame:
+    """Additive quality score of samples."""
+    from ..operators.curate import quality_score
+
+    return _samples(spark, sf_dir).groupBy(quality_score(F.col("profile"), F.col("asserted")).alias("score")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("""
-WITH a AS (SELECT source, lang, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY source, lang)
-SELECT source, count(*) AS langs, round(avg(m), 6) AS mean_of_means, round(max(m) - min(m), 6) AS spread FROM a GROUP BY source""")
+WITH r AS (SELECT source AS fold_id, lang AS seed, avg((n_chars % 100) / 100.0) AS encoder, avg((doc_id % 100) / 100.0) AS baseline FROM documents GROUP BY source, lang)
+SELECT count(*) AS run_count, round(avg(encoder), 6) AS mean_encoder, round(avg(baseline), 6) AS mean_baseline, round(avg(encoder) - avg(baseline), 6) AS mean_delta FROM r""")
 def fold_aggregate(spark, sf_dir) -> DataFrame:
-    """Means over folds and their spread."""
-    a = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("m"))
-    return a.groupBy("source").agg(F.count("*").alias("langs"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.max("m") - F.min("m"), 6).alias("spread"))
+    """Means and delta over runs, one for each fold and seed."""
+    from ..operators.curate import fold_seed_means
+
+    d = table(spark, sf_dir, "documents")
+    runs = d.groupBy(F.col("source").alias("fold_id"), F.col("lang").alias("seed")).agg(F.avg(F.col("n_chars") % 100 / 100.0).alias("encoder"), F.avg(F.col("doc_id") % 100 / 100.0).alias("baseline"))
+    return fold_seed_means(runs)

@@ -45,29 +45,20 @@ def source_fusion(spark, sf_dir) -> DataFrame:
     return p.select("doc_id", F.round(v, 6).alias("fused"), F.coalesce(v >= 0.5, F.lit(False)).alias("accepted"))
 
 
-@query(f"WITH {_POINTS} SELECT lang, count(*) AS n, CAST(sum((label = 0 AND logit >= 0)::INT) AS BIGINT) AS false_positives, round(avg(CASE WHEN label = 0 THEN (logit >= 0)::INT END), 6) AS fp_rate FROM p GROUP BY lang")
+@query(f"WITH {_POINTS} SELECT lang, CAST(sum((label = 0)::INT) AS BIGINT) AS empty_gold, CAST(sum((label = 0 AND logit >= 0)::INT) AS BIGINT) AS false_positives, CASE WHEN sum((label = 0)::INT) = 0 THEN 0.0 ELSE round(sum((label = 0 AND logit >= 0)::INT) * 1.0 / sum((label = 0)::INT), 6) END AS rate FROM p GROUP BY lang")
 def empty_gold_risk(spark, sf_dir) -> DataFrame:
     """How often something is predicted where nothing is expected."""
-    fp = (F.col("label") == 0) & (F.col("logit") >= 0)
-    return _points(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fp).alias("false_positives"), F.round(F.avg(F.when(F.col("label") == 0, fp.cast("int"))), 6).alias("fp_rate"))
+    from ..operators.assertion import empty_gold_risk as risk
+
+    said = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return risk(_points(spark, sf_dir).select("lang", said(F.col("label") == 1).alias("gold"), said(F.col("logit") >= 0).alias("predicted")), ("lang",))
 
 
 @query(f"""WITH {_POINTS}, d AS (SELECT lang, logit, row_number() OVER (PARTITION BY lang ORDER BY logit, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM p)
 SELECT lang, max(CASE WHEN i = CAST(floor(0.05 * (n - 1)) AS BIGINT) THEN logit END) AS q05, max(CASE WHEN i = CAST(floor(0.95 * (n - 1)) AS BIGINT) THEN logit END) AS q95 FROM d GROUP BY lang""")
 def percentile_by_index(spark, sf_dir) -> DataFrame:
-    """The value at floor(q * (n - 1)) of the sorted draws; an exact percentile aggregate, no ordering window."""
-    pick = lambda q: F.expr(f"element_at(array_sort(collect_list(logit)), int(floor({q} * (count(1) - 1))) + 1)")
-    return _points(spark, sf_dir).groupBy("lang").agg(pick(0.05).alias("q05"), pick(0.95).alias("q95"))
-
-
-@query(f"""WITH {_POINTS}, m AS (SELECT lang, label = 1 AS gold, logit >= -1 AS pred FROM p)
-SELECT lang, CAST(sum((gold AND pred)::INT) AS BIGINT) AS tp, CAST(sum((NOT gold AND pred)::INT) AS BIGINT) AS fp, CAST(sum((gold AND NOT pred)::INT) AS BIGINT) AS fn,
-round(2.0 * sum((gold AND pred)::INT) / (2 * sum((gold AND pred)::INT) + sum((gold <> pred)::INT)), 6) AS f1 FROM m GROUP BY lang""")
-def assertion_metrics(spark, sf_dir) -> DataFrame:
-    """Counts and F1 of a label."""
-    gold, pred = F.col("label") == 1, F.col("logit") >= -1
-    g = _points(spark, sf_dir).groupBy("lang").agg(F.count_if(gold & pred).alias("tp"), F.count_if(~gold & pred).alias("fp"), F.count_if(gold & ~pred).alias("fn"))
-    return g.withColumn("f1", F.round(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
+    """The value at floor(q * (n - 1)) of the sorted draws, from counts of distinct values."""
+    return calibrate.percentiles(_points(spark, sf_dir), "logit", {"q05": 0.05, "q95": 0.95}, ["lang"])
 
 
 @query(f"""WITH {_POINTS}, q AS (SELECT doc_id, lang, greatest(least(1 / (1 + exp(-logit)), 1 - 1e-6), 1e-6) AS model, CASE WHEN toxic = 1 THEN 0.9 ELSE 0.4 END AS rule FROM p),

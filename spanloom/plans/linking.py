@@ -59,12 +59,12 @@ def exact_alias_join(spark, sf_dir) -> DataFrame:
 
 @query(
     f"WITH {_ALIASES}, {_NGRAM}, d AS (SELECT id, flatten(list(string_split(alias, ' ') ORDER BY alias)) AS tk FROM al GROUP BY id), q AS (SELECT query_id, string_split(text, ' ') AS tk FROM qs), {_BM25} "
-    "SELECT channel, query_id, count(*) AS n, round(max(score), 6) AS best FROM (SELECT 'ngram' AS channel, query_id, id, score FROM ng UNION ALL SELECT 'bm25', query_id, id, score FROM sc "
-    "UNION ALL SELECT 'exact', query_id, al.id, 1.0 FROM qs JOIN al ON al.alias = qs.text) GROUP BY channel, query_id"
+    "SELECT channel, query_id, id, round(score, 6) AS score FROM (SELECT 'ngram' AS channel, query_id, id, score FROM ng UNION ALL SELECT 'bm25', query_id, id, score FROM sc "
+    "UNION ALL SELECT 'exact', query_id, al.id, 1.0 FROM qs JOIN al ON al.alias = qs.text)"
 )
 def hybrid_search(spark, sf_dir) -> DataFrame:
-    """Evidence of all channels, by query and channel."""
-    return retrieval.hybrid_search(*_aliases(spark, sf_dir)).groupBy("channel", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    """Evidence of all channels, for each query and target."""
+    return retrieval.hybrid_search(*_aliases(spark, sf_dir)).select("channel", "query_id", "id", F.round("score", 6).alias("score"))
 
 
 _DENSE = """
@@ -112,116 +112,36 @@ def _fused(spark, sf_dir) -> DataFrame:
     return f.withColumn("rank", F.row_number().over(order)).select("request_id", "concept_id", F.round("fused", 6).alias("fused"), "rank")
 
 
-@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
-b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
-SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9 AND rank <= 10""")
-def channel_fusion(spark, sf_dir) -> DataFrame:
-    """The ten best of each request, as its SQL has it; A22 and A23 are channel_fusion_whole."""
-    return _fused(spark, sf_dir).where("rank <= 10")
-
-
 @query(f"""WITH {_CANDIDATES}, f AS (SELECT *, greatest(least(0.6 * lexical + 0.5 * dense, 1.0), 0.0) AS fused FROM c),
 b AS (SELECT *, max(fused) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, concept_id) AS rank FROM f)
 SELECT request_id, concept_id, round(fused, 6) AS fused, rank FROM b WHERE best >= 0.9""")
-def channel_fusion_whole(spark, sf_dir) -> DataFrame:
+def channel_fusion(spark, sf_dir) -> DataFrame:
     """Weighted channels; requests whose best is under 0.9 abstain; all other candidates with their rank."""
     return _fused(spark, sf_dir)
 
 
-@query(f"""WITH {_CANDIDATES}, r AS (SELECT request_id, concept_id, dense AS p, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
-t AS (SELECT * FROM r WHERE k <= 20), u AS (SELECT *, sum(p) OVER (PARTITION BY request_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY request_id) AS total FROM t),
-v AS (SELECT *, round(hits / (total + k - hits), 6) AS value FROM u), b AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id)
-SELECT v.request_id, min(k) AS n, any_value(best) AS expected_jaccard FROM v JOIN b ON v.request_id = b.request_id AND v.value = b.best GROUP BY v.request_id""")
-def expected_jaccard_set(spark, sf_dir) -> DataFrame:
-    """Size and value of the best prefix of the twenty first candidates, as its SQL has it; A24 is expected_jaccard_whole."""
-    order = Window.partitionBy("request_id").orderBy(F.desc("p"), "concept_id")
-    p = _candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p"))
-    chosen = linking.expected_jaccard_set(p.withColumn("k", F.row_number().over(order)).where("k <= 20").drop("k"))
-    return chosen.groupBy("request_id").agg(F.max("k").cast("long").alias("n"), F.round(F.max("expected_jaccard"), 6).alias("expected_jaccard"))
-
-
 _SELECTED = """r AS (SELECT request_id, concept_id, lexical, dense AS p, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
 u AS (SELECT *, sum(p) OVER (PARTITION BY request_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY request_id) AS total FROM r),
-v AS (SELECT *, round(hits / (total + k - hits), 12) AS value FROM u), m AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id),
+v AS (SELECT *, hits / (total + k - hits) AS value FROM u), m AS (SELECT request_id, max(value) AS best FROM v GROUP BY request_id),
 b AS (SELECT v.request_id, CAST(min(k) AS BIGINT) AS n, any_value(best) AS best FROM v JOIN m ON v.request_id = m.request_id AND v.value = m.best GROUP BY v.request_id)"""
 
 
 @query(f"WITH {_CANDIDATES}, {_SELECTED} SELECT request_id, n, round(best, 6) AS expected_jaccard FROM b")
-def expected_jaccard_whole(spark, sf_dir) -> DataFrame:
+def expected_jaccard_set(spark, sf_dir) -> DataFrame:
     """Size and value of the best prefix of all candidates."""
     chosen = linking.expected_jaccard_set(_candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p")))
     return chosen.groupBy("request_id").agg(F.max("k").cast("long").alias("n"), F.round(F.max("expected_jaccard"), 6).alias("expected_jaccard"))
 
 
-@query(f"""WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dense DESC, concept_id) AS k FROM c),
-g AS (SELECT request_id, count(*) AS n_gold, sum((k <= 10)::INT) AS hit FROM r WHERE lexical >= 0.9 GROUP BY request_id),
-s AS (SELECT request_id, least(count(*), 10) AS n_pool FROM c GROUP BY request_id)
-SELECT request_id, n_gold, CAST(hit AS BIGINT) AS hit, round(hit * 1.0 / n_gold, 6) AS recall, round(hit * 1.0 / (n_gold + n_pool - hit), 6) AS jaccard, hit = n_gold AS exact FROM g JOIN s USING (request_id)""")
-def candidate_oracle(spark, sf_dir) -> DataFrame:
-    """What a pool of ten holds of the gold set, as its SQL has it; A25 is candidate_oracle_whole."""
-    order = Window.partitionBy("request_id").orderBy(F.desc("dense"), "concept_id")
-    r = _candidates(spark, sf_dir).withColumn("k", F.row_number().over(order))
-    g = r.groupBy("request_id").agg(F.count_if(F.col("lexical") >= 0.9).alias("n_gold"), F.count_if((F.col("lexical") >= 0.9) & (F.col("k") <= 10)).alias("hit"), F.least(F.count("*"), F.lit(10)).alias("n_pool"))
-    return g.where("n_gold > 0").select("request_id", "n_gold", "hit", F.round(F.col("hit") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hit") / (F.col("n_gold") + F.col("n_pool") - F.col("hit")), 6).alias("jaccard"), (F.col("hit") == F.col("n_gold")).alias("exact"))
-
-
 @query(f"""WITH {_CANDIDATES}, {_SELECTED},
 g AS (SELECT request_id, CAST(sum((lexical >= 0.9)::INT) AS BIGINT) AS n_gold, count(*) AS n_pool, CAST(sum((k <= n)::INT) AS BIGINT) AS n_chosen, CAST(sum((lexical >= 0.9 AND k <= n)::INT) AS BIGINT) AS shared FROM r JOIN b USING (request_id) GROUP BY request_id)
 SELECT request_id, n_gold, n_pool, n_chosen, shared AS hit, CAST(1.0 AS DOUBLE) AS recall, round(shared * 1.0 / (n_gold + n_chosen - shared), 6) AS jaccard, shared = n_gold AND shared = n_chosen AS exact FROM g""")
-def candidate_oracle_whole(spark, sf_dir) -> DataFrame:
+def candidate_oracle(spark, sf_dir) -> DataFrame:
     """Recall of the gold set by the pool of all candidates; Jaccard and equality of the gold set with the set that
-    expected_jaccard_whole selects. Gold candidates are rows of the pool here."""
+    expected_jaccard_set selects. Gold candidates are rows of the pool here."""
     p = _candidates(spark, sf_dir).select("request_id", "concept_id", F.col("dense").alias("p"), (F.col("lexical") >= 0.9).alias("gold"))
-    chosen = linking.expected_jaccard_set(p).select("request_id", "concept_id", F.lit(True).alias("chosen"))
-    gold, pool = p.where("gold").select("request_id", "concept_id", "gold"), p.select("request_id", "concept_id", F.lit(True).alias("pool"))
-    r = pool.join(gold, ["request_id", "concept_id"], "full").join(chosen, ["request_id", "concept_id"], "left")
-    g = r.groupBy("request_id").agg(
-        F.count("gold").alias("n_gold"), F.count("pool").alias("n_pool"), F.count("chosen").alias("n_chosen"),
-        F.count_if(F.col("gold") & F.col("chosen")).alias("hit"), F.count_if(F.col("gold") & F.col("pool")).alias("found"),
-    )
-    recall = F.when(F.col("n_gold") == 0, 1.0).otherwise(F.col("found") / F.greatest("n_gold", F.lit(1)))
-    return g.select(
-        "request_id", "n_gold", "n_pool", "n_chosen", "hit", F.round(recall, 6).alias("recall"), F.round(F.col("hit") / (F.col("n_gold") + F.col("n_chosen") - F.col("hit")), 6).alias("jaccard"),
-        ((F.col("hit") == F.col("n_gold")) & (F.col("hit") == F.col("n_chosen"))).alias("exact"),
-    )
-
-
-@query("""
-SELECT p_partkey, (SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey) AS siblings,
- (SELECT count(*) FROM part b WHERE b.p_name = a.p_name AND b.p_type <> a.p_type) AS form_conflicts FROM part a""")
-def hard_negatives(spark, sf_dir) -> DataFrame:
-    """brand = parent, name = ingredient, type = form; counts come from group totals, not from pairs."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
-    brand = p.groupBy("p_brand").agg(F.count("*").alias("nb"))
-    name = p.groupBy("p_name").agg(F.count("*").alias("nn"))
-    form = p.groupBy("p_name", "p_type").agg(F.count("*").alias("nf"))
-    return p.join(brand, "p_brand").join(name, "p_name").join(form, ["p_name", "p_type"]).select("p_partkey", (F.col("nb") - 1).alias("siblings"), (F.col("nn") - F.col("nf")).alias("form_conflicts"))
-
-
-@query("""
-SELECT lower(p_name) AS normalized_alias, count(*) AS n_rows, count(DISTINCT p_brand) AS n_targets,
- CASE WHEN count(DISTINCT p_brand) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'unique' END AS status FROM part GROUP BY lower(p_name)""")
-def alias_reports(spark, sf_dir) -> DataFrame:
-    """One target twice is a duplicate, several targets are a conflict."""
-    g = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("normalized_alias")).agg(F.count("*").alias("n_rows"), F.count_distinct("p_brand").alias("n_targets"))
-    return g.withColumn("status", F.when(F.col("n_targets") > 1, "conflict").when(F.col("n_rows") > 1, "duplicate").otherwise("unique"))
-
-
-@query("""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_name, p_partkey) AS rn FROM part),
-n AS (SELECT p_brand, p_type, count(DISTINCT p_name) AS names FROM part GROUP BY p_brand, p_type)
-SELECT r.p_brand, r.p_type, r.p_name, r.p_partkey, n.names FROM r JOIN n ON n.p_brand = r.p_brand AND n.p_type = r.p_type WHERE rn = 1""")
-def concept_dedup(spark, sf_dir) -> DataFrame:
-    """The first row of each concept, and how many names it has."""
-    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min(F.struct("p_name", "p_partkey")).alias("f"), F.count_distinct("p_name").alias("names"))
-    return g.select("p_brand", "p_type", "f.p_name", "f.p_partkey", "names")
-
-
-@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_returnflag")
-def valid_target_semijoin(spark, sf_dir) -> DataFrame:
-    """J08, P14."""
-    ok = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(ok, "l_partkey", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    chosen = linking.expected_jaccard_set(p)
+    return linking.candidate_oracle(p.where("gold"), p, chosen)
 
 
 @query("""
@@ -231,24 +151,11 @@ SELECT CASE WHEN missing = 0 THEN 'accepted' ELSE 'rejected' END AS status, coun
 def alias_remap(spark, sf_dir) -> DataFrame:
     """An order is remapped if every line's part name has a single brand, else rejected whole."""
     p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    unique = p.groupBy(F.col("p_name").alias("alias")).agg(F.count_distinct("p_brand").alias("k"), F.min("p_brand").alias("code")).where("k = 1").select("alias", "code")
-    lines = li.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.col("p_name").alias("alias")), "p_partkey").join(unique, "alias", "left")
-    o = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("code").isNull()).alias("missing"))
+    lines = li.select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.col("p_name").alias("alias")), "p_partkey")
+    o = linking.alias_remap(lines, p.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("code")))
     return o.groupBy(F.when(F.col("missing") == 0, "accepted").otherwise("rejected").alias("status")).agg(F.count("*").alias("orders"), F.sum("n").alias("lines"))
 
 
-@query("""
-WITH g AS (SELECT p_partkey AS id, p_type AS gold, p_brand AS pred_a, lag(p_type) OVER (ORDER BY p_partkey) AS pred FROM part)
-SELECT CASE WHEN pred IS NULL THEN 'no_prediction' WHEN pred = gold THEN 'correct' WHEN substring(pred, 1, 1) = substring(gold, 1, 1) THEN 'near_miss' ELSE 'wrong_concept' END AS bucket, count(*) AS n FROM g GROUP BY 1""")
-def linking_error_buckets(spark, sf_dir) -> DataFrame:
-    """Predictions (the part before) by kind of error; the neighbour is found by key, as part keys are dense."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("gold"))
-    before = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("gold").alias("pred"))
-    near = F.substring("pred", 1, 1) == F.substring("gold", 1, 1)
-    bucket = F.when(F.col("pred").isNull(), "no_prediction").when(F.col("pred") == F.col("gold"), "correct").when(near, "near_miss").otherwise("wrong_concept")
-    return p.join(before, "p_partkey", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH s AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS word FROM part), r AS (SELECT DISTINCT a.p_name, b.p_name AS related FROM s a JOIN s b ON a.word = b.word AND a.p_name <> b.p_name)
 SELECT p_name, count(*) AS related, min(related) AS first_related FROM r GROUP BY p_name""")

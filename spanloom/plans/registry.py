@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import curation, evaluation, linking, relations, spans  # noqa: F401
+    from . import curation, evaluation, linking, relations, scoring, spans, terminology  # noqa: F401

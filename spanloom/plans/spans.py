@@ -29,7 +29,8 @@ def _pred(gold: DataFrame) -> DataFrame:
 
 
 _ALIGNED = "a AS (SELECT coalesce(g.type, p.type) AS type, g.doc_id IS NOT NULL AS ing, p.doc_id IS NOT NULL AS inp FROM gold g FULL JOIN pred p ON g.doc_id = p.doc_id AND g.s = p.s AND g.e = p.e AND g.type = p.type)"
-_PRF = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp * 1.0 / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp * 1.0 / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1"
+_P, _R = "CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp * 1.0 / (tp + fp) END", "CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp * 1.0 / (tp + fn) END"
+_PRF = f"round({_P}, 6) AS precision, round({_R}, 6) AS recall, round(CASE WHEN {_P} + {_R} = 0 THEN 0 ELSE 2 * {_P} * {_R} / ({_P} + {_R}) END, 6) AS f1"
 _COUNT = "CAST(sum((ing AND inp)::INT) AS BIGINT) AS tp, CAST(sum((NOT ing)::INT) AS BIGINT) AS fp, CAST(sum((NOT inp)::INT) AS BIGINT) AS fn"
 
 
@@ -53,9 +54,9 @@ def type_metrics(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {_GOLD},
 m AS (SELECT g.* FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.type = g.type)),
 x AS (SELECT p.* FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.type = g.type)),
-n AS (SELECT m.doc_id, m.s, m.type, bool_or(p.type = m.type) AS same, bool_or(p.s = m.s AND p.e = m.e) AS span FROM m LEFT JOIN pred p ON p.doc_id = m.doc_id AND p.s < m.e AND m.s < p.e GROUP BY m.doc_id, m.s, m.type),
+n AS (SELECT m.doc_id, m.s, m.type, bool_or(p.type = m.type) AS same, count(p.doc_id) > 0 AS touched FROM m LEFT JOIN pred p ON p.doc_id = m.doc_id AND p.s < m.e AND m.s < p.e GROUP BY m.doc_id, m.s, m.type),
 y AS (SELECT x.doc_id, x.s, x.type, count(g.doc_id) AS c FROM x LEFT JOIN gold g ON g.doc_id = x.doc_id AND g.s < x.e AND x.s < g.e GROUP BY x.doc_id, x.s, x.type)
-SELECT type, CASE WHEN same THEN 'boundary' WHEN span THEN 'type' ELSE 'missing' END AS error, count(*) AS n FROM n GROUP BY 1, 2
+SELECT type, CASE WHEN same THEN 'boundary' WHEN touched THEN 'type' ELSE 'missing' END AS error, count(*) AS n FROM n GROUP BY 1, 2
 UNION ALL SELECT type, CASE WHEN c > 0 THEN 'partial' ELSE 'spurious' END, count(*) FROM y GROUP BY 1, 2""")
 def error_taxonomy(spark, sf_dir) -> DataFrame:
     """A04, J04."""
@@ -72,22 +73,13 @@ def overlap_pairs(spark, sf_dir) -> DataFrame:
     return spans.overlap_join(gold, moved).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(shared).alias("shared"))
 
 
-@query(f"WITH {_GOLD} SELECT type, grouping(type) AS all_types, len(text) AS n_chars, grouping(len(text)) AS all_lengths, count(*) AS n, min(doc_id) AS first_doc FROM gold GROUP BY GROUPING SETS ((type), (len(text)), (type, len(text)), ())")
-def linking_grouping_sets(spark, sf_dir) -> DataFrame:
-    """Overall, by type, by length and by both, in one pass."""
-    _gold(spark, sf_dir).withColumn("n_chars", F.length("text").cast("long")).createOrReplaceTempView("__gold")
-    return spark.sql(
-        "SELECT type, grouping(type) AS all_types, n_chars, grouping(n_chars) AS all_lengths, count(*) AS n, min(doc_id) AS first_doc FROM __gold GROUP BY GROUPING SETS ((type), (n_chars), (type, n_chars), ())"
-    )
-
-
-@query(f"WITH {_GOLD} SELECT type, count(*) AS n, CAST(sum((substring(d.text, CAST(s + 1 AS INT), CAST(e - s AS INT)) <> g.text)::INT) AS BIGINT) AS bad, count(DISTINCT (g.doc_id, s)) AS n_distinct FROM gold g JOIN documents d ON d.doc_id = g.doc_id GROUP BY type".replace("count(DISTINCT (g.doc_id, s))", "count(DISTINCT g.doc_id * 1000000 + s)"))
+@query(f"WITH {_GOLD} SELECT type, count(*) AS n, CAST(sum((substring(d.text, CAST(s + 1 AS INT), CAST(e - s AS INT)) <> g.text)::INT) AS BIGINT) AS bad, count(DISTINCT (g.doc_id, s)) AS n_distinct FROM gold g JOIN documents d ON d.doc_id = g.doc_id GROUP BY type")
 def structural_fidelity(spark, sf_dir) -> DataFrame:
     """Counts by type and spans that do not hold their surface."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     g = _gold(spark, sf_dir).join(docs, "doc_id")
     bad = ~spans.valid_span(F.col("body"), F.col("start"), F.col("end"), F.col("text"))
-    return g.groupBy("type").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_distinct(F.col("doc_id") * 1000000 + F.col("start")).alias("n_distinct"))
+    return g.groupBy("type").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_distinct("doc_id", "start").alias("n_distinct"))
 
 
 @query(f"""WITH {_GOLD}, cue AS (SELECT doc_id, s AS cs, s + length(word) AS ce, word FROM o WHERE word IN ('not', 'for', 'with', 'sin', 'ohne', 'pas', 'que', 'und')),
@@ -141,7 +133,16 @@ def list_islands(spark, sf_dir) -> DataFrame:
     return g.groupBy("doc_id").agg(F.count("*").alias("n_lists"), F.max("n").alias("longest"))
 
 
-@query()
+# On a line of pairs that overlap their neighbours alone, a pair is taken if it stands an even number of steps from the
+# top of the slope on either side.
+@query("""
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, len(string_split(text, ' ')) AS n FROM documents),
+o AS (SELECT doc_id, word, i, n, CAST(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(word) - 1 AS s FROM w),
+f AS (SELECT doc_id, s, s + length(word) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o WHERE length(word) > 0 AND i < n),
+p AS (SELECT doc_id, s, k, lead(e) OVER (PARTITION BY doc_id ORDER BY k) - s AS size FROM f), c AS (SELECT * FROM p WHERE size >= 18),
+m AS (SELECT *, coalesce(lag(k) OVER d = k - 1 AND lag(size) OVER d >= size, false) AS l, coalesce(lead(k) OVER d = k + 1 AND lead(size) OVER d > size, false) AS r FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+t AS (SELECT *, k - max(CASE WHEN NOT l THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS dl, min(CASE WHEN NOT r THEN k END) OVER (PARTITION BY doc_id ORDER BY k DESC) - k AS dr FROM m)
+SELECT doc_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS chars FROM t WHERE dl % 2 = 0 AND dr % 2 = 0 GROUP BY doc_id""")
 def greedy_spans(spark, sf_dir) -> DataFrame:
     """Overlapping candidate spans of word pairs, longest first."""
     pairs = spans.pattern_spans(table(spark, sf_dir, "documents"), r"[^ ]+(?= )")
@@ -158,7 +159,24 @@ DRIVER_CUES = (
 )
 
 
-@query()
+_EDGE = r"[^\p{L}\p{N}]"
+# A mention is negated by a cue before it in its clause, and historical after a cue anywhere in the document. (No text of
+# the tables has the headings or bullets that other scopes start from.) A clause starts at a clause word, or where the sentence starts; stops in numbers and after
+# abbreviations end no sentence, and are blanked out.
+_ENTITY_SQL = rf"""
+al AS (SELECT unnest(string_split('idiot|moron|clown|scum|worthless|pathetic', '|')) AS alias),
+parts AS (SELECT doc_id, text, alias, string_split(lower(text), alias) AS p FROM documents, al WHERE contains(lower(text), alias)),
+hits AS (SELECT doc_id, text, alias, unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(alias) AS BIGINT))) AS s FROM parts),
+ok AS (SELECT *, s + length(alias) AS e, substring(text, 1, CAST(s AS INT)) AS before, substring(text, CAST(s + length(alias) + 1 AS INT), 1) AS after FROM hits),
+mn AS (SELECT * FROM ok WHERE (before = '' OR regexp_matches(right(before, 1), '{_EDGE}')) AND (after = '' OR regexp_matches(after, '{_EDGE}'))),
+st AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(before, '(\d)\.(\d)', '\1,\2', 'g'), '(?i)((?:^|[^\p{{L}}\p{{N}}_])(?:bs|dr|mr|mrs|ms|vs|p|ts|mg|ml|mcg|hr|min|eg|ie))\.', '\1,', 'g'), '[^.!?;\r\n]*$') AS sentence FROM mn),
+cl AS (SELECT *, regexp_replace(' ' || regexp_replace(sentence, '"[^"]*"', '', 'g'), '(?is)^.*[^\p{{L}}\p{{N}}_](?:nhưng|tuy nhiên|còn|but|however|và|hoặc|and|or)([^\p{{L}}\p{{N}}_])', '\1') AS clause FROM st),
+en AS (SELECT doc_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", substring(text, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS text, CASE WHEN alias IN ('worthless', 'pathetic') THEN 'judgement' ELSE 'insult' END AS type,
+ concat_ws(',', CASE WHEN regexp_matches(' ' || regexp_replace(before, '"[^"\r\n]*"', '', 'g'), '(?i)[^\p{{L}}\p{{N}}_](?:was|were|war|était)[^\p{{L}}\p{{N}}_]') THEN 'isHistorical' END,
+ CASE WHEN regexp_matches(clause, '(?i)[^\p{{L}}\p{{N}}_](?:not|no|pas|ohne|sin)[^\p{{L}}\p{{N}}_]') THEN 'isNegated' END) AS assertions FROM cl)"""
+
+
+@query(f'WITH {_ENTITY_SQL} SELECT doc_id, start, "end", text, type, assertions FROM en')
 def infer_entities(spark, sf_dir) -> DataFrame:
     """The flagship: documents to entities with assertions."""
     from ..operators.infer import entities
@@ -167,7 +185,7 @@ def infer_entities(spark, sf_dir) -> DataFrame:
     return found.withColumn("assertions", F.array_join("assertions", ","))
 
 
-@query()
+@query(f"WITH {_ENTITY_SQL} SELECT type, assertions, count(*) AS n, count(DISTINCT doc_id) AS docs FROM en GROUP BY type, assertions")
 def entity_counts(spark, sf_dir) -> DataFrame:
     """Mentions by type and assertion."""
     return infer_entities(spark, sf_dir).groupBy("type", "assertions").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -231,13 +249,83 @@ def joint_decode(spark, sf_dir) -> DataFrame:
     return d.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.size("assertions") > 0).alias("labelled"), F.count_if(F.col("candidates").isNotNull()).alias("coded"), F.round(F.sum("utility"), 4).alias("utility"))
 
 
-@query(f"""WITH {_GOLD}, b AS (SELECT doc_id, s, e, type, s % 100 / 100.0 AS u, 'g' AS id FROM gold UNION ALL SELECT doc_id, s, e, type, (s + 37) % 100 / 100.0, 'p' FROM pred),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY u DESC, id) AS rn FROM b) SELECT type, count(*) AS n, round(sum(u), 2) AS utility FROM r WHERE rn = 1 AND u >= 0.1 GROUP BY type""")
-def consistency(spark, sf_dir) -> DataFrame:
-    """Two annotators' spans, made consistent."""
-    from ..operators.decode import consistent
+_TWO = """b AS (SELECT doc_id, 'g' || s AS id, s, e, type, text, s % 100 / 100.0 AS u FROM gold UNION ALL SELECT p.doc_id, 'p' || p.s, p.s, p.e, p.type, CASE WHEN k = 1 THEN left(g.text, length(g.text) - 1) ELSE g.text END, (p.s + 37) % 100 / 100.0 FROM pred p JOIN gold g ON g.doc_id = p.doc_id AND g.s = p.s),
+d AS (SELECT *, id <> min(id) OVER (PARTITION BY doc_id, s, e, type, text) AS copy FROM b),
+ov AS (SELECT x.doc_id, x.id, y.id AS foe, CASE WHEN x.type = y.type THEN 'forbid' WHEN least(x.type, y.type) = 'A' AND greatest(x.type, y.type) = 'B' THEN 'allow' END AS action FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.s < y.e AND y.s < x.e AND x.id <> y.id),
+u1 AS (SELECT d.*, EXISTS (SELECT 1 FROM ov WHERE ov.doc_id = d.doc_id AND ov.id = d.id AND ov.action IS NULL) AS unknown FROM d),
+live AS (SELECT * FROM u1 WHERE NOT copy AND NOT unknown),
+lost AS (SELECT DISTINCT x.doc_id, x.id FROM live x JOIN ov ON ov.doc_id = x.doc_id AND ov.id = x.id AND ov.action = 'forbid' JOIN live y ON y.doc_id = ov.doc_id AND y.id = ov.foe AND (y.u > x.u OR (y.u = x.u AND (y.s, y.e, y.type, y.text, y.id) < (x.s, x.e, x.type, x.text, x.id)))),
+r AS (SELECT u1.doc_id, u1.type, u1.id, u1.s, u1.e, CASE WHEN copy THEN 'exact_duplicate' WHEN unknown THEN 'unsupported_overlap' WHEN l.id IS NOT NULL THEN 'overlap_conflict' WHEN u < 0.1 THEN 'utility_below_minimum' ELSE 'kept' END AS reason FROM u1 LEFT JOIN lost l ON l.doc_id = u1.doc_id AND l.id = u1.id)"""
+
 
+def _two(spark, sf_dir) -> DataFrame:
+    """Spans of two annotators, of which at most two overlap."""
     gold = _gold(spark, sf_dir)
-    side = lambda df, name, shift: df.select("doc_id", F.lit(name).alias("id"), "start", "end", "type", ((F.col("start") + shift) % 100 / 100.0).alias("utility"))
-    both = side(gold, "g", 0).unionByName(side(_pred(gold), "p", 37))
-    return consistent(both, set(), 0.1).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("utility"), 2).alias("utility"))
+    side = lambda df, name, shift: df.select("doc_id", F.concat(F.lit(name), F.col("start").cast("string")).alias("id"), "start", "end", "type", "text", ((F.col("start") + shift) % 100 / 100.0).alias("utility"))
+    pred = _pred(gold).join(gold.select("doc_id", "start", "text"), ["doc_id", "start"]).withColumn("text", F.left("text", (F.col("end") - F.col("start")).cast("int")))
+    return side(gold, "g", 0).unionByName(side(pred, "p", 37))
+
+
+ACTIONS = {("A", "A"): "forbid", ("B", "B"): "forbid", ("C", "C"): "forbid", ("A", "B"): "allow"}
+
+
+@query(f"WITH {_GOLD}, {_TWO} SELECT type, reason, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM r GROUP BY type, reason")
+def consistency(spark, sf_dir) -> DataFrame:
+    """Two annotators' spans: copies, overlaps without a rule, forbidden overlaps, low utility."""
+    from ..operators.decode import resolve_consistency
+
+    return resolve_consistency(_two(spark, sf_dir), ACTIONS, 0.1).groupBy("type", "reason").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query(f"""WITH {_GOLD}, {_TWO}, rs AS (SELECT doc_id, id AS result_id, s, e, reason = 'kept' AS kept FROM r WHERE type = 'C'),
+t AS (SELECT doc_id, id, s, e, reason = 'kept' AS kept FROM r WHERE type = 'B'),
+j AS (SELECT rs.doc_id, rs.result_id, t.id AS test_id, row_number() OVER (PARTITION BY rs.doc_id, rs.result_id ORDER BY greatest(t.s - rs.e, rs.s - t.e, 0), -t.s, t.id) AS n FROM rs JOIN t ON t.doc_id = rs.doc_id AND t.kept AND abs(t.s - rs.s) <= 300 WHERE rs.kept)
+SELECT doc_id, result_id, test_id FROM j WHERE n = 1""")
+def lab_pairs(spark, sf_dir) -> DataFrame:
+    """Results (type C) with their nearest kept test (type B) of those within 300 characters."""
+    from ..operators.decode import resolve_consistency, resolve_lab_pairs
+
+    resolved = resolve_consistency(_two(spark, sf_dir), ACTIONS, 0.1)
+    near = lambda kind: resolved.where(F.col("type") == kind)
+    moved = near("B").select("doc_id", F.col("id").alias("test"), (F.col("start") - 300).alias("r_start"), (F.col("start") + 301).alias("r_end"))
+    places = near("C").select("doc_id", F.col("id").alias("result_id"), "start", (F.col("start") + 1).alias("end"))
+    tests = spans.overlap_join(places, moved).groupBy("doc_id", "result_id").agg(F.array_sort(F.collect_set("test")).alias("test_ids"))
+    pairings = tests.withColumn("assigned", F.col("test_ids")[0])
+    return resolve_lab_pairs(resolved, pairings)[1].select("doc_id", "result_id", "test_id")
+
+
+@query(f"WITH {_GOLD}, {_TWO}, x AS (SELECT doc_id, id, foe FROM ov WHERE action = 'forbid') SELECT b.doc_id, b.id, count(x.foe) AS n, coalesce(string_agg(x.foe, ',' ORDER BY x.foe), '') AS blockers FROM b LEFT JOIN x ON x.doc_id = b.doc_id AND x.id = b.id GROUP BY b.doc_id, b.id")
+def overlap_blockers(spark, sf_dir) -> DataFrame:
+    """What may not stand beside each span, from pairs that are listed once."""
+    from ..operators.decode import overlap_blockers as blockers
+
+    b = _two(spark, sf_dir)
+    right = b.select("doc_id", F.col("id").alias("right_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("type").alias("r_type"))
+    pairs = spans.overlap_join(b, right).where("id < right_id").select("doc_id", F.col("id").alias("left_id"), "right_id", (F.col("type") != F.col("r_type")).alias("compatible"))
+    return blockers(b, pairs).select("doc_id", "id", F.size("blockers").cast("long").alias("n"), F.array_join("blockers", ",").alias("blockers"))
+
+
+@query(f"WITH {_GOLD} SELECT doc_id, s AS start, e AS \"end\", type, text, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, type, text) AS place FROM gold")
+def entity_order(spark, sf_dir) -> DataFrame:
+    """Entities of a document by start, end, type and text."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "type", "text")
+    return _gold(spark, sf_dir).select("doc_id", "start", "end", "type", "text", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"WITH {_GOLD} SELECT type, CAST(sum(length(substring(d.text, CAST(greatest(s - 20, 0) + 1 AS INT), CAST(e + 20 - greatest(s - 20, 0) AS INT)))) AS BIGINT) AS chars, min(substring(d.text, CAST(greatest(s - 20, 0) + 1 AS INT), CAST(e + 20 - greatest(s - 20, 0) AS INT))) AS first_context FROM gold g JOIN documents d ON d.doc_id = g.doc_id GROUP BY type")
+def context_windows(spark, sf_dir) -> DataFrame:
+    """Entities with twenty characters on both sides."""
+    from ..functions.text import context_window
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    c = _gold(spark, sf_dir).join(docs, "doc_id").select("type", context_window(F.col("body"), F.col("start"), F.col("end"), 20).alias("c"))
+    return c.groupBy("type").agg(F.sum(F.length("c")).alias("chars"), F.min("c").alias("first_context"))
+
+
+@query(f"""WITH {_GOLD}, r AS (SELECT doc_id, type, s, row_number() OVER (PARTITION BY doc_id, type ORDER BY s) AS n FROM gold)
+SELECT a.doc_id, a.type AS source_type, b.type AS negative_type, a.s AS source_start, b.s AS negative_start FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.n = b.n AND ((a.type = 'A' AND b.type = 'B') OR (a.type = 'B' AND b.type = 'A') OR (a.type = 'C' AND b.type = 'A'))""")
+def cross_type_pairs(spark, sf_dir) -> DataFrame:
+    """The i-th entity of a type with the i-th of a type that it is confused with."""
+    from ..operators.validate import cross_type_pairs as pairs
+
+    return pairs(_gold(spark, sf_dir).withColumn("i", F.col("start")), (("A", "B"), ("B", "A"), ("C", "A")))

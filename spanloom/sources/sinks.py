@@ -39,21 +39,24 @@ def package(files: dict[str, bytes], path: str, folder: str = "output") -> None:
 
 
 def write_split(df: DataFrame, folder: str, reasons: str = "reasons") -> DataFrame:
-    """Rows without reasons go to folder/accepted, others to folder/rejected; returns counts by first reason."""
-    accepted = F.size(reasons) == 0
-    df.where(accepted).drop(reasons).write.mode("overwrite").parquet(f"{folder}/accepted")
-    df.where(~accepted).write.mode("overwrite").parquet(f"{folder}/rejected")
+    """One pass writes the rows, with their reasons, under folder/status=accepted (no reasons) and
+    folder/status=rejected; returns counts by first reason, read from there."""
+    status = F.when(F.size(reasons) == 0, "accepted").otherwise("rejected")
+    df.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(folder)
     primary = F.coalesce(F.try_element_at(reasons, F.lit(1)), F.lit("accepted"))
-    return df.groupBy(primary.alias("reason")).agg(F.count("*").alias("n"))
+    return df.sparkSession.read.parquet(folder).groupBy(primary.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def append_new(df: DataFrame, path: str, text_col: str = "text") -> int:
-    """Appends rows whose text hash the table does not hold yet; returns how many."""
+    """Appends rows whose text hash the table does not hold yet, each text once; returns how many. The rows are
+    counted as they are written, so the plan runs once."""
+    from pyspark.sql import Observation
+
     spark = df.sparkSession
     new = df.withColumn("text_key", F.sha2(F.encode(text_col, "utf-8"), 256)).dropDuplicates(["text_key"])
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
         new = new.join(spark.read.parquet(path).select("text_key"), "text_key", "left_anti")
-    before = new.count()
-    new.write.mode("append").parquet(path)
-    return before
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]

@@ -91,9 +91,19 @@ def test_j15_prefix_filter_equals_all_pairs(spark):
     sets = [(i, [f"t{rng.randrange(30)}" for _ in range(rng.choice((0, 1, 4, 8, 9)))]) for i in range(120)]
     got = {(r.a, r.b): r.jaccard for r in similarity.jaccard_join(spark.createDataFrame(sets, "id long, items array<string>"), 0.6).collect()}
     s = {i: set(x) for i, x in sets}
-    full = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in s for b in s if a < b and s[a] and s[b] and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
-    empty = sorted(i for i in s if not s[i])
-    assert got == full | {(empty[0], e): 1.0 for e in empty[1:]}
+    first = {}
+    for i, x in s.items():
+        first.setdefault(frozenset(x), i)
+    heads = sorted(first.values())
+    full = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in heads for b in heads if a < b and s[a] and s[b] and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
+    copies = {(first[frozenset(x)], i): 1.0 for i, x in s.items() if first[frozenset(x)] != i}
+    assert copies and got == full | copies
+
+
+def test_a33_leakage_across_splits(spark):
+    rows = [(1, "train", list("abcde")), (2, "train", list("abcde")), (3, "test", list("abcde")), (4, "test", list("abcdef")), (5, "dev", list("xyz"))]
+    got = split.leakage(spark.createDataFrame(rows, "id long, split string, items array<string>"), 0.8).collect()
+    assert sorted((r.split_a, r.split_b, r.a, r.b, round(r.jaccard, 4)) for r in got) == [("test", "train", 3, 1, 1.0), ("train", "test", 1, 4, 0.8333)]
 
 
 def test_a30_components(spark):
@@ -182,7 +192,14 @@ def test_w02_w03_w09_w14(spark):
     ev = spark.createDataFrame([(1, "A", 1.0, 0.9), (1, "B", 1.0, 0.2), (2, "A", 1.0, 0.5), (2, "B", 1.0, 0.5)], "cluster_id long, type string, weight double, score double")
     assert [(r.cluster_id, r.type) for r in decode.normalised_types(ev).collect()] == [(1, "A")]
     s = spark.createDataFrame([(1, "a", 0, 5, "A", 0.9), (1, "b", 0, 5, "A", 0.8), (1, "c", 3, 6, "B", 0.7), (1, "d", 4, 9, "C", 0.6), (1, "e", 50, 51, "A", 0.1)], "doc_id long, id string, start long, end long, type string, utility double")
-    assert sorted(r.id for r in decode.consistent(s, {("A", "C")}, 0.5).collect()) == ["a", "d"]
+    actions = {("A", "A"): "forbid", ("B", "A"): "forbid", ("A", "C"): "allow", ("B", "C"): "allow"}
+    got = {r.id: r.reason for r in decode.resolve_consistency(s.withColumn("text", F.lit("x")), actions, 0.5).collect()}
+    assert got == {"a": "kept", "b": "exact_duplicate", "c": "overlap_conflict", "d": "kept", "e": "utility_below_minimum"}
+    got = {r.id: r.reason for r in decode.resolve_consistency(s.withColumn("text", F.col("id")), actions | {("A", "A"): "allow"}, 0.0).collect()}
+    assert got == {"a": "kept", "b": "kept", "c": "overlap_conflict", "d": "kept", "e": "kept"}
+    # An overlap without a rule takes both, and even a copy counts for it.
+    got = {r.id: r.reason for r in decode.resolve_consistency(s.withColumn("text", F.lit("x")), {("A", "C"): "allow", ("B", "C"): "allow", ("A", "B"): "forbid"}, 0.0).collect()}
+    assert got == {"a": "unsupported_overlap", "b": "exact_duplicate", "c": "kept", "d": "kept", "e": "kept"}
     assert one(spark, r=0.9, m=0.9).select(decode.assertion_mix(F.col("r"), F.col("m"), 0.5)).first()[0] == pytest.approx(0.9)
 
 
@@ -193,14 +210,21 @@ def test_a31_a32_splits(spark):
     df = spark.createDataFrame([(i, f"g{i % 10}") for i in range(100)], "id long, g string")
     out = split.grouped_split(df, "g")
     m = split.manifest(out, "g")
+    with pytest.raises(ValueError, match="without a group"):
+        split.grouped_split(spark.createDataFrame([(1, None), (2, "a"), (3, "b"), (4, "c")], "id long, g string"), "g")
+    numbers = split.grouped_split(spark.createDataFrame([(i, i % 5) for i in range(20)], "id long, g int"), "g")
+    assert numbers.count() == 20 and dict(numbers.dtypes)["g"] == "int"
     assert m["leaking_groups"] == 0 and sum(c[0] for c in m["counts"].values()) == 100 and m == split.manifest(split.grouped_split(df, "g"), "g")
 
 
-def test_a10_a45_a46_a47():
+def test_a10_a45_a46_a47(spark):
     b = split.bootstrap([(0.1, 0.3), (0.2, 0.4)], 50)
     assert b["delta"] == pytest.approx(0.2) and b["low"] <= b["delta"] <= b["high"] + 1e-9
     assert split.largest_remainder(10, {"a": 1, "b": 1, "c": 1}) == {"a": 4, "b": 3, "c": 3}
-    assert split.boosts({"x": {"missing": 1, "errors": 50, "deficit": 5}}) == {"x": 3.5}
+    assert b["relevant"] and not split.bootstrap([(0.1, 0.3), (0.4, 0.2)], 50)["relevant"]
+    signals = [("x", True, False, 50, 5, False), ("y", True, True, 0, 100, True), ("z", None, None, None, None, None)]
+    got = split.boosts(spark.createDataFrame(signals, "profile string, missing_type boolean, missing_label boolean, errors int, deficit int, bad_positions boolean"))
+    assert {r.profile: r.weight for r in got.collect()} == {"x": 4.5, "y": 4.5, "z": 1.0}
     assert split.next_profile({"a": 1}, {"a": 2, "b": 5}) == "b"
 
 
@@ -322,10 +346,10 @@ def test_fusion_and_oracle_take_the_whole_pool(spark, sf_dir):
     from spanloom.plans import linking as plans
 
     sizes = {r.p_brand: r["count"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count().collect()}
-    fused = plans.channel_fusion_whole(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    fused = plans.channel_fusion(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
     assert fused and all(r.n == r.last == sizes[r.request_id] for r in fused) and max(r.n for r in fused) > 10
-    n = {r.request_id: r.n for r in plans.expected_jaccard_whole(spark, sf_dir).collect()}
-    got = plans.candidate_oracle_whole(spark, sf_dir).collect()
+    n = {r.request_id: r.n for r in plans.expected_jaccard_set(spark, sf_dir).collect()}
+    got = plans.candidate_oracle(spark, sf_dir).collect()
     assert {r.request_id: (r.n_pool, r.n_chosen) for r in got} == {q: (sizes[q], n[q]) for q in sizes}
 
 
