@@ -169,7 +169,7 @@ parts AS (SELECT doc_id, text, alias, string_split(lower(text), alias) AS p FROM
 hits AS (SELECT doc_id, text, alias, unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(alias) AS BIGINT))) AS s FROM parts),
 ok AS (SELECT *, s + length(alias) AS e, substring(text, 1, CAST(s AS INT)) AS before, substring(text, CAST(s + length(alias) + 1 AS INT), 1) AS after FROM hits),
 mn AS (SELECT * FROM ok WHERE (before = '' OR regexp_matches(right(before, 1), '{_EDGE}')) AND (after = '' OR regexp_matches(after, '{_EDGE}'))),
-st AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(before, '(\d)\.(\d)', '\1,\2', 'g'), '(?i)((?:^|[^\p{{L}}\p{{N}}_])(?:bs|dr|mr|mrs|ms|vs|p|ts|mg|ml|mcg|hr|min|eg|ie))\.', '\1,', 'g'), '[^.!?;\r\n]*$') AS sentence FROM mn),
+st AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(regexp_replace(before, '(\d)\.(\d)', '\1,\2', 'g'), '(\d)\.(\d)', '\1,\2', 'g'), '(?i)((?:^|[^\p{{L}}\p{{N}}_])(?:bs|dr|mr|mrs|ms|vs|p|ts|mg|ml|mcg|hr|min|eg|ie))\.', '\1,', 'g'), '[^.!?;\r\n]*$') AS sentence FROM mn),
 cl AS (SELECT *, regexp_replace(' ' || regexp_replace(sentence, '"[^"]*"', '', 'g'), '(?is)^.*[^\p{{L}}\p{{N}}_](?:nhưng|tuy nhiên|còn|but|however|và|hoặc|and|or)([^\p{{L}}\p{{N}}_])', '\1') AS clause FROM st),
 en AS (SELECT doc_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", substring(text, CAST(s + 1 AS INT), CAST(e - s AS INT)) AS text, CASE WHEN alias IN ('worthless', 'pathetic') THEN 'judgement' ELSE 'insult' END AS type,
  concat_ws(',', CASE WHEN regexp_matches(' ' || regexp_replace(before, '"[^"\r\n]*"', '', 'g'), '(?i)[^\p{{L}}\p{{N}}_](?:was|were|war|était)[^\p{{L}}\p{{N}}_]') THEN 'isHistorical' END,
@@ -201,7 +201,13 @@ def text_views(spark, sf_dir) -> DataFrame:
     return v.select("doc_id", "view", F.element_at("bounds", -1).cast("long").alias("raw_length"), (F.size("bounds") - 1).cast("long").alias("view_length"))
 
 
-@query()
+# Stops in numbers and after abbreviations end no sentence, and are blanked out. Signs that are no letters are doubled, so
+# that clause words next to each other are both counted; one at the very start of a sentence begins no other clause.
+@query(r"""
+WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(\d)\.(\d)', '\1,\2', 'g'), '(\d)\.(\d)', '\1,\2', 'g'), '(?i)((?:^|[^\p{L}\p{N}_])(?:bs|dr|mr|mrs|ms|vs|p|ts|mg|ml|mcg|hr|min|eg|ie))\.', '\1,', 'g') AS t FROM documents),
+s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(t, '[^.!?;\r\n]*(?:[!?;]+|\.|\r\n|\r|\n)|[^.!?;\r\n]+$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS x FROM b),
+c AS (SELECT doc_id, length(x) AS chars, len(regexp_extract_all(regexp_replace(x, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?i)[^\p{L}\p{N}_](?:nhưng|tuy  nhiên|còn|but|however|và|hoặc|and|or)(?:[^\p{L}\p{N}_]|$)')) AS cues FROM s)
+SELECT doc_id, 'sentence' AS kind, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM c GROUP BY doc_id UNION ALL SELECT doc_id, 'clause', CAST(sum(1 + cues) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM c GROUP BY doc_id""")
 def structure_units(spark, sf_dir) -> DataFrame:
     """Units by kind."""
     from ..operators.infer import structure_units as kernel
