@@ -9,8 +9,10 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 # ---------------------------------------------------------------- fixed values
 #: Heading aliases of sections.
@@ -28,27 +30,31 @@ SECTIONS = {
 ABBREVIATIONS = frozenset("bs dr mr mrs ms vs p ts mg ml mcg hr min eg ie".split())
 #: Words that begin a new clause.
 CLAUSE_CUES = ("nhưng", "tuy nhiên", "còn", "but", "however", "và", "hoặc", "and", "or")
-#: Parts of a medication mention, as the slot parser reads them.
-STRENGTH = r"\d+(?:[.,]\d+)?(?:\s*[/\-–]\s*\d+(?:[.,]\d+)?)?\s*-?\s*(?:mcg|μg|ug|mg|g|ml|%)(?!\w)"
-FORM = r"(?:enteric-coated\s+tablet|tablet|tab|capsule|cap|viên|ống|gói|syrup|solution|suspension|cream|gel|drops?)(?!\w)"
-ROUTE = r"(?:po|iv|im|sc|oral|uống|tiêm|truyền\s+tĩnh\s+mạch)(?!\w)"
-FREQUENCY = r"(?:(?:qd|bid|tid|qhs|qam|q\d+h)(?::prn)?|prn|daily|khi\s+sốt|mỗi\s+(?:\d+\s+giờ|ngày)|\d+\s*(?:lần|x)\s*/\s*(?:ngày|day))(?!\w)"
-RELEASE = r"(?:XR|XL|SR|CR|ER)(?!\w)"
-#: Laboratory results, as the slot parser reads them.
-NUMBER = r"\d+(?:[.,]\d+)?"
-UNIT = r"(?:%|mmol/l|mg/dl|g/l|10\^?\d+/l|iu/l|u/l)"
-QUALITATIVE = r"(?<!\w)(?:dương\s+tính|âm\s+tính|không\s+phát\s+hiện|positive|negative|increased|decreased|tăng|giảm|cao|thấp)(?!\w)"
-#: Fixed values: (label, cue, levels a scope may take, whether contrast words end it).
+class Cue(NamedTuple):
+    """Words that assert a label: the levels that their scope may take, whether contrast words end it, the side on which
+    they work (forward, backward or bidirectional), and further patterns that end it."""
+
+    label: str
+    words: str
+    levels: tuple[str, ...]
+    ends: bool
+    direction: str = "forward"
+    blockers: tuple[str, ...] = ()
+
+
 _LOCAL = ("clause", "sentence", "list_item", "section")
+#: Fixed values.
 CUES = (
-    ("isNegated", "không có", _LOCAL, True),
-    ("isNegated", "chưa ghi nhận", _LOCAL, True),
-    ("isNegated", "phủ nhận|không", _LOCAL, True),
-    ("isHistorical", "tiền sử", ("list_item", "section"), False),
-    ("isHistorical", "trước nhập viện", ("list_item", "section"), False),
-    ("isFamily", "mẹ|bố|cha|anh|chị|em", _LOCAL, True),
+    Cue("isNegated", "không có", _LOCAL, True),
+    Cue("isNegated", "chưa ghi nhận", _LOCAL, True),
+    Cue("isNegated", "phủ nhận|không", _LOCAL, True),
+    Cue("isHistorical", "tiền sử", ("list_item", "section"), False),
+    Cue("isHistorical", "trước nhập viện", ("list_item", "section"), False),
+    Cue("isFamily", "mẹ|bố|cha|anh|chị|em", _LOCAL, True),
 )
 SCOPE_ENDS = r"(?<!\w)(?:nhưng|tuy nhiên|however|but|ghi nhận)(?!\w)"
+#: Words of a list item that is about medication taken now.
+CURRENT = r"(?<!\w)(?:thuốc hiện tại|current medications?)(?!\w)"
 BASE_SCORE = {"clause": 0.96, "sentence": 0.91, "list_item": 0.86, "section": 0.80, "document": 0.70}
 
 
@@ -85,12 +91,6 @@ def at_boundary(text: str, start: int, end: int) -> bool:
     return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
 
 
-def ingredient(mention: str) -> str:
-    """What stands before the strength, form, route or frequency of a medication mention."""
-    first = re.search(rf"(?i)(?<!\w)(?:{STRENGTH}|{FORM}|{ROUTE}|{FREQUENCY}|{RELEASE})", mention)
-    return (mention[: first.start()] if first else mention).strip()
-
-
 # ---------------------------------------------------------------- views
 @dataclass(frozen=True)
 class View:
@@ -364,15 +364,37 @@ def levenshtein(a: str, b: str) -> int:
 
 
 def fuzzy_find(text: str, part: str, least: float = 0.85) -> tuple[int, int, float] | None:
-    """The window of the part's length that is most like it; the first of equals."""
-    best = None
-    for at in range(len(text) - len(part) + 1 if part else 0):
-        s = 1 - levenshtein(text[at : at + len(part)], part) / len(part)
-        if s >= least and (best is None or s > best[2]):
-            best = (at, at + len(part), s)
+    """The window of the part's length that is most like it; the first of equals.
+
+    A window lacks at least as many edits as letters of the part that it does not have (counted as it slides), so most
+    windows are never compared."""
+    n, best = len(part), None
+    if not n or len(text) < n:
+        return None
+    # Letters of the part, less those of the window: what is positive is missing.
+    gap = Counter(part)
+    gap.subtract(text[:n])
+    missing = sum(v for v in gap.values() if v > 0)
+    for at in range(len(text) - n + 1):
+        if at:
+            gone, new = text[at - 1], text[at + n - 1]
+            gap[gone] += 1
+            missing += gap[gone] > 0
+            missing -= gap[new] > 0
+            gap[new] -= 1
+        bar = least if best is None else best[2]
+        if 1 - missing / n >= bar:
+            s = 1 - levenshtein(text[at : at + n], part) / n
+            if s >= least and (best is None or s > best[2]):
+                best = (at, at + n, s)
     return best
 
 
+def relocate_all(text: str, surfaces: list[str]) -> list[list[tuple[int, int]]]:
+    """Every occurrence of each surface."""
+    return [[(a, a + len(s)) for a in occurrences(text, s)] for s in surfaces]
+
+
 def relocate(text: str, surfaces: list[str]) -> list[tuple[int, int] | None]:
     """Each surface's first occurrence that overlaps none taken before; else that of the surface without punctuation at
     its ends."""
@@ -389,36 +411,6 @@ def relocate(text: str, surfaces: list[str]) -> list[tuple[int, int] | None]:
     return out
 
 
-# ---------------------------------------------------------------- slots
-def medication_slots(text: str) -> dict[str, str]:
-    slots = {}
-    for name, rx in (("strength", STRENGTH), ("form", FORM), ("route", ROUTE), ("frequency", FREQUENCY), ("release", RELEASE)):
-        if m := re.search(rf"(?i)(?<!\w){rx}", text):
-            slots[name] = m[0].casefold() if name != "strength" else m[0].replace(",", ".")
-    if name := ingredient(text):
-        slots["ingredient"] = name.casefold()
-    return slots
-
-
-def laboratory_slots(text: str) -> dict[str, str]:
-    slots = {}
-    bracket = re.search(rf"\(\s*({NUMBER}\s*[-–]\s*{NUMBER})\s*\)", text)
-    body = text.replace(bracket[0], " ") if bracket else text
-    if bracket:
-        slots["reference"] = re.sub(r"\s", "", bracket[1]).replace(",", ".").replace("–", "-")
-    if m := re.search(rf"(?i)(<=|>=|<|>|≤|≥)?\s*({NUMBER}(?:\s*[-–]\s*{NUMBER})?)\s*({UNIT})?", body):
-        if m[1]:
-            slots["comparator"] = m[1].replace("≤", "<=").replace("≥", ">=")
-        slots["result"] = m[2].replace(",", ".")
-        if m[3]:
-            slots["unit"] = m[3].casefold()
-    elif m := re.search(f"(?i){QUALITATIVE}", body):
-        slots["result"] = fold_space(m[0].casefold())
-    if m := re.search(r"(?<![\w/])([HL])(?!\w)", body):
-        slots["flag"] = {"H": "high", "L": "low"}[m[1]]
-    return slots
-
-
 # ---------------------------------------------------------------- assertions
 @dataclass(frozen=True)
 class Assertion:
@@ -429,40 +421,52 @@ class Assertion:
     score: float
 
 
-def cue_matches(text: str, cues=CUES) -> list[tuple[str, int, int, tuple[str, ...], bool]]:
+def cue_matches(text: str, cues=CUES) -> list[tuple[Cue, int, int]]:
     """Cues outside of quotation marks and templates, in order."""
     shut = [m.span() for m in re.finditer(r'"[^"\r\n]*"|\{\{.*?\}\}', text, re.S)]
     out = []
-    for label, words, levels, ends in cues:
-        for m in re.finditer(rf"(?i)(?<!\w)(?:{words})(?!\w)", text):
+    for cue in (Cue(*c) for c in cues):
+        for m in re.finditer(rf"(?i)(?<!\w)(?:{cue.words})(?!\w)", text):
             if not any(a <= m.start() and m.end() <= b for a, b in shut):
-                out.append((label, m.start(), m.end(), levels, ends))
-    return sorted(out, key=lambda c: c[1:3])
+                out.append((cue, m.start(), m.end()))
+    return sorted(out, key=lambda c: c[1:])
+
+
+def scope(text: str, cue: Cue, a: int, b: int, st: Structure) -> tuple[int, int, str]:
+    """The narrowest unit that the cue may take, with the items nested in a list item, up to what ends it on the side
+    (or sides) on which the cue works."""
+    unit = st.at(a, cue.levels)
+    start, stop = unit.start, unit.end
+    if unit.kind == "list_item":
+        stop = max([stop, *(u.end for u in _nested(unit, st))])
+    ends = [re.compile(p, re.I) for p in (*([SCOPE_ENDS] if cue.ends else []), *cue.blockers)]
+    if cue.direction != "backward":
+        stop = min([stop, *(m.start() for rx in ends if (m := rx.search(text, b, stop)))])
+    if cue.direction != "forward":
+        start = max([start, *(m.end() for rx in ends for m in rx.finditer(text, start, a))])
+    return start, stop, unit.kind
 
 
 def assertions(text: str, start: int, end: int, structure: Structure | None = None, cues=CUES) -> list[Assertion]:
-    """The cues before a span whose scope, the narrowest unit they may take, holds it; a history section's items are
-    historical, those of a family section concern the family, unless an item says that it is current."""
+    """The cues whose scope holds a span on the side on which they work; a history section's items are
+    historical, those of a family section concern the family. In a list item about current medication nothing inherits
+    that it is historical."""
     st = structure or Structure(text)
     out = []
-    for label, a, b, levels, ends in cue_matches(text, cues):
+    for cue, a, b in cue_matches(text, cues):
         if any(u.start <= a and b <= u.heading_end for u in st.sections):
             continue
-        unit = st.at(a, levels)
-        stop = unit.end
-        if unit.kind == "list_item":
-            stop = max([stop, *(u.end for u in _nested(unit, st))])
-        if ends and (m := re.compile(f"(?i){SCOPE_ENDS}").search(text, b, stop)):
-            stop = m.start()
-        if unit.start <= start and b <= start and end <= stop:
-            fade = min(0.20, 0.20 * (start - b) / max(1, stop - unit.start))
-            out.append(Assertion(label, (a, b), (unit.start, stop), unit.kind, max(0.50, round(BASE_SCORE[unit.kind] - fade, 3))))
-    section = next((u for u in st.sections if u.start <= start < u.end and start >= u.heading_end), None)
-    label = section and {"medical_history": "isHistorical", "medication_history": "isHistorical", "family_history": "isFamily"}.get(section.label)
-    if label:
-        a, b = next((s for s in lines(text) if s[0] <= start <= s[1]), (0, 0))
-        current = re.search(r"(?i)(?<!\w)(?:thuốc hiện tại|đang dùng|hiện dùng|current(?:ly)?)(?!\w)", text[a:start])
-        if not (current and label == "isHistorical"):
+        first, stop, level = scope(text, cue, a, b, st)
+        before, after = b <= start, end <= a
+        fits = {"forward": before, "backward": after}.get(cue.direction, before or after)
+        if fits and first <= start and end <= stop:
+            gap = start - b if before else a - end
+            fade = min(0.20, 0.20 * gap / max(1, stop - first))
+            out.append(Assertion(cue.label, (a, b), (first, stop), level, max(0.50, round(BASE_SCORE[level] - fade, 3))))
+    current = any(u.start <= start and end <= u.end and re.search(CURRENT, text[u.start : u.end], re.I) for u in st.list_items)
+    for section in st.sections:
+        label = {"medical_history": "isHistorical", "medication_history": "isHistorical", "family_history": "isFamily"}.get(section.label)
+        if label and section.heading_end <= start and end <= section.end and not (current and label == "isHistorical"):
             out.append(Assertion(label, (section.start, section.heading_end), (section.start, section.end), "section", 0.80))
     return out
 
@@ -482,26 +486,48 @@ def labels_of(found: list[Assertion], least: float = 0.5) -> list[str]:
 
 
 # ---------------------------------------------------------------- grounding (T20) and BIO
-def ground(text: str, surface: str, expected: tuple[int, int] | None = None, occupied: list[tuple[int, int]] = ()) -> tuple[str, tuple[int, int] | None]:
-    """(method, span): the occurrence in the raw text, else in the accentless view, else regardless of case; the one
-    closest to ``expected``, else the only free one. (None where two are equally good.)"""
-    seen = views(text)
-    forms = (
-        ("exact_raw", seen["raw"], surface),
-        ("exact_view", seen["nfc"], unicodedata.normalize("NFC", surface)),
-        ("case_insensitive", seen["lower"], unicodedata.normalize("NFC", surface).lower()),
-    )
-    for method, view, form in forms:
-        spans = [view.raw(a, a + len(form)) for a in occurrences(view.text, form)]
-        free = [s for s in spans if not any(a < s[1] and s[0] < b for a, b in occupied)] or spans
-        if not free:
+#: What a way of finding a surface is worth.
+GROUNDING = {"exact_raw": 0.8, "exact_view": 0.75, "case_insensitive": 0.7, "token_aligned": 0.65}
+
+
+def found_by(text: str, surface: str) -> list[tuple[int, int, str]]:
+    """Places of a surface by the first way that finds any: in the raw text, in any view of it, regardless of case, as a
+    run of equal words."""
+    needle = re.escape(surface)
+    if hits := [(*m.span(), "exact_raw") for m in re.finditer(needle, text)]:
+        return hits
+    seen: dict[tuple[int, int], None] = {}
+    for name, view in views(text).items():
+        if name != "raw":
+            seen |= {view.raw(*m.span()): None for m in re.finditer(needle, view.text)}
+    if seen:
+        return [(*s, "exact_view") for s in seen]
+    if hits := [(*m.span(), "case_insensitive") for m in re.finditer(needle, text, re.I)]:
+        return hits
+    want, words = re.findall(r"\w+", surface.casefold()), list(re.finditer(r"\w+", text))
+    folded = [w[0].casefold() for w in words]
+    n = len(want)
+    return [(words[i].start(), words[i + n - 1].end(), "token_aligned") for i in range(len(words) - n + 1) if folded[i : i + n] == want] if n else []
+
+
+def ground(text: str, surface: str, expected: tuple[int, int] | None = None, occupied: list[tuple[int, int]] = (), order: int = 0) -> tuple[str, tuple[int, int] | None, float]:
+    """(method, span, confidence) of the best free place: what the method is worth, more at the expected place, less
+    the further away it is and the later the proposal. None where two places are equally good."""
+    scored = []
+    for a, b, method in found_by(text, surface) if surface else []:
+        if any(a < y and x < b for x, y in occupied):
             continue
-        if expected is None:
-            return method, free[0] if len(free) == 1 else None
-        gap = [abs(s[0] - expected[0]) + abs(s[1] - expected[1]) for s in free]
-        best = min(gap)
-        return method, free[gap.index(best)] if gap.count(best) == 1 else None
-    return "none", None
+        score = GROUNDING[method]
+        if expected is not None:
+            score = min(1.0, score + 0.2) if (a, b) == tuple(expected) else max(0.0, score - min(abs(a - expected[0]), 20) / 100 - min(order, 10) / 1000)
+        scored.append((-score, a, b, method))
+    if not scored:
+        return "none", None, 0.0
+    scored.sort()
+    if len(scored) > 1 and scored[0][0] == scored[1][0]:
+        return scored[0][3], None, 0.0
+    score, a, b, method = scored[0]
+    return method, (a, b), -score
 
 
 def bio_decode(tags: list[str], offsets: list[tuple[int, int]], logits: list[float]) -> list[tuple[int, int, str, float]]:

@@ -111,6 +111,20 @@ def entities(docs: DataFrame, lexicon: dict[str, tuple[str, ...]], cues=K.CUES)
     return per_document(docs, kernel, "doc_id long, start int, end int, text string, type string, assertions array<string>")
 
 
+def mention_slots(mentions: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, name, start, end, value, confidence) of the slots of medication or laboratory mentions."""
+    from ..functions import slots
+
+    parse = {"medication": slots.parse_medication, "laboratory": slots.parse_laboratory}[kind]
+
+    def kernel(_: int, mention: str) -> list[tuple]:
+        p = parse(mention)
+        rows = [(n, s) for n, v in p.slots.items() for s in (v if isinstance(v, list) else [v])]
+        return [(n, s.start, s.end, s.value, p.confidence) for n, s in rows]
+
+    return per_document(mentions, kernel, f"{id_col} long, name string, start int, end int, value string, confidence double", id_col, text_col)
+
+
 def grounded(proposals: DataFrame, docs: DataFrame) -> DataFrame:
     """Proposals (doc_id, surface, expected_start, expected_end) placed in their documents."""
     rows = proposals.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("surface", "expected_start", "expected_end")))).alias("p"))
@@ -122,8 +136,8 @@ def grounded(proposals: DataFrame, docs: DataFrame) -> DataFrame:
         row = json.loads(packed)
         out = []
         for p in json.loads(row["p"]):
-            method, span = K.ground(row["text"], p["surface"], (p["expected_start"], p["expected_end"]))
-            out.append((p["surface"], method, *(span or (None, None))))
+            method, span, score = K.ground(row["text"], p["surface"], (p["expected_start"], p["expected_end"]))
+            out.append((p["surface"], method, *(span or (None, None)), score))
         return out
 
-    return per_document(both, kernel, "doc_id long, surface string, method string, start int, end int")
+    return per_document(both, kernel, "doc_id long, surface string, method string, start int, end int, confidence double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.kernels import ingredient
+from ..functions.slots import ingredient
 
 #: Saturation and length weight of BM25, gram sizes.
 K1, B = 1.2, 0.75

@@ -59,16 +59,62 @@ def test_t12_t13_laboratory():
 
 
 def test_t20_grounding():
-    assert K.ground("ho, rồi ho", "ho", (8, 10)) == ("exact_raw", (8, 10))
-    assert K.ground("ho, rồi ho", "ho") == ("exact_raw", None)
-    assert K.ground("HO nhiều", "ho") == ("case_insensitive", (0, 2))
-    assert K.ground("x", "ho") == ("none", None)
+    assert K.ground("ho, rồi ho", "ho", (8, 10)) == ("exact_raw", (8, 10), 1.0)
+    assert K.ground("ho, rồi ho", "ho") == ("exact_raw", None, 0.0)
+    assert K.ground("ho, rồi ho", "ho", occupied=[(0, 2)]) == ("exact_raw", (8, 10), 0.8)
+    assert K.ground("HO nhiều", "ho") == ("exact_view", (0, 2), 0.75)
+    assert K.ground("ho nhiều", "HO") == ("case_insensitive", (0, 2), 0.7)
+    assert K.ground("viêm - phổi nặng", "VIÊM phổi", (3, 9)) == ("token_aligned", (0, 11), pytest.approx(0.62))
+    assert K.ground("x", "ho") == K.ground("x", "") == ("none", None, 0.0)
 
 
 def test_t21_t22_slots():
-    s = K.medication_slots("clonazepam 0,5 mg SR")
-    assert (s["strength"], s["release"], s["ingredient"]) == ("0.5 mg", "sr", "clonazepam")
-    assert K.laboratory_slots("Glucose >= 5,6 mmol/L (3.9-5.6) H") == {"reference": "3.9-5.6", "comparator": ">=", "result": "5.6", "unit": "mmol/l", "flag": "high"}
+    from spanloom.functions import slots
+
+    text = "Clonazepam 0,5-1 mg SR PO bid khi sốt"
+    p = slots.parse_medication(text)
+    got = {n: (text[s.start : s.end], s.value) for n, s in p.slots.items() if n != "components"}
+    assert got == {
+        "ingredient": ("Clonazepam", "clonazepam"), "strength_value": ("0,5", "0.5"), "strength_unit": ("mg", "mg"), "strength_range": ("0,5-1", "0.5-1"), "route": ("PO", "oral"),
+        "release": ("SR", "sr"), "frequency": ("bid", "bid"), "prn": ("khi sốt", "prn"),
+    }
+    assert p.confidence == 1.0 and slots.parse_medication("x").confidence == 0.167
+    both = slots.parse_medication("amoxicillin + clavulanate 875 mg")
+    assert [s.value for s in both.slots["components"]] == ["amoxicillin", "clavulanate"] and both.evidence == ["ingredient", "strength", "combination"]
+    text = "Glucose: ≥ 5,6 mmol/L (3.9 – 5,6) H"
+    p = slots.parse_laboratory(text)
+    assert {n: s.value for n, s in p.slots.items()} == {"test": "glucose", "result": "5.6", "comparator": ">=", "unit": "mmol/l", "reference": "3.9-5.6", "flag": "high"} and p.confidence == 1.0
+    assert all(0 <= s.start < s.end <= len(text) for s in p.slots.values())
+    assert {n: s.value for n, s in slots.parse_laboratory("HBsAg dương tính").slots.items()} == {"test": "hbsag", "result": "positive"}
+    assert [slots.ingredient(m) for m in ("aspirin 81 mg", "500 mg", "PO bid", "")] == ["aspirin", "", "", ""]
+
+
+def test_t24_directions_and_blockers():
+    text = "sốt, ho: không thấy; đau nhưng mệt âm tính"
+    st = K.Structure(text)
+    back = (K.Cue("isNegated", "không thấy", ("document",), False, "backward"), K.Cue("isNegated", "âm tính", ("document",), True, "bidirectional", (";",)))
+    at = lambda w: K.labels_of(K.assertions(text, text.index(w), text.index(w) + len(w), st, back))
+    assert [at(w) for w in ("sốt", "ho", "đau", "mệt")] == [["isNegated"], ["isNegated"], [], ["isNegated"]]
+
+
+def test_t27_current_medication_inherits_nothing():
+    text = "Thuốc trước nhập viện:\n- aspirin\n- current medications: metformin"
+    st = K.Structure.of(text)
+    at = lambda w: K.labels_of(K.assertions(text, text.index(w), text.index(w) + len(w), st))
+    assert at("aspirin") == ["isHistorical"] and at("metformin") == []
+
+
+def test_t33_fuzzy_windows_equal_all_windows():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text, part = ("".join(rng.choice("abcd") for _ in range(n)) for n in (rng.randint(0, 25), rng.randint(0, 8)))
+        least = rng.choice((0.5, 0.75, 0.85))
+        windows = [(1 - K.levenshtein(text[i : i + len(part)], part) / len(part), -i) for i in range(len(text) - len(part) + 1)] if part else []
+        best = max(windows, default=(0, 0))
+        assert K.fuzzy_find(text, part, least) == ((-best[1], -best[1] + len(part), best[0]) if windows and best[0] >= least else None)
+    assert K.relocate_all("ho ho", ["ho", "x"]) == [[(0, 2), (3, 5)], []]
 
 
 def labels(text, part, nth=0):
