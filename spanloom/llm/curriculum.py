@@ -10,8 +10,8 @@ time when the integrated schedule reaches d (a quadratic, inverted in closed for
 behind its words, or with the run. What a copy gives is what the schedule demands between the two times, in whole words;
 a copy that the run does not reach gives nothing. Documents are range-sorted by position.
 
-The running sums take two levels (a hash bucket of a source, then the bucket's rows), so a hot source is spread over all
-tasks. The sources themselves, a row each, are balanced on the driver.
+The running sums take three levels (groups of hash buckets of a source, the buckets of a group, the rows of a bucket), so a
+hot source is spread over all tasks. The sources themselves, a row each, are balanced on the driver.
 
 Defined results: null and empty texts have size 0, no position, and take 0 words. Rows with the same id, text and source
 are separate rows, each with a place of its own, in arbitrary order. Other columns are kept, whatever their names.
@@ -87,13 +87,15 @@ def _placed(docs: DataFrame, payload: Column, share: float, epochs: int, id_col:
     wanted, last = targets(sources, share, float(epochs)), max(len(sources) - 1, 1)
     plan = [(s, int(n), float(wanted[s]), TILT * (2 * i / last - 1)) for i, (s, n) in enumerate(sources)]
     facts = spark.createDataFrame(plan, "f string, source_size long, target double, tilt double")
-    # At most 16 ** DIGITS rows of a source in one task.
-    over = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        sums.withColumn("before", F.coalesce(F.sum("words").over(over), F.lit(0)))
-        .join(facts, F.col("source").eqNullSafe(F.col("f")))
-        .select("cell", "before", "source_size", "target", "tilt")
-    )
+    # Running sums over groups of cells, then over the cells of a group: at most 16 ** (DIGITS / 2) rows in a window.
+    group = F.concat(F.substring("cell", 1, DIGITS // 2), F.substring("cell", DIGITS + 1, 1 << 30))
+    sums = sums.withColumn("group", group)
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("group").agg(F.first("source").alias("source"), F.sum("words").alias("w"))
+    groups = groups.withColumn("groups_before", F.coalesce(F.sum("w").over(earlier("source").orderBy("group")), F.lit(0)))
+    groups = groups.join(facts, F.col("source").eqNullSafe(F.col("f"))).select("group", "groups_before", "source_size", "target", "tilt")
+    cells = sums.withColumn("cells_before", F.coalesce(F.sum("words").over(earlier("group").orderBy("cell")), F.lit(0)))
+    before = cells.join(groups, "group").select("cell", (F.col("groups_before") + F.col("cells_before")).alias("before"), "source_size", "target", "tilt")
     inner = Window.partitionBy("cell").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("before") + F.col("within")
     # The last word of the run is a whole one.
