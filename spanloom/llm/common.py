@@ -65,9 +65,10 @@ class Scratch:
         self._count += 1
         return f"{self.base}/t{self._count}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """``few``: the rows are much fewer than those they come from; they are gathered into files of a fitting number."""
         path = self.path()
-        df.write.parquet(path)
+        (df.hint("rebalance") if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

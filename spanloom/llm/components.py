@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        few=True,
     )
     mark = _mark(now)
     while mark[0]:

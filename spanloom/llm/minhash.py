@@ -250,7 +250,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    links = scratch.save(pairs.mapInArrow(_confirmed(k, percent), "a long, b long"))
+    links = scratch.save(pairs.mapInArrow(_confirmed(k, percent), "a long, b long"), few=True)
 
     # Larger buckets that the stars left in several components: their rest against all members.
     comps = connected_components(links, scratch)
@@ -270,7 +270,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     left = spread.where("rest").select("bucket", cell("m_rest").alias("i"), each("m_all").alias("j"), "rep", "component", "sig", "rest")
     right = spread.select("bucket", each("m_rest").alias("i"), cell("m_all").alias("j"), "rep", "component", "sig", F.lit(False).alias("rest"))
     shape = "bucket long, i int, j int, rep long, component long, sig binary, rest boolean"
-    suspects = scratch.save(left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(_suspects(least), shape))
+    suspects = scratch.save(left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(_suspects(least), shape), few=True)
     more = links
     if not suspects.isEmpty():
         # The same suspects meet in many buckets: of equal groups one is enough.

@@ -161,7 +161,7 @@ def embedding_dedup(
     met = two.unionByName(span.select(F.col("block").alias("i"), F.col("block").alias("j")))
     met = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     tiles = numbered.select("rep", "label", "which", "n", "vec", "block").join(met, "block")
-    found = scratch.save(tiles.groupBy("i", "j").applyInArrow(_compare(least), "label long, which string, links long, a long, b long"))
+    found = scratch.save(tiles.groupBy("i", "j").applyInArrow(_compare(least), "label long, which string, links long, a long, b long"), few=True)
     scratch.drop(sorted_)
     links = found.where("links is not null").groupBy("label", "which").agg(F.sum("links").alias("links"))
     own = member.join(reps.select("label", "which", "rep"), ["label", "which"]).where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
