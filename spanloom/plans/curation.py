@@ -38,18 +38,28 @@ SELECT source, sum(len(regexp_extract_all(text, '(?:\+84|0)(?:3|5|7|8|9)\d{8}'))
   sum(len(regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2}\b'))) AS n_birth_date
 FROM documents GROUP BY source""")
 def privacy_counts(spark, sf_dir) -> DataFrame:
-    """Four surface patterns by source, in forms that its SQL can express; A42 and P23 are privacy_warnings."""
+    """Four surface patterns by source, in a simpler form; A42 and P23 are privacy_warnings."""
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(p))).alias(f"n_{n}") for n, p in T.PRIVACY.items()))
 
 
-@query()
+# Signs around numbers and words are doubled, so that neighbouring hits need not share one.
+_AROUND = {
+    "phone_like": (r"([^\d+])", r"(?:^|\D)(?:\+84|0)(?:\d(?:[\s.-][\s.-])?){8,10}\d(?:\D|$)"),
+    "id_like": (r"([^\d])", r"(?:^|\D)(?:\d{12}|\d{9})(?:\D|$)"),
+    "email": ("()", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    "date_of_birth_like": ("()", r"\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19\d{2}|20\d{2})\b"),
+    "address_like": (r"([^\p{L}\p{N}_])", r"(?i)(?:^|[^\p{L}\p{N}_])(?:số  nhà|đường|phường|quận|hẻm|ngõ|ấp|xã|thôn)(?:[^\p{L}\p{N}_]|$)"),
+}
+_WARN = ", ".join(rf"CAST(coalesce(sum(len(regexp_extract_all(regexp_replace(text, '{around}', '\1\1', 'g'), '{rx}'))), 0) AS BIGINT) AS {n}_count" for n, (around, rx) in _AROUND.items())
+
+
+@query(f"WITH c AS (SELECT source, {_WARN} FROM documents GROUP BY source) SELECT *, {' + '.join(f'{n}_count' for n in _AROUND)} AS privacy_warning_count FROM c")
 def privacy_warnings(spark, sf_dir) -> DataFrame:
-    """Five personal-data patterns by source, and their total. (They look behind, which SQL cannot.)"""
-    d = table(spark, sf_dir, "documents")
-    counts = {n: F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)) for n, p in T.WARNINGS.items()}
-    g = d.groupBy("source").agg(*(c.alias(f"{n}_count") for n, c in counts.items()))
-    return g.withColumn("privacy_warning_count", sum((F.col(f"{n}_count") for n in counts), F.lit(0).cast("long")))
+    """Five personal-data patterns by source, and their total."""
+    from ..operators.quality import privacy
+
+    return privacy(table(spark, sf_dir, "documents"), "source")
 
 
 @query(r"""
