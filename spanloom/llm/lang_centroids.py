@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, text_slices
+from .common import Scratch, held_out, small_batches, text_slices
 
 DIMS = 1 << 13
 CENTROIDS = 3
@@ -141,9 +141,15 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Centroids | None:
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
     keyed = rows.withColumn("h", F.xxhash64("text"))
     # Of rows that repeat an id one counts, the least hash of the text; repeated rows are one.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = keyed.groupBy("lang", "doc_id").agg(F.min("h").alias("h"))
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang", "h")
+    ids = keyed.groupBy("lang", "doc_id").agg(F.min("h").alias("h")).withColumn("turn", F.xxhash64("doc_id"))
+    ids = Scratch(docs.sparkSession, "lang").save(ids.withColumn("bucket", F.shiftright("turn", 48).cast("int")))
+    # The smallest turns of a language lie in its first buckets; only these are ordered, however large the language is.
+    filled = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket"))
+    before = ids.groupBy("lang", "bucket").count().withColumn("before", filled - F.col("count")).where(F.col("before") < sample)
+    ends = before.groupBy("lang").agg(F.max("bucket").alias("end"))
+    order = Window.partitionBy("lang").orderBy("turn", "doc_id")
+    first = ids.join(ends, "lang").where("bucket <= end").withColumn("k", F.row_number().over(order))
+    chosen = first.where(F.col("k") <= sample).select("doc_id", "lang", "h")
     # The sample has a fixed bound for each language, so it may be broadcast.
     found = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).select("lang", "doc_id", "h", "text").mapInArrow(_counted, "lang string, doc_id long, h long, counts binary")
     samples: dict[str, list] = {}
