@@ -13,10 +13,11 @@ def jaccard_classes(sets: DataFrame, least: float, id_col: str = "id", set_col:
     different classes (a < b, jaccard) with jaccard >= least, exactly (up to 64-bit hashes of items), by prefix filtering.
 
     Items are ordered by document frequency, rarest first; sets as similar as ``least`` share an item among the first
-    n - ceil(least * n) + 1 of each, so only those meet. The place of a pair's first common item bounds what they can
-    share at all, and together with the sizes decides which pairs are worth comparing. Only these fetch their sets.
+    n - ceil(least * n) + 1 of each, so only those meet. The place of a pair's first common item and the number of common
+    items of these prefixes bound what the two can share at all, and together with the sizes decide which pairs are worth
+    comparing. Only these fetch their sets. (Common items outside of both prefixes lie behind the prefix that ends first.)
     """
-    hashes = F.array_sort(F.array_distinct(F.transform(set_col, lambda x: F.xxhash64(x))))
+    hashes = F.sort_array(F.array_distinct(F.transform(set_col, lambda x: F.xxhash64(x))))
     base = sets.select(F.col(id_col).alias("id"), hashes.alias("items")).withColumn("key", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").cast("binary")))
     classes = base.groupBy("key").agg(F.min("id").alias("class"), F.first("items").alias("items"), F.count("*").alias("copies"))
     members = base.select("id", "key", F.size("items").alias("n")).join(classes.select("key", "class"), "key").select("id", "class", "n")
@@ -24,13 +25,14 @@ def jaccard_classes(sets: DataFrame, least: float, id_col: str = "id", set_col:
     items = whole.select("id", F.explode("items").alias("item"))
     df = items.groupBy("item").agg(F.count("*").alias("df"))
     # The rarest first; an item of one set alone matters only by its place.
-    ranked = items.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r")).select("id", F.size("r").alias("n"), "r")
-    keep = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(least), 9)).cast("int") + 1
-    prefix = ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), keep)).alias("i", "x")).where("x.df > 1").select("id", "n", "i", "x.item")
+    ranked = items.join(df, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r")).select("id", F.size("r").alias("n"), "r")
+    keep = lambda n: F.col(n) - F.ceil(F.round(F.col(n) * F.lit(least), 9)).cast("int") + 1
+    prefix = ranked.select("id", "n", F.posexplode(F.slice("r", F.lit(1), keep("n"))).alias("i", "x")).where("x.df > 1").select("id", "n", "i", "x.item")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"), "item")
     pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "i", "item").join(other, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least))
-    first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("i").alias("i"), F.min("j").alias("j"))
-    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("c"))
+    # What can be shared from the first common item on; and what both prefixes share, with all behind the longer rest.
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"), F.col("c") + F.greatest(F.col("na") - keep("na"), F.col("nb") - keep("nb")))
     found = first.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b", "na", "nb")
     scored = (
         found.join(whole.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
