@@ -146,7 +146,9 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Centroids | None:
     # The smallest turns of a language lie in its first buckets; only these are ordered, however large the language is.
     filled = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket"))
     before = ids.groupBy("lang", "bucket").count().withColumn("before", filled - F.col("count")).where(F.col("before") < sample)
-    ends = before.groupBy("lang").agg(F.max("bucket").alias("end"))
+    # A row a language, as the model has, too.
+    ends = [(r.lang, r.end) for r in before.groupBy("lang").agg(F.max("bucket").alias("end")).collect()]
+    ends = F.broadcast(docs.sparkSession.createDataFrame(ends, "lang string, end int"))
     order = Window.partitionBy("lang").orderBy("turn", "doc_id")
     first = ids.join(ends, "lang").where("bucket <= end").withColumn("k", F.row_number().over(order))
     chosen = first.where(F.col("k") <= sample).select("doc_id", "lang", "h")
