@@ -74,12 +74,23 @@ def reliability(points: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def fuse_sources(scores: dict[str, Column], weights: dict[str, float], missing: str = "ignore") -> Column:
-    """The weighted mean of the sources' scores; a missing one is left out, or counts as 0."""
-    top = sum((weights[s] * F.coalesce(c, F.lit(0.0)) for s, c in scores.items()), F.lit(0.0))
-    under = sum((F.when(c.isNotNull() | F.lit(missing == "zero"), weights[s]).otherwise(0.0) for s, c in scores.items()), F.lit(0.0))
+    """The weighted mean of the sources' scores; a missing one is left out, or counts as 0. Null without any."""
+    top = sum((weights.get(s, 1.0) * F.coalesce(c, F.lit(0.0)) for s, c in scores.items()), F.lit(0.0))
+    under = sum((F.when(c.isNotNull() | F.lit(missing == "zero"), weights.get(s, 1.0)).otherwise(0.0) for s, c in scores.items()), F.lit(0.0))
     return F.when(under > 0, top / F.greatest(under, F.lit(1e-12)))
 
 
+def fuse_meta(scores: dict[str, Column], weights: dict[str, float], bias: float = 0.0) -> Column:
+    """The logistic function of a bias and the weighted scores; missing ones add nothing."""
+    return sigmoid(bias + sum((weights.get(s, 1.0) * F.coalesce(c, F.lit(0.0)) for s, c in scores.items()), F.lit(0.0)))
+
+
+def accepted(probability: Column, entity_type: Column, thresholds: dict[str, float]) -> Column:
+    """Whether a fused probability (null: 0) reaches the bar of its type; a type without one needs 1."""
+    table = F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv)) if thresholds else F.create_map().cast("map<string,double>")
+    return F.coalesce(probability, F.lit(0.0)) >= F.coalesce(F.try_element_at(table, entity_type), F.lit(1.0))
+
+
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     """For each group, the value at index floor(share * (n - 1)) of its sorted values.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import logit, sigmoid
+from ..functions.text import let, logit, sigmoid
 from .spans import overlap_join
 
 
@@ -74,38 +74,56 @@ def assertion_mix(rule: Column, model: Column, rule_weight: float, temperature:
     return sigmoid((rule_weight * logit(rule) + (1 - rule_weight) * logit(model)) / temperature + bias)
 
 
+def _ranked_pairs(left: DataFrame, right: DataFrame, by: list[str], tier: int, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of a tier in which any two rows with equal ``by`` fit, the k-th with the k-th; and what is left of both."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    a = left.select(*by, F.col("i").alias("left")).withColumn("k", rank("left"))
+    b = right.select(*by, F.col("i").alias("right"), *([] if "type" in by else ["type"])).withColumn("k", rank("type", "right")).drop(*([] if "type" in by else ["type"]))
+    pairs = a.join(b, [*by, "k"]).select(key, "left", "right", F.lit(tier).alias("tier"))
+    rest = lambda df, n: df.join(pairs.select(key, F.col(n).alias("i")), [key, "i"], "left_anti")
+    return pairs, rest(left, "left"), rest(right, "right")
+
+
 def four_tier_alignment(left: DataFrame, right: DataFrame, key: str = "sample_id") -> DataFrame:
     """(key, left index, right index, tier): same span and type, same span, same type and overlap, overlap.
     In each tier, left rows in order take the closest free right row. Columns: key, i, start, end, type.
 
-    Samples are grouped, as the choice depends on order within one; a sample's entities are bounded by its text."""
-    a = left.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", "type"))).alias("l"))
-    b = right.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "start", "end", "type"))).alias("r"))
-    both = a.join(b, key)
-
-    def run(pdfs):
-        import pandas as pd
-
-        overlap = lambda x, y: x["start"] < y["end"] and y["start"] < x["end"]
-        span = lambda x, y: x["start"] == y["start"] and x["end"] == y["end"]
-        same = lambda x, y: x["type"] == y["type"]
-        tiers = (lambda x, y: span(x, y) and same(x, y), span, lambda x, y: same(x, y) and overlap(x, y), overlap)
-        for pdf in pdfs:
-            rows = []
-            for k, ls, rs in zip(pdf[key], pdf["l"], pdf["r"]):
-                open_l, open_r = list(ls), list(rs)
-                for tier, fits in enumerate(tiers, 1):
-                    for x in list(open_l):
-                        close = [y for y in open_r if fits(x, y)]
-                        if close:
-                            y = min(close, key=lambda y: (abs(x["start"] - y["start"]) + abs(x["end"] - y["end"]), y["start"], y["end"], y["type"], y["i"]))
-                            rows.append((k, x["i"], y["i"], tier))
-                            open_l.remove(x)
-                            open_r.remove(y)
-            yield pd.DataFrame(rows, columns=[key, "left", "right", "tier"])
-
-    kind = left.schema[key].dataType.simpleString()
-    return both.mapInPandas(run, f"{key} {kind}, left long, right long, tier int")
+    In the first two tiers all rows of a span fit, so ranks pair them by joins. What is left over is grouped by sample, as
+    the choice depends on order within one, and folded in the JVM; it is bounded by the sample's text."""
+    cols = [key, "i", "start", "end", "type"]
+    long = lambda df: df.select(key, *(F.col(c).cast("long").alias(c) for c in ("i", "start", "end")), "type")
+    first, l1, r1 = _ranked_pairs(long(left), long(right), [key, "start", "end", "type"], 1, key)
+    second, l2, r2 = _ranked_pairs(l1.select(*cols), r1.select(*cols), [key, "start", "end"], 2, key)
+    one = "struct<i:bigint,start:bigint,end:bigint,type:string>"
+    side = lambda df, n: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "start", "end", "type").cast(one))).alias(n))
+    shape = f"struct<l:array<{one}>,r:array<{one}>,found:array<struct<left:bigint,right:bigint,tier:int>>>"
+    overlap = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    tiers = {3: lambda x, y: (x["type"] == y["type"]) & overlap(x, y), 4: overlap}
+
+    def step(fits, tier: int):
+        def take(s: Column, x: Column) -> Column:
+            near = F.transform(F.filter(s["r"], lambda y: fits(x, y)), lambda y: F.struct((F.abs(x["start"] - y["start"]) + F.abs(x["end"] - y["end"])).alias("gap"), y["start"].alias("s"), y["end"].alias("e"), y["type"].alias("t"), y["i"].alias("i")))
+            # A lambda's body would find the closest anew for each place that names it.
+            return let(F.array_min(near), lambda best: _taken(s, x, best, tier, shape))
+
+        return take
+
+    none = F.array().cast(f"array<{one}>")
+    state = F.struct(F.col("l"), F.col("r"), F.array().cast("array<struct<left:bigint,right:bigint,tier:int>>").alias("found")).cast(shape)
+    out = side(l2, "l").join(side(r2, "r"), key).select(key, state.alias("s"))
+    for tier, fits in tiers.items():
+        start = F.struct(none.alias("l"), F.col("s.r").alias("r"), F.col("s.found").alias("found")).cast(shape)
+        out = out.select(key, F.aggregate("s.l", start, step(fits, tier)).alias("s"))
+    rest = out.select(key, F.explode("s.found").alias("f")).select(key, "f.left", "f.right", "f.tier")
+    return first.unionByName(second).unionByName(rest)
+
+
+def _taken(s: Column, x: Column, best: Column, tier: int, shape: str) -> Column:
+    """The state after a left row met its closest right one, if any."""
+    pair = F.struct(x["i"].alias("left"), best["i"].alias("right"), F.lit(tier).alias("tier"))
+    hit = F.struct(s["l"].alias("l"), F.filter(s["r"], lambda y: y["i"] != best["i"]).alias("r"), F.array_append(s["found"], pair).alias("found")).cast(shape)
+    miss = F.struct(F.array_append(s["l"], x).alias("l"), s["r"].alias("r"), s["found"].alias("found")).cast(shape)
+    return F.when(best.isNull(), miss).otherwise(hit)
 
 
 ALLOW, FORBID = "allow", "forbid"

@@ -46,14 +46,44 @@ def ranking_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 2, 5)) -> DataF
     return first.agg(F.count("*").alias("n"), *recalls, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-def ontology_rerank(rows: DataFrame, bonus: float = 0.05, penalty: float = 0.1) -> DataFrame:
-    """(request_id, concept_id, fused, parents, context_parents, hard_conflict): shared parents add, a missing one
-    takes away, hard conflicts go; ranked anew."""
-    shared = F.size(F.array_intersect("parents", "context_parents"))
-    moved = F.col("fused") + bonus * shared - F.when((shared == 0) & (F.size("context_parents") > 0), penalty).otherwise(0.0)
-    kept = rows.where(~F.col("hard_conflict")).withColumn("reranked", F.greatest(F.least(moved, F.lit(1.0)), F.lit(0.0)))
-    order = Window.partitionBy("request_id").orderBy(F.desc("reranked"), F.desc("fused"), "concept_id")
-    return kept.withColumn("rank", F.row_number().over(order))
+#: What an ontology adds to a candidate's score, or takes from it.
+ADJUSTMENTS = {"type": 0.05, "hierarchy": 0.1, "match": 0.1, "mismatch": 0.1}
+#: A request is simple, and left alone by the gate, up to these.
+GATE = {"candidates": 3, "margin": 0.2, "aliases": 1, "uncertainty": 0.1}
+
+
+def ontology_rerank(rows: DataFrame, requests: DataFrame, ontology: DataFrame, mode: str = "gated", adjust: dict[str, float] = ADJUSTMENTS, gate: dict[str, float] = GATE, hard_ingredient: bool = True) -> DataFrame:
+    """Candidates (request_id, terminology, concept_id, fused) with ``reranked``, ``rank`` and ``reason``.
+
+    requests: request_id, entity_type, exact_match, alias_ambiguity, hierarchy_conflict, uncertainty, kind, and what the
+    mention says: mention_ingredient, mention_strength, mention_dose_form (arrays); ontology: terminology, concept_id, ingredient, strength,
+    dose_form. Modes: off, always_on, gated. The gate leaves a unique exact match alone, and a request with few candidates
+    and aliases, a clear lead, no conflict, little uncertainty and no medication. Otherwise candidates of another
+    terminology than the type's go; a diagnosis or drug of the right one gains; a conflict costs; of a medication a
+    matching feature gains, and another ingredient goes (or costs). A candidate outside of the ontology stops the query."""
+    every = Window.partitionBy("request_id")
+    known = snapshot_lookup(rows, ontology).join(requests, "request_id")
+    n, first = F.count("*").over(every), F.max("fused").over(every)
+    second = F.max(F.when(F.col("__k") == 2, F.col("fused"))).over(every)
+    r = known.withColumn("__k", F.row_number().over(every.orderBy(F.desc("fused"), "terminology", "concept_id")))
+    margin = F.coalesce(first - second, F.lit(1.0))
+    simple = (n <= gate["candidates"]) & (F.col("alias_ambiguity") <= gate["aliases"]) & (margin >= gate["margin"]) & ~F.col("hierarchy_conflict") & (F.col("uncertainty") <= gate["uncertainty"]) & ~F.coalesce(F.col("kind") == "medication", F.lit(False))
+    left_alone = F.when(F.lit(mode == "off"), "feature_disabled").when(F.lit(mode == "gated") & F.col("exact_match") & (n == 1), "unique_exact_match").when(F.lit(mode == "gated") & simple, "high_margin_simple_case")
+    kind, drug = F.col("entity_type"), F.col("entity_type") == "THUỐC"
+    fits = F.when(kind == "CHẨN_ĐOÁN", F.col("terminology").startswith("ICD")).when(drug, F.col("terminology") == "RxNorm").otherwise(True)
+    said = lambda c: F.size(F.coalesce(F.col(f"m.{c}"), F.array().cast(_KEYS))) > 0
+    same = lambda c: said(c) & F.coalesce(F.array_contains(f"m.{c}", F.col(f"c.{c}")), F.lit(False))
+    features = ("ingredient", "strength", "dose_form")
+    r = r.withColumn("reason", left_alone)
+    wrong = said("ingredient") & ~same("ingredient")
+    feature = F.when(wrong, -adjust["mismatch"]).when(same("ingredient") | same("strength") | same("dose_form"), adjust["match"]).otherwise(0.0)
+    r = r.select("*", F.struct(*(F.col(f"mention_{c}").alias(c) for c in features)).alias("m"), F.struct(*(F.col(c) for c in features)).alias("c"))
+    delta = adjust["type"] - F.when(F.col("hierarchy_conflict"), adjust["hierarchy"]).otherwise(0.0) + F.when(drug, feature).otherwise(0.0)
+    gone = F.col("reason").isNull() & (~fits | (drug & wrong & F.lit(hard_ingredient)))
+    r = r.withColumn("reranked", F.when(F.col("reason").isNull(), F.col("fused") + delta).otherwise(F.col("fused"))).where(~gone)
+    order = every.orderBy(F.desc("reranked"), "terminology", "concept_id")
+    reason = F.coalesce("reason", F.lit("always_on" if mode == "always_on" else "gated_on"))
+    return r.withColumn("rank", F.row_number().over(order)).select(*rows.columns, "reranked", "rank", reason.alias("reason"))
 
 
 def recall_with_misses(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -16,15 +16,18 @@ from ..functions.text import newline_style
 BOM = b"\xef\xbb\xbf"
 
 
-def read_documents(spark: SparkSession, path: str, bom: str = "strip", glob: str = "*.txt") -> DataFrame:
-    """Whole files, never changed: document_id (the file's stem), raw_bytes, raw_text, had_bom, newline_style,
+def read_documents(spark: SparkSession, path: str | list[str], bom: str = "strip", glob: str = "*.txt") -> DataFrame:
+    """Whole files of a folder, or those of a list, never changed: document_id (the file's stem), raw_bytes, raw_text, had_bom, newline_style,
     file_number (first digits of the stem, 10**18 without), error.
 
     ``bom`` is preserve, strip or reject. A file that is not UTF-8, or that has a rejected mark, is a row with an error
     and no text; it does not stop the batch."""
     if bom not in ("preserve", "strip", "reject"):
         raise ValueError("bom is preserve, strip or reject")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    if isinstance(path, list) and len(set(path)) < len(path):
+        raise ValueError("a file is listed twice")
+    reader = spark.read.format("binaryFile")
+    files = reader.load(path) if isinstance(path, list) else reader.option("pathGlobFilter", glob).load(path)
     marked = F.substring("content", 1, 3) == F.lit(BOM)
     body = F.when(marked & F.lit(bom == "strip"), F.expr("substring(content, 4)")).otherwise(F.col("content"))
     text = F.try_validate_utf8(body.cast("string"))

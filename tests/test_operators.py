@@ -137,8 +137,52 @@ def test_a22_a23_w12(spark):
     got = {r.concept_id: (r.scores, r.evidence, r.fused) for r in m.collect()}
     assert got["A"] == ({"x": 0.6, "y": 1.0}, ["e1", "e2"], 1.0) and got["B"][2] == pytest.approx(0.05)
     assert linking.abstain(m, 1.1).count() == 0
-    ont = spark.createDataFrame([("q", "A", 0.5, ["p"], ["z"], False), ("q", "B", 0.45, ["z"], ["z"], False), ("q", "C", 0.9, [], ["z"], True)], "request_id string, concept_id string, fused double, parents array<string>, context_parents array<string>, hard_conflict boolean")
-    assert [r.concept_id for r in linking.ontology_rerank(ont).orderBy("rank").collect()] == ["B", "A"]
+
+
+def test_j03_tiers_equal_a_plain_greedy_choice(spark):
+    rng = random.Random(5)
+    make = lambda: [(k, i, s := rng.randrange(12), s + rng.randint(1, 4), rng.choice("AB")) for k in range(30) for i in range(rng.randint(0, 7))]
+    left, right = make(), make()
+    over = lambda x, y: x[2] < y[3] and y[2] < x[3]
+    tiers = (lambda x, y: x[2:] == y[2:], lambda x, y: x[2:4] == y[2:4], lambda x, y: x[4] == y[4] and over(x, y), over)
+    want = set()
+    for k in range(30):
+        ls, rs = ([x for x in side if x[0] == k] for side in (left, right))
+        for t, fits in enumerate(tiers, 1):
+            for x in list(ls):
+                near = [y for y in rs if fits(x, y)]
+                if near:
+                    y = min(near, key=lambda y: (abs(x[2] - y[2]) + abs(x[3] - y[3]), y[2], y[3], y[4], y[1]))
+                    want.add((k, x[1], y[1], t))
+                    ls.remove(x)
+                    rs.remove(y)
+    frame = lambda rows: spark.createDataFrame(rows, "sample_id int, i int, start int, end int, type string")
+    assert {tuple(r) for r in decode.four_tier_alignment(frame(left), frame(right)).collect()} == want and len({t for *_, t in want}) == 4
+
+
+def test_w12_ontology_rerank(spark):
+    rows = [("d", "ICD10", "A", 0.5), ("d", "ICD10", "B", 0.45), ("d", "RxNorm", "1", 0.9), ("m", "RxNorm", "1", 0.6), ("m", "RxNorm", "2", 0.7), ("e", "ICD10", "A", 0.3), ("s", "ICD10", "A", 0.9), ("s", "ICD10", "B", 0.1)]
+    c = spark.createDataFrame(rows, "request_id string, terminology string, concept_id string, fused double")
+    shape = "request_id string, entity_type string, exact_match boolean, alias_ambiguity int, hierarchy_conflict boolean, uncertainty double, kind string, mention_ingredient array<string>, mention_strength array<string>, mention_dose_form array<string>"
+    asked = [("d", "CHẨN_ĐOÁN", False, 1, True, 0.0, None, None, None, None), ("m", "THUỐC", False, 1, False, 0.0, "medication", ["x"], ["5"], []), ("e", "CHẨN_ĐOÁN", True, 5, True, 1.0, None, None, None, None), ("s", "CHẨN_ĐOÁN", False, 1, False, 0.0, None, None, None, None)]
+    r = spark.createDataFrame(asked, shape)
+    o = spark.createDataFrame([("ICD10", "A", None, None, None), ("ICD10", "B", None, None, None), ("RxNorm", "1", "x", "5", "t"), ("RxNorm", "2", "y", "5", "t")], "terminology string, concept_id string, ingredient string, strength string, dose_form string")
+    got = {(x.request_id, x.concept_id): (x["rank"], round(x.reranked, 6), x.reason) for x in linking.ontology_rerank(c, r, o).collect()}
+    assert got == {
+        ("d", "A"): (1, 0.45, "gated_on"), ("d", "B"): (2, 0.4, "gated_on"), ("m", "1"): (1, 0.75, "gated_on"), ("e", "A"): (1, 0.3, "unique_exact_match"),
+        ("s", "A"): (1, 0.9, "high_margin_simple_case"), ("s", "B"): (2, 0.1, "high_margin_simple_case"),
+    }
+    soft = {x.concept_id: round(x.reranked, 6) for x in linking.ontology_rerank(c, r, o, hard_ingredient=False).where("request_id = 'm'").collect()}
+    assert soft == {"1": 0.75, "2": 0.65}
+    assert {x.reason for x in linking.ontology_rerank(c, r, o, "off").collect()} == {"feature_disabled"} and {x.reason for x in linking.ontology_rerank(c, r, o, "always_on").collect()} == {"always_on"}
+    with pytest.raises(Exception, match="not in the snapshot"):
+        linking.ontology_rerank(c, r, o.where("concept_id <> 'A'")).collect()
+
+
+def test_a29_meta_fusion(spark):
+    d = spark.createDataFrame([(0.8, None, "A"), (None, None, "B")], "x double, y double, t string")
+    v = d.select(calibrate.fuse_meta({"x": F.col("x"), "y": F.col("y")}, {"x": 2.0}, -0.6).alias("m"), calibrate.accepted(F.col("x"), F.col("t"), {"A": 0.7}).alias("ok"), calibrate.fuse_sources({"x": F.col("x"), "y": F.col("y")}, {}, "zero").alias("z")).collect()
+    assert v[0].m == pytest.approx(1 / (1 + np.exp(-1.0))) and [r.ok for r in v] == [True, False] and v[0].z == 0.4
 
 
 # ------------------------------------------------------------ evaluation, calibration
@@ -266,6 +310,10 @@ def test_sources(spark, tmp_path):
     got = {r.document_id: r for r in readers.read_documents(spark, str(tmp_path / "docs")).orderBy("file_number", "document_id").collect()}
     assert list(got) == ["2", "10", "bad"] and (got["10"].raw_text, got["10"].had_bom, got["10"].newline_style) == ("a\r\nb", True, "crlf")
     assert got["2"].newline_style == "cr" and got["bad"].error == "encoding" and got["bad"].raw_text is None
+    some = readers.read_documents(spark, [str(tmp_path / "docs/2.txt"), str(tmp_path / "docs/skip.md")]).collect()
+    assert sorted(r.document_id for r in some) == ["2", "skip"]
+    with pytest.raises(ValueError, match="twice"):
+        readers.read_documents(spark, ["a", "a"])
     kept = {r.document_id: r for r in readers.read_documents(spark, str(tmp_path / "docs"), bom="preserve").collect()}
     assert kept["10"].raw_text == "﻿a\r\nb"
     shape = StructType([StructField("a", LongType()), StructField("b", StringType())])
