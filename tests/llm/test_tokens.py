@@ -76,7 +76,7 @@ def test_shard_round_trip(monkeypatch):
     for i in [*ids, None]:
         assert [x.tolist() for x in read.find(i)] == [data[k].tolist() for k in sorted(data) if k[:9] == token_sstable.head_of(i)]
         assert read.get(i).tolist() == data[token_sstable.key_of(i)].tolist()
-    assert len(read.find(7)) == 301
+    assert len(list(read.find(7))) == 301
     assert before == read.ids and token_sstable.id_of(token_sstable.key_of(-5)) == -5 and token_sstable.id_of(token_sstable.key_of(None)) is None
     missing = range(10**6, 10**6 + 2000)
     assert all(read.get(i) is None for i in missing) and sum(map(read.may_hold, missing)) < 100
