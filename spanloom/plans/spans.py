@@ -105,32 +105,38 @@ def nearest_pairing(spark, sf_dir) -> DataFrame:
     return near.where("nearest_view is not null").select("event_id", F.col("nearest_ts").alias("view_ts"))
 
 
-_LINES = """
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
+#: Each document under two headings: its first line as history, then all its lines as items of a medication list.
+_HEADED = r"""
+l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+h AS (SELECT doc_id, lines, 22 + length(lines[1]) + 1 AS second, 22 + length(lines[1]) + 1 + 11 + 1 AS body FROM l),
+it AS (SELECT doc_id, second, body, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM h),
+ps AS (SELECT *, body + CAST(coalesce(sum(length(line) + 3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM it)"""
 
 
-def _lines(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+def _headed(spark, sf_dir) -> DataFrame:
+    from ..operators.infer import structure_units as kernel
+
+    lines = F.split("text", "\n")
+    text = F.concat(F.lit("Past medical history:\n"), lines[0], F.lit("\nMedications\n- "), F.array_join(lines, "\n- "))
+    return kernel(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
-@query(f"""WITH {_LINES}, h AS (SELECT *, (length(line) <= 40 AND line LIKE '%.')::INT AS head FROM l),
-s AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h), g AS (SELECT doc_id, sec, count(*) AS n FROM s WHERE sec > 0 GROUP BY doc_id, sec)
-SELECT doc_id, count(*) AS n_sections, max(n) AS longest FROM g GROUP BY doc_id""")
-def line_sections(spark, sf_dir) -> DataFrame:
-    """A short line that ends with a full stop heads a section up to the next one."""
-    head = ((F.length("line") <= 40) & F.endswith("line", F.lit("."))).cast("int")
-    s = _lines(spark, sf_dir).withColumn("sec", F.sum(head).over(Window.partitionBy("doc_id").orderBy("i")))
-    return s.where("sec > 0").groupBy("doc_id", "sec").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("n").alias("longest"))
+@query(f"""WITH {_HEADED}, e AS (SELECT doc_id, max(s + 2 + length(line)) AS last FROM ps GROUP BY doc_id)
+SELECT doc_id, 'medical_history' AS label, CAST(0 AS BIGINT) AS start, CAST(21 AS BIGINT) AS heading_end, CAST(second AS BIGINT) AS "end" FROM h
+UNION ALL SELECT h.doc_id, 'medication_history', CAST(second AS BIGINT), CAST(second + 11 AS BIGINT), CAST(last AS BIGINT) FROM h JOIN e ON e.doc_id = h.doc_id""")
+def sections(spark, sf_dir) -> DataFrame:
+    """Sections from their heading to the next one."""
+    u = _headed(spark, sf_dir).where("kind = 'section'")
+    return u.select("doc_id", "label", *(F.col(c).cast("long").alias(c) for c in ("start", "heading_end", "end")))
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE contains(line, ' ')),
-g AS (SELECT doc_id, island, count(*) AS n FROM m GROUP BY doc_id, island HAVING count(*) >= 2)
-SELECT doc_id, count(*) AS n_lists, max(n) AS longest FROM g GROUP BY doc_id""")
-def list_islands(spark, sf_dir) -> DataFrame:
-    """Runs of at least two marked lines."""
-    m = _lines(spark, sf_dir).where(F.contains("line", F.lit(" "))).withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
-    g = m.groupBy("doc_id", "island").agg(F.count("*").alias("n")).where("n >= 2")
-    return g.groupBy("doc_id").agg(F.count("*").alias("n_lists"), F.max("n").alias("longest"))
+@query(rf"""WITH {_HEADED} SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(2 + length(regexp_replace(line, '\s+$', ''))) AS BIGINT) AS chars FROM ps WHERE regexp_matches(line, '\S') GROUP BY doc_id""")
+def list_items(spark, sf_dir) -> DataFrame:
+    """The items of the list in the second section."""
+    u = _headed(spark, sf_dir)
+    second = u.where("kind = 'section' and label = 'medication_history'").select("doc_id", F.col("start").alias("from"))
+    items = u.where("kind = 'list_item' and label = 'bullet'").join(second, "doc_id").where("start >= from")
+    return items.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 # On a line of pairs that overlap their neighbours alone, a pair is taken if it stands an even number of steps from the
@@ -192,13 +198,14 @@ def entity_counts(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, 'collapsed' AS view, CAST(length(text) AS BIGINT) AS raw_length, CAST(length(regexp_replace(text, '\\s+', ' ', 'g')) AS BIGINT) AS view_length FROM documents""")
+SELECT doc_id, 'collapsed' AS view, CAST(length(text) AS BIGINT) AS raw_length, CAST(length(regexp_replace(text, '\\s+', ' ', 'g')) AS BIGINT) AS view_length,
+ CAST(coalesce(list_sum(list_filter(range(1, length(text) + 1), lambda p: NOT (contains(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), text[p]) AND p < length(text) AND contains(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), text[p + 1])))), 0) AS BIGINT) AS bound_sum FROM documents""")
 def text_views(spark, sf_dir) -> DataFrame:
-    """Length of the last view, and of the raw text that its boundaries reach."""
+    """Length of the last view, of the raw text that its boundaries reach, and the sum of all boundaries."""
     from ..operators.infer import text_views as kernel
 
     v = kernel(table(spark, sf_dir, "documents")).where("view = 'collapsed'")
-    return v.select("doc_id", "view", F.element_at("bounds", -1).cast("long").alias("raw_length"), (F.size("bounds") - 1).cast("long").alias("view_length"))
+    return v.select("doc_id", "view", F.element_at("bounds", -1).cast("long").alias("raw_length"), (F.size("bounds") - 1).cast("long").alias("view_length"), F.aggregate("bounds", F.lit(0).cast("long"), lambda a, b: a + b).alias("bound_sum"))
 
 
 # Stops in numbers and after abbreviations end no sentence, and are blanked out. Signs that are no letters are doubled, so
