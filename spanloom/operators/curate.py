@@ -22,9 +22,9 @@ def quality_score(profile: Column, asserted: Column) -> Column:
 
 
 def reject_exact(samples: DataFrame) -> DataFrame:
-    """Samples (id, text, score) with text_key, winner (largest score, then smallest id) and rejected."""
+    """Samples (id, text, score) with text_key, copies, winner (largest score, then smallest id) and rejected."""
     keyed = samples.withColumn("text_key", F.sha2(F.encode(T.collapsed(F.col("text")), "utf-8"), 256))
-    best = keyed.groupBy("text_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("winner"))
+    best = keyed.groupBy("text_key").agg(F.count("*").alias("copies"), F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("winner"))
     return keyed.join(best, "text_key").withColumn("rejected", F.col("id") != F.col("winner"))
 
 

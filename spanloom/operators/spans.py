@@ -50,6 +50,12 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "doc_id", cell: i
     return a.join(b, [key, "cell"]).where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("cell") == first)).drop("cell")
 
 
+def containing(points: DataFrame, spans: DataFrame, key: str = "doc_id", cell: int = CELL) -> DataFrame:
+    """Points (key, at) with the spans (r_start, r_end) of their key that hold them, r_start <= at < r_end."""
+    one = points.withColumn("start", F.col("at")).withColumn("end", F.col("at") + 1)
+    return overlap_join(one, spans, key, cell).drop("start", "end")
+
+
 def nearest_before(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """With each left row, the value and place of the closest right row of its key at or before it.
 

@@ -6,7 +6,7 @@ import hashlib
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -109,6 +109,25 @@ def bootstrap(pairs: list[tuple[float, float]], draws: int = 1000, seed: int = 0
     return {"delta": float(d.mean()), "low": low, "high": high, "relevant": low > 0 or high < 0}
 
 
+def apportion(groups: DataFrame, total: int, name: str = "group", weight: str = "n") -> DataFrame:
+    """(name, weight, quota): whole quotas by largest remainder, of equal ones the earlier name. ``groups`` has a row
+    a group, which two windows see in one task."""
+    every = Window.partitionBy(F.lit(1))
+    exact = F.col(weight) * float(total) / F.nullif(F.sum(weight).over(every), F.lit(0))
+    f = groups.withColumn("__exact", F.coalesce(exact, F.lit(0.0))).withColumn("__base", F.floor("__exact"))
+    order = F.row_number().over(every.orderBy(F.desc(F.col("__exact") - F.col("__base")), name))
+    r = f.withColumn("__k", order).withColumn("__rest", F.when(F.sum(weight).over(every) > 0, total - F.sum("__base").over(every)).otherwise(0))
+    return r.select(name, weight, (F.col("__base") + F.when(F.col("__k") <= F.col("__rest"), 1).otherwise(0)).cast("long").alias("quota"))
+
+
+def buckets(rows: DataFrame, rules: dict[str, Column], id_col: str = "id") -> DataFrame:
+    """(bucket, n, first_id) of every rule, also of those that no row fits; a row may be in several."""
+    tags = F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))
+    n = rows.select(F.col(id_col).alias("id"), F.explode(tags).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    names = rows.sparkSession.createDataFrame([(b,) for b in rules], "bucket string")
+    return names.join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
+
+
 def largest_remainder(total: int, weights: dict[str, float]) -> dict[str, int]:
     """Whole quotas that add up to ``total``; of equal remainders the earlier key."""
     whole = sum(weights.values())

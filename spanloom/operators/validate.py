@@ -54,6 +54,11 @@ def filter_confidence(entities: Column, least: float) -> Column:
     return F.filter(clamped, lambda e: e["confidence"].isNull() | (e["confidence"] >= least))
 
 
+def reasons(checks: dict[str, Column]) -> Column:
+    """The names of the checks that hold, in order, each once; the first is the primary reason."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(c, n) for n, c in checks.items()))))
+
+
 def labeling_status(parsed: Column, proposed: Column, validated: Column) -> Column:
     """P12."""
     return F.when(~parsed, "parse_failed").when(proposed == 0, "no_entities").when(validated == 0, "all_rejected").otherwise("labeled")

@@ -83,10 +83,10 @@ SELECT doc_id, text_key, count(*) OVER (PARTITION BY text_key) AS copies,
   row_number() OVER (PARTITION BY text_key ORDER BY n_chars DESC, doc_id) > 1 AS rejected FROM k""")
 def exact_duplicates(spark, sf_dir) -> DataFrame:
     """Equal normalised texts; the longest, then first, wins."""
-    d = table(spark, sf_dir, "documents")
-    k = d.select("doc_id", "n_chars", F.sha2(F.encode(T.collapsed(F.col("text")), "utf-8"), 256).alias("text_key"))
-    best = k.groupBy("text_key").agg(F.count("*").alias("copies"), F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id"))["doc_id"].alias("winner"))
-    return k.join(best, "text_key").select("doc_id", "text_key", "copies", "winner", (F.col("doc_id") != F.col("winner")).alias("rejected"))
+    from ..operators.curate import reject_exact
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("score"))
+    return reject_exact(d).select(F.col("id").alias("doc_id"), "text_key", "copies", "winner", "rejected")
 
 
 _SETS = r"""
@@ -191,15 +191,9 @@ r AS (SELECT *, row_number() OVER (ORDER BY exact - base DESC, lang) AS rn, 1000
 SELECT lang, n, CAST(base + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
 def quota_apportionment(spark, sf_dir) -> DataFrame:
     """1,000 places by largest remainder. One row a language reaches the windows."""
-    c = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    exact = F.col("n") * 1000.0 / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    f = c.withColumn("exact", exact).withColumn("base", F.floor("exact"))
-    r = f.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("exact") - F.col("base")), "lang")))
-    rest = 1000 - F.sum("base").over(Window.partitionBy(F.lit(1)))
-    return r.withColumn("rest", rest).select("lang", "n", (F.col("base") + F.when(F.col("rn") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
-
+    from ..operators.split import apportion
 
-_BUCKETS = ("short", "long", "multiline", "digits", "upper", "accented", "question", "quoted", "url")
+    return apportion(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")), 1000, "lang")
 
 
 @query(r"""
@@ -215,11 +209,10 @@ def challenge_buckets(spark, sf_dir) -> DataFrame:
         "short": F.col("n_chars") < 200, "long": F.col("n_chars") > 5000, "multiline": F.contains("text", F.lit("\n")), "digits": F.col("text").rlike(r"\d{3}"),
         "upper": F.col("text").rlike("[A-Z]{4}"), "accented": F.col("text").rlike("[éèàöüñ]"), "question": F.contains("text", F.lit("?")), "quoted": F.contains("text", F.lit('"')), "url": F.contains("text", F.lit("://")),
     }
-    d = table(spark, sf_dir, "documents")
-    e = d.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))).alias("bucket"))
-    n = e.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    names = spark.createDataFrame([(b,) for b in _BUCKETS], "bucket string")
-    return names.join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_id", F.lit(-1)).alias("first_id"))
+    from ..operators.split import buckets
+
+    found = buckets(table(spark, sf_dir, "documents"), rules, "doc_id")
+    return found.withColumn("first_id", F.coalesce("first_id", F.lit(-1)))
 
 
 @query("SELECT sha256(text) AS text_key, min(doc_id) AS doc_id, count(*) AS seen FROM documents GROUP BY sha256(text)")
@@ -251,9 +244,11 @@ WITH r AS (SELECT doc_id, list_filter([CASE WHEN length(trim(text)) = 0 THEN 'em
 SELECT doc_id, array_to_string(reasons, ',') AS reasons, coalesce(reasons[1], 'accepted') AS primary_reason FROM r""")
 def batch_rejections(spark, sf_dir) -> DataFrame:
     """Ordered reasons, the first is primary."""
+    from ..operators.validate import reasons
+
     t = F.col("text")
-    checks = [("empty", F.length(F.trim(t)) == 0), ("cjk", t.rlike(r"[\x{4e00}-\x{9fff}]")), ("length", F.col("n_chars") != F.length(t)), ("noise", t.rlike(r"(\*\*\*|%%%|\$\$\$)")), ("shouting", F.upper(t) == t)]
-    r = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.array_compact(F.array(*(F.when(c, n) for n, c in checks)))).alias("reasons"))
+    checks = {"empty": F.length(F.trim(t)) == 0, "cjk": t.rlike(r"[\x{4e00}-\x{9fff}]"), "length": F.col("n_chars") != F.length(t), "noise": t.rlike(r"(\*\*\*|%%%|\$\$\$)"), "shouting": F.upper(t) == t}
+    r = table(spark, sf_dir, "documents").select("doc_id", reasons(checks).alias("reasons"))
     return r.select("doc_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce(F.try_element_at("reasons", F.lit(1)), F.lit("accepted")).alias("primary_reason"))
 
 

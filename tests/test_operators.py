@@ -160,6 +160,18 @@ def test_j03_tiers_equal_a_plain_greedy_choice(spark):
     assert {tuple(r) for r in decode.four_tier_alignment(frame(left), frame(right)).collect()} == want and len({t for *_, t in want}) == 4
 
 
+def test_a34_a45_p09_j06(spark):
+    g = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 0)], "group string, n long")
+    assert {r.group: r.quota for r in split.apportion(g, 10).collect()} == {"a": 4, "b": 3, "c": 3, "d": 0} and {r.quota for r in split.apportion(g.where("n = 0"), 10).collect()} == {0}
+    rows = spark.createDataFrame([(1, "x"), (2, "xy")], "id long, t string")
+    got = {r.bucket: (r.n, r.first_id) for r in split.buckets(rows, {"x": F.contains("t", F.lit("x")), "y": F.contains("t", F.lit("y")), "z": F.col("t").isNull()}).collect()}
+    assert got == {"x": (2, 1), "y": (1, 2), "z": (0, None)}
+    assert [r.r for r in rows.select(validate.reasons({"a": F.col("id") > 0, "b": F.col("id") > 1}).alias("r")).collect()] == [["a"], ["a", "b"]]
+    points = spark.createDataFrame([(1, 4), (1, 5), (1, 300)], "doc_id long, at long")
+    spans_ = spark.createDataFrame([(1, 2, 5), (1, 5, 400)], "doc_id long, r_start long, r_end long")
+    assert sorted((r["at"], r.r_start) for r in spans.containing(points, spans_).collect()) == [(4, 2), (5, 5), (300, 5)]
+
+
 def test_w12_ontology_rerank(spark):
     rows = [("d", "ICD10", "A", 0.5), ("d", "ICD10", "B", 0.45), ("d", "RxNorm", "1", 0.9), ("m", "RxNorm", "1", 0.6), ("m", "RxNorm", "2", 0.7), ("e", "ICD10", "A", 0.3), ("s", "ICD10", "A", 0.9), ("s", "ICD10", "B", 0.1)]
     c = spark.createDataFrame(rows, "request_id string, terminology string, concept_id string, fused double")
