@@ -1,7 +1,7 @@
 """Language ID by nearest centroid: TF-IDF vectors of byte n-grams against several clustered centroids a language.
 
-Features are runs of one to three bytes of the lower-cased text (UTF-8, so letters of any script), hashed into DIMS
-columns; counts are dampened by log1p, weighted by inverse document frequency, and scaled to length 1. Each language's
+Features are runs of one to three bytes of the lower-cased words (UTF-8, so letters of any script; ASCII signs and digits
+part words and say nothing of a language), hashed into DIMS columns; counts are dampened by log1p, weighted by inverse document frequency, and scaled to length 1. Each language's
 training vectors are clustered into up to CENTROIDS spherical k-means centroids. A text gets the language of the closest
 centroid by cosine; its score is that cosine's share against the best other language's, and it is *rejected* (column
 ``rejected``, score halved) if the distance is beyond the language's 99.5th percentile in training times a margin.
@@ -38,10 +38,15 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text[64:]))
 
 
+#: Bytes to bytes: ASCII letters and all of other scripts stay, whatever else is ASCII becomes a space.
+_LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
 def counts(texts: list[bytes]) -> np.ndarray:
-    """(texts, DIMS) counts of the hashed n-grams."""
+    """(texts, DIMS) counts of the hashed n-grams of the words, with one space between them."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts):
+        text = b" ".join(text.translate(_LETTERS).split())
         for at in range(0, max(len(text), 1), 1 << 20):
             x = np.frombuffer(text, np.uint8, count=min(len(text) - at, (1 << 20) + 2), offset=at).astype(np.uint32)
             code = np.zeros(len(x), np.uint32)
