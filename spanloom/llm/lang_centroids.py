@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Centroids | None:
     keyed = rows.withColumn("h", F.xxhash64("text"))
     # Of rows that repeat an id one counts, the least hash of the text; repeated rows are one.
     ids = keyed.groupBy("lang", "doc_id").agg(F.min("h").alias("h")).withColumn("turn", F.xxhash64("doc_id"))
-    ids = Scratch(docs.sparkSession, "lang").save(ids.withColumn("bucket", F.shiftright("turn", 48).cast("int")))
+    ids = Scratch(docs.sparkSession, "lang").save(ids.withColumn("bucket", F.shiftright("turn", 52).cast("int")))
     # The smallest turns of a language lie in its first buckets; only these are ordered, however large the language is.
     filled = F.sum("count").over(Window.partitionBy("lang").orderBy("bucket"))
     before = ids.groupBy("lang", "bucket").count().withColumn("before", filled - F.col("count")).where(F.col("before") < sample)
