@@ -9,7 +9,8 @@
 
 Defined results: stages 1 to 4 return the columns of documents and ignore any others. Rows without an id stay rows of
 their own, and link with nothing in near_dedup. A row without a text counts as an empty one; an empty table stays empty.
-Of a document that lost words, n_chars is the length of what is left; text between other documents is kept as it is.
+Of a document that lost words, what is left has one space between words, and n_chars is its length; other texts stay as
+they are.
 """
 
 from __future__ import annotations
