@@ -30,7 +30,7 @@ from .common import claim, small_batches, text_slices
 #: The pattern and vocabulary that the queries use come with the installed tokenizer files.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks that a generation of a worker's memory holds, and the length that they stay under.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 _MAP = {b: chr(0x100 + b) for b in range(256)}
 
@@ -76,19 +76,26 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
 
 
 class Memory:
-    """What was met lately, in two generations: a full one becomes the old one, whose entries return when met again."""
+    """What was met lately, in two generations: between two texts, a full one becomes the old one, whose entries return
+    when they are met again. A text that would add more than another generation leaves the rest of itself out."""
 
     def __init__(self, most: int):
-        self.most = most
+        self.most, self.full = most, 2 * most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def keep(self, key: str, value: bytes) -> None:
+    def turn(self) -> None:
         if len(self.new) >= self.most:
-            # In place: encode() holds the dictionary's get.
-            self.old = dict(self.new)
-            self.new.clear()
-        self.new[key] = value
+            self.old, self.new = self.new, {}
+
+
+#: Writers of so many little-endian 32-bit numbers.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def packed(ids: list[int]) -> bytes:
+    n = len(ids)
+    return _PACK[n](*ids) if n < 32 else struct.pack(f"<{n}I", *ids)
 
 
 class ChunkCoder:
@@ -107,19 +114,15 @@ class ChunkCoder:
     def pretoken_ids(self, word: str) -> list[int]:
         raise NotImplementedError
 
-    def _packed(self, word: str) -> bytes:
-        ids = self.pretoken_ids(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _pretoken(self, word: str) -> bytes:
         memory, key = (self.chunks, word[1:]) if word[0] == " " and not word[-1].isspace() else (self.words, word)
         ids = memory.new.get(key)
         if ids is None:
             ids = memory.old.get(key)
             if ids is None:
-                ids = self._packed(word)
-            if len(key) < LONGEST:
-                memory.keep(key, ids)
+                ids = packed(self.pretoken_ids(word))
+            if len(key) < LONGEST and len(memory.new) < memory.full:
+                memory.new[key] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -134,12 +137,14 @@ class ChunkCoder:
                 words = [" " + core, bare[len(core) :]] if len(core) < len(bare) else [" " + core]
             else:
                 words = self.split(" " + bare)
-            ids = self._packed(words[0]) if len(words) == 1 else b"".join(map(self._pretoken, words))
-        if len(bare) < LONGEST:
-            self.chunks.keep(bare, ids)
+            ids = packed(self.pretoken_ids(words[0])) if len(words) == 1 else b"".join(map(self._pretoken, words))
+        if len(bare) < LONGEST and len(self.chunks.new) < self.chunks.full:
+            self.chunks.new[bare] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
+        self.chunks.turn()
+        self.words.turn()
         parts = text.split(" ")
         got = list(map(self.chunks.new.get, parts))
         got[0], i = None, -1
