@@ -172,6 +172,20 @@ def test_a34_a45_p09_j06(spark):
     assert sorted((r["at"], r.r_start) for r in spans.containing(points, spans_).collect()) == [(4, 2), (5, 5), (300, 5)]
 
 
+def test_small_sides_meet_documents_before_any_shuffle(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", f"w{i}"]) for i in range(50)], "doc_id long, w array<string>")
+    few = spark.createDataFrame([(1, ["a", "b"])], "query_id long, tk array<string>")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    scored = plan(retrieval.bm25(few, docs, "doc_id", "w"))
+    semi = [i for i, line in enumerate(scored) if "BroadcastHashJoin" in line and "LeftSemi" in line]
+    # Below each of them there are the documents' tokens alone.
+    assert semi and all("Generate explode" in "".join(scored[i : i + 4]) for i in semi)
+    found = split.contamination(docs, few.select(F.col("query_id").alias("item_id"), F.col("tk").alias("w")), 2)
+    lines = plan(found)
+    assert any("BroadcastHashJoin [h" in line or "BroadcastHashJoin" in line and "xxhash64" in line for line in lines)
+    assert [(r.item_id, r.shared) for r in found.collect()] == [(1, 1)] * 50
+
+
 def test_w12_ontology_rerank(spark):
     rows = [("d", "ICD10", "A", 0.5), ("d", "ICD10", "B", 0.45), ("d", "RxNorm", "1", 0.9), ("m", "RxNorm", "1", 0.6), ("m", "RxNorm", "2", 0.7), ("e", "ICD10", "A", 0.3), ("s", "ICD10", "A", 0.9), ("s", "ICD10", "B", 0.1)]
     c = spark.createDataFrame(rows, "request_id string, terminology string, concept_id string, fused double")
