@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,10 +288,11 @@ def rlz_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_co
         return rows.groupBy("doc", F.col("loc").bitwiseAND(_TAG).alias("tag")).agg(F.collect_list(F.struct("loc", "src_doc", "src_loc")).alias(column))
 
     order = ("k", "c", "doc", "loc")
-    # Written first, as the range partitioning looks at its keys once to choose the bounds.
-    blocks = scratch.save(body.select("doc", "tag", "body").mapInArrow(_cutter(window, False), keys))
+    # Kept on the executors' disks, as the range partitioning looks at the keys once to choose its bounds. What is lost
+    # with an executor is cut from the documents anew; then a table ends the lineage.
+    blocks = body.select("doc", "tag", "body").mapInArrow(_cutter(window, False), keys).persist(StorageLevel.DISK_ONLY)
     found = scratch.save(blocks.repartitionByRange("k", "c").sortWithinPartitions(*order).mapInArrow(_judge(False), hits))
-    scratch.drop(blocks)
+    blocks.unpersist()
     copies = by_document(found.where("src_loc is not null"), "hits")
     bounds = found.where("src_loc is null").groupBy("doc", F.col("loc").bitwiseAND(_TAG).alias("tag")).agg(F.collect_list("loc").alias("marks"))
     # Both joins below read one exchange of the texts. Equal windows have equal contents, so no gram is needed here.
