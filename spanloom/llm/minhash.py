@@ -12,6 +12,9 @@
    bucket is capped, no task holds a bucket, and no group of copies is expanded into pairs; the rows that are dealt
    out grow with members times rest, not with the square of a bucket that the first step has linked.
 
+Joins whose sides Spark takes for too small carry a merge hint: it counts a row with 25 band keys as one row, and texts
+by their compressed files, and would broadcast them through the driver.
+
 Defined results: null or empty texts have no shingles and link with nothing. A null id links with nothing and keeps a
 null component. Rows that repeat an id are one vertex. Other columns are ignored.
 """
@@ -233,7 +236,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Buckets of two or more, each member with the bucket's smallest.
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head <> last")
-    members = scratch.save(banded.join(heads.select("bucket", "head", "n"), "bucket"))
+    members = scratch.save(banded.hint("merge").join(heads.select("bucket", "head", "n"), "bucket"))
     signed = reps.select("rep", "sig")
     stars = (
         members.where("rep <> head")
@@ -244,7 +247,7 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         .select("a", "b", "sig_a", "sig_b")
         .mapInArrow(_estimated(least), "a long, b long")
     )
-    texts = source.where("text is not null")
+    texts = source.where("text is not null").hint("merge")
     pairs = (
         stars.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from spanloom.llm.common import Scratch
 from spanloom.llm.minhash import minhash_dedup
 from spanloom.llm.rlz import rlz_dedup
 from spanloom.llm.sorted_projection import embedding_dedup
@@ -97,6 +98,29 @@ def test_minhash_tells_groups_of_repeated_rows_apart(spark):
     assert len(got) == 2 * len(rows) and {r.doc_id: r.component_id for r in got} == want
 
 
+def test_minhash_sends_no_bands_or_texts_through_the_driver(spark, tmp_path, monkeypatch):
+    # Spark takes both for small: 25 band keys count as one row, texts as their share of a compressed file.
+    words = [f"v{i}" for i in range(100)]
+    rows = [(i, " ".join(words[: 2 * i] + [f"e{i}_{j}" for j in range(6)] + words[2 * i + 6 :])) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    plans, save = [], Scratch.save
+
+    def seen(self, df, few=False):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return save(self, df, few)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    minhash_dedup(spark.read.parquet(f"{tmp_path}/docs"), k=4)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent, read = [], "\n".join(x for plan in plans for x in plan)
+    for plan in plans:
+        for i, line in enumerate(plan):
+            if line.lstrip(" :+-").startswith("BroadcastExchange"):
+                below = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))
+                sent += [x for x in plan[i:below] if "Generate explode" in x or "text:string" in x]
+    assert "Generate explode" in read and "text:string" in read and not sent
+
+
 def test_minhash_of_nothing(spark):
     assert minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
