@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +35,64 @@ def pattern_spans(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, start long, end long, text string")
 
 
+def per_key(rows: DataFrame, key: str, columns: list[str], kernel: Callable[..., Iterable[tuple]], schema: str, keep: bool = False) -> DataFrame:
+    """Rows of kernel(key, lists of ``columns``) for each key; with ``keep`` it gives one tuple for each row of the key, and
+    these are further columns of the rows. A kernel must take any order of the rows.
+
+    One shuffle by the key brings together what joins and windows would shuffle again and again; a task streams through
+    its sorted keys and holds an Arrow batch and the rows of one key, which are bounded by a document's text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {schema}" if keep else schema
+
+    def done(t: pa.Table, keys: list) -> Iterator[pa.RecordBatch]:
+        lists, made = [t.column(c).to_pylist() for c in columns], []
+        ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+        for a, b in zip([0, *ends], ends):
+            made.extend(kernel(keys[a], *(x[a:b] for x in lists)))
+        values = [pa.array(c, f.type) for c, f in zip(list(zip(*made)) or [()] * len(shape), shape)]
+        new = pa.Table.from_arrays(values, schema=shape)
+        if keep:
+            new = pa.Table.from_arrays([*t.columns, *new.columns], names=[*t.column_names, *new.column_names])
+        yield from new.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            if held and keys[0] == last and keys[-1] == last:
+                held.append(batch)
+                continue
+            last, cut = keys[-1], keys.index(keys[-1])
+            whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            if whole.num_rows:
+                yield from done(whole, whole.column(key).to_pylist())
+            held = [batch.slice(cut)]
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield from done(whole, whole.column(key).to_pylist())
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, out)
+
+
+def overlaps(a: list[tuple], b: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of overlapping spans (start, end) of two lists; null and empty spans overlap nothing."""
+    right = sorted((s, e, j) for j, (s, e) in enumerate(b) if s is not None and e is not None and s < e)
+    starts, reach = [x[0] for x in right], list(accumulate((x[1] for x in right), max))
+    for i, (s, e) in enumerate(a):
+        if s is None or e is None or s >= e:
+            continue
+        k = bisect_left(starts, e) - 1
+        while k >= 0 and reach[k] > s:
+            if right[k][1] > s:
+                yield i, right[k][2]
+            k -= 1
+
+
 def valid_span(text: Column, start: Column, end: Column, surface: Column) -> Column:
     """The span lies in the text and holds its surface."""
     return (start >= 0) & (end <= F.length(text)) & (F.substring(text, start.cast("int") + 1, (end - start).cast("int")) == surface)

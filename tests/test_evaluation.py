@@ -138,3 +138,19 @@ def test_a27_applies_every_method(spark):
     assert got == {"t": pytest.approx(sig(2.0)), "u": 0.8, "v": pytest.approx(sig(0.5))}
     with pytest.raises(Exception, match="no calibration for s w"):
         calibrate.apply(spark.createDataFrame([("s", "w", 0.0)], rows.schema), models).collect()
+
+
+def test_entities_of_a_sample_meet_in_one_shuffle(spark):
+    rows = [(d, i, 5 * i, 5 * i + n, t, "x" * n, ["isNegated"][: i % 2], ["c1"][: d % 2], ["c1"]) for d in range(6) for i, (n, t) in enumerate([(3, "A"), (4, "B"), (7, "A")])]
+    df = spark.createDataFrame(rows, "doc_id long, i int, start long, end long, type string, text string, assertions array<string>, candidates array<string>, ranking array<string>")
+    moved = df.where("i <> 1").withColumn("end", F.when(F.col("i") == 2, F.col("end") - 1).otherwise(F.col("end")))
+    shuffles = lambda out: out._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert shuffles(evaluate.score_samples(df.drop("ranking"), moved.drop("ranking"))) == 1
+    # The sums of a sample equal those of the joins.
+    runs = spark.range(6).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("failure_reason"), F.lit(1.0).alias("latency_ms"))
+    got = {(r.section, r["name"]): r.value for r in evaluate.evaluation_report(df, moved, runs).collect()}
+    for r in evaluate.error_classes(df, moved).where("error <> 'partial'").groupBy("error").count().collect():
+        assert got["error", r.error] == r["count"]
+    for r in evaluate.assertion_metrics(df, moved).collect():
+        assert [got["assertion", f"{r.label}.{c}"] for c in ("tp", "fp", "fn", "f1")] == [r.tp, r.fp, r.fn, r.f1]
+    assert got["error", "scope"] == evaluate.scope_errors(df, moved).count() and got["linking", "jaccard"] == evaluate.linking_report(df, moved).first().jaccard
