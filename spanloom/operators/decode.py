@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, logit, sigmoid
-from .spans import overlap_join
+from .spans import overlaps, per_key
 
 
 def expected(p: Column, reward: float, penalty: float) -> Column:
@@ -135,51 +138,110 @@ def resolve_consistency(spans: DataFrame, actions: dict[tuple[str, str], str], l
     In this order: of spans that are equal in everything but id and utility the smallest id stays; two overlapping spans
     whose types have no action go both; of two whose types may not meet, the one with less utility (then the later place,
     then the larger id) goes, unless the other has gone; then what is under ``least`` goes. ``actions``: of unordered
-    pairs of types, allow or forbid. The fold runs over the spans of one document that forbidden overlaps join."""
-    whole = [c for c in spans.columns if c not in ("id", "utility")]
-    same = spans.groupBy(*whole).agg(F.min("id").alias("original"))
-    nullsafe = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in whole]
-    cond = nullsafe[0]
-    for c in nullsafe[1:]:
-        cond = cond & c
-    marked = spans.alias("s").join(same.alias("o"), cond).select("s.*", "o.original").withColumn("copy", F.col("id") != F.col("original")).drop("original")
-    # Pairs of overlapping spans of a document, each once from either side.
-    right = spans.select(key, F.col("id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("type").alias("r_type"))
-    pairs = overlap_join(spans.select(key, "id", "start", "end", "type"), right, key).where("id <> r_id")
-    table = F.create_map(*(F.lit(x) for pair, what in sorted(actions.items()) for x in ("|".join(sorted(pair)), what))) if actions else F.create_map().cast("map<string,string>")
-    action = F.try_element_at(table, F.array_join(F.array_sort(F.array("type", "r_type")), "|"))
-    acted = pairs.select(key, "id", "r_id", action.alias("action"))
-    unknown = acted.where("action is null").select(key, "id").distinct().withColumn("unsupported", F.lit(True))
-    blocked = acted.where(F.col("action") == FORBID).groupBy(key, "id").agg(F.collect_set("r_id").alias("foes"))
-    rows = marked.join(unknown, [key, "id"], "left").join(blocked, [key, "id"], "left").withColumn("open", ~F.col("copy") & F.col("unsupported").isNull())
-    fought = rows.where("open and foes is not null")
-    item = F.struct((-F.col("utility")).alias("rank"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("type").alias("t"), F.col("text").alias("x"), F.col("id").alias("id"), F.col("foes").alias("foes"))
-    kept = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast("array<string>"), lambda acc, x: F.when(F.arrays_overlap(acc, x["foes"]), acc).otherwise(F.array_append(acc, x["id"])))
-    winners = fought.groupBy(key).agg(F.explode(kept).alias("id")).withColumn("won", F.lit(True))
-    reason = (
-        F.when(F.col("copy"), "exact_duplicate").when(F.col("unsupported"), "unsupported_overlap")
-        .when(F.col("foes").isNotNull() & F.col("won").isNull(), "overlap_conflict").when(F.col("utility") < least, "utility_below_minimum").otherwise("kept")
-    )
-    out = rows.join(winners, [key, "id"], "left").withColumn("reason", reason)
-    return out.select(*spans.columns, (F.col("reason") == "kept").alias("kept"), "reason")
+    pairs of types, allow or forbid. The spans of a document meet in one shuffle, and their overlaps never leave the task."""
+    whole, table = [c for c in spans.columns if c not in ("id", "utility")], {"|".join(sorted(pair)): what for pair, what in actions.items()}
+
+    def kernel(name, ids: list, utilities: list, starts: list, ends: list, types: list, texts: list, *others: list) -> list[tuple]:
+        original: dict[tuple, str] = {}
+        rows = [tuple(map(_plain, x)) for x in zip(*others)]
+        for i, r in zip(ids, rows):
+            original[r] = min((x for x in (original.get(r), i) if x is not None), default=None)
+        copy = [i is not None and i != original[r] for i, r in zip(ids, rows)]
+        unknown, foes = set(), {}
+        places = list(zip(starts, ends))
+        for x, y in overlaps(places, places) if name is not None else ():
+            if ids[x] is None or ids[y] is None or ids[x] == ids[y]:
+                continue
+            action = table.get("|".join(sorted(t for t in (types[x], types[y]) if t is not None)))
+            if action is None:
+                unknown.add(ids[x])
+            elif action == FORBID:
+                foes.setdefault(ids[x], set()).add(ids[y])
+        nulls_first = lambda v: (v is not None, v if v is not None else 0)
+        rank = lambda x: tuple(map(nulls_first, (None if utilities[x] is None else -utilities[x], starts[x], ends[x], types[x], texts[x], ids[x])))
+        won: set = set()
+        for x in sorted((x for x, i in enumerate(ids) if i in foes and not copy[x] and i not in unknown), key=rank):
+            if not won & foes[ids[x]]:
+                won.add(ids[x])
+        out = []
+        for x, i in enumerate(ids):
+            low = utilities[x] is not None and utilities[x] < least
+            reason = "exact_duplicate" if copy[x] else "unsupported_overlap" if i in unknown else "overlap_conflict" if i in foes and i not in won else "utility_below_minimum" if low else "kept"
+            out.append((reason == "kept", reason))
+        return out
+
+    return per_key(spans, key, ["id", "utility", "start", "end", "type", "text", *whole], kernel, "kept boolean, reason string", keep=True)
+
+
+def _plain(value: object) -> object:
+    """A value that equals its equals: lists and maps as tuples, one NaN."""
+    if isinstance(value, dict):
+        return tuple((k, _plain(v)) for k, v in value.items())
+    if isinstance(value, list):
+        return tuple(map(_plain, value))
+    return "NaN" if value != value else value
 
 
 def resolve_lab_pairs(resolved: DataFrame, pairings: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Results move to their nearest kept test. ``pairings``: key, result_id, test_ids, assigned. Returns the spans
     of resolve_consistency, where a kept result without a kept test goes (lab_pair_abstained), and the pairs: key,
     result_id, test_id, reassigned. Of equally near tests the later one counts, then the smaller id."""
-    at = resolved.select(key, "id", "start", "end", "kept")
-    p = pairings.join(at.select(key, F.col("id").alias("result_id"), F.col("start").alias("rs"), F.col("end").alias("re"), F.col("kept").alias("result_kept")), [key, "result_id"]).where("result_kept")
-    tests = p.withColumn("id", F.explode("test_ids")).join(at, [key, "id"]).where("kept")
-    gap = F.greatest(F.col("start") - F.col("re"), F.col("rs") - F.col("end"), F.lit(0))
-    best = tests.groupBy(key, "result_id").agg(F.min(F.struct(gap.alias("gap"), (-F.col("start")).alias("back"), "id")).alias("b"), F.first("assigned").alias("assigned"))
-    pairs = best.select(key, "result_id", F.col("b.id").alias("test_id"), (~F.col("assigned").eqNullSafe(F.col("b.id"))).alias("reassigned"))
-    lost = p.select(key, "result_id").join(pairs, [key, "result_id"], "left_anti").select(key, F.col("result_id").alias("id")).withColumn("lost", F.lit(True))
+    kind = resolved.schema[key].dataType.simpleString()
+    spot = resolved.select(key, "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kept", F.lit(None).cast("array<string>").alias("test_ids"), F.lit(None).cast("string").alias("assigned"))
+    asked = pairings.select(key, F.col("result_id").alias("id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("boolean").alias("kept"), F.coalesce("test_ids", F.array().cast("array<string>")).alias("test_ids"), "assigned")
+
+    def kernel(name, ids: list, starts: list, ends: list, kept: list, tests: list, assigned: list) -> list[tuple]:
+        at = {i: (s, e) for i, s, e, k, t in zip(ids, starts, ends, kept, tests) if t is None and k and i is not None and name is not None}
+        out = []
+        for i, listed, before in zip(ids, tests, assigned):
+            if listed is None or i not in at:
+                continue
+            s, e = at[i]
+            best = min(((max(at[t][0] - e, s - at[t][1], 0), -at[t][0], t) for t in listed if t in at), default=None)
+            out.append((name, i, best[2] if best else None, before != best[2] if best else None))
+        return out
+
+    found = per_key(spot.unionByName(asked), key, ["id", "start", "end", "kept", "test_ids", "assigned"], kernel, f"`{key}` {kind}, result_id string, test_id string, reassigned boolean")
+    pairs = found.where("test_id is not null")
+    lost = found.where("test_id is null").select(key, F.col("result_id").alias("id")).withColumn("lost", F.lit(True))
     out = resolved.join(lost, [key, "id"], "left")
     out = out.withColumn("reason", F.when(F.col("lost"), "lab_pair_abstained").otherwise(F.col("reason"))).withColumn("kept", F.col("kept") & F.col("lost").isNull())
     return out.select(*resolved.columns), pairs
 
 
+def near_tests(spans: DataFrame, result: str, test: str, reach: int, key: str = "doc_id") -> DataFrame:
+    """Pairings for resolve_lab_pairs, from spans (key, id, start, type): (key, result_id, test_ids, assigned) of results
+    with the sorted ids of tests that start within ``reach`` characters of them, of which the first is assigned."""
+
+    def kernel(name, ids: list, starts: list, types: list) -> list[tuple]:
+        tests = sorted((s, i) for i, s, t in zip(ids, starts, types) if t == test)
+        places, out = [s for s, _ in tests], []
+        for i, s in {(i, s): None for i, s, t in zip(ids, starts, types) if t == result}:
+            near = sorted({x for _, x in tests[bisect_left(places, s - reach) : bisect_right(places, s + reach)]})
+            if near:
+                out.append((name, i, near, near[0]))
+        return out
+
+    kind, some = spans.schema[key].dataType.simpleString(), spans.where(F.col("type").isin(result, test) & F.col(key).isNotNull() & F.col("id").isNotNull() & F.col("start").isNotNull())
+    return per_key(some.select(key, "id", "start", "type"), key, ["id", "start", "type"], kernel, f"`{key}` {kind}, result_id string, test_ids array<string>, assigned string")
+
+
+def span_blockers(items: DataFrame, compatible: Callable[[str, str], bool], key: str = "doc_id") -> DataFrame:
+    """overlap_blockers of spans (key, id, start, end, type): (key, id, blockers), where overlapping spans whose types
+    are not compatible block each other. The overlaps never leave the task of their document."""
+
+    def kernel(name, ids: list, starts: list, ends: list, types: list) -> list[tuple]:
+        places, foes = list(zip(starts, ends)), {}
+        for x, y in overlaps(places, places) if name is not None else ():
+            if ids[x] is not None and ids[y] is not None and ids[x] < ids[y] and not compatible(types[x], types[y]):
+                foes.setdefault(ids[x], set()).add(ids[y])
+                foes.setdefault(ids[y], set()).add(ids[x])
+        return [(name, i, sorted(foes.get(i, ()))) for i in ids]
+
+    kind = items.schema[key].dataType.simpleString()
+    return per_key(items.select(key, "id", "start", "end", "type"), key, ["id", "start", "end", "type"], kernel, f"`{key}` {kind}, id string, blockers array<string>")
+
+
 def overlap_blockers(items: DataFrame, overlaps: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, id, blockers): the hypotheses that may not stand beside each one, in both directions. ``overlaps``: key,
     left_id, right_id, compatible."""

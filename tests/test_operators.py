@@ -434,3 +434,24 @@ def test_privacy_warnings_count_five_patterns(spark, tmp_path):
     spark.createDataFrame([("s", text), ("s", None), ("t", "none")], "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.source: tuple(r)[1:] for r in privacy_warnings(spark, str(tmp_path)).collect()}
     assert got == {"s": (2, 1, 1, 1, 2, 7), "t": (0, 0, 0, 0, 0, 0)}
+
+
+def test_w09_j22_j23_spans_of_a_document_meet_in_one_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(d, f"s{i}", s, s + rng.randrange(0, 9), rng.choice("ABC"), "t", rng.randrange(9) / 9) for d in range(8) for i, s in enumerate(rng.randrange(60) for _ in range(25))]
+    df = spark.createDataFrame(rows, "doc_id long, id string, start long, end long, type string, text string, utility double")
+    out = decode.resolve_consistency(df, {("A", "A"): "forbid", ("A", "B"): "allow", ("B", "B"): "forbid", ("A", "C"): "forbid", ("B", "C"): "allow", ("C", "C"): "allow"}, 0.1)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert shuffles(out) == 1 and out.count() == len(rows)
+    near = decode.near_tests(out, "C", "B", 10)
+    want = {(d, i): sorted(x[1] for x in rows if x[0] == d and x[4] == "B" and abs(x[2] - s) <= 10) for d, i, s, _, t, *_ in rows if t == "C"}
+    assert {(r.doc_id, r.result_id): r.test_ids for r in near.collect()} == {k: v for k, v in want.items() if v}
+    kept = {(r.doc_id, r.id): r for r in out.where("kept").collect()}
+    for r in decode.resolve_lab_pairs(out, near)[1].collect():
+        c = kept[r.doc_id, r.result_id]
+        assert r.test_id == min((max(t.start - c.end, c.start - t.end, 0), -t.start, t.id) for (d, i), t in kept.items() if d == r.doc_id and i in want[d, c.id])[2]
+    blockers = decode.span_blockers(df, lambda a, b: a != b)
+    assert shuffles(blockers) == 1
+    for r in blockers.collect():
+        (a,) = (x for x in rows if x[:2] == (r.doc_id, r.id))
+        assert r.blockers == sorted(x[1] for x in rows if x[0] == a[0] and x[1] != a[1] and x[4] == a[4] and max(x[2], a[2]) < min(x[3], a[3]) and x[2] < x[3] and a[2] < a[3])
