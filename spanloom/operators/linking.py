@@ -106,8 +106,9 @@ def variant_metrics(outputs: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (
     codes): metrics by variant, entity type and terminology, by variant and either of these, and by variant.
 
     An entity is covered if all its gold codes are ranked (at k: among the first k). top1 counts entities with gold codes
-    whose first ranked code is one; an empty final list abstains, rightly where there is no gold code."""
-    rows = outputs.join(gold, "trace_id").select(
+    whose first ranked code is one; an empty final list abstains, rightly where there is no gold code. Both tables grow
+    with the entities, and Spark guesses lists of codes too small: they are merge-joined, never broadcast."""
+    rows = outputs.join(gold.hint("merge"), "trace_id").select(
         "variant", "entity_type", "terminology", _distinct_codes(F.col("ranked")).alias("r"), _distinct_codes(F.col("final")).alias("f"), _distinct_codes(F.col("codes")).alias("g")
     )
     whole = lambda c: F.size(F.array_except("g", c)) == 0
@@ -135,9 +136,9 @@ def linking_errors(gold: DataFrame, fused: DataFrame, reranked: DataFrame) -> Da
     """(bucket, trace_id) for each kind of error of each entity.
 
     gold: trace_id, codes, granularity, alias_present; fused: trace_id, ranked (codes); reranked: trace_id, ranked (array
-    of code, granularity, obsolete), final (codes), rejected (codes that structure ruled out)."""
+    of code, granularity, obsolete), final (codes), rejected (codes that structure ruled out). Merge-joined, as above."""
     r = reranked.select("trace_id", F.col("ranked").alias("again"), _distinct_codes(F.col("final")).alias("final"), _distinct_codes(F.col("rejected")).alias("rejected"))
-    rows = gold.select("trace_id", _distinct_codes(F.col("codes")).alias("g"), "granularity", "alias_present").join(fused.select("trace_id", _distinct_codes(F.col("ranked")).alias("pool")), "trace_id", "left").join(r, "trace_id", "left")
+    rows = gold.select("trace_id", _distinct_codes(F.col("codes")).alias("g"), "granularity", "alias_present").join(fused.select("trace_id", _distinct_codes(F.col("ranked")).alias("pool")).hint("merge"), "trace_id", "left").join(r.hint("merge"), "trace_id", "left")
     some, pooled = F.size("g") > 0, F.size(F.array_except("g", F.coalesce("pool", F.array().cast(_KEYS)))) == 0
     told = F.size(F.array_except("g", F.coalesce("final", F.array().cast(_KEYS)))) == 0
     tests = {

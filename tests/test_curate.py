@@ -126,3 +126,12 @@ def test_s19_s21_x01_p22(tmp_path):
     with pytest.raises(FileExistsError):
         config.to_do(["1"], str(tmp_path), {}, "fail_if_exists")
     assert config.manifest_complete({"status": "finalized", "completed": 1, "failed": 1, "resumed": 0, "n": 2})
+
+
+def test_a07_a08_tables_of_entities_are_never_broadcast(spark):
+    gold = spark.createDataFrame([(1, "drug", "RX", ["a"], None, True)], "trace_id long, entity_type string, terminology string, codes array<string>, granularity string, alias_present boolean")
+    out = spark.createDataFrame([("v", 1, ["a"], ["a"])], "variant string, trace_id long, ranked array<string>, final array<string>")
+    again = out.select("trace_id", F.transform("ranked", lambda x: F.struct(x.alias("code"), F.lit("leaf").alias("granularity"), F.lit(False).alias("obsolete"))).alias("ranked"), "final", F.col("final").alias("rejected"))
+    for df in (linking.variant_metrics(out, gold), linking.linking_errors(gold, out, again)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
