@@ -455,3 +455,23 @@ def test_w09_j22_j23_spans_of_a_document_meet_in_one_shuffle(spark):
     for r in blockers.collect():
         (a,) = (x for x in rows if x[:2] == (r.doc_id, r.id))
         assert r.blockers == sorted(x[1] for x in rows if x[0] == a[0] and x[1] != a[1] and x[4] == a[4] and max(x[2], a[2]) < min(x[3], a[3]) and x[2] < x[3] and a[2] < a[3])
+
+
+def test_j15_signatures_rule_out_pairs_before_any_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 20)
+    rng = random.Random(3)
+    sets = []
+    for i in range(90):
+        x = rng.sample(range(3000), rng.choice((30, 150, 200, 430, 450, 700)))
+        sets.append((2 * i, [f"t{k}" for k in x]))
+        if i % 3 == 0:  # a near copy, whose signature may have another width
+            sets.append((2 * i + 1, [f"t{k}" for k in x[: int(len(x) * rng.choice((0.6, 0.7, 0.9)))] + rng.sample(range(3000, 3100), 5)]))
+    members, pairs = similarity.jaccard_classes(spark.createDataFrame(sets, "id long, items array<string>"), 0.62)
+    s = {i: set(x) for i, x in sets}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.62 * len(s[a] | s[b])}
+    assert want and {(r.a, r.b) for r in pairs.collect()} == want and members.count() == len(sets)
+    # The index lists a pair of its own accord only if it is worth a comparison; no self-join writes all others.
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    tables = [spark.read.parquet(f) for f in pairs.inputFiles() if "spanloom-" in f]
+    listed = next(t for t in tables if "na" in t.columns)
+    assert "Join" in plan and sum(t.count() for t in tables if "na" in t.columns) <= 3 * len(want) and {"a", "b", "na", "nb"} == set(listed.columns)
