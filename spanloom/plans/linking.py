@@ -27,8 +27,7 @@ def bm25_search(spark, sf_dir) -> DataFrame:
     """The five best documents for each benchmark item."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.lower("text")).alias("tk"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.lower("text")).alias("tk"))
-    scored = retrieval.bm25(q, d, "doc_id", "tk").withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, 5)
+    return retrieval.bm25_top(q, d, "doc_id", "tk", 5)
 
 
 _GRAMS = "list_distinct(flatten([list_transform(range(1, length({0}) - 1), lambda i: substring({0}, i, 3)), list_transform(range(1, length({0}) - 2), lambda i: substring({0}, i, 4)), list_transform(range(1, length({0}) - 3), lambda i: substring({0}, i, 5))]))"

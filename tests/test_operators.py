@@ -475,3 +475,15 @@ def test_j15_signatures_rule_out_pairs_before_any_shuffle(spark, monkeypatch):
     tables = [spark.read.parquet(f) for f in pairs.inputFiles() if "spanloom-" in f]
     listed = next(t for t in tables if "na" in t.columns)
     assert "Join" in plan and sum(t.count() for t in tables if "na" in t.columns) <= 3 * len(want) and {"a", "b", "na", "nb"} == set(listed.columns)
+
+
+def test_k02_best_documents_equal_all_scores(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, [f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(0, 30))] if i % 40 else None) for i in range(300)], "doc_id long, w array<string>")
+    queries = spark.createDataFrame([(100 + i, [f"w{int(rng.expovariate(0.08))}" for _ in range(6)]) for i in range(9)] + [(7, ["none"])], "query_id long, tk array<string>")
+    want = retrieval.top_k(retrieval.bm25(queries, docs, "doc_id", "w").withColumn("score", F.round("score", 6)), 5)
+    found = retrieval.bm25_top(queries, docs, "doc_id", "w", 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    assert key(found) == key(want) and len(key(want)) == 45
+    # No join of documents with queries: only the names of the queries are joined.
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
