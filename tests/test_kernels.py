@@ -152,3 +152,18 @@ def test_f_scalars():
     assert K.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert K.proposal_id({"a": 1}).startswith("proposal-") and len(K.proposal_id({})) == 33
     assert abs(sum(x * x for x in K.hash_embedding("x", 8)) - 1) < 1e-9
+
+
+def test_t01_views_of_plain_characters_equal_the_rewriting_of_each(monkeypatch):
+    texts = ["", "Plain  Text\n\n x ", "caf\u00e9 \u0110a  \u0130 \u03a3\u03a3", "cafe\u0301  X", "a\u2003 \u00a0b\u0958", " \t"]
+    calls, slow = [], K.rewrite
+    monkeypatch.setattr(K, "rewrite", lambda v, unit, change: calls.append(v.text) or slow(v, unit, change))
+    for text in texts:
+        raw = K.raw_view(text)
+        nfc = slow(raw, K._clusters(text), lambda u: K.unicodedata.normalize("NFC", u))
+        lower = slow(nfc, ".", str.lower)
+        bare = slow(lower, K._clusters(lower.text), K._strip)
+        want = {"raw": raw, "nfc": nfc, "lower": lower, "accentless": bare, "collapsed": slow(bare, r"\s+|\S", lambda u: " " if u.isspace() else u)}
+        assert K.views(text) == want
+    # Nothing is matched character by character where characters stay single.
+    assert not {"", texts[1], " \t"} & set(calls)

@@ -487,3 +487,11 @@ def test_k02_best_documents_equal_all_scores(spark):
     assert key(found) == key(want) and len(key(want)) == 45
     # No join of documents with queries: only the names of the queries are joined.
     assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+
+
+def test_t05_t08_only_the_asked_units_are_looked_for(spark):
+    docs = spark.createDataFrame([(1, "Medications\n- a b. c\n- d but e"), (2, "x. y")], "doc_id long, text string")
+    every = infer.structure_units(docs).collect()
+    for kinds in (("section",), ("list_item",), ("clause", "section")):
+        assert sorted(infer.structure_units(docs, kinds).collect()) == sorted(r for r in every if r.kind in kinds)
+    assert [r.view for r in infer.text_views(docs, ("collapsed",)).collect()] == ["collapsed"] * 2
