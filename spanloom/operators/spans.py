@@ -98,6 +98,32 @@ def valid_span(text: Column, start: Column, end: Column, surface: Column) -> Col
     return (start >= 0) & (end <= F.length(text)) & (F.substring(text, start.cast("int") + 1, (end - start).cast("int")) == surface)
 
 
+def fidelity(found: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(type, n, bad, n_distinct) of spans (key, start, end, type, text) of docs (key, text): all, those that do
+    not hold their surface, and distinct places. A text meets its spans once, and no span carries it."""
+    kind = "start long, end long, type string, surface string"
+    none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in kind.split(", ")]
+    body = docs.select(key, F.lit(True).alias("whole"), F.col("text").alias("body"), *none)
+    rows = body.unionByName(found.select(key, F.lit(False).alias("whole"), F.lit(None).cast("string").alias("body"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", F.col("text").alias("surface")))
+
+    def kernel(name, whole: list, bodies: list, starts: list, ends: list, types: list, surfaces: list) -> list[tuple]:
+        if name is None or True not in whole:
+            return []
+        text, n = bodies[whole.index(True)], {}
+        for w, s, e, t, x in zip(whole, starts, ends, types, surfaces):
+            if not w:
+                c = n.setdefault(t, [0, 0, set()])
+                c[0] += 1
+                if None not in (text, s, e, x):
+                    c[1] += not (s >= 0 and e <= len(text) and text[s:max(s, e)] == x)
+                if s is not None:
+                    c[2].add(s)
+        return [(t, a, b, len(c)) for t, (a, b, c) in n.items()]
+
+    sums = per_key(rows, key, ["whole", "body", "start", "end", "type", "surface"], kernel, "type string, n long, bad long, n_distinct long")
+    return sums.groupBy("type").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "n_distinct")))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "doc_id", cell: int = CELL) -> DataFrame:
     """Pairs of left (start, end) and right (r_start, r_end) spans of a key that overlap.
 

@@ -495,3 +495,11 @@ def test_t05_t08_only_the_asked_units_are_looked_for(spark):
     for kinds in (("section",), ("list_item",), ("clause", "section")):
         assert sorted(infer.structure_units(docs, kinds).collect()) == sorted(r for r in every if r.kind in kinds)
     assert [r.view for r in infer.text_views(docs, ("collapsed",)).collect()] == ["collapsed"] * 2
+
+
+def test_a40_a_text_meets_its_spans_once(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "three")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 0, 3, "A", "one"), (1, 0, 3, "A", "two"), (1, 4, 9, "B", "two"), (2, 0, 1, "A", "x"), (9, 0, 1, "A", "x"), (3, -1, 1, "B", "")], "doc_id long, start long, end long, type string, text string")
+    out = spans.fidelity(found, docs)
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.type, r.n, r.bad, r.n_distinct) for r in out.collect()) == [("A", 3, 1, 2), ("B", 2, 2, 2)]
